@@ -1,8 +1,62 @@
-"""Corpus pipeline (filled in with its operators)."""
+"""Corpus pipeline: documents that pass the quality rules and the toxicity classifier, one of each group of near copies,
+without secrets, packed into sequences.
 
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. A stage's result is a Parquet table in
+the shared folder before the next stage reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm import jaccard_join, packing, quality, secrets, toxicity
+from marlstone.llm.common import staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs).select(*COLUMNS)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fitted to the labelled ones among them, doesn't reject."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return jaccard_join.keep_one(docs).select(*COLUMNS)
+
+
+def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked; n_chars is the new length of a changed text."""
+    return secrets.redacted(docs.select(*COLUMNS))
+
+
+def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("toxicity", clean_documents),
+    ("near copies", distinct_documents),
+    ("secrets", masked_documents),
+    ("packing", packed_documents),
+]
+
+#: The classifier, the random paths and the tokenizer are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; the last stage's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{number}")
+    return docs

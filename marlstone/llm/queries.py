@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import fingerprints, quality
+from marlstone.llm import fingerprints, html_extract, jaccard_join, packing, quality, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprints.query,
+        "op2_toxicity": toxicity.query,
+        "op3_jaccard_join": jaccard_join.query,
         "op5_quality": quality.query,
+        "op6_secrets": secrets.query,
+        "op7_html": html_extract.query,
+        "op8_packing": packing.query,
+        "op10_warc": warc.query,
     }
 
 

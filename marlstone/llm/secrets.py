@@ -12,7 +12,6 @@ import hashlib
 import json
 import re
 import zlib
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +34,7 @@ PEM = re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)--
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-@cache
-def _automaton():
+def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -81,11 +79,11 @@ RULES = {
 }
 
 
-def _byte_spans(raw: bytes) -> list[tuple[int, int, str]]:
+def _byte_spans(raw: bytes, keywords) -> list[tuple[int, int, str]]:
     """Spans in bytes. Matches of one kind are leftmost and don't overlap; one that fails its test still takes its room."""
     spans = [(m.start(), m.end(), "hex") for m in HEX.finditer(raw)]
     places: dict[str, list[int]] = {}
-    for end, (size, kind) in _automaton().iter(raw.lower().decode("latin-1")):
+    for end, (size, kind) in keywords.iter(raw.lower().decode("latin-1")):
         places.setdefault(kind, []).append(end + 1 - size)
     for kind, starts in places.items():
         pattern, valid = RULES[kind]
@@ -98,7 +96,7 @@ def _byte_spans(raw: bytes) -> list[tuple[int, int, str]]:
     return spans
 
 
-def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
+def find_secrets(text: str | None, keywords=None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start and then by the order of KINDS. Null has none.
 
     Lone surrogates, which Parquet texts don't hold, are kept as bytes and count as one code point.
@@ -106,7 +104,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     raw = text.encode("utf-8", "surrogatepass")
-    spans = _byte_spans(raw)
+    spans = _byte_spans(raw, keywords or automaton())
     if not spans:
         return []
     if len(raw) != len(text):
@@ -124,9 +122,9 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def redact(text: str | None, mask: str = "[SECRET]") -> str | None:
+def redact(text: str | None, mask: str = "[SECRET]", keywords=None) -> str | None:
     """The text with each span, or union of overlapping spans, replaced by ``mask``."""
-    spans = find_secrets(text)
+    spans = find_secrets(text, keywords)
     if not spans:
         return text
     merged: list[list[int]] = []
@@ -162,10 +160,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """
 
     def find(batches):
+        keywords = automaton()
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                spans = find_secrets(t.as_py())
+                spans = find_secrets(t.as_py(), keywords)
                 base = [s for s in spans if s[2] in BASE]
                 rows.append((doc, *(sum(s[2] == k for s in base) for k in BASE), hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans), len(spans)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -182,10 +181,11 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
     count = names.index(n_chars) if n_chars in names else None
 
     def mask(batches):
+        keywords = automaton()
         for batch in batches:
             columns = list(batch.columns)
             old = columns[at].to_pylist()
-            new = [redact(t) for t in old]
+            new = [redact(t, keywords=keywords) for t in old]
             changed = [k for k, (a, b) in enumerate(zip(old, new)) if a is not b]
             if changed:
                 columns[at] = pa.array(new, columns[at].type)

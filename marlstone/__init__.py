@@ -9,4 +9,11 @@ Subpackages
 ``streaming``   Structured Streaming twins of the incremental operators
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import fingerprints, html_extract, jaccard_join, packing, quality, secrets, toxicity, warc
+from marlstone.llm import fingerprints, html_extract, jaccard_join, lm, packing, quality, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": secrets.query,
         "op7_html": html_extract.query,
         "op8_packing": packing.query,
+        "op9_lm": lm.query,
         "op10_warc": warc.query,
     }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import fingerprints, html_extract, jaccard_join, lm, packing, quality, secrets, toxicity, warc
+from marlstone.llm import fingerprints, html_extract, jaccard_join, lm, packing, quality, secrets, sentencepieces, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": fingerprints.query,
         "op2_toxicity": toxicity.query,
         "op3_jaccard_join": jaccard_join.query,
+        "op4_sentencepieces": sentencepieces.query,
         "op5_quality": quality.query,
         "op6_secrets": secrets.query,
         "op7_html": html_extract.query,

@@ -2,14 +2,802 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from marlstone.functions import numeric, optimizers
+from marlstone.operators import covariance as C
+from marlstone.operators import factors as FA
+from marlstone.operators import networks, panel, performance, regimes, stress
+from marlstone.plans import backtest, panels, quality, strategies, walkforward
+from marlstone.session import read_table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+FLAG_BOOK = {"A": 0.5, "N": 0.3, "R": 0.2}
+Z05 = numeric.normal_quantile(0.05)
+ROOT = math.sqrt(252)
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded, as the order of a sum moves its last digits; integers as long."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        out.append((F.round(c, places) if kind == "double" else c.cast("long") if kind in ("integer", "short", "byte") else c).alias(f.name))
+    return df.select(*out)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# ---------------------------------------------------------------- panels and returns
+
+
+@query(panels.sql("flagstat", select="SELECT date, ticker, round(price, 6) AS price FROM a"))
+def panel_intersection(spark, d):
+    return rounded(panels.aligned(spark, d, "flagstat").select("date", "ticker", "price"))
+
+
+@query(panels.sql("flag", select="SELECT date, ticker, round(ret, 6) AS ret FROM r"))
+def simple_returns(spark, d):
+    return rounded(panels.returns(spark, d, "flag"))
+
+
+@query(panels.sql("flag", select="SELECT date, ticker, round(ln(price / prev), 6) AS ret FROM (SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM a) WHERE prev IS NOT NULL"))
+def log_returns(spark, d):
+    return rounded(panel.log_returns(panels.aligned(spark, d, "flag")))
+
+
+_BOOK = "book AS (SELECT * FROM (VALUES ('A', 0.5), ('N', 0.3), ('R', 0.2)) t(ticker, weight))"
+_PORT = "port AS (SELECT date, sum(weight * ret) AS ret FROM r JOIN book USING (ticker) GROUP BY date)"
+
+
+@query(panels.sql("flag", _BOOK, _PORT, select="SELECT date, round(ret, 6) AS ret FROM port"))
+def portfolio_returns(spark, d):
+    return rounded(panel.portfolio_returns(panels.returns(spark, d, "flag"), FLAG_BOOK))
+
+
+@query(panels.sql("flag", select="SELECT date, ticker, round(ret - 0.04 / 252, 6) AS excess FROM r"))
+def excess_returns(spark, d):
+    return rounded(panel.excess(panels.returns(spark, d, "flag"), 252).select("date", "ticker", "excess"))
+
+
+def _metrics_sql(name: str, key: str, source: str) -> str:
+    return panels.sql(
+        name,
+        f"s AS (SELECT {key} AS k, date, ret FROM {source})",
+        "g AS (SELECT *, product(1 + ret) OVER (PARTITION BY k ORDER BY date) AS growth FROM s)",
+        "dd AS (SELECT *, growth / max(growth) OVER (PARTITION BY k ORDER BY date) - 1 AS dd FROM g)",
+        "f AS (SELECT *, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY date) AS run FROM dd)",
+        "dur AS (SELECT k, max(n) AS duration FROM (SELECT k, run, count(*) FILTER (WHERE dd < 0) AS n FROM f GROUP BY 1, 2) GROUP BY k)",
+        "v AS (SELECT k, -quantile_cont(ret, 0.05) AS var FROM s GROUP BY k)",
+        "t AS (SELECT k, avg(ret) FILTER (WHERE ret <= -var) AS tail FROM s JOIN v USING (k) GROUP BY k)",
+        """m AS (SELECT k, count(*) AS n_obs, min(date) AS first, max(date) AS last, product(1 + ret) - 1 AS total_return, avg(ret - 0.04 / 252) AS mean, stddev_samp(ret) AS sd,
+            sqrt(avg(pow(least(ret, 0), 2))) AS down, sqrt(avg(pow(least(ret - 0.04 / 252, 0), 2))) AS downx, min(dd) AS mdd,
+            avg(pow(ret, 3)) AS m3, avg(pow(ret, 2)) AS m2, avg(ret) AS m1, kurtosis_pop(ret) AS kurt, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit, max(ret) AS best, min(ret) AS worst
+            FROM dd GROUP BY k)""",
+        select="""SELECT k AS ticker, n_obs, first, last, round(total_return, 6) AS total_return, round(pow(1 + total_return, 252.0 / n_obs) - 1, 6) AS cagr, round(sd * sqrt(252), 6) AS volatility,
+            round(down * sqrt(252), 6) AS downside_deviation, round(mean / sd * sqrt(252), 6) AS sharpe, round(mean / downx * sqrt(252), 6) AS sortino, round(mdd, 6) AS max_drawdown, duration AS max_drawdown_duration,
+            round(CASE WHEN mdd = 0 THEN 0 ELSE (pow(1 + total_return, 252.0 / n_obs) - 1) / abs(mdd) END, 6) AS calmar, round(var, 6) AS var_hist, round(coalesce(-tail, var), 6) AS cvar_hist,
+            round((m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / pow(m2 - m1 * m1, 1.5), 6) AS skewness, round(kurt, 6) AS kurtosis, round(hit, 6) AS hit_rate, round(best, 6) AS best, round(worst, 6) AS worst
+            FROM m JOIN dur USING (k) JOIN v USING (k) JOIN t USING (k)""",
+    )
+
+
+def _metrics(rows: DataFrame) -> DataFrame:
+    out = performance.metrics(rows, ["ticker"]).withColumnsRenamed({"start": "first", "end": "last"})
+    return rounded(out)
+
+
+@query(_metrics_sql("flag", "ticker", "r"))
+def perf_metrics(spark, d):
+    return _metrics(panels.returns(spark, d, "flag"))
+
+
+@query(_metrics_sql("event_day", "'book'", "(SELECT date, avg(ret) AS ret FROM r GROUP BY date)"))
+def perf_metrics_events(spark, d):
+    return _metrics(panel.equal_weight_returns(panels.returns(spark, d, "event_day")).withColumn("ticker", F.lit("book")))
+
+
+_GROWTH = "g AS (SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS growth FROM r)"
+_DD = "dd AS (SELECT *, growth / max(growth) OVER (PARTITION BY ticker ORDER BY date) - 1 AS drawdown FROM g)"
+
+
+@query(panels.sql("flag", _GROWTH, _DD, select="SELECT date, ticker, round(drawdown, 6) AS drawdown FROM dd"))
+def drawdown(spark, d):
+    return rounded(performance.growth(panels.returns(spark, d, "flag"), ["ticker"]).select("date", "ticker", "drawdown"))
+
+
+@query(panels.sql("flag", _GROWTH, _DD, select="SELECT date, ticker, round(drawdown, 6) AS drawdown FROM dd"))
+def drawdown_by_logs(spark, d):
+    return rounded(performance.log_drawdown(panels.returns(spark, d, "flag"), ["ticker"]).select("date", "ticker", "drawdown"))
+
+
+@query(
+    panels.sql(
+        "flag", _GROWTH, _DD,
+        "f AS (SELECT *, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY date) AS run FROM dd)",
+        select="SELECT ticker, max(n) AS duration FROM (SELECT ticker, run, count(*) FILTER (WHERE drawdown < 0) AS n FROM f GROUP BY 1, 2) GROUP BY ticker",
+    )
+)
+def drawdown_duration(spark, d):
+    return performance.drawdown_duration(performance.growth(panels.returns(spark, d, "flag"), ["ticker"]), ["ticker"])
+
+
+def _roll_sql(expr: str, window: int, name: str = "flag") -> str:
+    over = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    return panels.sql(name, select=f"SELECT date, ticker, round(v, 6) AS value FROM (SELECT date, ticker, {expr.replace('OVER', over)} AS v, count(*) {over} AS n FROM r) WHERE n = {window}")
+
+
+@query(_roll_sql("stddev_samp(ret) OVER * sqrt(252)", 63))
+def rolling_volatility(spark, d):
+    return rounded(performance.rolling_volatility(panels.returns(spark, d, "flag")).select("date", "ticker", F.col("volatility").alias("value")))
+
+
+@query(_roll_sql("avg(ret - 0.04 / 252) OVER / stddev_samp(ret) OVER * sqrt(252)", 252))
+def rolling_sharpe(spark, d):
+    return rounded(performance.rolling_sharpe(panels.returns(spark, d, "flag")).select("date", "ticker", F.col("sharpe").alias("value")))
+
+
+@query(
+    panels.sql(
+        "prio_month",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS g FROM r)",
+        select="SELECT e.date, e.ticker, round(min(j.g / i.g - 1), 6) AS value FROM n e JOIN n i ON i.ticker = e.ticker AND i.i BETWEEN e.i - 11 AND e.i JOIN n j ON j.ticker = e.ticker AND j.i BETWEEN i.i AND e.i WHERE e.i >= 12 GROUP BY 1, 2",
+    )
+)
+def rolling_drawdown(spark, d):
+    return rounded(performance.rolling_drawdown(panels.returns(spark, d, "prio_month"), 12).select("date", "ticker", F.col("max_drawdown").alias("value")))
+
+
+# ---------------------------------------------------------------- covariance and risk
+
+_PAIRS = "pr AS (SELECT x.date, x.ticker AS a, y.ticker AS b, x.ret AS ra, y.ret AS rb FROM r x JOIN r y ON x.date = y.date AND x.ticker <= y.ticker)"
+_COV = "cv AS (SELECT a, b, covar_samp(ra, rb) AS cov, count(*) AS n FROM pr GROUP BY 1, 2)"
+
+
+@query(panels.sql("prio_month", _PAIRS, _COV, select="SELECT a, b, round(cov, 9) AS cov, n FROM cv"))
+def cov_matrix(spark, d):
+    return rounded(C.covariance(panels.returns(spark, d, "prio_month")), 9)
+
+
+@query(
+    panels.sql(
+        "prio_month", _PAIRS, "w AS (SELECT *, pow(0.94, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) - 1) AS w FROM pr)",
+        select="SELECT a, b, round(sum(w * ra * rb) / sum(w), 9) AS cov FROM w GROUP BY 1, 2",
+    )
+)
+def ewma_cov(spark, d):
+    return rounded(C.ewma_covariance(panels.returns(spark, d, "prio_month")), 9)
+
+
+_RHO = "rho AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE corr(ra, rb) END AS rho FROM pr GROUP BY 1, 2)"
+
+
+@query(panels.sql("prio_month", _PAIRS, _RHO, select="SELECT a, b, round(rho, 6) AS rho FROM rho"))
+def corr_matrix(spark, d):
+    return rounded(C.correlation(panels.returns(spark, d, "prio_month")))
+
+
+@query(
+    panels.sql(
+        "prio_month", "k AS (SELECT date, ticker, rank() OVER (PARTITION BY ticker ORDER BY ret) + (count(*) OVER (PARTITION BY ticker, ret) - 1) / 2.0 AS ret FROM r)",
+        select="SELECT x.ticker AS a, y.ticker AS b, round(CASE WHEN x.ticker = y.ticker THEN 1.0 ELSE corr(x.ret, y.ret) END, 6) AS rho FROM k x JOIN k y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2",
+    )
+)
+def spearman(spark, d):
+    return rounded(C.spearman(panels.returns(spark, d, "prio_month")))
+
+
+@query(
+    panels.sql(
+        "prio_month", _PAIRS, _COV,
+        select="SELECT c.a, c.b, round(CASE WHEN c.a = c.b THEN 1.0 ELSE c.cov / sqrt(x.cov * y.cov) END, 6) AS rho FROM cv c JOIN cv x ON x.a = c.a AND x.b = c.a JOIN cv y ON y.a = c.b AND y.b = c.b",
+    )
+)
+def corr_from_cov(spark, d):
+    return rounded(C.correlation_of(C.covariance(panels.returns(spark, d, "prio_month"))))
+
+
+@query(panels.sql("prio_month", _PAIRS, _RHO, select="SELECT a, b, round(sqrt(greatest(2 * (1 - rho), 0)), 6) AS distance FROM rho"))
+def mantegna_distance(spark, d):
+    return rounded(C.distance(C.correlation(panels.returns(spark, d, "prio_month"))).select("a", "b", "distance"))
+
+
+_ROLL_CORR = "rc AS (SELECT date, a, b, rho FROM (SELECT date, a, b, corr(ra, rb) OVER w AS rho, count(*) OVER w AS n FROM pr WHERE a < b WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE n = 63)"
+
+
+@query(panels.sql("flag", _PAIRS, _ROLL_CORR, select="SELECT date, a, b, round(rho, 6) AS rho FROM rc"))
+def rolling_corr(spark, d):
+    return rounded(C.rolling_correlation(panels.returns(spark, d, "flag")))
+
+
+@query(panels.sql("flag", _PAIRS, _ROLL_CORR, select="SELECT date, round(avg(rho), 6) AS average, round(min(rho), 6) AS lowest, round(max(rho), 6) AS highest FROM rc GROUP BY date"))
+def avg_corr(spark, d):
+    return rounded(C.average_correlation(panels.returns(spark, d, "flag")))
+
+
+@query(
+    panels.sql(
+        "flag", _BOOK, _PAIRS, _COV,
+        "full_cv AS (SELECT a, b, cov FROM cv UNION ALL SELECT b, a, cov FROM cv WHERE a <> b)",
+        "sw AS (SELECT a, sum(cov * weight) AS sw FROM full_cv JOIN book ON b = ticker GROUP BY a)",
+        "x AS (SELECT ticker, weight, sw, weight * sw AS v, sqrt(sum(weight * sw) OVER ()) AS sigma FROM sw JOIN book ON a = ticker)",
+        select="SELECT ticker, weight, round(sw / sigma, 6) AS marginal, round(v / sigma, 6) AS contribution, round(v / (sigma * sigma), 6) AS share, round(sigma, 6) AS sigma FROM x",
+    )
+)
+def risk_decomposition(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    return rounded(C.risk_decomposition(C.covariance(rows), panel.weights_frame(rows, FLAG_BOOK)))
+
+
+_CFZ = f"({Z05!r} + ({Z05!r} * {Z05!r} - 1) / 6 * sk + (pow({Z05!r}, 3) - 3 * {Z05!r}) / 24 * ku - (2 * pow({Z05!r}, 3) - 5 * {Z05!r}) / 36 * sk * sk)"
+
+
+@query(
+    panels.sql(
+        "flag",
+        "s AS (SELECT ticker, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, (avg(pow(ret, 3)) - 3 * avg(ret) * avg(pow(ret, 2)) + 2 * pow(avg(ret), 3)) / pow(avg(pow(ret, 2)) - pow(avg(ret), 2), 1.5) AS sk, kurtosis_pop(ret) AS ku, -quantile_cont(ret, 0.05) AS v FROM r GROUP BY ticker)",
+        "t AS (SELECT ticker, avg(ret) FILTER (WHERE ret <= -v) AS tail FROM r JOIN s USING (ticker) GROUP BY ticker)",
+        select=f"SELECT ticker, n, round(v, 6) AS var_hist, round(coalesce(-tail, v), 6) AS cvar_hist, round(-(m + {Z05!r} * sd), 6) AS var_gauss, round(-(m + {_CFZ} * sd), 6) AS var_cf FROM s JOIN t USING (ticker)",
+    )
+)
+def tail_measures(spark, d):
+    return rounded(C.historical_tail(panels.returns(spark, d, "flag"), ["ticker"]))
+
+
+@query(
+    panels.sql(
+        "prio_month", "c AS (SELECT date, ticker, ret - avg(ret) OVER (PARTITION BY ticker) AS ret FROM r)",
+        select="SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, round(avg(x.ret * y.ret), 9) AS xy, round(avg(x.ret * x.ret * y.ret * y.ret), 9) AS xxyy, round(avg(pow(x.ret, 3) * y.ret), 9) AS xxxy, round(avg(x.ret * pow(y.ret, 3)), 9) AS xyyy FROM c x JOIN c y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2",
+    )
+)
+def shrinkage_moments(spark, d):
+    return rounded(C.moments(panels.returns(spark, d, "prio_month")), 9)
+
+
+@query(
+    panels.sql(
+        "flag", _BOOK, _PAIRS,
+        "cw AS (SELECT * FROM (SELECT date, a, b, covar_samp(ra, rb) OVER w AS cov, count(*) OVER w AS n FROM pr WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE n = 63)",
+        "fw AS (SELECT date, a, b, cov FROM cw UNION ALL SELECT date, b, a, cov FROM cw WHERE a <> b)",
+        "rc AS (SELECT date, a, x.weight * sum(cov * y.weight) AS rc FROM fw JOIN book x ON a = x.ticker JOIN book y ON b = y.ticker GROUP BY date, a, x.weight)",
+        select="SELECT date, a AS ticker, round(rc / sum(rc) OVER (PARTITION BY date), 6) AS share FROM rc",
+    )
+)
+def rolling_risk_contribution(spark, d):
+    return rounded(C.rolling_risk_contribution(panels.returns(spark, d, "flag"), FLAG_BOOK, decay=None).select("date", "ticker", "share"))
+
+
+# ---------------------------------------------------------------- factors
+
+
+def _market_pairs(spark, d) -> DataFrame:
+    rows = panels.returns(spark, d, "flag")
+    market = rows.groupBy("date").agg(F.avg("ret").alias("factor"))
+    return rows.join(market, "date")
+
+
+_MKT = "mk AS (SELECT date, avg(ret) AS factor FROM r GROUP BY date)"
+
+
+@query(
+    panels.sql(
+        "flag", _MKT,
+        select="SELECT ticker, date, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(r2, 6) AS r_squared FROM (SELECT ticker, date, regr_slope(ret, factor) OVER w AS beta, regr_intercept(ret, factor) OVER w AS alpha, regr_r2(ret, factor) OVER w AS r2, count(*) OVER w AS n FROM r JOIN mk USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE n = 252",
+    )
+)
+def rolling_beta(spark, d):
+    return rounded(FA.rolling_beta(_market_pairs(spark, d), 252, ["ticker"]))
+
+
+@query(
+    panels.sql(
+        "flag", _BOOK, _PORT, "fa AS (SELECT date, ret AS factor FROM r WHERE ticker = 'N')",
+        select="SELECT 'one factor' AS model, count(*) AS n, round(regr_slope(ret, factor), 6) AS beta, round(regr_intercept(ret, factor), 6) AS alpha, round(regr_r2(ret, factor), 6) AS r_squared FROM port JOIN fa USING (date)",
+    )
+)
+def factor_regression(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    factor = rows.where("ticker = 'N'").select("date", F.col("ret").alias("factor"))
+    m = FA.factor_model(FA.align(panel.portfolio_returns(rows, FLAG_BOOK), factor, ["factor"]))
+    return rounded(spark.createDataFrame([("one factor", m.n_obs, float(m.betas[0]), m.alpha, m.r_squared)], "model string, n long, beta double, alpha double, r_squared double"))
+
+
+@query(panels.sql("flag", _MKT, select="SELECT r.date, r.ticker, round(ret, 6) AS ret, round(factor, 6) AS factor FROM r JOIN mk USING (date)"))
+def factor_alignment(spark, d):
+    return rounded(_market_pairs(spark, d).select("date", "ticker", "ret", "factor"))
+
+
+# ---------------------------------------------------------------- regimes
+
+_VS = [
+    "w AS (SELECT date, ticker, ret, CASE WHEN count(*) OVER o = 21 THEN stddev_samp(ret) OVER o END AS v FROM r WINDOW o AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))",
+    "vf AS (SELECT date, ticker, ret, coalesce(v, first_value(v IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS vol FROM w)",
+    "cu AS (SELECT ticker, quantile_cont(vol, 1.0 / 3) AS c1, quantile_cont(vol, 2.0 / 3) AS c2 FROM vf GROUP BY ticker)",
+    "st AS (SELECT date, vf.ticker, ret, vol, CAST(vol >= c1 AS INT) + CAST(vol >= c2 AS INT) AS state FROM vf JOIN cu USING (ticker) WHERE vol IS NOT NULL)",
+]
+
+
+@query(panels.sql("flag", *_VS, select="SELECT date, ticker, round(vol, 6) AS vol, CAST(state AS BIGINT) AS state FROM st"))
+def volatility_states(spark, d):
+    return rounded(regimes.volatility_states(panels.returns(spark, d, "flag")).select("date", "ticker", "vol", "state"))
+
+
+@query(
+    panels.sql(
+        "flag", *_VS,
+        "s AS (SELECT ticker, state, count(*) AS n, avg(ret) * 252 AS mean, stddev_samp(ret) * sqrt(252) AS volatility FROM st GROUP BY 1, 2)",
+        select="SELECT ticker, CAST(state AS BIGINT) AS state, n, round(mean, 6) AS mean, round(volatility, 6) AS volatility, round(n / sum(n) OVER (PARTITION BY ticker), 6) AS frequency, round(mean / volatility, 6) AS ratio FROM s",
+    )
+)
+def regime_statistics(spark, d):
+    return rounded(regimes.state_statistics(regimes.volatility_states(panels.returns(spark, d, "flag")), by=["ticker"]))
+
+
+_MARKET_STATES = "ms AS (SELECT date, state FROM st WHERE ticker = 'N')"
+
+
+def _market_states(spark, d):
+    return regimes.volatility_states(panels.returns(spark, d, "flag")).where("ticker = 'N'").select("date", "state")
+
+
+@query(panels.sql("flag", *_VS, _MARKET_STATES, _MKT, select="SELECT CAST(state AS BIGINT) AS state, count(*) AS n, round(regr_slope(ret, factor), 6) AS beta FROM r JOIN ms USING (date) JOIN mk USING (date) WHERE ticker = 'A' GROUP BY state HAVING count(*) >= 2"))
+def regime_beta(spark, d):
+    rows = _market_pairs(spark, d).where("ticker = 'A'").withColumnRenamed("factor", "market").join(_market_states(spark, d), "date")
+    return rounded(regimes.state_beta(rows))
+
+
+@query(
+    panels.sql(
+        "flag", *_VS, _MARKET_STATES, _PAIRS,
+        select="SELECT CAST(state AS BIGINT) AS state, round(avg(rho), 6) AS average FROM (SELECT state, a, b, corr(ra, rb) AS rho, count(*) AS n FROM pr JOIN ms USING (date) WHERE a < b GROUP BY 1, 2, 3) WHERE n >= 3 GROUP BY state",
+    )
+)
+def regime_correlation(spark, d):
+    return rounded(regimes.state_correlation(panels.returns(spark, d, "flag").join(_market_states(spark, d), "date")))
+
+
+@query(panels.sql("flag", *_VS, _MARKET_STATES, select="SELECT o.date, CAST(coalesce(state, -1) AS BIGINT) AS state FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) o LEFT JOIN ms USING (date)"))
+def states_aligned(spark, d):
+    targets = read_table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    return rounded(regimes.align_states(targets, _market_states(spark, d)))
+
+
+# ---------------------------------------------------------------- stress
+
+_WINDOWS = "wn AS (SELECT * FROM (VALUES ('first', DATE '1993-01-01', DATE '1993-06-30'), ('second', DATE '1994-03-01', DATE '1995-02-28'), ('late', DATE '1997-01-01', DATE '1999-12-31')) t(scenario, s, e))"
+WINDOWS = [("first", "1993-01-01", "1993-06-30"), ("second", "1994-03-01", "1995-02-28"), ("late", "1997-01-01", "1999-12-31")]
+
+
+@query(
+    panels.sql(
+        "flag", _BOOK, _WINDOWS,
+        "x AS (SELECT scenario, date, sum(weight * ret) AS q, sum(weight) AS w FROM r JOIN book USING (ticker) JOIN wn ON date BETWEEN s AND e GROUP BY 1, 2)",
+        "y AS (SELECT scenario, date, product(1 + q) OVER (PARTITION BY scenario ORDER BY date) AS g FROM x)",
+        "z AS (SELECT *, g / max(g) OVER (PARTITION BY scenario ORDER BY date) - 1 AS dd FROM y)",
+        select="SELECT scenario, count(*) AS n_days, round(arg_max(g, date) - 1, 6) AS pnl, round(min(dd), 6) AS max_drawdown, 1.0 AS covered FROM z GROUP BY scenario",
+    )
+)
+def scenario_replay(spark, d):
+    return rounded(stress.replay_assets(panels.returns(spark, d, "flag"), FLAG_BOOK, stress.scenarios(spark, WINDOWS)))
+
+
+@query(
+    panels.sql(
+        "flag", _BOOK, _WINDOWS,
+        select="SELECT scenario, ticker, round(weight * (product(1 + ret) - 1), 6) AS contribution FROM r JOIN book USING (ticker) JOIN wn ON date BETWEEN s AND e GROUP BY scenario, ticker, weight",
+    )
+)
+def scenario_contributions(spark, d):
+    return rounded(stress.replay_contributions(panels.returns(spark, d, "flag"), FLAG_BOOK, stress.scenarios(spark, WINDOWS)))
+
+
+@query("SELECT * FROM (VALUES ('EQUITY_CRASH', -0.22), ('VALUE_ROTATION', -0.085), ('QUALITY_FLIGHT', -0.062)) t(scenario, pnl)")
+def factor_shocks(spark, d):
+    return rounded(stress.shock(spark, {"Mkt-RF": 1.1, "HML": -0.3, "RMW": 0.6}, stress.FACTOR_SHOCKS))
+
+
+@query("SELECT * FROM (VALUES ('RATES_UP_100', -0.03), ('RATES_UP_200', -0.06), ('OIL_SHOCK', 0.02), ('USD_SHOCK', 0.08), ('VIX_SHOCK', -0.1)) t(scenario, pnl)")
+def macro_shocks(spark, d):
+    return rounded(stress.shock(spark, {"rate_10y": -3.0, "oil": 0.05, "usd": 0.8, "vix": -0.005}, stress.MACRO_SHOCKS))
+
+
+# ---------------------------------------------------------------- data quality
+
+
+def _priced(spark, d, name="prio_day") -> DataFrame:
+    return panels.panel(spark, d, name).select("date", "ticker", F.col("price").alias("adj_close"), F.lit("trading_days").alias("calendar"), F.lit("equity").alias("asset_class"))
+
+
+@query("SELECT event_type AS ticker, count(*) FILTER (WHERE value IS NULL) AS nulls, count(*) FILTER (WHERE value <= 0) AS low FROM events GROUP BY event_type")
+def quality_missing(spark, d):
+    return read_table(spark, d, "events").groupBy(F.col("event_type").alias("ticker")).agg(F.count_if(F.col("value").isNull()).alias("nulls"), F.count_if(F.col("value") <= 0).alias("low"))
+
+
+_PRICED_RETS = "q AS (SELECT date, ticker, price / lag(price) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM p)"
+
+
+@query(
+    panels.sql(
+        "prio_day", _PRICED_RETS,
+        "m AS (SELECT ticker, median(ret) AS m FROM q WHERE ret IS NOT NULL GROUP BY ticker)",
+        "md AS (SELECT ticker, median(abs(ret - m)) AS mad FROM q JOIN m USING (ticker) WHERE ret IS NOT NULL GROUP BY ticker)",
+        select="SELECT ticker, date, round(ret, 6) AS ret, CASE WHEN abs(ret) > 0.4 THEN 'critical' ELSE 'warning' END AS severity FROM q JOIN m USING (ticker) JOIN md USING (ticker) WHERE ret IS NOT NULL AND (abs(ret) > 0.2 OR (mad > 0 AND abs(ret - m) > 8 * 1.4826 * mad))",
+    )
+)
+def quality_outliers(spark, d):
+    return rounded(quality.outlier_events(_priced(spark, d)).select("ticker", "date", "ret", "severity"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS k, o_orderkey AS i, o_orderstatus AS v, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pv FROM orders),
+    f AS (SELECT *, coalesce(v = pv, false) AS same, sum(CASE WHEN coalesce(v = pv, false) THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM s)
+    SELECT k, max(n) + 1 AS longest FROM (SELECT k, run, count(*) AS n FROM f WHERE same GROUP BY 1, 2) GROUP BY k HAVING max(n) + 1 >= 3"""
+)
+def stale_runs(spark, d):
+    rows = read_table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("i"), F.col("o_orderstatus").alias("v"))
+    same = rows.withColumn("same", F.col("v") == F.lag("v").over(W.partitionBy("k").orderBy("i")))
+    return performance.runs(same, F.col("same"), ["k"], "i").groupBy("k").agg((F.max("length") + 1).alias("longest")).where("longest >= 3")
+
+
+@query(panels.sql("prio_day", select="SELECT ticker, count(*) AS n FROM (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM p) t CROSS JOIN (SELECT DISTINCT date FROM p) d ANTI JOIN p ON p.ticker = t.ticker AND p.date = d.date) GROUP BY ticker"))
+def quality_calendar_gaps(spark, d):
+    return quality.missing_dates(_priced(spark, d)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(panels.sql("prio_day", select="SELECT ticker, f AS \"from\", date AS \"to\", CAST(date - f AS BIGINT) AS days FROM (SELECT ticker, date, lag(date) OVER (PARTITION BY ticker ORDER BY date) AS f FROM p) WHERE date - f > 4"))
+def quality_observation_gaps(spark, d):
+    return rounded(quality.gap_events(_priced(spark, d)).select("ticker", "from", "to", "days"))
+
+
+@query()
+def quality_report(spark, d):
+    return quality.report(_priced(spark, d))
+
+
+# ---------------------------------------------------------------- schedules, upserts, joins
+
+
+def _schedule_sql(key: str) -> str:
+    return f"SELECT max(d) AS date FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) GROUP BY {key}"
+
+
+def _order_dates(spark, d):
+    return read_table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+
+
+@query(_schedule_sql("isoyear(d), week(d)"))
+def schedule_weekly(spark, d):
+    return panel.schedule(_order_dates(spark, d), "weekly")
+
+
+@query(_schedule_sql("year(d), month(d)"))
+def schedule_monthly(spark, d):
+    return panel.schedule(_order_dates(spark, d), "monthly")
+
+
+@query(_schedule_sql("year(d), quarter(d)"))
+def schedule_quarterly(spark, d):
+    return panel.schedule(_order_dates(spark, d), "quarterly")
+
+
+@query(
+    """WITH n AS (SELECT l_orderkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_quantity DESC) AS rn FROM lineitem)
+    SELECT l_orderkey, l_partkey, l_quantity FROM n WHERE rn = 1"""
+)
+def keep_last_rows(spark, d):
+    return panel.keep_last(read_table(spark, d, "lineitem"), ["l_orderkey", "l_partkey"], ["l_linenumber", "l_quantity"]).select("l_orderkey", "l_partkey", "l_quantity")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'corrected' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def upsert_new_wins(spark, d):
+    old = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    new = old.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("corrected"))
+    return panel.upserted(old, new, ["o_orderkey"])
+
+
+@query(
+    """WITH q AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id, ts, max(value) AS seen FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+    SELECT q.event_id, round(e.seen, 6) AS seen FROM q ASOF LEFT JOIN e ON q.user_id = e.user_id AND q.ts >= e.ts"""
+)
+def as_of_join(spark, d):
+    events = read_table(spark, d, "events")
+    left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = events.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("seen"))
+    return rounded(panel.as_of(left, right, ["user_id"], "ts", "ts", ["seen"]).select("event_id", "seen"))
+
+
+@query(
+    panels.sql(
+        "flag", "t AS (SELECT o.date AS as_of, max(r.date) AS known FROM (SELECT DISTINCT date FROM r WHERE ticker = 'A') o JOIN (SELECT date FROM r WHERE ticker = 'A') r ON r.date <= o.date - INTERVAL 45 DAY GROUP BY o.date)",
+        select="SELECT as_of, known, round(ret, 6) AS ret FROM t JOIN r ON r.date = known AND r.ticker = 'A'",
+    )
+)
+def publication_lag(spark, d):
+    rows = panels.returns(spark, d, "flag").where("ticker = 'A'")
+    left = rows.select("ticker", F.col("date").alias("as_of"))
+    got = panel.as_of(left, rows.withColumn("known", F.col("date")), ["ticker"], "as_of", "date", ["known", "ret"], 45)
+    return rounded(got.where("known is not null").select("as_of", "known", "ret"))
+
+
+@query(panels.sql("flag", _WINDOWS, select="SELECT r.date, r.ticker, scenario FROM r JOIN wn ON r.date BETWEEN s AND e"))
+def fold_ranges(spark, d):
+    return panel.within_ranges(panels.returns(spark, d, "flag"), stress.scenarios(spark, WINDOWS), "start", "end").select("date", "ticker", "scenario")
+
+
+@query(panels.sql("flag", _BOOK, select="SELECT ticker, coalesce(weight, 0.0) AS current, coalesce(target, 0.0) AS target, round(coalesce(target, 0) - coalesce(weight, 0), 6) AS delta FROM book FULL JOIN (SELECT * FROM (VALUES ('A', 0.2), ('X', 0.8)) t(ticker, target)) USING (ticker)"))
+def rebalance_deltas(spark, d):
+    now = spark.createDataFrame(list(FLAG_BOOK.items()), "ticker string, current double")
+    want = spark.createDataFrame([("A", 0.2), ("X", 0.8)], "ticker string, target double")
+    both = now.join(want, "ticker", "full").na.fill(0.0)
+    return rounded(both.select("ticker", "current", "target", (F.col("target") - F.col("current")).alias("delta")))
+
+
+# ---------------------------------------------------------------- other aggregates
+
+
+@query("SELECT c_mktsegment, round(1 / sum(w * w), 6) AS effective_n, round(sum(abs(w)), 6) AS gross, round(sum(w), 6) AS net FROM (SELECT c_mktsegment, c_acctbal / sum(abs(c_acctbal)) OVER (PARTITION BY c_mktsegment) AS w FROM customer) GROUP BY c_mktsegment")
+def effective_positions(spark, d):
+    w = F.col("c_acctbal") / F.sum(F.abs("c_acctbal")).over(W.partitionBy("c_mktsegment"))
+    rows = read_table(spark, d, "customer").select("c_mktsegment", w.alias("w"))
+    return rounded(rows.groupBy("c_mktsegment").agg((1 / F.sum(F.col("w") * F.col("w"))).alias("effective_n"), F.sum(F.abs("w")).alias("gross"), F.sum("w").alias("net")))
+
+
+@query(
+    panels.sql(
+        "flag", "u AS (SELECT ticker, quantile_cont(-ret, 0.95) AS u FROM r GROUP BY ticker)", "e AS (SELECT r.ticker, -ret AS loss FROM r JOIN u USING (ticker) WHERE -ret > u)",
+        select="SELECT ticker, round(loss, 6) AS loss, round((row_number() OVER (PARTITION BY ticker ORDER BY loss) - 0.5) / count(*) OVER (PARTITION BY ticker), 6) AS position FROM e",
+    )
+)
+def exceedance_positions(spark, d):
+    losses = panels.returns(spark, d, "flag").select("ticker", (-F.col("ret")).alias("loss"))
+    u = losses.groupBy("ticker").agg(F.percentile("loss", F.lit(0.95)).alias("u"))
+    over = losses.join(F.broadcast(u), "ticker").where("loss > u")
+    by = W.partitionBy("ticker")
+    return rounded(over.select("ticker", "loss", ((F.row_number().over(by.orderBy("loss")) - 0.5) / F.count(F.lit(1)).over(by)).alias("position")))
+
+
+@query("SELECT o_custkey, o_orderdate, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cumulative FROM orders")
+def cumulative_cost(spark, d):
+    run = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
+    return read_table(spark, d, "orders").select("o_custkey", "o_orderdate", F.round(F.sum("o_totalprice").over(run), 2).alias("cumulative"))
+
+
+@query("SELECT l_suppkey, l_partkey, quantity FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS k FROM lineitem GROUP BY 1, 2) WHERE k <= 3")
+def top_by_group(spark, d):
+    sums = read_table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"))
+    k = F.row_number().over(W.partitionBy("l_suppkey").orderBy(F.desc("quantity"), "l_partkey"))
+    return sums.withColumn("k", k).where("k <= 3").drop("k")
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS date, round(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END), 2) AS urgent, round(sum(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END), 2) AS low FROM orders GROUP BY 1")
+def pivot_wide(spark, d):
+    rows = read_table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("ticker"), "o_totalprice")
+    wide = rows.groupBy("date").pivot("ticker", ["1-URGENT", "5-LOW"]).agg(F.round(F.sum("o_totalprice"), 2))
+    return wide.withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
+
+
+@query("SELECT s_suppkey, name, v FROM (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS nation, s_acctbal AS balance FROM supplier) UNPIVOT (v FOR name IN (nation, balance))")
+def unpivot_long(spark, d):
+    rows = read_table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("nation"), F.col("s_acctbal").alias("balance"))
+    return rows.unpivot(["s_suppkey"], ["nation", "balance"], "name", "v")
+
+
+# ---------------------------------------------------------------- the SQL surface
+
+_SQL = {
+    "sql_price_summary": "SELECT l_returnflag AS ticker, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS first, CAST(max(l_shipdate) AS DATE) AS last, round(avg(l_extendedprice), 2) AS mean FROM lineitem GROUP BY l_returnflag",
+    "sql_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "sql_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "sql_grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
+    "sql_ranking": "SELECT c_custkey, c_mktsegment, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS quarter FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)",
+    "sql_union_all": "SELECT s_nationkey AS nation FROM supplier UNION ALL SELECT c_nationkey FROM customer",
+    "sql_union": "SELECT s_nationkey AS nation FROM supplier UNION SELECT c_nationkey FROM customer",
+    "sql_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "sql_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    "sql_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_correlated": "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
+    "sql_having": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 5",
+    "sql_case_filter": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, round(avg(CASE WHEN value <= 50 THEN value END), 6) AS low_mean FROM events GROUP BY event_type",
+    "sql_star_join": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
+    "sql_recursive": "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
+    "sql_full_join": "SELECT coalesce(s.nation, c.nation) AS nation, coalesce(s.n, 0) AS suppliers, coalesce(c.n, 0) AS customers FROM (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1) c ON s.nation = c.nation",
+    "sql_distinct_on": "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS largest FROM orders GROUP BY o_custkey",
+    "sql_tumbling": "SELECT CAST(ts AS DATE) AS day, event_type AS ticker, round(avg(value), 6) AS price, count(*) AS n FROM events GROUP BY 1, 2",
+}
+
+
+def _surface(name: str, text: str) -> Query:
+    def run(spark, d):
+        words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+            if t in words:
+                read_table(spark, d, t).createOrReplaceTempView(t)
+        return rounded(spark.sql(text), 6)
+
+    run.__name__ = name
+    return run
+
+
+for _name, _text in _SQL.items():
+    QUERIES[_name] = _surface(_name, _text)
+    _int = {"sql_union_all": "SELECT CAST(nation AS BIGINT) AS nation FROM (%s)", "sql_union": "SELECT CAST(nation AS BIGINT) AS nation FROM (%s)", "sql_full_join": "SELECT CAST(nation AS BIGINT) AS nation, suppliers, customers FROM (%s)", "sql_grouping_sets": "SELECT c_mktsegment, CAST(c_nationkey AS BIGINT) AS c_nationkey, n FROM (%s)"}
+    ORACLES[_name] = _int.get(_name, "%s") % _text
+
+
+@query("SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS ticker, round(avg(l_extendedprice), 6) AS adj_close FROM lineitem GROUP BY 1, 2")
+def sql_table_function(spark, d):
+    panels.panel(spark, d, "flag").createOrReplaceTempView("__flag_prices")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION flag_prices() RETURNS TABLE(date DATE, ticker STRING, adj_close DOUBLE) RETURN SELECT date, ticker, price FROM __flag_prices")
+    return rounded(spark.sql("SELECT date, ticker, adj_close FROM flag_prices()"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, k"""
+)
+def gap_sessions(spark, d):
+    rows = read_table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    w = F.session_window("ts", "4 hours")
+    return rows.groupBy("user_id", w).agg(F.min("ts").cast("timestamp_ntz").alias("first"), F.max("ts").cast("timestamp_ntz").alias("last"), F.count(F.lit(1)).alias("n")).drop("session_window")
+
+
+# ---------------------------------------------------------------- backtests
+
+_MONTHLY = [
+    "bk AS (SELECT ticker, 1.0 / count(*) OVER () AS weight FROM (SELECT DISTINCT ticker FROM r))",
+    "dn AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM r))",
+    "dc AS (SELECT max(date) AS date, 1 AS dec FROM dn WHERE TRUE GROUP BY year(date), month(date) HAVING max(i) >= 21)",
+    "dy AS (SELECT dn.date, coalesce(dec, 0) AS dec, coalesce(sum(coalesce(dec, 0)) OVER (ORDER BY dn.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS per FROM dn LEFT JOIN dc USING (date))",
+    "rw AS (SELECT r.date, per, dec, weight, product(1 + ret) OVER (PARTITION BY r.ticker, per ORDER BY r.date) AS g FROM r JOIN bk USING (ticker) JOIN dy USING (date) WHERE per > 0)",
+    "br AS (SELECT date, per, dec, 1 + sum(weight * (g - 1)) AS v FROM rw GROUP BY 1, 2, 3)",
+    "cs AS (SELECT br.date, br.per, br.dec, br.v, CASE WHEN br.dec = 1 THEN sum(abs(rw.weight - rw.weight * rw.g / br.v)) * 0.001 ELSE 0 END AS cost FROM br JOIN rw ON rw.date = br.date GROUP BY 1, 2, 3, 4)",
+    "en AS (SELECT 0 AS per, 1 - 0.001 AS f UNION ALL SELECT per, v * (1 - cost) FROM cs WHERE dec = 1)",
+    "ch AS (SELECT per + 1 AS per, product(f) OVER (ORDER BY per) AS base FROM en)",
+]
+
+
+@query(panels.sql("flag", *_MONTHLY, select="SELECT date, round(equity, 6) AS equity FROM (SELECT date, base * v * (1 - cost) AS equity FROM cs JOIN ch USING (per) UNION ALL SELECT min(date), 1 - 0.001 FROM dc)"))
+def backtest_static(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    book = panel.weights_frame(rows, dict.fromkeys(FLAG_BOOK, 1 / 3))
+    return rounded(backtest.run_static(rows, book, "monthly", 21).select("date", "equity"))
+
+
+@query(panels.sql("flag", *_MONTHLY, select="SELECT date, round(equity, 6) AS equity FROM (SELECT date, base * v * (1 - cost) AS equity FROM cs JOIN ch USING (per) UNION ALL SELECT min(date), 1 - 0.001 FROM dc)"))
+def backtest_grouped(spark, d):
+    config = backtest.BacktestConfig(lookback=21, dust=0.0)
+    rows = backtest.run_all(panels.returns(spark, d, "flag"), [strategies.EqualWeight()], config)
+    return rounded(rows.where("kind = 'equity'").select("date", "equity"))
+
+
+STRATEGIES = [strategies.EqualWeight(), strategies.MinimumVariance(), strategies.RiskParity(), strategies.HierarchicalRiskParity(), strategies.InverseVolatility(), strategies.Momentum(), strategies.DeriskOnDrawdown(), strategies.RegimeAware()]
+
+
+@query()
+def backtest_strategies(spark, d):
+    return rounded(backtest.run_metrics(backtest.run_all(panels.returns(spark, d, "flag"), STRATEGIES, backtest.BacktestConfig(lookback=126, regime=True, regime_restarts=1, regime_refit="annual"))))
+
+
+@query()
+def backtest_trades(spark, d):
+    return rounded(backtest.trades_by_asset(backtest.run_all(panels.returns(spark, d, "flag"), STRATEGIES[:3], backtest.BacktestConfig(lookback=126))))
+
+
+@query()
+def walk_forward(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    dates = [r[0] for r in rows.select("date").distinct().orderBy("date").collect()]  # one track of dates
+    folds = walkforward.make_folds(dates, 4, min_train=max(60, min(504, len(dates) // 3)))
+    out, _ = walkforward.walk_forward(rows, [strategies.EqualWeight(), strategies.InverseVolatility(), strategies.Momentum()], folds, backtest.BacktestConfig(lookback=42))
+    return rounded(out.where("kind = 'equity'").select("fold", "run_id", "date", "equity", "ret"))
+
+
+# ---------------------------------------------------------------- solvers on small matrices
+
+
+def _matrix(spark, d, name="prio_month", method="sample"):
+    rows = panels.returns(spark, d, name)
+    tickers = sorted(r[0] for r in rows.select("ticker").distinct().collect())  # the universe
+    return rows, tickers, C.estimate(rows, tickers, method)
+
+
+def _weights(spark, results) -> DataFrame:
+    return rounded(spark.createDataFrame([(r.method, t, float(w)) for r in results for t, w in zip(r.tickers, r.weights)], "method string, ticker string, weight double"))
+
+
+@query()
+def optimised_books(spark, d):
+    _, tickers, cov = _matrix(spark, d)
+    return _weights(spark, [optimizers.min_variance(cov.values, tickers), optimizers.risk_parity(cov.values, tickers), optimizers.hrp(cov.values, tickers)])
+
+
+@query()
+def efficient_frontier(spark, d):
+    rows, tickers, cov = _matrix(spark, d)
+    mu = {r["ticker"]: r["m"] for r in rows.groupBy("ticker").agg(F.avg("ret").alias("m")).collect()}
+    points = optimizers.efficient_frontier(cov.values, np.array([mu[t] for t in tickers]), tickers, points=20)
+    return rounded(spark.createDataFrame([(k, float(p["target"]), float(p["volatility"])) for k, p in enumerate(points)], "point int, target double, volatility double"), 9)
+
+
+@query()
+def shrunk_covariance(spark, d):
+    _, _, cov = _matrix(spark, d, method="constant_correlation")
+    return rounded(cov.table(spark), 9)
+
+
+@query()
+def principal_components(spark, d):
+    _, tickers, cov = _matrix(spark, d)
+    return rounded(FA.principal_components(cov.values, tickers).table(spark))
+
+
+@query()
+def component_scores(spark, d):
+    rows, tickers, cov = _matrix(spark, d)
+    return rounded(FA.scores(rows, FA.principal_components(cov.values, tickers)))
+
+
+@query()
+def hidden_concentration(spark, d):
+    _, tickers, cov = _matrix(spark, d)
+    c = FA.concentration(dict.fromkeys(tickers, 1 / len(tickers)), cov.values, tickers)
+    return rounded(spark.createDataFrame([(c["verdict"], float(c["effective_bets"]), float(c["effective_positions"]), float(c["top_share"]))], "verdict string, effective_bets double, effective_positions double, top_share double"))
+
+
+@query()
+def correlation_clusters(spark, d):
+    _, tickers, cov = _matrix(spark, d)
+    c = networks.clusters(cov.correlation(), tickers)
+    return spark.createDataFrame([(t, k, c.labels[t]) for k, t in enumerate(c.order)], "ticker string, place int, cluster int")
+
+
+@query()
+def spanning_tree(spark, d):
+    _, tickers, cov = _matrix(spark, d)
+    return rounded(networks.spanning_tree(cov.correlation(), tickers).table(spark))
+
+
+@query()
+def regime_model(spark, d):
+    rows = panel.equal_weight_returns(panels.returns(spark, d, "flag")).withColumn("track", F.lit("market"))
+    return regimes.fit_regimes(rows, ["track"], restarts=2).select("track", "date", "state", "filtered_state")
+
+
+@query()
+def evt_tail(spark, d):
+    return rounded(C.evt_tail(panels.returns(spark, d, "flag"), ["ticker"]))
+
+
+@query()
+def rolling_factor_betas(spark, d):
+    wide = panel.to_wide(panels.returns(spark, d, "flag"), sorted(FLAG_BOOK), "ret")
+    rows = wide.select("date", F.col("A").alias("ret"), "N", "R").dropna()
+    return rounded(FA.rolling_betas(FA.AlignedFactors(rows, ("N", "R"), 0)))

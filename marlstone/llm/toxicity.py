@@ -22,10 +22,10 @@ from marlstone.llm.common import staged
 
 SIZES = (4, 5)
 BUCKETS = 1 << 18
-FEATURES = 2048
+FEATURES = 512
 #: Bound on the labelled texts of each class that the classifier is fitted to.
 MAX_LABELLED = 8192
-PENALTY = 1.0
+PENALTY = 3.0
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 4, 2

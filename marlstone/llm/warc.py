@@ -207,3 +207,13 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "u
 
 def query(spark, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The query in DuckDB's SQL.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, url, sha1(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages),
+g AS (SELECT digest, max(page_id) AS last FROM p WHERE size >= 1000 GROUP BY digest)
+SELECT page_id, size AS payload_bytes, p.digest AS payload_digest, CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN last <> page_id THEN last END AS refers_to, url, true AS intact
+FROM p LEFT JOIN g ON p.digest = g.digest AND size >= 1000
+"""

@@ -11,6 +11,17 @@ import xxhash
 OTHER_SPACES = "\t\n\x0b\x0c\r"
 
 
+def small_batches(batches, column: int, limit: int = 4_000_000):
+    """The same rows in batches of about ``limit`` bytes of text at most (a longer text is a batch of its own), so that what
+    is worked on at once doesn't grow with the length of the texts."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // limit
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)] if len(part) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.take(pa.array(np.arange(a, b)))  # a copy: some string kernels misread views
+
+
 def split_words(texts: pa.Array, lower_ascii: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, code of each word in turn, places where each text's words start, one more than texts).
 

@@ -1,8 +1,8 @@
 """Language-model scores: a gated recurrent network in numpy with a class-factored softmax, beside a unigram base.
 
-One pass over the corpus counts the words of all training documents and keeps, of every training document, a fixed share
-of its runs of words; the network is fitted to these by truncated backpropagation in rounds, in each of which the tasks
-start from the same parameters and their results are averaged. A second pass carries the network's state through each
+One pass over the corpus counts the words of all training documents and cuts each of them into runs of words; the network
+is fitted to every run, once, by truncated backpropagation in rounds. A round takes an equal share of the runs; in it the
+tasks start from the same parameters and their results are averaged. A second pass carries the network's state through each
 whole document. The network predicts the VOCABULARY most frequent words, the end of text, and "another word"; another
 word's share is its smoothed unigram share among the other words, so a document's score is the log-probability of all its
 tokens. Counts of rare words are joined to the documents in a shuffle by word; only the HEAD most frequent are sent out.
@@ -30,11 +30,10 @@ HIDDEN = 16
 CLASSES = 32
 LANES, STEPS = 512, 64
 TRAIN_LANES, TRAIN_STEPS = 128, 32
-#: Of every training document one run of RUN words in SHARE is fitted to.
-RUN, SHARE = 128, 8
-ROUNDS = 2
+#: Training documents are cut into runs of RUN tokens, which are dealt over the rounds: each run is fitted to in one of them.
+RUN = 128
+ROUNDS = 4
 RATE = 0.01
-SALT = b"runs"
 
 
 def _end_hash() -> int:
@@ -172,7 +171,10 @@ def gradients(p: dict, layout: Layout, inputs: np.ndarray, targets: np.ndarray,
         back = dh * z + dg @ p["u"].T
         if starts[k].any():
             back *= ~starts[k][:, None]
-    np.add.at(d["x"], inputs.reshape(-1), dx.reshape(-1, 3 * hidden))
+    order = np.argsort(inputs.reshape(-1), kind="stable")
+    read = inputs.reshape(-1)[order]
+    heads = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+    d["x"][read[heads]] = np.add.reduceat(dx.reshape(-1, 3 * hidden)[order], heads, axis=0)
     norm = float(np.sqrt((flat * flat).sum()))
     if norm > 1:
         flat /= norm
@@ -215,14 +217,27 @@ def score_runs(p: dict, layout: Layout, flat: np.ndarray, offsets: np.ndarray) -
     out = np.zeros(count)
     if not count or not len(flat):
         return out
-    targets, inputs, starts, owner = _streams(flat, offsets, min(LANES, count), len(layout.cls))
-    state = np.zeros((targets.shape[1], HIDDEN), dtype=np.float32)
-    for a in range(0, len(targets), STEPS):
-        states, state, _ = forward(p, inputs[a : a + STEPS], starts[a : a + STEPS], state)
-        own = owner[a : a + STEPS].reshape(-1)
-        real = np.flatnonzero(own >= 0)
-        got = token_scores(p, layout, states.reshape(-1, HIDDEN)[real], targets[a : a + STEPS].reshape(-1)[real])
-        out += np.bincount(own[real], weights=got, minlength=count)
+    lengths = np.diff(offsets)
+    lane, place, longest = lanes_of(lengths, min(LANES, count))
+    load = np.bincount(lane, weights=lengths).astype(np.int64)
+    rank = np.argsort(np.argsort(-load, kind="stable"), kind="stable")  # longest lanes first: a window holds the lanes that reach it
+    owner = np.repeat(np.arange(count), lengths)
+    at, where = place[owner] + np.arange(len(flat)) - offsets[:-1][owner], rank[lane][owner]
+    inputs, starts = np.concatenate([[0], flat[:-1]]), np.zeros(len(flat), dtype=bool)
+    starts[offsets[:-1][lengths > 0]] = True
+    inputs[starts] = len(layout.cls)
+    order = np.argsort(at // STEPS, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at // STEPS))])
+    state = np.zeros((len(load), HIDDEN), dtype=np.float32)
+    for w, a in enumerate(range(0, longest, STEPS)):
+        own = order[ends[w] : ends[w + 1]]
+        shape = (min(STEPS, longest - a), int((load > a).sum()))
+        spot = (at[own] - a) * shape[1] + where[own]
+        read, fresh = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=bool)
+        read.reshape(-1)[spot], fresh.reshape(-1)[spot] = inputs[own], starts[own]
+        states, state, _ = forward(p, read, fresh, state[: shape[1]])
+        got = token_scores(p, layout, states.reshape(-1, HIDDEN)[spot], flat[own])
+        out += np.bincount(owner[own], weights=got, minlength=count)
     return out
 
 
@@ -251,11 +266,12 @@ def train_runs(flat_params: np.ndarray, layout: Layout, flat: np.ndarray, offset
 
 def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One staged table of two kinds of rows from one pass over the training documents: (word, n), the tokens' counts of
-    a task; and (run): a share of every document's runs of tokens, as 64-bit codes."""
+    a task; and (deal, run): all runs of tokens of every document, as 64-bit codes, and each run's own number."""
 
     def count(batches):
         end = np.array([_end_hash()], dtype=np.int64)
         words, counts, size = [], [], 0
+        deal = TaskContext.get().partitionId() << 33
         for batch in small_batches(batches, 1):
             vocabulary, codes, offsets = split_words(batch.column(1), lower_ascii=True)
             hashes = word_hashes(vocabulary).view(np.int64)
@@ -266,10 +282,11 @@ def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             runs = []
             for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
                 own = np.append(hashes[codes[a:b]], end)
-                pick = int(xxhash.xxh3_64_intdigest(SALT + own[:64].tobytes(), len(own)) % SHARE)
-                runs += [own[c : c + RUN].tobytes() for c in range(pick * RUN, len(own), SHARE * RUN)]
+                runs += [own[c : c + RUN].tobytes() for c in range(0, len(own), RUN)]
             if runs:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.int64()), pa.array(runs, pa.binary())], names=["word", "n", "run"])
+                numbers = pa.array(np.arange(deal, deal + len(runs)))
+                deal += len(runs)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.int64()), numbers, pa.array(runs, pa.binary())], names=["word", "n", "deal", "run"])
             if size > 2_000_000:
                 yield from flush(words, counts)
                 words, counts, size = [], [], 0
@@ -281,10 +298,10 @@ def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         n = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
         for a in range(0, len(word), 100_000):
             part = word[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[a : a + 100_000]), pa.nulls(len(part), pa.binary())], names=["word", "n", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[a : a + 100_000]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names=["word", "n", "deal", "run"])
 
     training = docs.where(F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(FOLDS)) != HELD_OUT_FOLD, F.lit(True)))
-    return staged(training.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(count, "word long, n long, run binary"), "lm-corpus")
+    return staged(training.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(count, "word long, n long, deal long, run binary"), "lm-corpus")
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,22 +355,30 @@ class Lexicon:
 
 
 def fitted(corpus: DataFrame, lexicon: Lexicon, layout: Layout, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters fitted to the corpus table's runs; each task's result counts by its number of tokens."""
+    """Parameters fitted to each of the corpus table's runs in one round; each task's result counts by its number of tokens."""
     params = initial(lexicon.weights, layout)
-    runs = corpus.where("run is not null").select("run").repartition(shuffle_partitions(corpus.sparkSession), F.xxhash64("run"))
+    narrow = np.int16 if len(lexicon.weights) < 2**15 else np.int32
+
+    def encode(batches):
+        for batch in batches:
+            ids = [lexicon.token_ids(np.frombuffer(r, dtype=np.int64)).astype(narrow).tobytes() for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["deal", "run"])
+
+    encoded = corpus.where("run is not null").select("deal", "run").mapInArrow(encode, "deal long, run binary")
+    runs = staged(encoded.repartition(shuffle_partitions(corpus.sparkSession), F.xxhash64("deal")), "lm-runs")
     for number in range(rounds):
         start = params
 
         def fit(batches):
-            parts = [np.frombuffer(r, dtype=np.int64) for batch in batches for r in batch.column(0).to_pylist()]
+            parts = [np.frombuffer(r, dtype=narrow) for batch in batches for r in batch.column(0).to_pylist()]
             if not parts:
                 return
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
             flat = np.concatenate(parts)
-            out = train_runs(start, layout, lexicon.token_ids(flat), offsets, RATE / (1 + number))
+            out = train_runs(start, layout, flat, offsets, RATE / (1 + number))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array((out * len(flat)).astype(np.float64)), pa.array(np.full(len(out), float(len(flat))))], names=["place", "value", "weight"])
 
-        mean = runs.mapInArrow(fit, "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()  # one row for each parameter
+        mean = runs.where(F.col("deal") % rounds == number).select("run").mapInArrow(fit, "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()  # one row for each parameter
         if mean.num_rows == len(params):
             params = np.empty(len(params), dtype=np.float32)
             params[mean.column(0).to_numpy()] = mean.column(1).to_numpy()

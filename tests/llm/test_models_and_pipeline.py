@@ -2,6 +2,7 @@
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -34,6 +35,25 @@ def test_rare_words_are_joined(odd):
     assert a == b
 
 
+def test_the_network_is_fitted_to_every_training_token(odd, tmp_path, monkeypatch):
+    def note(params, layout, flat, offsets, rate):
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(flat)))
+        return params
+
+    monkeypatch.setattr(lm, "train_runs", note)
+    total = lm.scores(odd.union(odd.where("doc_id = 8"))).head().train_tokens  # a short text, and again as its copy
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == total
+
+
+def test_lanes_of_unequal_length():
+    weights = np.array([5.0, 4, 3, 2, 1])
+    layout = lm.Layout(weights, 2)
+    p = lm.unpack(lm.initial(weights, layout), 5, layout.classes)
+    runs, offsets = np.random.default_rng(3).integers(0, 5, 700).astype(np.int32), np.array([0, 0, 1, 3, 503, 503, 570, 700])
+    alone = [lm.score_runs(p, layout, runs[a:b], np.array([0, b - a]))[0] for a, b in zip(offsets[:-1], offsets[1:])]
+    assert np.allclose(lm.score_runs(p, layout, runs, offsets), alone, atol=1e-3)
+
+
 def test_the_network_is_a_distribution_and_learns_order():
     r = np.random.default_rng(0)
     weights = np.array([50.0, 30, 20, 10, 10, 5, 5, 5])

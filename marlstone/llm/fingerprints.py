@@ -30,8 +30,13 @@ def _is_anchor(h: Column, i: Column) -> Column:
 
 
 def anchor_positions(h: Column) -> Column:
-    """Places (0-based word numbers) of the closed syncmers in an array of word hashes; a text of 1 to K-1 words has one, at 0."""
-    return F.when(F.size(h) >= K, F.filter(F.sequence(F.lit(0), F.size(h) - K), lambda i: _is_anchor(h, i))).when(F.size(h) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    """Places (0-based word numbers) of the closed syncmers in an array of word hashes; a text of 1 to K-1 words has one, at 0.
+
+    A text whose windows hold no closed syncmer (mostly texts of K to K+2 words) has all its windows as anchors.
+    """
+    windows = F.sequence(F.lit(0), F.size(h) - K)
+    found = F.filter(F.array(F.filter(windows, lambda i: _is_anchor(h, i)), windows), lambda x: F.size(x) > 0)
+    return F.when(F.size(h) >= K, F.get(found, F.lit(0))).when(F.size(h) > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
 def _anchor_hash(h: Column, i: Column) -> Column:

@@ -59,6 +59,14 @@ def test_fingerprints(odd, none):
     assert fingerprints.fingerprint_pairs(none).count() == 0
 
 
+def test_short_texts_have_fingerprints(spark):
+    rows = [(100 * n + i, " ".join(f"w{n}x{i}x{k}" for k in range(n))) for n in (5, 6, 7) for i in range(40)] + [(1, "")]
+    got = fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    prints = [r.fingerprint for r in got if r.doc_id != 1]
+    assert all(prints) and len(set(prints)) == 120
+    assert all(r.near_next == 0 and r.near_edited < 1 for r in got if r.doc_id != 1)
+
+
 def test_the_last_document_is_followed_by_the_first(spark):
     df = spark.createDataFrame([(i, f"text number {i} " * 5) for i in range(1, 8)], "doc_id long, text string")
     got = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprint_pairs(df).collect()}

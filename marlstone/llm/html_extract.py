@@ -21,23 +21,31 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article aside body details dialog div footer form header html main menu nav section table td th".split())
+CONTAINERS = frozenset("article aside body details dialog div footer form header html main menu nav section table td th ul ol dl".split())
 BOILER_TAGS = frozenset("nav header footer aside form dialog menu".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header hero-ad masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars skip social sponsor sponsored subscribe toolbar widget widgets".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 SIGMA = 1.0
 #: The content region holds at least this share of the text of the upper cluster.
 REGION_SHARE = 0.6
-WORDS = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
+#: Start tags that close elements left open, and the elements that these are looked for in.
+CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table"), "th": ("td th", "table"), "tr": ("td th", "table")}
+
+
+def _names_boilerplate(name: str) -> bool:
+    """Whether all parts of a class or id, numbers aside, are words of boilerplate: "cookie-banner2", but not "has-sidebar"."""
+    parts = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if x]
+    return bool(parts) and BOILER_WORDS.issuperset(parts)
 
 
 class _Lines(HTMLParser):
-    """Builds lines: [parts, tags, container, boilerplate]. Containers are numbered; parent[i] is the one around i."""
+    """Builds lines: [text, tags, container]. Containers are numbered; parent[i] is the one around i. mark[i] says what i is by itself:
+    0 content, 1 boilerplate by its class or id, 2 by its tag, role or being hidden."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
-        self.parent, self.name, self.boiler = [-1], [""], [False]
+        self.parent, self.name, self.mark = [-1], [""], [0]
         self.stack = [0]
         self.silent: list[str] = []
         self.parts: list[str] = []
@@ -50,29 +58,58 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.parts = []
 
-    def _is_boiler(self, tag, attrs):
+    def _mark(self, tag, attrs):
         if tag in ("html", "body", "main"):
-            return False
+            return 0
+        in_article = any(self.name[c] in ("article", "main") for c in self.stack)
         if tag in BOILER_TAGS:
-            return not (tag == "header" and "article" in (self.name[c] for c in self.stack))
+            return 0 if tag == "header" and in_article else 2
+        mark = 0
         for key, value in attrs:
             if not value:
                 if key == "hidden":
-                    return True
+                    return 2
             elif key in ("class", "id"):
-                if not BOILER_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
-                    return True
+                if any(_names_boilerplate(n) and not (in_article and n.lower() == "header") for n in value.split()):
+                    mark = 1
             elif key == "role":
                 if value.strip().lower() in BOILER_ROLES:
-                    return True
+                    return 2
             elif key == "aria-hidden" and value.strip().lower() == "true":
-                return True
-        return False
+                return 2
+        return mark
+
+    def _close_open(self, tag):
+        """Close a p before any block, and the items and cells that a start tag ends."""
+        if tag in BLOCKS and self.name[self.stack[-1]] == "p":
+            self.stack.pop()
+        if tag in CLOSES:
+            own, scope = (x.split() for x in CLOSES[tag])
+            for depth in range(len(self.stack) - 1, 0, -1):
+                if self.name[self.stack[depth]] in scope:
+                    break
+                if self.name[self.stack[depth]] in own:
+                    del self.stack[depth:]
+                    break
+
+    def boilerplate(self, votes: np.ndarray) -> list[bool]:
+        """Whether each container is boilerplate, by itself or through one around it. A main, or an article with half of
+        the votes, is not for the class or id of what is around it."""
+        soft, firm = [False], [False]
+        for c in range(1, len(self.parent)):
+            up = self.parent[c]
+            content = self.mark[c] == 0 and (self.name[c] == "main" or (self.name[c] == "article" and 2 * votes[c] >= votes[0] > 0))
+            soft.append(not content and (soft[up] or self.mark[c] == 1))
+            firm.append(firm[up] or self.mark[c] == 2)
+        return [a or b for a, b in zip(soft, firm)]
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            if tag == self.silent[0] and tag not in VOID:
+            if self.silent[0] in ("select", "datalist") and (tag in CONTAINERS or tag == "p"):
+                self.silent = []  # never closed: it holds no blocks
+            elif (tag == self.silent[0] or tag in CONTAINERS and self.silent[0] not in ("head", "title")) and tag not in VOID:
                 self.silent.append(tag)
+                return
             elif tag == "body" and self.silent[0] in ("head", "title"):
                 self.silent = []  # a head that was never closed
             else:
@@ -87,24 +124,29 @@ class _Lines(HTMLParser):
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
+        self._close_open(tag)
         self.tags += 1
-        if tag in CONTAINERS or (tag in BLOCKS and self._is_boiler(tag, attrs)):
+        mark = self._mark(tag, attrs) if tag in BLOCKS or tag in CONTAINERS else 0
+        if tag in CONTAINERS or mark:
             self.parent.append(self.stack[-1])
             self.name.append(tag)
-            self.boiler.append(self.boiler[self.stack[-1]] or self._is_boiler(tag, attrs))
+            self.mark.append(mark)
             self.stack.append(len(self.parent) - 1)
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID or tag in CONTAINERS or tag in SILENT:
+        if tag not in ("svg", "math"):
             self.handle_starttag(tag, attrs)  # HTML knows no self-closing: <div/> opens
-        else:
-            self.handle_starttag(tag, attrs)
+        elif not self.silent:
+            self.tags += 1
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            return
+            if tag in self.silent:
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+                return
+            if tag not in CONTAINERS or all(self.name[c] != tag for c in self.stack):
+                return
+            self.silent = []  # never closed: it ends with what is around it
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
@@ -144,14 +186,20 @@ def two_cluster_threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _region(parser: _Lines) -> int:
-    """The number of the content region; -1 if no line is content."""
+def _region(parser: _Lines) -> tuple[int, list[bool]]:
+    """The number of the content region, -1 if no line is content; and whether each container is boilerplate."""
     lines = parser.lines
     size = np.array([len(t) for t, _, _ in lines], dtype=float)
     ratio = np.log1p(size / np.maximum(1, [n for _, n, _ in lines]))
     smoothed = smooth(ratio)
     content = smoothed >= two_cluster_threshold(smoothed)
-    free = np.array([not parser.boiler[c] for _, _, c in lines])
+    held = np.zeros(len(parser.parent))
+    for k in np.flatnonzero(content):
+        held[lines[k][2]] += size[k]
+    for c in range(len(held) - 1, 0, -1):  # children come after their parents
+        held[parser.parent[c]] += held[c]
+    boiler = parser.boilerplate(held)
+    free = np.array([not boiler[c] for _, _, c in lines])
     if not (content & free).any():
         content = np.ones(len(lines), dtype=bool)
     votes = np.zeros(len(parser.parent))
@@ -159,13 +207,13 @@ def _region(parser: _Lines) -> int:
         votes[lines[k][2]] += size[k]
     total = votes.sum()
     if not total:
-        return -1
-    for c in range(len(votes) - 1, 0, -1):  # children come after their parents
+        return -1, boiler
+    for c in range(len(votes) - 1, 0, -1):
         votes[parser.parent[c]] += votes[c]
-    named = [c for c in range(len(votes)) if parser.name[c] in ("article", "main") and not parser.boiler[c] and votes[c] > 0]
+    named = [c for c in range(len(votes)) if parser.name[c] in ("article", "main") and not boiler[c] and votes[c] > 0]
     if named and max(votes[c] for c in named) >= 0.3 * total:
-        return max(named, key=lambda c: (votes[c], c))
-    return max((c for c in range(len(votes)) if votes[c] >= REGION_SHARE * total), key=lambda c: (_depth(parser, c), votes[c]))
+        return max(named, key=lambda c: (votes[c], c)), boiler
+    return max((c for c in range(len(votes)) if votes[c] >= REGION_SHARE * total), key=lambda c: (_depth(parser, c), votes[c])), boiler
 
 
 def _depth(parser: _Lines, c: int) -> int:
@@ -182,12 +230,15 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.finish()
-    if not parser.lines or (region := _region(parser)) < 0:
+    if not parser.lines:
+        return ""
+    region, boiler = _region(parser)
+    if region < 0:
         return ""
     inside = [False] * len(parser.parent)
     for c in range(len(inside)):
         inside[c] = c == region or (parser.parent[c] >= 0 and inside[parser.parent[c]])
-    return "\n".join(t for t, _, c in parser.lines if inside[c] and not parser.boiler[c])
+    return "\n".join(t for t, _, c in parser.lines if inside[c] and not boiler[c])
 
 
 EXTRACTED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

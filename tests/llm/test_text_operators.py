@@ -5,7 +5,7 @@ import re
 import zlib
 from collections import Counter
 
-from marlstone.llm import fingerprints, quality, secrets, toxicity
+from marlstone.llm import fingerprints, html_extract, quality, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -122,3 +122,18 @@ def test_toxicity_learns_and_generalises(spoken, labels, odd, none):
 def test_toxicity_without_labels(odd, labels):
     rows = toxicity.toxicity(odd, labels.limit(0)).collect()
     assert len(rows) == odd.count() and all(r.predicted == 0 for r in rows)
+
+
+LONG = "A long paragraph of running text that belongs to the story and has no tags in it at all. " * 4
+
+
+def test_wrappers_and_open_tags_lose_no_content():
+    for wrap in ('<div class="content-sidebar-wrap">', '<div id=page class="site has-sidebar">', '<div class="menu-open wrapper">', '<div class="widget">'):
+        for inner in ("main", "article"):
+            got = html_extract.main_text(f'<body>{wrap}<nav>Menu</nav><{inner}><div class="post-header"><h1>Title</h1></div><p>{LONG}</p></{inner}></div>')
+            assert got.split("\n") == ["Title", LONG.strip()], (wrap, inner)
+    for left_open in ('<p class="notice">Note<p>', '<ul><li class="share">Share<li>Item</ul><p>', "<div><select><option>One</div><p>", "<div><button>Go</div><p>", "<div><noscript>No</div><p>", '<svg width="1"/><p>', "<div><noscript><div>x</div>y</noscript></div><p>"):
+        got = html_extract.main_text(f"<article><p>{LONG}</p>{left_open}{LONG}End</p></article>")
+        assert got.endswith("End") and not any(x in got for x in ("Note", "Share", "One", "Go", "No\n")), left_open
+    assert "Item" in html_extract.main_text(f'<article><p>{LONG}</p><ul><li class="share">Share<li>Item</ul></article>')
+    assert html_extract.main_text(f'<article><p>{LONG}</p><div class="cookie-banner">{LONG}</div></article>') == LONG.strip()

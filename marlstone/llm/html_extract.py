@@ -2,8 +2,8 @@
 
 The standard library's parser feeds a line builder: each block of a page is one line with its number of tags. The lines'
 text-to-tag ratios are smoothed with a Gaussian and split into two clusters at a threshold; the lines of the upper
-cluster vote for the containers that hold them. The content region is the smallest container with most of their text, and
-all its lines are the main text, but for those in menus, headers, footers, sidebars, notices, adverts, forms and comments.
+cluster that are no boilerplate are content. The content region is the smallest container that holds all of them, and all
+its lines are the main text, but for those in menus, headers, footers, sidebars, notices, adverts, forms and comments.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ BOILER_TAGS = frozenset("nav header footer aside form dialog menu".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header hero-ad masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars skip social sponsor sponsored subscribe toolbar widget widgets".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 SIGMA = 1.0
-#: The content region holds at least this share of the text of the upper cluster.
-REGION_SHARE = 0.6
 #: Start tags that close elements left open, and the elements that these are looked for in.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table"), "th": ("td th", "table"), "tr": ("td th", "table")}
 
@@ -202,25 +200,15 @@ def _region(parser: _Lines) -> tuple[int, list[bool]]:
     free = np.array([not boiler[c] for _, _, c in lines])
     if not (content & free).any():
         content = np.ones(len(lines), dtype=bool)
-    votes = np.zeros(len(parser.parent))
-    for k in np.flatnonzero(content & free):
-        votes[lines[k][2]] += size[k]
-    total = votes.sum()
-    if not total:
-        return -1, boiler
-    for c in range(len(votes) - 1, 0, -1):
-        votes[parser.parent[c]] += votes[c]
-    named = [c for c in range(len(votes)) if parser.name[c] in ("article", "main") and not boiler[c] and votes[c] > 0]
-    if named and max(votes[c] for c in named) >= 0.3 * total:
-        return max(named, key=lambda c: (votes[c], c)), boiler
-    return max((c for c in range(len(votes)) if votes[c] >= REGION_SHARE * total), key=lambda c: (_depth(parser, c), votes[c])), boiler
-
-
-def _depth(parser: _Lines, c: int) -> int:
-    d = 0
-    while c > 0:
-        c, d = parser.parent[c], d + 1
-    return d
+    path: list[int] | None = None  # containers around all content lines so far, outermost first
+    for c in {lines[k][2] for k in np.flatnonzero(content & free)}:
+        around = []
+        while c >= 0:
+            around.append(c)
+            c = parser.parent[c]
+        around.reverse()
+        path = around if path is None else [x for x, y in zip(path, around) if x == y]
+    return (path[-1] if path else -1), boiler
 
 
 def main_text(html: str | None) -> str:

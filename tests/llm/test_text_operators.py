@@ -137,3 +137,10 @@ def test_wrappers_and_open_tags_lose_no_content():
         assert got.endswith("End") and not any(x in got for x in ("Note", "Share", "One", "Go", "No\n")), left_open
     assert "Item" in html_extract.main_text(f'<article><p>{LONG}</p><ul><li class="share">Share<li>Item</ul></article>')
     assert html_extract.main_text(f'<article><p>{LONG}</p><div class="cookie-banner">{LONG}</div></article>') == LONG.strip()
+
+
+def test_all_content_containers_are_kept():
+    long, short = f"<p>{LONG}</p><p>{LONG}First end</p>", f"<p>{LONG}Second end</p>"
+    for tag in ("div", "article", "section"):
+        got = html_extract.main_text(f"<body><nav><a>Menu</a></nav><{tag}>{long}</{tag}><{tag}>{short}</{tag}><footer>Foot</footer></body>")
+        assert "First end" in got and got.endswith("Second end") and "Menu" not in got and "Foot" not in got

@@ -28,8 +28,11 @@ VOCABULARY = 1022
 HEAD = 200_000
 HIDDEN = 16
 CLASSES = 32
-LANES, STEPS = 512, 64
-TRAIN_LANES, TRAIN_STEPS = 128, 32
+LANES, STEPS = 512, 32
+TRAIN_LANES, TRAIN_STEPS = 256, 16
+#: Tokens whose documents are scored together (long ones fill no lanes by themselves), and that a task is fitted to at most, about.
+SCORE_TOKENS = 4_000_000
+FIT_TOKENS = 8_000_000
 #: Training documents are cut into runs of RUN tokens, which are dealt over the rounds: each run is fitted to in one of them.
 RUN = 128
 ROUNDS = 4
@@ -53,10 +56,12 @@ class Layout:
         self.cls = np.unique(cuts, return_inverse=True)[1]
         self.first = np.concatenate([[0], np.flatnonzero(np.diff(self.cls)) + 1, [len(weights)]])
         self.classes = len(self.first) - 1
+        self.shared = np.flatnonzero(np.diff(self.first) > 1).tolist()  # a class of one token says which token it is
 
 
 def shapes(n: int, classes: int, hidden: int = HIDDEN) -> list[tuple[str, tuple[int, ...]]]:
-    return [("x", (n + 1, 3 * hidden)), ("u", (hidden, 3 * hidden)), ("cw", (hidden, classes)), ("cb", (classes,)), ("ww", (hidden, n)), ("wb", (n,))]
+    """The parameters: what an input adds to both gates and to the candidate state, what the state adds, and the outputs."""
+    return [("xg", (n + 1, 2 * hidden)), ("xn", (n + 1, hidden)), ("ug", (hidden, 2 * hidden)), ("un", (hidden, hidden)), ("cw", (hidden, classes)), ("cb", (classes,)), ("ww", (hidden, n)), ("wb", (n,))]
 
 
 def unpack(flat: np.ndarray, n: int, classes: int) -> dict[str, np.ndarray]:
@@ -89,40 +94,64 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
 
 
 def forward(p: dict, inputs: np.ndarray, starts: np.ndarray, state: np.ndarray, keep: bool = False):
-    """States after each step of (steps, lanes) inputs; a lane whose ``starts`` is true forgets its state first."""
+    """States after each step of (steps, lanes) inputs; a lane whose ``starts`` is true forgets its state first.
+
+    With ``keep`` also what the way back needs: the states before each step, both gates, the candidates, and what the
+    states added to them.
+    """
     steps, lanes = inputs.shape
     hidden = state.shape[1]
-    states = np.empty((steps, lanes, hidden), dtype=np.float32)
-    tape = []
+    read = inputs.reshape(-1)
+    gates = p["xg"].take(read, axis=0).reshape(steps, lanes, 2 * hidden)  # the inputs' shares, turned into gates in place
+    candidate = p["xn"].take(read, axis=0).reshape(steps, lanes, hidden)
+    fresh = starts.any(axis=1)
+    states = np.empty((steps, lanes, hidden), dtype=gates.dtype)
+    befores = np.empty_like(states) if keep else None
+    added = np.empty_like(states) if keep else None
+    g, a = np.empty((lanes, 2 * hidden), dtype=gates.dtype), np.empty((lanes, hidden), dtype=gates.dtype)
     for t in range(steps):
-        if starts[t].any():
+        if fresh[t]:
             state = state * ~starts[t][:, None]
-        g = state @ p["u"]
-        x = p["x"][inputs[t]]
-        zr = _sigmoid(x[:, : 2 * hidden] + g[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        n = np.tanh(x[:, 2 * hidden :] + r * g[:, 2 * hidden :])
-        new = n + z * (state - n)
+        zr, n, new = gates[t], candidate[t], states[t]
+        zr += np.matmul(state, p["ug"], out=g)
+        _sigmoid(zr)
+        a = np.matmul(state, p["un"], out=added[t] if keep else a)
+        np.multiply(zr[:, hidden:], a, out=new)
+        n += new
+        np.tanh(n, out=n)
         if keep:
-            tape.append((state, z, r, n, g[:, 2 * hidden :]))
-        states[t] = state = new
-    return states, state, tape
+            befores[t] = state
+        np.subtract(state, n, out=new)
+        new *= zr[:, :hidden]
+        new += n
+        state = new
+    return states, state, (befores, gates, candidate, added)
+
+
+def _by_class(layout: Layout, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the targets in the order of their classes, and where each class starts in it."""
+    cls = layout.cls[targets]
+    return np.argsort(cls.astype(np.uint16), kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=layout.classes))])
 
 
 def token_scores(p: dict, layout: Layout, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target (rows of states)."""
-    logits = states @ p["cw"] + p["cb"]
-    cls = layout.cls[targets]
-    rows = np.arange(len(targets))
-    out = logits[rows, cls] - np.log(np.exp(logits).sum(axis=1))
-    order = np.argsort(cls, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=layout.classes))])
-    for c in range(layout.classes):
-        own = order[ends[c] : ends[c + 1]]
-        if len(own):
+    order, ends = _by_class(layout, targets)
+    states, targets = states[order], targets[order]
+    logits = states @ p["cw"]
+    logits += p["cb"]
+    found = logits[np.arange(len(targets)), layout.cls[targets]]
+    found -= np.log(np.exp(logits, out=logits).sum(axis=1))
+    for c in layout.shared:
+        lo, hi = ends[c], ends[c + 1]
+        if hi > lo:
             a, b = layout.first[c], layout.first[c + 1]
-            within = states[own] @ p["ww"][:, a:b] + p["wb"][a:b]
-            out[own] += within[np.arange(len(own)), targets[own] - a] - np.log(np.exp(within).sum(axis=1))
+            within = states[lo:hi] @ p["ww"][:, a:b]
+            within += p["wb"][a:b]
+            found[lo:hi] += within[np.arange(hi - lo), targets[lo:hi] - a]
+            found[lo:hi] -= np.log(np.exp(within, out=within).sum(axis=1))
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -131,51 +160,69 @@ def gradients(p: dict, layout: Layout, inputs: np.ndarray, targets: np.ndarray,
     steps, lanes = inputs.shape
     hidden = state.shape[1]
     n = len(layout.cls)
-    states, last, tape = forward(p, inputs, starts, state, keep=True)
+    states, last, (befores, gates, candidate, added) = forward(p, inputs, starts, state, keep=True)
     flat = np.zeros(sum(math.prod(s) for _, s in shapes(n, layout.classes)), dtype=np.float32)
     d = unpack(flat, n, layout.classes)
-    s, t, w = states.reshape(-1, hidden), targets.reshape(-1), real.reshape(-1).astype(np.float32)
-    w /= max(1.0, w.sum())
-    rows, cls = np.arange(len(t)), layout.cls[t]
-    logits = s @ p["cw"] + p["cb"]
-    e = np.exp(logits)
-    e /= e.sum(axis=1, keepdims=True)
-    e[rows, cls] -= 1
-    e *= w[:, None]
+
+    # the output: all real places, in the order of their targets' classes
+    places = np.flatnonzero(real.reshape(-1))
+    order, ends = _by_class(layout, targets.reshape(-1)[places])
+    places = places[order]
+    s, t = states.reshape(-1, hidden)[places], targets.reshape(-1)[places]
+    weight = np.float32(1 / max(1, len(places)))
+    e = s @ p["cw"]
+    e += p["cb"]
+    np.exp(e, out=e)
+    e *= weight / e.sum(axis=1, keepdims=True)
+    e[np.arange(len(t)), layout.cls[t]] -= weight
     d["cw"][:], d["cb"][:] = s.T @ e, e.sum(axis=0)
     ds = e @ p["cw"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=layout.classes))])
-    for c in range(layout.classes):
-        own = order[ends[c] : ends[c + 1]]
-        if len(own):
+    for c in layout.shared:
+        lo, hi = ends[c], ends[c + 1]
+        if hi > lo:
             a, b = layout.first[c], layout.first[c + 1]
-            e = np.exp(s[own] @ p["ww"][:, a:b] + p["wb"][a:b])
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(own)), t[own] - a] -= 1
-            e *= w[own, None]
-            d["ww"][:, a:b], d["wb"][a:b] = s[own].T @ e, e.sum(axis=0)
-            ds[own] += e @ p["ww"][:, a:b].T
-    ds = ds.reshape(steps, lanes, hidden)
-    back = np.zeros((lanes, hidden), dtype=np.float32)
-    dx = np.empty((steps, lanes, 3 * hidden), dtype=np.float32)
+            e = s[lo:hi] @ p["ww"][:, a:b]
+            e += p["wb"][a:b]
+            np.exp(e, out=e)
+            e *= weight / e.sum(axis=1, keepdims=True)
+            e[np.arange(hi - lo), t[lo:hi] - a] -= weight
+            d["ww"][:, a:b], d["wb"][a:b] = s[lo:hi].T @ e, e.sum(axis=0)
+            ds[lo:hi] += e @ p["ww"][:, a:b].T
+    dstates = np.zeros((steps, lanes, hidden), dtype=ds.dtype)
+    dstates.reshape(-1, hidden)[places] = ds
+
+    # back through the steps: all that does not depend on what comes back is computed for the whole window at once
+    z, r = gates[:, :, :hidden], gates[:, :, hidden:]
+    to_candidate = (1 - z) * (1 - candidate * candidate)
+    to_gates = np.concatenate([(befores - candidate) * z * (1 - z), added * r * (1 - r)], axis=2)
+    dn, dg = np.empty_like(dstates), to_gates
+    da = np.empty_like(dstates)
+    fresh = starts.any(axis=1)
+    back = np.zeros((lanes, hidden), dtype=ds.dtype)
+    ug, un = np.ascontiguousarray(p["ug"].T), np.ascontiguousarray(p["un"].T)
     for k in range(steps - 1, -1, -1):
-        before, z, r, new, gn = tape[k]
-        dh = ds[k] + back
-        dn = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        dx[k] = np.concatenate([dz, dr, dn], axis=1)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        d["u"] += before.T @ dg
-        back = dh * z + dg @ p["u"].T
-        if starts[k].any():
+        dh = dstates[k]
+        dh += back
+        np.multiply(dh, to_candidate[k], out=dn[k])
+        dg[k, :, :hidden] *= dh
+        dg[k, :, hidden:] *= dn[k]
+        np.multiply(dn[k], r[k], out=da[k])
+        back = dg[k] @ ug
+        back += da[k] @ un
+        dh *= z[k]
+        back += dh
+        if fresh[k]:
             back *= ~starts[k][:, None]
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    read = inputs.reshape(-1)[order]
+    befores = befores.reshape(-1, hidden)
+    dn, dg, da = dn.reshape(-1, hidden), dg.reshape(-1, 2 * hidden), da.reshape(-1, hidden)
+    d["ug"][:], d["un"][:] = befores.T @ dg, befores.T @ da
+    read = inputs.reshape(-1)
+    order = np.argsort(read.astype(np.uint16) if n < 2**16 - 1 else read, kind="stable")
+    read = read[order]
     heads = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
-    d["x"][read[heads]] = np.add.reduceat(dx.reshape(-1, 3 * hidden)[order], heads, axis=0)
-    norm = float(np.sqrt((flat * flat).sum()))
+    d["xg"][read[heads]] = np.add.reduceat(dg[order], heads, axis=0)
+    d["xn"][read[heads]] = np.add.reduceat(dn[order], heads, axis=0)
+    norm = float(np.sqrt(flat @ flat))
     if norm > 1:
         flat /= norm
     return flat, last
@@ -194,21 +241,40 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, i
     return lane, place, max(used for used, _ in load)
 
 
-def _streams(runs_flat: np.ndarray, offsets: np.ndarray, lanes: int, first_input: int):
-    """(steps, lanes) arrays of targets, inputs, starts and the run of each place (-1: none)."""
-    lengths = np.diff(offsets)
-    lane, place, steps = lanes_of(lengths, lanes)
-    at = np.repeat(place, lengths) + np.arange(len(runs_flat)) - np.repeat(offsets[:-1], lengths)
-    where = np.repeat(lane, lengths)
-    targets, owner = np.zeros((steps, lanes), dtype=np.int32), np.full((steps, lanes), -1, dtype=np.int64)
-    targets[at, where] = runs_flat
-    owner[at, where] = np.repeat(np.arange(len(lengths)), lengths)
-    starts = np.ones((steps, lanes), dtype=bool)
-    starts[1:] = owner[1:] != owner[:-1]
-    inputs = np.empty_like(targets)
-    inputs[1:] = targets[:-1]
-    inputs[starts] = first_input
-    return targets, inputs, starts, owner
+class Streams:
+    """Token runs laid one behind another in lanes, the longest lane first, and read in windows of steps x lanes."""
+
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray, lanes: int):
+        lengths = np.diff(offsets)
+        lane, place, self.steps = lanes_of(lengths, lanes)
+        load = np.bincount(lane, weights=lengths, minlength=lanes).astype(np.int64)
+        rank = np.argsort(np.argsort(-load, kind="stable"), kind="stable")
+        self.load = np.sort(load)[::-1]
+        self.first = np.concatenate([[0], np.cumsum(self.load)[:-1]])
+        spot = self.first[rank[lane]] + place  # where each run starts in the order of the lanes
+        order = np.argsort(spot, kind="stable")
+        order = order[lengths[order] > 0]
+        sizes = lengths[order]
+        self.tokens = np.empty(len(flat), dtype=flat.dtype)
+        self.owner = np.repeat(order.astype(np.int32), sizes)
+        self.fresh = np.zeros(len(flat), dtype=bool)
+        self.fresh[spot[order]] = True
+        for k, at, size in zip(order.tolist(), spot[order].tolist(), sizes.tolist()):
+            self.tokens[at : at + size] = flat[offsets[k] : offsets[k] + size]
+
+    def window(self, a: int, steps: int):
+        """(places of the tokens, (steps, lanes) mask of what is there) of the lanes that reach beyond ``a``."""
+        lanes = int((self.load > a).sum())
+        at = np.arange(a, min(a + steps, self.steps))[:, None]
+        real = at < self.load[None, :lanes]
+        return np.where(real, self.first[None, :lanes] + at, 0), real
+
+    def read(self, places: np.ndarray, real: np.ndarray, first_input: int):
+        """Targets, inputs and starts of a window."""
+        starts = self.fresh[places] | ~real
+        inputs = self.tokens[np.maximum(places - 1, 0)].astype(np.int32)
+        inputs[starts] = first_input
+        return self.tokens[places], inputs, starts
 
 
 def score_runs(p: dict, layout: Layout, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -217,27 +283,14 @@ def score_runs(p: dict, layout: Layout, flat: np.ndarray, offsets: np.ndarray) -
     out = np.zeros(count)
     if not count or not len(flat):
         return out
-    lengths = np.diff(offsets)
-    lane, place, longest = lanes_of(lengths, min(LANES, count))
-    load = np.bincount(lane, weights=lengths).astype(np.int64)
-    rank = np.argsort(np.argsort(-load, kind="stable"), kind="stable")  # longest lanes first: a window holds the lanes that reach it
-    owner = np.repeat(np.arange(count), lengths)
-    at, where = place[owner] + np.arange(len(flat)) - offsets[:-1][owner], rank[lane][owner]
-    inputs, starts = np.concatenate([[0], flat[:-1]]), np.zeros(len(flat), dtype=bool)
-    starts[offsets[:-1][lengths > 0]] = True
-    inputs[starts] = len(layout.cls)
-    order = np.argsort(at // STEPS, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(at // STEPS))])
-    state = np.zeros((len(load), HIDDEN), dtype=np.float32)
-    for w, a in enumerate(range(0, longest, STEPS)):
-        own = order[ends[w] : ends[w + 1]]
-        shape = (min(STEPS, longest - a), int((load > a).sum()))
-        spot = (at[own] - a) * shape[1] + where[own]
-        read, fresh = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=bool)
-        read.reshape(-1)[spot], fresh.reshape(-1)[spot] = inputs[own], starts[own]
-        states, state, _ = forward(p, read, fresh, state[: shape[1]])
-        got = token_scores(p, layout, states.reshape(-1, HIDDEN)[spot], flat[own])
-        out += np.bincount(owner[own], weights=got, minlength=count)
+    streams = Streams(flat, offsets, min(LANES, count))
+    state = np.zeros((min(LANES, count), HIDDEN), dtype=np.float32)
+    for a in range(0, streams.steps, STEPS):
+        places, real = streams.window(a, STEPS)
+        targets, inputs, starts = streams.read(places, real, len(layout.cls))
+        states, state, _ = forward(p, inputs, starts, state[: real.shape[1]])
+        got = token_scores(p, layout, states[real], targets[real])
+        out += np.bincount(streams.owner[places[real]], weights=got, minlength=count)
     return out
 
 
@@ -248,16 +301,19 @@ def train_runs(flat_params: np.ndarray, layout: Layout, flat: np.ndarray, offset
     if len(offsets) < 2 or not len(flat):
         return params
     p = unpack(params, n, layout.classes)
-    targets, inputs, starts, owner = _streams(flat, offsets, min(TRAIN_LANES, len(offsets) - 1), n)
+    streams = Streams(flat, offsets, min(TRAIN_LANES, len(offsets) - 1))
     first, second, step = np.zeros_like(params), np.zeros_like(params), 0
-    state = np.zeros((targets.shape[1], HIDDEN), dtype=np.float32)
-    for a in range(0, len(targets), TRAIN_STEPS):
-        window = slice(a, a + TRAIN_STEPS)
-        gradient, state = gradients(p, layout, inputs[window], targets[window], starts[window], owner[window] >= 0, state)
+    state = np.zeros((min(TRAIN_LANES, len(offsets) - 1), HIDDEN), dtype=np.float32)
+    for a in range(0, streams.steps, TRAIN_STEPS):
+        places, real = streams.window(a, TRAIN_STEPS)
+        targets, inputs, starts = streams.read(places, real, n)
+        gradient, state = gradients(p, layout, inputs, targets, starts, real, state[: real.shape[1]])
         step += 1
         first += 0.1 * (gradient - first)
-        second += 0.01 * (gradient * gradient - second)
-        params -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+        gradient *= gradient
+        gradient -= second
+        second += 0.01 * gradient
+        params -= rate / (1 - 0.9**step) * first / (np.sqrt(second * (1 / (1 - 0.99**step))) + 1e-6)
     return params
 
 
@@ -354,8 +410,9 @@ class Lexicon:
         return np.where(self.words[at] == codes, self.counts[at], -1)
 
 
-def fitted(corpus: DataFrame, lexicon: Lexicon, layout: Layout, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters fitted to each of the corpus table's runs in one round; each task's result counts by its number of tokens."""
+def fitted(corpus: DataFrame, lexicon: Lexicon, layout: Layout, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters fitted to each of the corpus table's runs in one round; each task's result counts by its number of tokens.
+    The number of tasks grows with the corpus's ``tokens``, so that what one task holds does not."""
     params = initial(lexicon.weights, layout)
     narrow = np.int16 if len(lexicon.weights) < 2**15 else np.int32
 
@@ -365,7 +422,7 @@ def fitted(corpus: DataFrame, lexicon: Lexicon, layout: Layout, rounds: int = RO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["deal", "run"])
 
     encoded = corpus.where("run is not null").select("deal", "run").mapInArrow(encode, "deal long, run binary")
-    runs = staged(encoded.repartition(shuffle_partitions(corpus.sparkSession), F.xxhash64("deal")), "lm-runs")
+    runs = staged(encoded.repartition(max(shuffle_partitions(corpus.sparkSession), tokens // FIT_TOKENS), F.xxhash64("deal")), "lm-runs")
     for number in range(rounds):
         start = params
 
@@ -397,7 +454,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
     lexicon = Lexicon(*frequent(counts, head), total, distinct, vocabulary)
     layout = Layout(lexicon.weights)
-    params = fitted(corpus, lexicon, layout)
+    params = fitted(corpus, lexicon, layout, int(total))
     known = docs.sparkSession.sparkContext.broadcast((lexicon, layout, params))  # bounded by head and vocabulary
 
     def score(batches):
@@ -405,33 +462,44 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
         p = unpack(params, len(lexicon.weights), layout.classes)
         task, row = TaskContext.get().partitionId() << 33, 0
         end = np.array([_end_hash()], dtype=np.int64)
+        narrow = np.int16 if len(lexicon.weights) < 2**15 else np.int32
+        held, waiting = [], 0
+
+        def network():
+            rows, ids, lengths, known_words, base, others, tokens = (pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*held))
+            got = score_runs(p, layout, tokens, np.concatenate([[0], np.cumsum(lengths)])) / math.log(10)
+            return _rows(rows, ids, lengths, known_words, base, got + others)
+
         for batch in small_batches(batches, 1):
             vocabulary, codes, offsets = split_words(batch.column(1), lower_ascii=True)
             hashes = np.append(word_hashes(vocabulary).view(np.int64), end)
             n = batch.num_rows
             codes = np.insert(codes, offsets[1:], len(vocabulary))  # an end after each text
             offsets = offsets + np.arange(n + 1)
-            owner = np.repeat(np.arange(n), np.diff(offsets))
+            lengths = np.diff(offsets)
+            owner = np.repeat(np.arange(n), lengths)
             token, count = lexicon.token_ids(hashes), lexicon.head_counts(hashes)
             in_head = count >= 0
             base = np.where(in_head, np.log10(np.maximum(count, 0) + 0.5), 0.0)
-            outside = (token == lexicon.other) & in_head
+            other = token == lexicon.other
             head_base = np.bincount(owner, weights=base[codes], minlength=n)
             head_known = np.bincount(owner, weights=(count > 0)[codes], minlength=n)
-            other_base = np.bincount(owner, weights=np.where(outside, base, 0.0)[codes], minlength=n)
-            other_count = np.bincount(owner, weights=(token == lexicon.other)[codes], minlength=n)
-            network = score_runs(p, layout, token[codes].astype(np.int32), offsets) / math.log(10)
-            network += other_base - other_count * math.log10(lexicon.others)
+            other_base = np.bincount(owner, weights=np.where(other, base - math.log10(lexicon.others), 0.0)[codes], minlength=n)
             rows = task + row + np.arange(n)
             row += n
-            lengths = np.diff(offsets)
-            yield _rows(rows, batch.column(0), lengths, head_known.astype(np.int64), head_base - lengths * lexicon.floor, network)
+            held.append((rows, batch.column(0), lengths, head_known.astype(np.int64), head_base - lengths * lexicon.floor, other_base, token.astype(narrow)[codes]))
+            waiting += len(codes)
             rare = np.flatnonzero(~in_head[codes])
             if len(rare):
                 pair = np.unique(owner[rare] * len(hashes) + codes[rare], return_counts=True)
                 who, which = pair[0] // len(hashes), pair[0] % len(hashes)
                 for a in range(0, len(who), 200_000):
                     yield _rare(rows[who[a : a + 200_000]], hashes[which[a : a + 200_000]], pair[1][a : a + 200_000])
+            if waiting >= SCORE_TOKENS:
+                yield network()
+                held, waiting = [], 0
+        if held:
+            yield network()
 
     fields = "row long, word long, n int, doc_id long, n_tokens long, n_known long, base double, score double"
     both = staged(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(score, fields), "lm-scored")

@@ -13,21 +13,38 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset a local session gets a temporary folder; a cluster's executors would not see one, so there it is
+    an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It is deleted when the driver ends, so staged tables don't pile up."""
+    path = f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts the lineage: what is computed above it runs once, and a lost executor costs only the tasks it was running.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,7 +53,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_key(*columns) -> list:
-    """Join keys that identify a document row by id and content, nulls included."""
-    id_col, text_col = columns
-    return [F.coalesce(id_col.cast("string"), F.lit("null")), F.xxhash64(text_col), F.length(F.coalesce(text_col, F.lit("")))]
+def free_name(taken, name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    while name in taken:
+        name += "_"
+    return name

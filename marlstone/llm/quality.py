@@ -1,17 +1,20 @@
 """Quality rules on documents with verdicts on their hosts, as DataFrame expressions only.
 
-Each document is judged by base rules on its whole text. The failures are summed by host, each host's failure rate is
-shrunk towards a beta prior fitted to all hosts (method of moments), and the hosts' verdicts are joined back: a document
-is kept if it passes the base rules and its host is not one where nearly everything fails.
+Each document is judged by rules on its whole text: too few words, too many repeated words, too many symbols, repeated
+lines. The failures of each rule are summed by host; each host's failure rate is shrunk towards a beta prior that is fitted
+to all hosts (method of moments, the variance of sampling taken off), and the hosts' verdicts are joined back: a document
+is kept if it passes the base rules (words and repeated words) and no rule marks its host as an outlier. A host is one
+where even a low estimate of its rate (CERTAIN posterior deviations below the mean) is OUTLIER prior deviations above the
+prior's mean: a limit that follows the corpus, so a host that is like the others is not rejected. Nor is one where the rate
+is below LEAST, however unlike the others it is: most of what it holds is clean.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from marlstone.llm.common import staged, text_key
+from marlstone.llm.common import staged
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -19,14 +22,24 @@ NOT_SYMBOL = r"[^#*$%&|<>]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host is rejected from this shrunk failure rate on; clean documents of ordinary hosts are left alone.
-HOST_REJECT_RATE = 0.9
+#: Rules that count for hosts only: symbols in 100 words, and repeated lines.
+MAX_SYMBOL_PERCENT = 30
+MAX_DUP_LINES = 2
+#: Posterior deviations below a host's rate, and prior deviations above the mean rate of hosts, that make an outlier.
+CERTAIN, OUTLIER = 3.0, 3.0
+LEAST = 0.3
+#: The strength of a prior is kept in these bounds; the upper one is met where the hosts don't differ beyond chance.
+WEAKEST, STRONGEST = 1.0, 1e4
 #: Copies of each host verdict, so that a host with a third of all documents meets its verdict in many tasks.
 SALTS = 32
 
-
-def _at(array: Column, i) -> Column:
-    return F.get(array, i)
+#: The rules whose failures are summed by host.
+RULES = {
+    "short": lambda: F.col("n_words") < MIN_WORDS,
+    "repeats": lambda: 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+    "symbols": lambda: 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"),
+    "lines": lambda: F.col("n_dup_lines") > MAX_DUP_LINES,
+}
 
 
 def _covered_words(windows: Column) -> Column:
@@ -99,54 +112,72 @@ def text_counts(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     return fifth.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(counted: DataFrame, host: str, reject_rate: float = HOST_REJECT_RATE) -> DataFrame:
-    """One row for each host: host, n_docs, n_failed, fail_rate (shrunk) and host_rejected.
+def host_verdicts(counted: DataFrame, host: str, certain: float = CERTAIN, outlier: float = OUTLIER) -> DataFrame:
+    """One row for each host: host, n_docs, a shrunk rate for each rule (rate_<rule>) and host_rejected.
 
-    The beta prior's mean and strength come from the mean and variance of the hosts' own rates. One host, or hosts that
-    all have the same rate, give a prior of strength 1. Rows without a host have no verdict.
+    For each rule the beta prior's mean is that of the hosts' own rates, and its strength follows from their variance less
+    what sampling alone would give. One host, or hosts that don't differ beyond chance, give the strongest prior. Rows
+    without a host have no verdict. Only one row of sums goes to the driver.
     """
-    hosts = counted.where(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v")).head()  # one row, whatever the input
-    mean = min(max(prior["m"] or 0.0, 1e-6), 1 - 1e-6)
-    variance = prior["v"] or 0.0
-    strength = min(max(mean * (1 - mean) / variance - 1, 1.0), 1e6) if variance > 0 else 1.0
-    shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("fail_rate", shrunk).withColumn("host_rejected", F.col("fail_rate") >= reject_rate)
+    fails = [F.sum(rule().cast("long")).alias(f"n_{name}") for name, rule in RULES.items()]
+    hosts = counted.where(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *fails)
+    sums = []
+    for name in RULES:
+        rate = F.col(f"n_{name}") / F.col("n_docs")
+        sums += [F.avg(rate).alias(f"m_{name}"), F.var_samp(rate).alias(f"v_{name}")]
+    prior = hosts.agg(F.avg(1 / F.col("n_docs")).alias("one"), *sums).head()  # one row, whatever the input
+    rejected = F.lit(False)
+    for name in RULES:
+        mean = min(max(prior[f"m_{name}"] or 0.0, 1e-6), 1 - 1e-6)
+        between = (prior[f"v_{name}"] or 0.0) - mean * (1 - mean) * (prior["one"] or 0.0)
+        strength = min(max(mean * (1 - mean) / between - 1, WEAKEST), STRONGEST) if between > 0 else STRONGEST
+        limit = max(LEAST, mean + outlier * (mean * (1 - mean) / (strength + 1)) ** 0.5)
+        shrunk = (F.col(f"n_{name}") + mean * strength) / (F.col("n_docs") + strength)
+        spread = F.sqrt(shrunk * (1 - shrunk) / (F.col("n_docs") + strength + 1))
+        hosts = hosts.withColumn(f"rate_{name}", shrunk)
+        rejected = rejected | (shrunk - certain * spread > limit)
+    return hosts.withColumn("host_rejected", rejected).drop(*[f"n_{name}" for name in RULES])
 
 
 def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, counts, base_failed, host_fail_rate, kept, and keys of the row.
+    """One row for each row of ``docs``: doc_id, source, counts, base_failed, the host's shrunk rates (host_<rule>), kept.
 
-    Null and empty texts fail for lack of words. Rows with a null host are judged by the base rules alone. Repeated rows
-    are judged alike, each on its own. An empty table gives no rows. Other columns of ``docs`` are not read.
+    Null and empty texts fail for lack of words. Rows with a null host are judged by the base rules alone, with null rates.
+    Repeated rows are judged alike, each on its own, and all count for their host. A text of any length is judged whole.
+    An empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    id_key, hash_key, len_key = text_key(F.col(doc_id), F.col(text))
-    keys = [F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("source"), id_key.alias("__id"), hash_key.alias("__hash"), len_key.alias("__len")]
+    keys = [F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("source"), F.xxhash64(F.col(text), F.col(doc_id)).alias("__hash")]
     counted = staged(text_counts(docs, text, *keys), "quality")
     verdicts = host_verdicts(counted, "source").select(
         F.col("source").alias("__host"),
-        F.col("fail_rate").alias("host_fail_rate"),
+        *[F.col(f"rate_{name}").alias(f"host_{name}") for name in RULES],
         "host_rejected",
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"),
     )
-    salted = counted.withColumn("__salt", F.pmod(F.xxhash64("__id", "__hash"), F.lit(SALTS)).cast("int"))
+    salted = counted.withColumn("__salt", F.pmod("__hash", F.lit(SALTS)).cast("int")).drop("__hash")
     joined = salted.join(verdicts, (salted["source"] == verdicts["__host"]) & (salted["__salt"] == verdicts["__salt"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False))).drop(verdicts["__salt"]).drop("__salt", "__host")
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    kept = quality_verdicts(docs, doc_id, text, host).where("kept").select("__id", "__hash", "__len").distinct()
-    id_key, hash_key, len_key = text_key(docs[doc_id], docs[text])
-    return docs.join(kept, (id_key == kept["__id"]) & (hash_key == kept["__hash"]) & (len_key == kept["__len"]), "left_semi")
+    """The rows of ``docs`` that are kept, each on its own merits and its own host's, with all their columns.
+
+    Nulls, repeated rows and empty tables are treated as in ``quality_verdicts``; columns may have any names. The rows are
+    staged beside their counts, so texts are judged once and never shuffled: only hosts' sums are, and the rejected hosts,
+    of which there are few, meet the rows in an anti join.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    counted = staged(text_counts(docs, text, row, F.col(host).cast("string").alias("__host")), "quality-rows")
+    rejected = host_verdicts(counted, "__host").where("host_rejected").select("__host")
+    return counted.where(~F.col("base_failed")).join(rejected, "__host", "left_anti").select("__row.*")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*RESULT, "source", F.round("host_fail_rate", 9).alias("host_fail_rate"))
+    rates = [F.round(f"host_{name}", 9).alias(f"host_{name}") for name in RULES]
+    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*RESULT, "source", *rates, F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"))
 
 
 #: The query in DuckDB's SQL.
@@ -161,10 +192,15 @@ cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, range(8) r(k) GROUP BY
 c AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS m, var_samp(f / n) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1.0 END AS k FROM p),
-r AS (SELECT source, (f + m * k) / (n + k) AS rate FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate >= 0.9, false) AS kept, source, round(rate, 9) AS host_fail_rate
-FROM b LEFT JOIN r USING (source)
+e AS (SELECT source, 'short' AS rule, n_words < 20 AS bad FROM b UNION ALL SELECT source, 'repeats', 100 * n_repeat_words > 30 * n_words FROM b
+    UNION ALL SELECT source, 'symbols', 100 * n_symbols > 30 * n_words FROM b UNION ALL SELECT source, 'lines', n_dup_lines > 2 FROM b),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE bad) AS f FROM e WHERE source IS NOT NULL GROUP BY source, rule),
+p AS (SELECT rule, least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS m, coalesce(var_samp(f / n), 0) AS v, avg(1 / n) AS one FROM h GROUP BY rule),
+s AS (SELECT rule, m, CASE WHEN v - m * (1 - m) * one > 0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * one) - 1, 1), 1e4) ELSE 1e4 END AS k FROM p),
+r AS (SELECT source, rule, n, m, k, (f + m * k) / (n + k) AS rate FROM h JOIN s USING (rule)),
+x AS (SELECT source, max(CASE WHEN rule = 'short' THEN rate END) AS host_short, max(CASE WHEN rule = 'repeats' THEN rate END) AS host_repeats, max(CASE WHEN rule = 'symbols' THEN rate END) AS host_symbols, max(CASE WHEN rule = 'lines' THEN rate END) AS host_lines,
+    bool_or(rate - 3 * sqrt(rate * (1 - rate) / (n + k + 1)) > greatest(0.3, m + 3 * sqrt(m * (1 - m) / (k + 1)))) AS bad FROM r GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept, source,
+    round(host_short, 9) AS host_short, round(host_repeats, 9) AS host_repeats, round(host_symbols, 9) AS host_symbols, round(host_lines, 9) AS host_lines, coalesce(bad, false) AS host_rejected
+FROM b LEFT JOIN x USING (source)
 """

@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Features are the n-grams (4 and 5 code points, lower case) that occur in a text, hashed into BUCKETS. For each bucket the
-log-ratio of its smoothed shares in toxic and other labelled texts is its scale; the FEATURES buckets that separate the
-classes most surely are kept; a logistic regression is fitted to the scaled features. It learns from at most MAX_LABELLED
-labelled texts of each class, taken in the order of a hash, and the intercept is set back to the classes' shares among
-all labels. Whole texts are scored; labels, language, source and id are no inputs of a score.
+log-ratio of its smoothed shares in toxic and other labelled texts is its scale; all buckets whose ratio is SURE standard
+errors or more from none are features, and a logistic regression is fitted to the scaled features. It learns from at most
+MAX_LABELLED labelled texts of each class, taken in the order of a hash, and the intercept is set back to the classes'
+shares among all labels. Whole texts are scored; labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -19,18 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import staged
+from marlstone.llm.words import small_batches
 
 SIZES = (4, 5)
 BUCKETS = 1 << 18
-FEATURES = 512
+#: Standard errors from which a bucket's log-ratio is taken for more than chance; how many buckets that are grows with the labels.
+SURE = 3.5
 #: Bound on the labelled texts of each class that the classifier is fitted to.
 MAX_LABELLED = 8192
 PENALTY = 3.0
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 4, 2
-#: Code points that are worked on at once, so that memory does not grow with a batch of very long texts.
-CHUNK = 4_000_000
+#: Bytes of a batch's texts, and code points of a text, that are worked on at once, so that memory grows with neither.
+BATCH, CHUNK = 500_000, 500_000
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,31 +56,40 @@ def _ngrams(codes: np.ndarray, n: int) -> np.ndarray:
     return (h >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def text_features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of each text's distinct n-grams, of all buckets or of those where ``wanted`` is true."""
+def _short_features(texts: list[str], wanted: np.ndarray | None) -> np.ndarray:
+    """Keys text number * BUCKETS + bucket of texts that are worked on at once."""
     codes, starts = _codes(texts)
+    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(codes))  # code points to the text's end
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64) * BUCKETS, np.diff(starts))
     keys = []
     for n in SIZES:
         buckets = _ngrams(codes, n)
-        places = np.flatnonzero(wanted[buckets]) if wanted is not None else np.arange(len(buckets))
-        owner = np.searchsorted(starts, places, side="right") - 1
-        whole = places + n <= starts[owner + 1]  # not across two texts
-        keys.append(owner[whole] * BUCKETS + buckets[places[whole]])
-    found = np.unique(np.concatenate(keys))
-    return found // BUCKETS, found % BUCKETS
+        whole = left[: len(buckets)] >= n  # not across two texts
+        if wanted is not None:
+            whole &= wanted[buckets]
+        places = np.flatnonzero(whole)
+        keys.append(owner[places] + buckets[places])
+    return np.unique(np.concatenate(keys))
+
 
+def text_features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of each text's distinct n-grams, of all buckets or of those where ``wanted`` is true.
 
-def _parts(texts: list[str | None]):
-    """Runs of texts of about CHUNK code points: (first, texts)."""
-    first, part, size = 0, [], 0
+    A text of more than CHUNK code points is read in pieces that overlap by less than an n-gram."""
+    keys, short = [], []
     for k, t in enumerate(texts):
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= CHUNK:
-            yield first, part
-            first, part, size = k + 1, [], 0
-    if part:
-        yield first, part
+        t = t or ""
+        if len(t) <= CHUNK:
+            short.append(t)
+            continue
+        short.append("")
+        seen = np.zeros(BUCKETS, dtype=bool)
+        for at in range(0, len(t), CHUNK):
+            seen[_short_features([t[at : at + CHUNK + max(SIZES) - 1]], wanted)] = True
+        keys.append(k * BUCKETS + np.flatnonzero(seen))
+    keys.append(_short_features(short, wanted))
+    found = np.sort(np.concatenate(keys)) if len(keys) > 1 else keys[0]
+    return found // BUCKETS, found % BUCKETS
 
 
 @dataclass
@@ -89,13 +100,9 @@ class Model:
     intercept: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        out = np.empty(len(texts))
-        wanted = self.weights != 0
-        for first, part in _parts(texts):
-            owner, bucket = text_features(part, wanted)
-            z = self.intercept + np.bincount(owner, weights=self.weights[bucket], minlength=len(part))
-            out[first : first + len(part)] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        return out
+        owner, bucket = text_features(texts, self.weights != 0)
+        z = self.intercept + np.bincount(owner, weights=self.weights[bucket], minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def fit_logistic(indptr: np.ndarray, indices: np.ndarray, scale: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -146,9 +153,12 @@ def fit_logistic(indptr: np.ndarray, indices: np.ndarray, scale: np.ndarray, y:
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, bound: int) -> tuple[DataFrame, dict[int, int]]:
     """Labelled texts outside the held-out fold, at most ``bound`` of each class, as a staged table (text, toxic); and the
-    number of labels of each class. Labels that contradict each other count as toxic; null ids and labels don't count."""
+    number of labels of each class, of documents in ``docs``. Labels that contradict each other count as toxic; null ids
+    and labels don't count."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD_OUT_FOLD))
     known = known.groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    ids = docs.select(F.col(doc_id).alias("__id"))
+    known = known.join(ids, known["__doc"] == ids["__id"], "left_semi")  # labels of other documents take up no places
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("__doc"), "__doc").limit(bound) for c in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * bound pairs of numbers
@@ -164,12 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def count(batches):
         counts = np.zeros((2, BUCKETS), dtype=np.int64)
-        for batch in batches:
+        for batch in small_batches(batches, 0, BATCH):
             kind = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, part in _parts(batch.column(0).to_pylist()):
-                owner, bucket = text_features(part)
-                for c in (0, 1):
-                    counts[c] += np.bincount(bucket[kind[first + owner] == c], minlength=BUCKETS)
+            owner, bucket = text_features(batch.column(0).to_pylist())
+            for c in (0, 1):
+                counts[c] += np.bincount(bucket[kind[owner] == c], minlength=BUCKETS)
         seen = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0, seen]), pa.array(counts[1, seen])], names=["bucket", "n0", "n1"])
 
@@ -181,21 +190,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ratio = F.log((F.col("n1") + SMOOTHING) / (n1 + SMOOTHING * BUCKETS)) - F.log((F.col("n0") + SMOOTHING) / (n0 + SMOOTHING * BUCKETS))
     level = math.log((n1 + SMOOTHING * BUCKETS) / n1) - math.log((n0 + SMOOTHING * BUCKETS) / n0)
     sure = F.abs(ratio + F.lit(level)) / F.sqrt(1 / (F.col("n1") + SMOOTHING) + 1 / (F.col("n0") + SMOOTHING))
-    best = counts.select("bucket", (ratio + F.lit(level)).alias("ratio"), sure.alias("sure")).orderBy(F.desc("sure"), "bucket").limit(FEATURES).collect()  # FEATURES rows
-    buckets = np.array([r["bucket"] for r in best], dtype=np.int64)
-    scale = np.array([r["ratio"] for r in best])
+    best = counts.where(sure >= SURE).select("bucket", (ratio + F.lit(level)).alias("ratio")).orderBy("bucket").toArrow()  # at most BUCKETS rows
+    if not best.num_rows:
+        return nothing
+    buckets, scale = best.column(0).to_numpy().astype(np.int64), best.column(1).to_numpy()
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[buckets] = np.arange(len(buckets), dtype=np.int32)
 
     def rows(batches):
-        for batch in batches:
-            for first, part in _parts(batch.column(0).to_pylist()):
-                owner, bucket = text_features(part, place >= 0)
-                ends = np.cumsum(np.bincount(owner, minlength=len(part)))[:-1]
-                lists = [x.tobytes() for x in np.split(place[bucket], ends)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(part)), pa.array(lists, pa.binary())], names=["toxic", "features"])
-
-    found = sample.select("text", "toxic").mapInArrow(rows, "toxic int, features binary").toArrow()  # at most 2 * bound rows of FEATURES numbers
+        for batch in small_batches(batches, 0, BATCH):
+            owner, bucket = text_features(batch.column(0).to_pylist(), place >= 0)
+            ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows))[:-1]
+            lists = [x.tobytes() for x in np.split(place[bucket], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.binary())], names=["toxic", "features"])
+
+    found = sample.select("text", "toxic").mapInArrow(rows, "toxic int, features binary").toArrow()  # at most 2 * bound rows, each of a text's features
     y = found.column(0).to_numpy().astype(float)
     lists = [np.frombuffer(x, dtype=np.int32) for x in found.column(1).to_pylist()]
     indptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
@@ -213,7 +222,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def score(batches):
-        for batch in batches:
+        for batch in small_batches(batches, at, BATCH):
             values = model.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, out])
 
@@ -223,7 +232,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted. Repeated rows are scored alike, each on its own.
 
-    A null id is in no fold, so not held out; an empty table gives no rows. Other columns of ``docs`` are not read.
+    A null id is in no fold, so not held out; an empty table gives no rows. Texts with equal features have equal scores,
+    and a score equal to the threshold counts as toxic. Other columns of ``docs`` are not read.
     """
     model = fit(docs, labels, doc_id, text, label)
     rows = scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
@@ -232,7 +242,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns. Null and empty texts have the score of the
+    intercept; repeated rows are judged alike; an empty table gives no rows; a column named like the score is kept."""
     out = "__score"
     while out in docs.columns:
         out += "_"

@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.words import mix
+from marlstone.llm.words import mix, small_batches
 
-SAMPLES = 2
+SAMPLES = 3
 BLANK = "▁"
-#: Code points of a batch that are searched at once.
-BLOCK = 2_000_000
+#: Bytes of text of a batch that are searched at once (a longer text is searched by itself).
+BLOCK = 3_000_000
 #: Places of the lattices that are built at once.
 PLACES = 1 << 17
-#: Steps at a path's start that bound its best branches from below; and the logarithm of what is taken for no chance.
+#: Steps at a path's start that bound its best branches from below. A later branch needs a Gumbel draw of more than NO_CHANCE
+#: to come into question: a chance of exp(-32), about 1e-14 a branch, below the precision of the sums, and not drawn.
 AHEAD, NO_CHANCE = 32, 32.0
 FILTER_BITS = 20
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,8 +101,8 @@ class Pieces:
 
 
 class Lattices:
-    """The lattices of the distinct words of a batch, laid end to end: for each place and length of an edge its piece, the
-    logarithm of its probability there, and the cumulated probabilities of the lengths up to it."""
+    """The lattices of the distinct words of a batch (longest first), laid end to end: for each place and length of an edge
+    its piece, the logarithm of its probability there, and the cumulated probabilities of the lengths up to it."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
         sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -118,53 +119,64 @@ class Lattices:
                 self._build(pieces, codes[a:b], slice(a, b))
 
     def _build(self, pieces: Pieces, codes: np.ndarray, at_: slice) -> None:
-        """Edges and probabilities of whole words at once, in views of their rows."""
+        """Edges and probabilities of whole words at once, in views of their rows.
+
+        The sums run over the places by their distance to the word's end. As longer words come first, the places at a
+        distance k belong to the first words, so what follows them is the front of the places nearer to the end.
+        """
         piece, out, cum, left = self.piece[at_], self.logp[at_], self.cum[at_], self.left[at_]
         n, most = len(codes), pieces.longest
-        logp = np.full((n, most), -np.inf)
-        places, h = np.arange(n), np.zeros(n, dtype=np.uint64)
+        order = np.argsort(left.astype(np.uint16) if left[0] < 2**16 else left, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(left))])
+        spot = np.empty(n, dtype=np.int64)
+        spot[order] = np.arange(n)
+        logp = np.full((most, n), -np.inf)  # by length and by distance
+        places, h, reach = np.arange(n), np.zeros(n, dtype=np.uint64), left
         for size in range(1, most + 1):
             if size > 1:
-                on = left[places] >= size
-                places, h = places[on], h[on]
+                on = np.flatnonzero(reach >= size)
+                places, h, reach = places[on], h[on], reach[on]
             if not len(places):
                 break
-            h = h * _P + (codes[places + (size - 1)] + np.uint64(1))
+            h *= _P
+            h += codes[places + (size - 1)]
+            h += np.uint64(1)
             table, ids = pieces.tables[size - 1]
             if not len(table):
                 continue
             hashed = h * _Q
-            at = np.flatnonzero(pieces.filter[(hashed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            spot = np.minimum(np.searchsorted(table, hashed[at]), len(table) - 1)
-            hit = table[spot] == hashed[at]
-            at, found = places[at[hit]], ids[spot[hit]]
+            at = np.flatnonzero(pieces.filter[hashed >> np.uint64(64 - FILTER_BITS)])
+            hashed = hashed[at]
+            near = np.minimum(np.searchsorted(table, hashed), len(table) - 1)
+            hit = table[near] == hashed
+            at, found = places[at[hit]], ids[near[hit]]
             piece[at, size - 1] = found
-            logp[at, size - 1] = pieces.logp[found]
+            logp[size - 1, spot[at]] = pieces.logp[found]
         bare = np.flatnonzero(piece[:, 0] == -1)  # no piece of their own: their bytes
         if len(bare):
             c = codes[bare].astype(np.int64)
             width = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
             piece[bare, 0] = np.where(width == 1, pieces.byte_id[np.minimum(c, 127)], -2 - c)
-            logp[bare, 0] = width * pieces.logp[pieces.byte_id[0]]
-        order = np.argsort(left, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(left))])
-        back = np.zeros(n + most + 1)
-        for k in range(1, len(ends) - 1):  # by places to the end: what follows is known
-            own = order[ends[k] : ends[k + 1]]
-            if not len(own):
-                continue
-            reach = min(k, most)
-            values = logp[own, :reach]
-            for size in range(1, reach + (k > most)):
-                values[:, size - 1] += back[own + size]
-            top = values.max(axis=1)
-            share = np.exp(values - top[:, None])
-            total = share.sum(axis=1)
-            back[own] = top + np.log(total)
-            out[own, :reach] = values - back[own][:, None]
-            np.cumsum(share, axis=1, out=share)
-            share[share >= total[:, None]] = np.inf  # from the last edge on
-            cum[own, :reach] = share / total[:, None]
+            logp[0, spot[bare]] = width * pieces.logp[pieces.byte_id[0]]
+        back: list[np.ndarray] = []  # by distance, the nearest last
+        for k in range(1, len(ends) - 1):
+            lo, hi = ends[k], ends[k + 1]
+            values = logp[: min(k, most), lo:hi]
+            for size in range(1, min(k - 1, most) + 1):
+                values[size - 1] += back[-size][: hi - lo]
+            top = values.max(axis=0)
+            share = np.exp(values - top)
+            np.cumsum(share, axis=0, out=share)
+            total = share[-1]
+            logs = top + np.log(total)
+            back = [*back[1 - most :], logs]
+            values -= logs
+            last = share >= total  # from the last edge on
+            share /= total
+            share[last] = np.inf
+            own = order[lo:hi]
+            out[own, : len(values)] = values.T
+            cum[own, : len(values)] = share.T
 
     def others(self, place: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The probability of the other edges at each place, summed without the edge itself."""
@@ -190,14 +202,29 @@ def _hashed_uniform(*parts) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _count_true(rows: np.ndarray) -> np.ndarray:
+    """How many of each row are true; rows of 8 or 16 are counted as words of bits."""
+    if rows.shape[1] % 8:
+        return rows.sum(axis=1)
+    packed = np.bitwise_count(np.ascontiguousarray(rows).view(np.uint64))
+    out = packed[:, 0].astype(np.int64)
+    for c in range(1, packed.shape[1]):
+        out += packed[:, c]
+    return out
+
+
 def _walk(lat: Lattices, seed: np.ndarray, number: int, occ: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random steps from ``place`` to the end of the word for each occurrence: (occurrence, place, length - 1), in order."""
+    """Random steps from ``place`` to the end of the word for each occurrence: (occurrence, place, length - 1), in order.
+
+    ``seed`` holds the text's key and the occurrence's number in it, so a draw depends on the key and the place in the text
+    alone, not on the batch."""
     out = []
     while len(occ):
-        u = _uniform(seed[occ], number, occ, place)
-        k = (lat.cum[place] <= u[:, None]).sum(axis=1)
+        left = lat.left[place]
+        u = _uniform(seed[occ], number, left).astype(np.float32)
+        k = _count_true(lat.cum[place] <= u[:, None])
         out.append((occ, place, k))
-        on = lat.left[place] > k + 1
+        on = np.flatnonzero(left > k + 1)
         occ, place = occ[on], (place + k + 1)[on]
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, dtype=np.int64),) * 3
 
@@ -237,7 +264,7 @@ def search(lat: Lattices, word: np.ndarray, owner: np.ndarray, texts: int, key:
                 mass[x] = own.sum()
             with np.errstate(divide="ignore"):
                 mu = total[at] - total[bounds[:-1]][t] + np.log(mass)
-                noise = np.log(-np.log(_uniform(mixed[occ[at]], 1000 + number, place[at] - lat.start[word[occ[at]]])))
+                noise = np.log(-np.log(_uniform(mixed[occ[at]], 1000 + number, lat.left[place[at]])))
                 return np.where(mass > 0, -np.logaddexp(-perturbed[t], noise - mu), -np.inf)
 
         special = np.array([x for x, _ in spared.values()], dtype=np.int64)
@@ -320,9 +347,11 @@ def _ids(pieces: Pieces, lat: Lattices, place: np.ndarray, k: np.ndarray, bounds
     return out, bounds + moved[bounds]
 
 
-def _words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words, each with the blanks before it, the word of each occurrence, and its text."""
-    lists = pc.split_pattern(pa.array([t.replace(BLANK, " ") if t and BLANK in t else t or None for t in texts], pa.large_string()), " ")
+def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words, longest first, each with the blanks before it, the word of each occurrence, and its text."""
+    texts = texts.cast(pa.large_string())
+    texts = pc.if_else(pc.equal(texts, ""), None, pc.replace_substring(texts, BLANK, " "))
+    lists = pc.split_pattern(texts, " ")
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
     word, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
@@ -345,12 +374,15 @@ def _words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
                     words.append(BLANK * (blanks + 1) + vocabulary[key[0]])
                 word[at], blanks = more[key], 0
         word, owner = word[~drop], owner[~drop]
-    return words, word, owner
+    order = np.argsort([-len(w) for w in words], kind="stable")
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[order] = np.arange(len(words))
+    return [words[k] for k in order.tolist()], rank[word], owner
 
 
-def sampled_texts(pieces: Pieces, texts: list[str | None], keys: list, samples: int = SAMPLES):
+def sampled_texts(pieces: Pieces, texts: list[str | None] | pa.Array, keys: list, samples: int = SAMPLES):
     """Yield for each text a list of (ids, log-probability, perturbed, log-inclusion), best first; an empty text has one, of no ids."""
-    words, word, owner = _words(texts)
+    words, word, owner = _words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     lat = Lattices(pieces, words)
     key = np.array([xxhash.xxh3_64_intdigest(repr(x).encode()) for x in keys], dtype=np.uint64)
     rounds, threshold = search(lat, word, owner, len(texts), key, samples)
@@ -394,22 +426,17 @@ def sampled_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     def sample(batches):
         pieces = Pieces(path)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            part, size = [], 0
-            for k in range(len(ids)):
-                part.append(k)
-                size += len(texts[k] or "")
-                if size >= BLOCK or k == len(ids) - 1:
-                    rows = []
-                    keys = [texts[i] if ids[i] is None else ids[i] for i in part]
-                    for i, found in zip(part, sampled_texts(pieces, [texts[i] for i in part], keys, samples)):
-                        raw = (texts[i] or "").encode("utf-8", "surrogatepass")
-                        for number, (piece_ids, lp, g, inc) in enumerate(found, 1):
-                            rows.append((ids[i], number, len(piece_ids), zlib.crc32(piece_ids.astype("<u4").tobytes()), lp, g, inc, pieces.decode(piece_ids) == raw, *([piece_ids] if with_ids else [])))
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=schema.fieldNames())
-                    part, size = [], 0
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()))
+        for batch in small_batches(batches, 1, BLOCK):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            raw = texts.cast(pa.large_binary()).to_pylist()
+            keys = [texts[k].as_py() if i is None else i for k, i in enumerate(ids)]
+            rows = []
+            for k, found in enumerate(sampled_texts(pieces, texts, keys, samples)):
+                for number, (piece_ids, lp, g, inc) in enumerate(found, 1):
+                    rows.append((ids[k], number, len(piece_ids), zlib.crc32(piece_ids.astype("<u4").tobytes()), lp, g, inc, pieces.decode(piece_ids) == (raw[k] or b""), *([piece_ids] if with_ids else [])))
+            columns = zip(*rows) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=schema.fieldNames())
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(sample, schema)
 
@@ -422,7 +449,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_p
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids = model.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

@@ -1,9 +1,11 @@
 """Main text of web pages: streamed parser events, text-to-tag ratios, smoothing and clustering of lines.
 
-The standard library's parser feeds a line builder: each block of a page is one line with its number of tags. The lines'
-text-to-tag ratios are smoothed with a Gaussian and split into two clusters at a threshold; the lines of the upper
-cluster that are no boilerplate are content. The content region is the smallest container that holds all of them, and all
-its lines are the main text, but for those in menus, headers, footers, sidebars, notices, adverts, forms and comments.
+The standard library's parser feeds a line builder: each block of a page is one line with its number of tags and its link
+text. The lines' text-to-tag ratios (link text apart) are smoothed with a Gaussian; links and what names itself boilerplate
+by tag, role, class or id weigh the result down; and a threshold between two clusters splits the lines. The lines of the
+upper cluster are content. The region is the smallest container that holds all of them. Its lines are the main text, but for
+those in containers without a content line that are marked as menus, headers, footers, sidebars, notices, adverts, forms or
+comments, or that hold mostly links outside of an article.
 """
 
 from __future__ import annotations
@@ -17,88 +19,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.words import small_batches
+
 # HTML elements by what they do, and the words of class, id and role that name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside body details dialog div footer form header html main menu nav section table td th ul ol dl".split())
 BOILER_TAGS = frozenset("nav header footer aside form dialog menu".split())
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header hero-ad masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars skip social sponsor sponsored subscribe toolbar widget widgets".split())
+BOILER_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars skip social sponsor sponsored subscribe toolbar widget widgets".split())
+SUFFIXES = frozenset("area bar block bottom box container inner item items left link links list message right row section slot text top unit widget wrap wrapper".split())
+NEGATIONS = frozenset("has hide is no not show with without".split())
+WRAPPER_WORDS = frozenset("header menu modal nav overlay sidebar toolbar widget".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 SIGMA = 1.0
+#: What a mark leaves of a line's smoothed ratio.
+MARKED = 0.05
+#: Share of link text from which a container without content is a list of links.
+LINKS = 0.5
 #: Start tags that close elements left open, and the elements that these are looked for in.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table"), "th": ("td th", "table"), "tr": ("td th", "table")}
+#: What a container is by itself: content, a wrapper word's (unless it holds most of the page), a class or id's, a tag or role's.
+PLAIN, WRAPPER, NAMED, FIRM = 0, 1, 2, 3
 
 
-def _names_boilerplate(name: str) -> bool:
-    """Whether all parts of a class or id, numbers aside, are words of boilerplate: "cookie-banner2", but not "has-sidebar"."""
+def name_mark(name: str, in_article: bool = False) -> int:
+    """What a class or id says: boilerplate if its last part is a word of boilerplate ("site-footer"), or its first one is and
+    the others are words of layout ("ad-slot"), numbers aside; but not "has-sidebar", nor a header within an article."""
     parts = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if x]
-    return bool(parts) and BOILER_WORDS.issuperset(parts)
+    if not parts or NEGATIONS.intersection(parts) or (in_article and "header" in parts):
+        return PLAIN
+    word = parts[-1] if parts[-1] in BOILER_WORDS else parts[0] if parts[0] in BOILER_WORDS and SUFFIXES.issuperset(parts[1:]) else None
+    return PLAIN if word is None else WRAPPER if word in WRAPPER_WORDS else NAMED
 
 
 class _Lines(HTMLParser):
-    """Builds lines: [text, tags, container]. Containers are numbered; parent[i] is the one around i. mark[i] says what i is by itself:
-    0 content, 1 boilerplate by its class or id, 2 by its tag, role or being hidden."""
+    """Builds lines: (text, tags, link characters, container). Containers are numbered; parent[i] is the one around i, mark[i]
+    what i is by itself. ``depths`` has the places of each open container in the stack by its name, so that no tag makes
+    the parser search the stack."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.parent, self.name, self.mark = [-1], [""], [0]
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parent, self.name, self.mark = [-1], [""], [PLAIN]
         self.stack = [0]
+        self.depths: dict[str, list[int]] = {}
         self.silent: list[str] = []
         self.parts: list[str] = []
+        self.link_parts: list[str] = []
+        self.link_depth = 0  # stack size where the open link began, 0 without one
         self.tags = 0
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.stack[-1]))
+            self.lines.append((text, self.tags, min(len(text), len(" ".join("".join(self.link_parts).split()))), self.stack[-1]))
             self.tags = 0
-        self.parts = []
+        self.parts, self.link_parts = [], []
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, report)  # as browsers do with <![x[...]]>
+
+    def _open(self, *names) -> int:
+        """The depth of the innermost open container of these names, 0 if there is none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def _cut(self, depth: int):
+        for c in reversed(self.stack[depth:]):
+            self.depths[self.name[c]].pop()
+        del self.stack[depth:]
+        if self.link_depth > len(self.stack):
+            self.link_depth = 0
 
     def _mark(self, tag, attrs):
         if tag in ("html", "body", "main"):
-            return 0
-        in_article = any(self.name[c] in ("article", "main") for c in self.stack)
+            return PLAIN
+        in_article = self._open("article", "main") > 0
         if tag in BOILER_TAGS:
-            return 0 if tag == "header" and in_article else 2
-        mark = 0
+            return (PLAIN if in_article else FIRM) if tag == "header" else NAMED if tag == "form" and in_article else WRAPPER if tag == "form" else FIRM
+        mark = PLAIN
         for key, value in attrs:
             if not value:
                 if key == "hidden":
-                    return 2
+                    return FIRM
             elif key in ("class", "id"):
-                if any(_names_boilerplate(n) and not (in_article and n.lower() == "header") for n in value.split()):
-                    mark = 1
+                mark = max([mark, *(name_mark(n, in_article) for n in value.split())])
             elif key == "role":
                 if value.strip().lower() in BOILER_ROLES:
-                    return 2
+                    return FIRM
             elif key == "aria-hidden" and value.strip().lower() == "true":
-                return 2
+                return FIRM
         return mark
 
     def _close_open(self, tag):
         """Close a p before any block, and the items and cells that a start tag ends."""
         if tag in BLOCKS and self.name[self.stack[-1]] == "p":
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if tag in CLOSES:
             own, scope = (x.split() for x in CLOSES[tag])
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if self.name[self.stack[depth]] in scope:
-                    break
-                if self.name[self.stack[depth]] in own:
-                    del self.stack[depth:]
-                    break
-
-    def boilerplate(self, votes: np.ndarray) -> list[bool]:
-        """Whether each container is boilerplate, by itself or through one around it. A main, or an article with half of
-        the votes, is not for the class or id of what is around it."""
+            depth = self._open(*own)
+            if depth > self._open(*scope):
+                self._cut(depth)
+
+    def marked(self, votes: np.ndarray) -> list[bool]:
+        """Whether each container is marked, by itself or through one around it. A main, or an article with half of the votes,
+        is not for what a class, id or form around it says, and a wrapper that holds half of the votes isn't for its own."""
         soft, firm = [False], [False]
         for c in range(1, len(self.parent)):
             up = self.parent[c]
-            content = self.mark[c] == 0 and (self.name[c] == "main" or (self.name[c] == "article" and 2 * votes[c] >= votes[0] > 0))
-            soft.append(not content and (soft[up] or self.mark[c] == 1))
-            firm.append(firm[up] or self.mark[c] == 2)
+            half = 2 * votes[c] >= votes[0] > 0
+            content = self.mark[c] == PLAIN and (self.name[c] == "main" or (self.name[c] == "article" and half))
+            own = self.mark[c] == NAMED or (self.mark[c] == WRAPPER and not half)
+            soft.append(not content and (soft[up] or own))
+            firm.append(firm[up] or self.mark[c] == FIRM)
         return [a or b for a, b in zip(soft, firm)]
 
     def handle_starttag(self, tag, attrs):
@@ -116,20 +149,21 @@ class _Lines(HTMLParser):
             self.silent = [tag]
             self.tags += 1
             return
-        if self.silent:
-            return
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
         self._close_open(tag)
         self.tags += 1
-        mark = self._mark(tag, attrs) if tag in BLOCKS or tag in CONTAINERS else 0
+        mark = self._mark(tag, attrs) if tag in BLOCKS or tag in CONTAINERS else PLAIN
         if tag in CONTAINERS or mark:
             self.parent.append(self.stack[-1])
             self.name.append(tag)
             self.mark.append(mark)
+            self.depths.setdefault(tag, []).append(len(self.stack))
             self.stack.append(len(self.parent) - 1)
+        if tag == "a":
+            self.link_depth = len(self.stack)
 
     def handle_startendtag(self, tag, attrs):
         if tag not in ("svg", "math"):
@@ -142,20 +176,22 @@ class _Lines(HTMLParser):
             if tag in self.silent:
                 del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
                 return
-            if tag not in CONTAINERS or all(self.name[c] != tag for c in self.stack):
+            if tag not in CONTAINERS or not self._open(tag):
                 return
             self.silent = []  # never closed: it ends with what is around it
         self.tags += 1
+        if tag == "a":
+            self.link_depth = 0
         if tag in BLOCKS:
             self.flush()
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.name[self.stack[depth]] == tag:
-                del self.stack[depth:]
-                break
+        if depth := self._open(tag):
+            self._cut(depth)
 
     def handle_data(self, data):
         if not self.silent:
             self.parts.append(data)
+            if self.link_depth:
+                self.link_parts.append(data)
 
     def finish(self):
         self.close()
@@ -184,35 +220,27 @@ def two_cluster_threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _region(parser: _Lines) -> tuple[int, list[bool]]:
-    """The number of the content region, -1 if no line is content; and whether each container is boilerplate."""
-    lines = parser.lines
-    size = np.array([len(t) for t, _, _ in lines], dtype=float)
-    ratio = np.log1p(size / np.maximum(1, [n for _, n, _ in lines]))
-    smoothed = smooth(ratio)
-    content = smoothed >= two_cluster_threshold(smoothed)
-    held = np.zeros(len(parser.parent))
-    for k in np.flatnonzero(content):
-        held[lines[k][2]] += size[k]
-    for c in range(len(held) - 1, 0, -1):  # children come after their parents
-        held[parser.parent[c]] += held[c]
-    boiler = parser.boilerplate(held)
-    free = np.array([not boiler[c] for _, _, c in lines])
-    if not (content & free).any():
-        content = np.ones(len(lines), dtype=bool)
-    path: list[int] | None = None  # containers around all content lines so far, outermost first
-    for c in {lines[k][2] for k in np.flatnonzero(content & free)}:
-        around = []
-        while c >= 0:
-            around.append(c)
-            c = parser.parent[c]
-        around.reverse()
-        path = around if path is None else [x for x, y in zip(path, around) if x == y]
-    return (path[-1] if path else -1), boiler
+def _sum_up(parser: _Lines, values: np.ndarray) -> np.ndarray:
+    """The sums of the lines' values in each container, those inside it included."""
+    out = np.zeros(len(parser.parent))
+    np.add.at(out, [c for _, _, _, c in parser.lines], values)
+    for c in range(len(out) - 1, 0, -1):  # children come after their parents
+        out[parser.parent[c]] += out[c]
+    return out
+
+
+def content_lines(parser: _Lines) -> tuple[np.ndarray, list[bool]]:
+    """Whether each line is in the upper cluster, and whether each container is marked."""
+    size, tags, links = (np.array(c, dtype=float) for c in list(zip(*((len(t), n, link) for t, n, link, _ in parser.lines))))
+    ratio = smooth(np.log1p((size - links) / np.maximum(1, tags)))
+    marked = parser.marked(_sum_up(parser, np.where(ratio >= two_cluster_threshold(ratio), size, 0)))
+    weighed = ratio * (1 - links / size) * np.where([marked[c] for _, _, _, c in parser.lines], MARKED, 1.0)
+    return weighed >= two_cluster_threshold(weighed), marked
 
 
 def main_text(html: str | None) -> str:
-    """The main text of one page: its blocks in page order, joined by a newline. Null and textless pages give ''."""
+    """The main text of one page: its blocks in page order, joined by a newline. Null and textless pages give '', and so do
+    pages where everything is marked as boilerplate."""
     if not html:
         return ""
     parser = _Lines()
@@ -220,23 +248,34 @@ def main_text(html: str | None) -> str:
     parser.finish()
     if not parser.lines:
         return ""
-    region, boiler = _region(parser)
-    if region < 0:
+    content, marked = content_lines(parser)
+    if all(marked[c] for _, _, _, c in parser.lines):
         return ""
-    inside = [False] * len(parser.parent)
-    for c in range(len(inside)):
-        inside[c] = c == region or (parser.parent[c] >= 0 and inside[parser.parent[c]])
-    return "\n".join(t for t, _, c in parser.lines if inside[c] and not boiler[c])
+    held = _sum_up(parser, content)
+    region = int(np.flatnonzero(held == held[0])[-1])  # the containers that hold all content are nested: the last is the innermost
+    size, links = _sum_up(parser, np.array([len(t) for t, _, _, _ in parser.lines])), _sum_up(parser, np.array([n for _, _, n, _ in parser.lines]))
+    article, kept = [False], [region == 0]
+    for c in range(1, len(parser.parent)):
+        up = parser.parent[c]
+        article.append(article[up] or (parser.name[c] in ("article", "main") and not marked[c]))
+        refused = not held[c] and (marked[c] or (not article[c] and size[c] > 0 and links[c] >= LINKS * size[c]))
+        kept.append(c == region or (kept[up] and not refused))
+    return "\n".join(t for t, _, _, c in parser.lines if kept[c])
 
 
 EXTRACTED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row for each row of ``pages``: page_id, url, text, n_chars (code points). Repeated rows are extracted each on their own."""
+    """One row for each row of ``pages``: page_id, url, text, n_chars (code points).
+
+    Null and empty pages, and pages without main text, have an empty text. Repeated rows are extracted each on their own.
+    A page of any length or depth is read whole, in time and memory in proportion to it. Page ids must be integers or null;
+    an empty table gives no rows; other columns are not read.
+    """
 
     def parse(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             texts = [main_text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=EXTRACTED.fieldNames())
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import staged
 from marlstone.llm.components import components
-from marlstone.llm.words import mix, shingles, split_words, word_hashes
+from marlstone.llm.words import mix, shingles, small_batches, split_words, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,6 +37,8 @@ AGREE = 36
 #: Sets, and shingles, of a block of a component; a tile compares two blocks.
 BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1_500_000
+#: Bytes of text whose sets, larger than the text, are held at once.
+SET_BATCH = 1_000_000
 
 _seeds = np.random.default_rng(20240229)
 _XOR = _seeds.integers(0, 2**63, SKETCH, dtype=np.uint64)
@@ -66,7 +68,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """doc_id, key (of the shingle set), size, path (RUNS * DEPTH tokens) and sketch (a byte for each of SKETCH orders)."""
 
     def make(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             keys, sizes, paths, marks = [], [], [], []
             for own in _sets(batch.column(1), k):
                 first = minima(own)
@@ -265,7 +267,7 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heads = heads.join(totals, "component")
 
     def make(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1, SET_BATCH):
             found = _sets(batch.column(1), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "key", "set"])
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from marlstone.llm.common import shuffle_partitions, staged
+from marlstone.llm.words import small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -113,7 +114,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str | None =
 
     def cut(batches):
         tok = WordTokenizer(path)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids, starts = tok.encode_batch(batch.column(1))
             out = [[], [], [], [], []]
             end = np.array([END_ID], dtype="<u4")
@@ -328,8 +329,10 @@ PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY, large: int | None = None, groups: int = GROUPS) -> DataFrame:
     """Pieces with their sequence and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is one piece of length 1. Repeated rows and equal ids are packed each on their own. An empty
-    table gives no rows. Other columns of ``docs`` are not read. Sequences are filled without gaps from offset 0.
+    A null or empty text is one piece of length 1. Repeated rows and equal ids are packed each on their own; pieces of equal
+    length are ranked by salt and then by id, piece and content, and equal ones in any order. A text of any length is cut
+    into pieces; its ids are held by one task. An empty table gives no rows. Ids must be integers or null; other columns of
+    ``docs`` are not read. Sequences are filled without gaps from offset 0.
     """
     cut = staged(pieces(docs, doc_id, text, tokenizer_path, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.words import small_batches
+
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 BASE = ("assign", "access", "hex")
 
@@ -156,12 +158,16 @@ FOUND = T.StructType(
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: counts of the base kinds, a hash of the base spans, and all spans as text.
 
-    Null and empty texts have no spans. Repeated rows are scanned each on their own. Other columns are not read.
+    Null and empty texts have no spans. Repeated rows are scanned each on their own. Spans of equal start are listed in the
+    order of their kinds. A text of any length is scanned whole, a few at a time. An empty table gives no rows; ids must be
+    integers or null; other columns are not read.
+
+    Hex runs have no keyword that a prefilter could look for, so their pattern runs over the whole text by itself.
     """
 
     def find(batches):
         keywords = automaton()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 spans = find_secrets(t.as_py(), keywords)
@@ -175,14 +181,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """``docs`` with its secrets masked in ``text``, and ``n_chars`` set to the new length where a text has changed."""
+    """``docs`` with its secrets masked in ``text``, and ``n_chars`` set to the new length where a text has changed.
+
+    Null, empty and clean texts and all other columns, whatever their names, stay as they are; repeated rows are masked
+    alike; an empty table gives no rows."""
     names = docs.columns
     at = names.index(text)
     count = names.index(n_chars) if n_chars in names else None
 
     def mask(batches):
         keywords = automaton()
-        for batch in batches:
+        for batch in small_batches(batches, at):
             columns = list(batch.columns)
             old = columns[at].to_pylist()
             new = [redact(t, keywords=keywords) for t in old]

@@ -114,10 +114,20 @@ def _moment_matrices(rows, tickers):
     return count, xy, xxyy, xxxy
 
 
+def window_moments(window: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The same moments (n, xy, xxyy, xxxy) of a small matrix of observations by assets."""
+    x = window - window.mean(axis=0)
+    n = len(x)
+    return n, x.T @ x / n, (x * x).T @ (x * x) / n, (x**3).T @ x / n
+
+
 def ledoit_wolf(rows, tickers) -> tuple[np.ndarray, float]:
     """Shrinkage to a scaled identity, from centred pair moments; covariance with denominator n."""
-    n, s, xxyy, _ = _moment_matrices(rows, tickers)
-    p = len(tickers)
+    return shrunk_to_identity(*_moment_matrices(rows, tickers)[:3])
+
+
+def shrunk_to_identity(n: int, s: np.ndarray, xxyy: np.ndarray) -> tuple[np.ndarray, float]:
+    p = len(s)
     mu = np.trace(s) / p
     d2 = ((s - mu * np.eye(p)) ** 2).sum()
     b2 = min((xxyy - s**2).sum() / n, d2) if n else 0.0
@@ -126,26 +136,32 @@ def ledoit_wolf(rows, tickers) -> tuple[np.ndarray, float]:
 
 
 def constant_correlation(rows, tickers) -> tuple[np.ndarray, float]:
-    """Shrinkage to the matrix of equal correlations; sample covariance with denominator n - 1. Fewer than 2 rows: none."""
-    n, s, xxyy, xxxy = _moment_matrices(rows, tickers)
-    p = len(tickers)
+    """Shrinkage to the matrix of equal correlations, from centred pair moments. Fewer than 2 rows or assets: none."""
+    return shrunk_to_constant_correlation(*_moment_matrices(rows, tickers))
+
+
+def shrunk_to_constant_correlation(n: int, s: np.ndarray, xxyy: np.ndarray, xxxy: np.ndarray) -> tuple[np.ndarray, float]:
+    """The target has the variances of ``s`` (denominator n) and the mean correlation of all pairs, where a pair with an asset
+    that doesn't move, and such an asset's own place, count as if they were 0. The part that is not shrunk is rescaled to the
+    denominator n - 1, so that without shrinkage the result is the sample covariance."""
+    p = len(s)
     unbiased = s * (n / (n - 1)) if n > 1 else s
-    live = np.diag(s) > 0
-    if n < 2 or live.sum() < 2:
+    if n < 2 or p < 2:
         return unbiased, 0.0
     sd = np.sqrt(np.maximum(np.diag(s), 0))
-    rho = correlation_of(s)
-    off = np.outer(live, live) & ~np.eye(p, dtype=bool)
-    mean = rho[off].mean()
-    target = np.where(off, mean * np.outer(sd, sd), 0.0)
+    live = sd > 0
+    divisor = np.where(live, sd, 1.0)
+    mean = ((s / np.outer(divisor, divisor)).sum() - p) / (p * (p - 1))
+    target = mean * np.outer(sd, sd)
     np.fill_diagonal(target, np.diag(s))
     pi = xxyy - s**2
     theta = xxxy - np.diag(s)[:, None] * s
-    ratio = np.divide(sd[None, :], sd[:, None], out=np.zeros((p, p)), where=sd[:, None] > 0)
-    r = np.trace(pi) + (off * mean * (ratio * theta + (ratio * theta).T) / 2).sum()
+    covered = theta * np.outer(1 / divisor, divisor)
+    np.fill_diagonal(covered, 0.0)
+    rho = np.trace(pi) + mean * covered.sum()
     gamma = ((target - s) ** 2).sum()
-    shrink = float(np.clip((pi.sum() - r) / gamma / n, 0, 1)) if gamma > 0 else 0.0
-    return (shrink * target + (1 - shrink) * s) * (n / (n - 1)), shrink
+    shrink = float(np.clip((pi.sum() - rho) / gamma / n, 0, 1)) if gamma > 0 else 0.0
+    return shrink * target + (1 - shrink) * unbiased, shrink
 
 
 def ols(xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:

@@ -99,8 +99,8 @@ def project(w: np.ndarray, low: np.ndarray, high: np.ndarray, budget: float) ->
 def quadratic(cov: np.ndarray, low: np.ndarray, high: np.ndarray, budget: float, mu: np.ndarray | None = None, target: float | None = None) -> tuple[np.ndarray, bool]:
     """min w' cov w with sum(w) = budget (and mu' w = target) within bounds, by a primal active-set method."""
     n = len(cov)
-    rows = [np.ones(n)] + ([mu] if mu is not None else [])
-    rhs = [budget] + ([target] if mu is not None else [])
+    size = float(np.abs(mu).max()) if mu is not None and np.abs(mu).max() > 0 else 1.0  # the rows' sizes must be alike
+    rows = [np.ones(n)] + ([mu / size] if mu is not None else [])
     w = project(np.full(n, budget / n), low, high, budget)
     if mu is not None:
         w = _reach(w, low, high, budget, mu, target)
@@ -119,7 +119,7 @@ def quadratic(cov: np.ndarray, low: np.ndarray, high: np.ndarray, budget: float,
         gradient = cov @ w / scale
         solution = np.linalg.lstsq(kkt, np.concatenate([-gradient[free], np.zeros(m)]), rcond=None)[0]
         step, dual = solution[: len(free)], solution[len(free) :]
-        if np.abs(step).max(initial=0) < 1e-12:
+        if np.abs(step).max(initial=0) < 1e-10:  # what is left is rounding
             if not len(free):
                 dual = np.linalg.lstsq(np.array(rows).T, -gradient, rcond=None)[0]
             slope = gradient + np.array(rows).T @ dual

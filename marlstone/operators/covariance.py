@@ -52,7 +52,7 @@ def spearman(returns: DataFrame) -> DataFrame:
 def correlation_of(cov: DataFrame) -> DataFrame:
     """(a, b, rho) of a covariance table: 0 beside an asset without variance, clipped to [-1, 1], 1 on the diagonal."""
     var = cov.where("a = b").select(F.col("a").alias("t"), F.col("cov").alias("v"))
-    joined = cov.join(F.broadcast(var.select(F.col("t").alias("a"), F.col("v").alias("va"))), "a").join(F.broadcast(var.select(F.col("t").alias("b"), F.col("v").alias("vb"))), "b")
+    joined = cov.join(var.select(F.col("t").alias("a"), F.col("v").alias("va")), "a").join(var.select(F.col("t").alias("b"), F.col("v").alias("vb")), "b")
     rho = F.coalesce(F.try_divide(F.col("cov"), F.sqrt(F.col("va") * F.col("vb"))), F.lit(0.0))
     return joined.select("a", "b", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
 
@@ -137,13 +137,20 @@ def estimate(returns: DataFrame, tickers: Sequence[str], method: str = "sample",
     return CovarianceResult(values * (periods_per_year if annualise else 1), tuple(tickers), method, shrinkage, annualise)
 
 
+def both_triangles(cov: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, a, b, cov) of the whole matrix, from its upper triangle and in one pass over it."""
+    sides = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    sides = F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)
+    return cov.select(*by, "cov", F.explode(sides).alias("__s")).select(*by, "__s.a", "__s.b", "cov")
+
+
 def risk_decomposition(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """(ticker, weight, marginal, contribution, share) of a book; a book without risk is an error."""
-    both = cov.select("a", "b", "cov").unionByName(cov.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
-    inner = both.join(F.broadcast(weights.select(F.col("ticker").alias("b"), F.col("weight").alias("wb"))), "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"))
-    rows = inner.join(F.broadcast(weights), inner["a"] == weights["ticker"]).withColumn("__v", F.col("weight") * F.col("sw"))
-    total = rows.agg(F.sqrt(F.sum("__v")).alias("sigma"))  # one row
-    rows = rows.join(F.broadcast(total), F.lit(True)).withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.raise_error(F.lit("a book without risk has no decomposition")).cast("double")))
+    book = weights.select("ticker", "weight")
+    inner = both_triangles(cov).join(book.select(F.col("ticker").alias("b"), F.col("weight").alias("wb")), "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"))
+    rows = inner.join(book, inner["a"] == book["ticker"]).withColumn("__v", F.col("weight") * F.col("sw"))
+    rows = rows.withColumn("sigma", F.sqrt(F.sum("__v").over(W.partitionBy(F.lit(1)))))  # one row for each asset of the book
+    rows = rows.withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.raise_error(F.lit("a book without risk has no decomposition")).cast("double")))
     return rows.select("ticker", "weight", (F.col("sw") / F.col("sigma")).alias("marginal"), (F.col("__v") / F.col("sigma")).alias("contribution"), (F.col("__v") / (F.col("sigma") * F.col("sigma"))).alias("share"), "sigma")
 
 
@@ -165,9 +172,8 @@ def rolling_risk_contribution(returns: DataFrame, weights: dict[str, float], win
         norm = sum(decay**k for k in range(window))
         value = F.aggregate(F.collect_list(F.col("ra") * F.col("rb")).over(over), F.lit(0.0), lambda acc, x: acc * decay + x) / norm
     cov = rows.withColumns({"cov": value, "__n": F.count(F.lit(1)).over(over)}).where(F.col("__n") == window).select("date", "a", "b", "cov")
-    both = cov.unionByName(cov.where("a <> b").select("date", F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
-    book = F.broadcast(returns.sparkSession.createDataFrame([(t, float(w)) for t, w in weights.items()], "t string, w double"))
-    rc = both.join(book.select(F.col("t").alias("b"), F.col("w").alias("wb")), "b").groupBy("date", "a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"))
+    book = returns.sparkSession.createDataFrame([(t, float(w)) for t, w in weights.items()], "t string, w double")
+    rc = both_triangles(cov, ["date"]).join(book.select(F.col("t").alias("b"), F.col("w").alias("wb")), "b").groupBy("date", "a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"))
     rc = rc.join(book.select(F.col("t").alias("a"), F.col("w").alias("wa")), "a").withColumn("rc", F.col("wa") * F.col("sw"))
     total = F.sum("rc").over(W.partitionBy("date"))
     return rc.select("date", F.col("a").alias("ticker"), F.try_divide(F.col("rc"), total).alias("share"), F.when(total <= 0, F.lit("no variance in the window")).alias("reason"))
@@ -176,14 +182,43 @@ def rolling_risk_contribution(returns: DataFrame, weights: dict[str, float], win
 def historical_tail(returns: DataFrame, by: Sequence[str], confidence: float = 0.95) -> DataFrame:
     """(by…, n, var_hist, cvar_hist, var_gauss, var_cf): tail measures of each track, Cornish-Fisher by biased moments."""
     z = numeric.normal_quantile(1 - confidence)
-    sums = returns.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("__m"), F.stddev_samp("ret").alias("__s"), F.skewness("ret").alias("__sk"), F.kurtosis("ret").alias("__ku"), (-F.percentile("ret", F.lit(1 - confidence))).alias("var_hist")
-    )
+    tracks = returns.withColumn("__q", F.percentile("ret", F.lit(1 - confidence)).over(W.partitionBy(*by)))  # one shuffle for both steps
+    sums = tracks.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("__m"), F.stddev_samp("ret").alias("__s"), F.skewness("ret").alias("__sk"), F.kurtosis("ret").alias("__ku"),
+        (-F.first("__q")).alias("var_hist"), (-F.avg(F.when(F.col("ret") <= F.col("__q"), F.col("ret")))).alias("__t"),
+    )
     sk, ku = F.col("__sk"), F.col("__ku")
     cf = z + (z * z - 1) / 6 * sk + (z**3 - 3 * z) / 24 * ku - (2 * z**3 - 5 * z) / 36 * sk * sk
-    sums = sums.withColumns({"var_gauss": -(F.col("__m") + z * F.col("__s")), "var_cf": -(F.col("__m") + cf * F.col("__s"))})
-    tail = returns.join(F.broadcast(sums.select(*by, "var_hist")), list(by)).groupBy(*by).agg(F.avg(F.when(F.col("ret") <= -F.col("var_hist"), F.col("ret"))).alias("__t"))
-    return sums.join(tail, list(by)).select(*by, "n", "var_hist", F.coalesce(-F.col("__t"), F.col("var_hist")).alias("cvar_hist"), "var_gauss", "var_cf")
+    return sums.select(
+        *by, "n", "var_hist", F.coalesce("__t", "var_hist").alias("cvar_hist"), (-(F.col("__m") + z * F.col("__s"))).alias("var_gauss"), (-(F.col("__m") + cf * F.col("__s"))).alias("var_cf")
+    )
+
+
+def tail_comparison(returns: DataFrame, by: Sequence[str], confidence: float = 0.99, threshold: float = 0.95) -> DataFrame:
+    """(by…, n, var_hist, cvar_hist, var_gauss, var_cf, shape, var_evt, cvar_evt, reason): all tail measures side by side."""
+    evt = evt_tail(returns, by, confidence, threshold).select(*by, "shape", "var_evt", "cvar_evt", "reason")
+    return historical_tail(returns, by, confidence).join(evt, list(by), "left")
+
+
+def ewma_correlation(returns: DataFrame, decay: float = 0.94) -> DataFrame:
+    """(a, b, rho) of the exponentially weighted covariance."""
+    return correlation_of(ewma_covariance(returns, decay))
+
+
+def exceedances(returns: DataFrame, by: Sequence[str], threshold: float = 0.95) -> DataFrame:
+    """(by…, loss, threshold, n, position): the losses above each track's threshold quantile, with the track's rows and the
+    plotting position (rank - 1/2) / count among them."""
+    track = W.partitionBy(*by)
+    losses = returns.select(*by, (-F.col("ret")).alias("loss"))
+    losses = losses.withColumns({"threshold": F.percentile("loss", F.lit(threshold)).over(track), "n": F.count(F.lit(1)).over(track)})
+    over = losses.where("loss > threshold")
+    return over.withColumn("position", (F.row_number().over(track.orderBy("loss")) - 0.5) / F.count(F.lit(1)).over(track))
+
+
+def exposures(rows: DataFrame, by: Sequence[str], weight: str = "weight") -> DataFrame:
+    """(by…, effective_n, gross, net) of each book of weights; 0 effective positions without any weight."""
+    w = F.col(weight)
+    return rows.groupBy(*by).agg(F.coalesce(F.try_divide(F.lit(1.0), F.sum(w * w)), F.lit(0.0)).alias("effective_n"), F.sum(F.abs(w)).alias("gross"), F.sum(w).alias("net"))
 
 
 def evt_tail(returns: DataFrame, by: Sequence[str], confidence: float = 0.99, threshold: float = 0.95) -> DataFrame:
@@ -192,9 +227,7 @@ def evt_tail(returns: DataFrame, by: Sequence[str], confidence: float = 0.99, th
     Only the losses above each track's threshold quantile go to the fit, one group for each track. Fewer than 10 give a
     reason and no numbers; a shape of 1 or more has no finite CVaR.
     """
-    losses = returns.select(*by, (-F.col("ret")).alias("loss"))
-    u = losses.groupBy(*by).agg(F.percentile("loss", F.lit(threshold)).alias("threshold"), F.count(F.lit(1)).alias("n"))
-    over = losses.join(F.broadcast(u), list(by)).where("loss > threshold")
+    over = exceedances(returns, by, threshold).drop("position")
     schema = ", ".join([*(f"{c} {returns.schema[c].dataType.simpleString()}" for c in by), "threshold double, n long, exceedances long, shape double, scale double, var_evt double, cvar_evt double, reason string"])
 
     def fit(key, pdf):

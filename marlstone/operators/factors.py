@@ -153,6 +153,24 @@ def implied_covariance(loadings: np.ndarray, factor_cov: np.ndarray, residual_sd
     return loadings @ factor_cov @ loadings.T + np.diag(np.asarray(residual_sd) ** 2)
 
 
+def estimate_implied_covariance(returns: DataFrame, factors: DataFrame, tickers: Sequence[str], names: Sequence[str], periods_per_year: int = 252) -> np.ndarray:
+    """B F B' + D of long returns (date, ticker, ret) and a wide factor table: every ticker's regression comes from one
+    aggregation of sums of products, of the size of the factors for each ticker. D has T - K - 1 degrees of freedom."""
+    k = len(names) + 1
+    terms = [F.lit(1.0), *[F.col(n) for n in names], F.col("ret")]
+    data = returns.where(F.col("ticker").isin(list(tickers))).join(factors.select("date", *names), "date").dropna()
+    rows = {r["ticker"]: r for r in data.groupBy("ticker").agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]).collect()}  # one row for each ticker
+    loadings, residual = np.zeros((len(tickers), k - 1)), np.zeros(len(tickers))
+    for at, t in enumerate(tickers):
+        s = np.array([[rows[t][f"s{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+        b = numeric.ols(s[:k, :k], s[:k, k])
+        loadings[at] = b[1:]
+        residual[at] = math.sqrt(max(s[k, k] - b @ s[:k, k], 0.0) / max(1, s[0, 0] - k))
+    n = s[0, 0]
+    mean = s[0, 1:k] / n
+    return implied_covariance(loadings, (s[1:k, 1:k] - n * np.outer(mean, mean)) / (n - 1), residual) * periods_per_year
+
+
 def rolling_beta(pairs: DataFrame, window: int = 252, by: Sequence[str] = ()) -> DataFrame:
     """(by…, date, alpha, beta, r_squared) of ret on one factor column ``factor``, over each full window."""
     over = frame(by, window)
@@ -231,7 +249,7 @@ def principal_components(cov: np.ndarray, tickers: Sequence[str], method: str =
 def scores(returns: DataFrame, pca: PrincipalComponents) -> DataFrame:
     """(date, component, score) of centred returns."""
     centred = returns.withColumn("ret", F.col("ret") - F.avg("ret").over(W.partitionBy("ticker")))
-    return centred.join(F.broadcast(pca.table(returns.sparkSession)), "ticker").groupBy("date", "component").agg(F.sum(F.col("ret") * F.col("loading")).alias("score"))
+    return centred.join(pca.table(returns.sparkSession), "ticker").groupBy("date", "component").agg(F.sum(F.col("ret") * F.col("loading")).alias("score"))
 
 
 def concentration(weights: dict[str, float], cov: np.ndarray, tickers: Sequence[str]) -> dict:

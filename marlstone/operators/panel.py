@@ -122,8 +122,9 @@ def to_wide(panel: DataFrame, tickers: Sequence[str], value: str) -> DataFrame:
     return panel.groupBy("date").pivot("ticker", list(tickers)).agg(F.first(value)).orderBy("date")
 
 
-def to_long(wide: DataFrame, value: str, variable: str = "ticker") -> DataFrame:
-    return wide.unpivot(["date"], [c for c in wide.columns if c != "date"], variable, value).where(F.col(value).isNotNull())
+def to_long(wide: DataFrame, value: str, variable: str = "ticker", ids: Sequence[str] = ("date",)) -> DataFrame:
+    """One row for each value that is there, of the columns that are no ``ids``."""
+    return wide.unpivot(list(ids), [c for c in wide.columns if c not in ids], variable, value).where(F.col(value).isNotNull())
 
 
 def drop_empty_rows(rows: DataFrame) -> DataFrame:
@@ -165,11 +166,18 @@ def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return rows.withColumn("__rn", F.row_number().over(window)).where("__rn = 1").drop("__rn")
 
 
-def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Existing and new rows with one row for each key: the new ones win, and of several new ones the last."""
+def top_k(rows: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:
+    """The first ``k`` rows of each group by ``order`` (columns or expressions)."""
+    return rows.withColumn("__k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= k).drop("__k")
+
+
+def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Existing and new rows with one row for each key: new ones win, and of several new ones the last by the columns ``order``
+    of ``new``. Rows of a table have no order of their own, so what ``order`` leaves open is settled by the greatest of the
+    rows' other values: the result doesn't depend on partitions."""
     columns = [*existing.columns, *[c for c in new.columns if c not in existing.columns]]
-    both = existing.withColumn("__seq", F.lit(-1).cast("long")).unionByName(new.withColumn("__seq", F.monotonically_increasing_id()), allowMissingColumns=True)
-    return keep_last(both, keys, ["__seq"]).select(*columns)
+    both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    return keep_last(both, keys, ["__new", *order, *[c for c in columns if c not in keys and c not in order]]).select(*columns)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], lag_days: int = 0) -> DataFrame:
@@ -185,5 +193,5 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
 
 
 def within_ranges(rows: DataFrame, ranges: DataFrame, start: str, end: str, date: str = "date", how: str = "inner") -> DataFrame:
-    """Range join to a small table of windows, such as folds or scenarios, whose size is the caller's to bound."""
-    return rows.join(F.broadcast(ranges), (F.col(date) >= F.col(start)) & (F.col(date) <= F.col(end)), how)
+    """Range join to a table of windows, such as folds or scenarios. Spark broadcasts it where it is small, as windows are."""
+    return rows.join(ranges, (F.col(date) >= F.col(start)) & (F.col(date) <= F.col(end)), how)

@@ -48,14 +48,18 @@ def zero_if(condition: Column, value: Column) -> Column:
 
 
 def metrics(returns: DataFrame, by: Sequence[str], periods_per_year: int = 252, rate: float = 0.04, confidence: float = 0.95, ret: str = "ret") -> DataFrame:
-    """The metric set of each track: one window pass for drawdowns, one aggregation, and one more for the tail mean.
+    """The metric set of each track, from one shuffle by track: windows in the order of dates give drawdowns, the length of the
+    drawdown so far and the track's quantile, and one aggregation over the same partitions gives the rest.
 
     Ratios are 0 where their denominator is 0. A null or NaN return doesn't count. CVaR is VaR where no return reaches it.
     """
     by = list(by)
     root = math.sqrt(periods_per_year)
     clean = returns.where(F.col(ret).isNotNull() & ~F.isnan(ret)).select(*by, "date", F.col(ret).alias("ret"))
-    tracks = growth(clean, by)
+    run = W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    tracks = growth(clean, by).withColumn("__i", F.count(F.lit(1)).over(run))
+    tracks = tracks.withColumn("__below", F.col("__i") - F.coalesce(F.last(F.when(F.col("drawdown") >= 0, F.col("__i")), ignorenulls=True).over(run), F.lit(0)))
+    tracks = tracks.withColumn("__q", F.percentile("ret", F.lit(1 - confidence)).over(W.partitionBy(*by)))
     ex = F.col("ret") - rate / periods_per_year
     sums = tracks.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_obs"),
@@ -67,7 +71,9 @@ def metrics(returns: DataFrame, by: Sequence[str], periods_per_year: int = 252,
         F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2))).alias("__down"),
         F.sqrt(F.avg(F.pow(F.least(ex, F.lit(0.0)), 2))).alias("__down_excess"),
         F.min("drawdown").alias("max_drawdown"),
-        (-F.percentile("ret", F.lit(1 - confidence))).alias("var_hist"),
+        F.max("__below").alias("max_drawdown_duration"),
+        (-F.first("__q")).alias("var_hist"),
+        (-F.avg(F.when(F.col("ret") <= F.col("__q"), F.col("ret")))).alias("cvar_hist"),
         F.skewness("ret").alias("skewness"),
         F.kurtosis("ret").alias("kurtosis"),
         F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"),
@@ -83,9 +89,7 @@ def metrics(returns: DataFrame, by: Sequence[str], periods_per_year: int = 252,
             "sortino": zero_if(F.col("__down_excess") == 0, F.try_divide(F.col("__mean"), F.col("__down_excess")) * root),
         }
     ).withColumn("calmar", zero_if(F.col("max_drawdown") == 0, F.try_divide(F.col("cagr"), F.abs("max_drawdown"))))
-    duration = drawdown_duration(tracks.select(*by, "date", "drawdown"), by).withColumnRenamed("duration", "max_drawdown_duration")
-    tail = clean.join(F.broadcast(sums.select(*by, "var_hist")), by).groupBy(*by).agg(F.avg(F.when(F.col("ret") <= -F.col("var_hist"), F.col("ret"))).alias("__tail"))
-    return sums.join(duration, by).join(tail, by).withColumn("cvar_hist", F.coalesce(-F.col("__tail"), F.col("var_hist"))).drop("__mean", "__sd", "__down", "__down_excess", "__tail")
+    return sums.withColumn("cvar_hist", F.coalesce("cvar_hist", "var_hist")).drop("__mean", "__sd", "__down", "__down_excess")
 
 
 def frame(by: Sequence[str], window: int):

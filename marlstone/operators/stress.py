@@ -43,28 +43,44 @@ def replay_assets(returns: DataFrame, weights: dict[str, float], windows: DataFr
     """(scenario, n_days, pnl, max_drawdown, covered): a book held through all windows at once.
 
     Weights are scaled up to the assets that a window has; ``covered`` is the weight they had before."""
-    rows = within_ranges(returns, windows, "start", "end").join(F.broadcast(weights_frame(returns, weights)), "ticker")
+    rows = within_ranges(returns, windows, "start", "end").join(weights_frame(returns, weights), "ticker")
     present = rows.select("scenario", "ticker", "weight").distinct().groupBy("scenario").agg(F.sum("weight").alias("covered"))
-    daily = rows.groupBy("scenario", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("__r")).join(F.broadcast(present), "scenario")
+    daily = rows.groupBy("scenario", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("__r")).join(present, "scenario")
     daily = daily.withColumn("ret", F.col("__r") / F.col("covered"))
     return growth(daily, ["scenario"]).groupBy("scenario").agg(F.count(F.lit(1)).alias("n_days"), (F.max_by("growth", "date") - 1).alias("pnl"), F.min("drawdown").alias("max_drawdown"), F.first("covered").alias("covered"))
 
 
 def replay_contributions(returns: DataFrame, weights: dict[str, float], windows: DataFrame) -> DataFrame:
     """(scenario, ticker, contribution): weight times the asset's compounded return in the window."""
-    rows = within_ranges(returns, windows, "start", "end").join(F.broadcast(weights_frame(returns, weights)), "ticker")
+    rows = within_ranges(returns, windows, "start", "end").join(weights_frame(returns, weights), "ticker")
     each = rows.groupBy("scenario", "ticker").agg((F.product(1 + F.col("ret")) - 1).alias("__g"), F.first("weight").alias("weight"))
     return each.select("scenario", "ticker", (F.col("weight") / F.sum("weight").over(W.partitionBy("scenario")) * F.col("__g")).alias("contribution"))
 
 
+def _factor_days(factors: DataFrame, betas: dict[str, float], windows: DataFrame) -> DataFrame:
+    book = factors.sparkSession.createDataFrame([(k, float(v)) for k, v in betas.items()], "factor string, beta double")
+    return within_ranges(factors.join(book, "factor"), windows, "start", "end").withColumn("part", F.col("beta") * F.col("value"))
+
+
 def replay_factors(factors: DataFrame, betas: dict[str, float], windows: DataFrame) -> DataFrame:
-    """(scenario, n_days, pnl, max_drawdown) of betas times a long factor table (date, factor, value), compounded."""
-    spark = factors.sparkSession
-    book = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in betas.items()], "factor string, beta double"))
-    daily = within_ranges(factors.join(book, "factor"), windows, "start", "end").groupBy("scenario", "date").agg(F.sum(F.col("beta") * F.col("value")).alias("ret"))
+    """(scenario, n_days, pnl, max_drawdown) of betas times a long factor table (date, factor, value), compounded. A window
+    without any date of the factors is not in the result; ``require_windows`` makes that an error."""
+    daily = _factor_days(factors, betas, windows).groupBy("scenario", "date").agg(F.sum("part").alias("ret"))
     return growth(daily, ["scenario"]).groupBy("scenario").agg(F.count(F.lit(1)).alias("n_days"), (F.max_by("growth", "date") - 1).alias("pnl"), F.min("drawdown").alias("max_drawdown"))
 
 
+def replay_factor_contributions(factors: DataFrame, betas: dict[str, float], windows: DataFrame) -> DataFrame:
+    """(scenario, factor, contribution): the sum of beta times the factor's daily value over the window."""
+    return _factor_days(factors, betas, windows).groupBy("scenario", "factor").agg(F.sum("part").alias("contribution"))
+
+
+def require_windows(results: DataFrame, windows: DataFrame) -> DataFrame:
+    """``results``, or an error that names the windows without data."""
+    if gone := sorted(r[0] for r in windows.select("scenario").join(results.select("scenario"), "scenario", "left_anti").collect()):
+        raise ValueError(f"no data in the windows of {gone}")
+    return results
+
+
 def shock(spark, sensitivities: dict[str, float], shocks: dict[str, dict[str, float]]) -> DataFrame:
     """(scenario, pnl) of linear shocks; a driver that a shock leaves out doesn't move, an unknown driver is an error."""
     unknown = {f for moves in shocks.values() for f in moves} - set(sensitivities)
@@ -72,7 +88,7 @@ def shock(spark, sensitivities: dict[str, float], shocks: dict[str, dict[str, fl
         raise KeyError(f"no sensitivity to {sorted(unknown)}")
     moves = spark.createDataFrame([(s, f, float(m)) for s, moves in shocks.items() for f, m in moves.items()], "scenario string, driver string, move double")
     book = spark.createDataFrame([(f, float(b)) for f, b in sensitivities.items()], "driver string, beta double")
-    return moves.join(F.broadcast(book), "driver").groupBy("scenario").agg(F.sum(F.col("beta") * F.col("move")).alias("pnl"))
+    return moves.join(book, "driver").groupBy("scenario").agg(F.sum(F.col("beta") * F.col("move")).alias("pnl"))
 
 
 def factor_shock(spark, model: FactorModel, shocks: dict[str, dict[str, float]] = FACTOR_SHOCKS) -> DataFrame:

@@ -22,6 +22,21 @@ from marlstone.operators.regimes import RegimeState, labels
 from marlstone.plans.strategies import Context, LookAheadError, normalised
 
 DUST = 1e-4
+FREQUENCIES = ("daily", "weekly", "monthly", "quarterly", "annual")
+
+
+def _ewma(window: np.ndarray, decay: float) -> np.ndarray:
+    w = decay ** np.arange(len(window))[::-1]
+    return (window * (w / w.sum())[:, None]).T @ window
+
+
+#: Estimators of a window's covariance (rows by assets), by name.
+COVARIANCES = {
+    "sample": lambda window, decay: np.atleast_2d(np.cov(window, rowvar=False, ddof=1)),
+    "ewma": _ewma,
+    "ledoit_wolf": lambda window, decay: numeric.shrunk_to_identity(*numeric.window_moments(window)[:3])[0],
+    "constant_correlation": lambda window, decay: numeric.shrunk_to_constant_correlation(*numeric.window_moments(window))[0],
+}
 
 
 @dataclass(frozen=True)
@@ -51,7 +66,7 @@ class BacktestConfig:
     costs: CostModel = CostModel()
     allow_short: bool = False
     gross_target: float = 1.0
-    covariance: str = "sample"
+    covariance: str = "constant_correlation"
     decay: float = 0.94
     periods_per_year: int = 252
     regime: bool = False
@@ -63,6 +78,20 @@ class BacktestConfig:
     regime_iterations: int = 60
     dust: float = DUST
 
+    def __post_init__(self):
+        for frequency in (self.rebalance, self.regime_refit):
+            if frequency not in FREQUENCIES:
+                raise ValueError(f"unknown frequency {frequency!r}; one of {FREQUENCIES}")
+        if self.covariance not in COVARIANCES:
+            raise ValueError(f"unknown covariance {self.covariance!r}; one of {sorted(COVARIANCES)}")
+        if self.lookback < 2:
+            raise ValueError("a lookback needs 2 rows at least")
+
+    @property
+    def first_decision(self) -> int:
+        """The number of rows that must have passed before the first decision."""
+        return self.lookback if self.warmup is None else self.warmup
+
 
 def drifted(weights: Mapping[str, float], returns: Mapping[str, float]) -> dict[str, float]:
     """Weights after a bar: w (1 + r) over the book's growth; a book that is wiped out stays as it is."""
@@ -95,14 +124,19 @@ def decision_dates(dates: Sequence, frequency: str) -> set:
     return set(last.values())
 
 
-def _covariance(window: np.ndarray, config: BacktestConfig) -> np.ndarray:
-    if config.covariance == "ewma":
-        w = config.decay ** np.arange(len(window))[::-1]
-        return (window * (w / w.sum())[:, None]).T @ window
-    cov = np.atleast_2d(np.cov(window, rowvar=False, ddof=1))
-    if config.covariance == "sample":
-        return cov
-    raise ValueError(f"unknown covariance {config.covariance!r}")
+def window_covariance(window: np.ndarray, config: BacktestConfig) -> np.ndarray:
+    """The yearly covariance of a window by the configured estimator; zeros for a single row."""
+    if len(window) < 2:
+        return np.zeros((window.shape[1],) * 2)
+    return COVARIANCES[config.covariance](window, config.decay) * config.periods_per_year
+
+
+def deltas(current: DataFrame, target: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, ticker, current, target, delta) of two books (by…, ticker, weight); what a book lacks weighs nothing in it."""
+    now = current.select(*by, "ticker", F.col("weight").cast("double").alias("current"))
+    want = target.select(*by, "ticker", F.col("weight").cast("double").alias("target"))
+    both = now.join(want, [*by, "ticker"], "full").na.fill(0.0, ["current", "target"])
+    return both.withColumn("delta", F.col("target") - F.col("current"))
 
 
 def _regime_at(as_of, market_dates, market, config: BacktestConfig) -> RegimeState | None:
@@ -118,13 +152,17 @@ def _regime_at(as_of, market_dates, market, config: BacktestConfig) -> RegimeSta
 
 
 def run_one(strategy, dates: Sequence, matrix: np.ndarray, tickers: Sequence[str], config: BacktestConfig, market_dates=None, market=None) -> dict[str, list]:
-    """One run over a matrix of returns: rows of the equity curve, positions and trades, from the first decision on."""
+    """One run over a matrix of returns: rows of the equity curve, positions and trades, from the first decision on.
+
+    A history no longer than the warmup, or one without a decision after it, is an error. Regimes are those of the market
+    series; without one there are none.
+    """
     tickers = tuple(tickers)
+    if len(dates) <= config.first_decision:
+        raise ValueError(f"{len(dates)} rows are not enough for a warmup of {config.first_decision}")
     decide = decision_dates(dates, config.rebalance)
     refit = decision_dates(dates, config.regime_refit)
-    warmup = config.lookback if config.warmup is None else config.warmup
-    if market is None:
-        market_dates, market = list(dates), matrix.mean(axis=1)
+    warmup = config.first_decision
     equity, book, regime, started = 1.0, {}, None, False
     curve, positions, trades = [], [], []
     for i, day in enumerate(dates):
@@ -134,10 +172,10 @@ def run_one(strategy, dates: Sequence, matrix: np.ndarray, tickers: Sequence[str
         book = drifted(book, today)
         cost = 0.0
         if day in decide and i + 1 >= warmup:
-            if config.regime and (regime is None or day in refit):
-                regime = _regime_at(day, market_dates, market, config) or regime
+            if config.regime and market is not None and (regime is None or day in refit):
+                regime = _regime_at(day, market_dates, market, config)
             window = slice(max(0, i + 1 - config.lookback), i + 1)
-            context = Context(day, tickers, matrix[window], tuple(dates[window]), _covariance(matrix[window], config) if i else np.zeros((len(tickers),) * 2), book, config.periods_per_year, regime, config.publication_lag_days)
+            context = Context(day, tickers, matrix[window], tuple(dates[window]), window_covariance(matrix[window], config), book, config.periods_per_year, regime, config.publication_lag_days)
             target = normalised(strategy.target_weights(context), tickers, config.gross_target, config.allow_short)
             fills, cost, book = rebalanced(book, target, config.costs, config.dust)
             equity *= 1 - cost
@@ -146,9 +184,19 @@ def run_one(strategy, dates: Sequence, matrix: np.ndarray, tickers: Sequence[str
         if started:
             curve.append((day, equity, (1 + earned) * (1 - cost) - 1, sum(abs(w) for w in book.values()), sum(book.values())))
             positions += [(day, t, w) for t, w in sorted(book.items())]
+    if not curve:
+        raise ValueError("no decision date falls after the warmup")
     return {"equity": curve, "positions": positions, "trades": trades}
 
 
+def market_series(market: DataFrame | None) -> tuple[list | None, list | None]:
+    """Dates and returns of one market track (date, ret), one number a day; none without one."""
+    if market is None:
+        return None, None
+    rows = sorted((r["date"], r["ret"]) for r in market.select("date", "ret").collect())
+    return [d for d, _ in rows], [v for _, v in rows]
+
+
 RUN_SCHEMA = "run_id string, kind string, date date, ticker string, equity double, ret double, gross double, net double, weight double, delta double, cost double"
 
 
@@ -160,7 +208,7 @@ def run_all(returns: DataFrame, strategies: Sequence, configs: Mapping[str, Back
     """
     configs = {"": configs} if isinstance(configs, BacktestConfig) else dict(configs)
     runs = {f"{s.name}{'/' + c if c else ''}": (s, config) for s in strategies for c, config in configs.items()}
-    market_rows = [] if market is None else sorted((r["date"], r["ret"]) for r in market.select("date", "ret").collect())  # one number a day
+    market_dates, market_rets = market_series(market)
     fan = returns.select("date", "ticker", "ret", F.explode(F.array(*[F.lit(k) for k in runs])).alias("run_id"))
 
     def run(key, pdf):
@@ -169,7 +217,7 @@ def run_all(returns: DataFrame, strategies: Sequence, configs: Mapping[str, Back
         strategy, config = runs[key[0]]
         wide = pdf.pivot(index="date", columns="ticker", values="ret").sort_index().dropna()
         days = [d.date() if hasattr(d, "date") else d for d in wide.index]
-        out = run_one(strategy, days, wide.to_numpy(), list(wide.columns), config, [d for d, _ in market_rows] or None, [v for _, v in market_rows] or None)
+        out = run_one(strategy, days, wide.to_numpy(), list(wide.columns), config, market_dates, market_rets)
         rows = [(key[0], "equity", d, None, e, r, g, n, None, None, None) for d, e, r, g, n in out["equity"]]
         rows += [(key[0], "position", d, t, None, None, None, None, w, None, None) for d, t, w in out["positions"]]
         rows += [(key[0], "trade", d, t, None, None, None, None, None, x, c) for d, t, x, c in out["trades"]]
@@ -201,9 +249,15 @@ def trades_by_asset(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'trade'").groupBy("run_id", "ticker").agg(F.sum(F.abs("delta")).alias("turnover"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n_trades"))
 
 
+def cumulated(rows: DataFrame, value: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` with cumulative_<value>: the sum of the rows so far of each track."""
+    run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(f"cumulative_{value}", F.sum(value).over(run))
+
+
 def trades_by_date(rows: DataFrame) -> DataFrame:
     each = rows.where("kind = 'trade'").groupBy("run_id", "date").agg(F.sum(F.abs("delta")).alias("turnover"), F.sum("cost").alias("cost"))
-    return each.withColumn("cumulative_cost", F.sum("cost").over(W.partitionBy("run_id").orderBy("date")))
+    return cumulated(each, "cost", ["run_id"], ["date"])
 
 
 # ---------------------------------------------------------------- static targets, relationally

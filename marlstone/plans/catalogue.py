@@ -127,14 +127,14 @@ _GROWTH = "g AS (SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY d
 _DD = "dd AS (SELECT *, growth / max(growth) OVER (PARTITION BY ticker ORDER BY date) - 1 AS drawdown FROM g)"
 
 
-@query(panels.sql("flag", _GROWTH, _DD, select="SELECT date, ticker, round(drawdown, 6) AS drawdown FROM dd"))
+@query(panels.sql("flag", _GROWTH, _DD, select="SELECT date, ticker, round(drawdown, 9) AS drawdown FROM dd"))
 def drawdown(spark, d):
-    return rounded(performance.growth(panels.returns(spark, d, "flag"), ["ticker"]).select("date", "ticker", "drawdown"))
+    return rounded(performance.growth(panels.returns(spark, d, "flag"), ["ticker"]).select("date", "ticker", "drawdown"), 9)
 
 
-@query(panels.sql("flag", _GROWTH, _DD, select="SELECT date, ticker, round(drawdown, 6) AS drawdown FROM dd"))
+@query(panels.sql("flag", _GROWTH, _DD, select="SELECT date, ticker, round(drawdown, 9) AS drawdown FROM dd"))
 def drawdown_by_logs(spark, d):
-    return rounded(performance.log_drawdown(panels.returns(spark, d, "flag"), ["ticker"]).select("date", "ticker", "drawdown"))
+    return rounded(performance.log_drawdown(panels.returns(spark, d, "flag"), ["ticker"]).select("date", "ticker", "drawdown"), 9)
 
 
 @query(
@@ -180,19 +180,19 @@ _PAIRS = "pr AS (SELECT x.date, x.ticker AS a, y.ticker AS b, x.ret AS ra, y.ret
 _COV = "cv AS (SELECT a, b, covar_samp(ra, rb) AS cov, count(*) AS n FROM pr GROUP BY 1, 2)"
 
 
-@query(panels.sql("prio_month", _PAIRS, _COV, select="SELECT a, b, round(cov, 9) AS cov, n FROM cv"))
+@query(panels.sql("prio_month", _PAIRS, _COV, select="SELECT a, b, round(cov, 14) AS cov, n FROM cv"))
 def cov_matrix(spark, d):
-    return rounded(C.covariance(panels.returns(spark, d, "prio_month")), 9)
+    return rounded(C.covariance(panels.returns(spark, d, "prio_month")), 14)
 
 
 @query(
     panels.sql(
         "prio_month", _PAIRS, "w AS (SELECT *, pow(0.94, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) - 1) AS w FROM pr)",
-        select="SELECT a, b, round(sum(w * ra * rb) / sum(w), 9) AS cov FROM w GROUP BY 1, 2",
+        select="SELECT a, b, round(sum(w * ra * rb) / sum(w), 14) AS cov FROM w GROUP BY 1, 2",
     )
 )
 def ewma_cov(spark, d):
-    return rounded(C.ewma_covariance(panels.returns(spark, d, "prio_month")), 9)
+    return rounded(C.ewma_covariance(panels.returns(spark, d, "prio_month")), 14)
 
 
 _RHO = "rho AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE corr(ra, rb) END AS rho FROM pr GROUP BY 1, 2)"
@@ -263,21 +263,21 @@ _CFZ = f"({Z05!r} + ({Z05!r} * {Z05!r} - 1) / 6 * sk + (pow({Z05!r}, 3) - 3 * {Z
         "flag",
         "s AS (SELECT ticker, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, (avg(pow(ret, 3)) - 3 * avg(ret) * avg(pow(ret, 2)) + 2 * pow(avg(ret), 3)) / pow(avg(pow(ret, 2)) - pow(avg(ret), 2), 1.5) AS sk, kurtosis_pop(ret) AS ku, -quantile_cont(ret, 0.05) AS v FROM r GROUP BY ticker)",
         "t AS (SELECT ticker, avg(ret) FILTER (WHERE ret <= -v) AS tail FROM r JOIN s USING (ticker) GROUP BY ticker)",
-        select=f"SELECT ticker, n, round(v, 6) AS var_hist, round(coalesce(-tail, v), 6) AS cvar_hist, round(-(m + {Z05!r} * sd), 6) AS var_gauss, round(-(m + {_CFZ} * sd), 6) AS var_cf FROM s JOIN t USING (ticker)",
+        select=f"SELECT ticker, n, round(v, 9) AS var_hist, round(coalesce(-tail, v), 9) AS cvar_hist, round(-(m + {Z05!r} * sd), 9) AS var_gauss, round(-(m + {_CFZ} * sd), 9) AS var_cf FROM s JOIN t USING (ticker)",
     )
 )
 def tail_measures(spark, d):
-    return rounded(C.historical_tail(panels.returns(spark, d, "flag"), ["ticker"]))
+    return rounded(C.historical_tail(panels.returns(spark, d, "flag"), ["ticker"]), 9)
 
 
 @query(
     panels.sql(
-        "prio_month", "c AS (SELECT date, ticker, ret - avg(ret) OVER (PARTITION BY ticker) AS ret FROM r)",
+        "prio_month", "c AS (SELECT date, ticker, 100 * (ret - avg(ret) OVER (PARTITION BY ticker)) AS ret FROM r)",
         select="SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, round(avg(x.ret * y.ret), 9) AS xy, round(avg(x.ret * x.ret * y.ret * y.ret), 9) AS xxyy, round(avg(pow(x.ret, 3) * y.ret), 9) AS xxxy, round(avg(x.ret * pow(y.ret, 3)), 9) AS xyyy FROM c x JOIN c y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2",
     )
 )
 def shrinkage_moments(spark, d):
-    return rounded(C.moments(panels.returns(spark, d, "prio_month")), 9)
+    return rounded(C.moments(panels.returns(spark, d, "prio_month").withColumn("ret", 100 * F.col("ret"))), 9)
 
 
 @query(
@@ -328,6 +328,65 @@ def factor_regression(spark, d):
     return rounded(spark.createDataFrame([("one factor", m.n_obs, float(m.betas[0]), m.alpha, m.r_squared)], "model string, n long, beta double, alpha double, r_squared double"))
 
 
+_XY = "xy AS (SELECT date, max(ret) FILTER (WHERE ticker = 'A') AS y, max(ret) FILTER (WHERE ticker = 'N') AS f, max(ret) FILTER (WHERE ticker = 'R') AS h FROM r GROUP BY date)"
+_ONE = [
+    _XY,
+    "ab AS (SELECT regr_intercept(y, f) AS a, regr_slope(y, f) AS b, count(*) AS n, sum(f) AS sf, sum(f * f) AS sff, var_samp(f) AS vf, avg(f) AS mf, avg(y) AS my FROM xy)",
+    "re AS (SELECT date, y - a - b * f AS e, (y - a - b * f) * f AS g FROM xy, ab)",
+    "ss AS (SELECT sum(e * e) AS sse FROM re)",
+]
+_HAC = [
+    "lg AS (SELECT l, CASE WHEN l = 0 THEN 0.5 ELSE 1 - l / 6.0 END AS w FROM range(6) t(l))",
+    "nr AS (SELECT *, row_number() OVER (ORDER BY date) AS i FROM re)",
+    "me AS (SELECT sum(2 * w * x.e * p.e) AS m00, sum(w * (x.e * p.g + x.g * p.e)) AS m01, sum(2 * w * x.g * p.g) AS m11 FROM nr x JOIN lg ON TRUE JOIN nr p ON p.i = x.i - l)",
+    "dt AS (SELECT *, n * sff - sf * sf AS dd FROM ab, me)",
+    "se AS (SELECT a, b, sqrt((sff * sff * m00 - 2 * sff * sf * m01 + sf * sf * m11) / (dd * dd)) AS sa, sqrt((sf * sf * m00 - 2 * n * sf * m01 + n * n * m11) / (dd * dd)) AS sb FROM dt)",
+]
+
+
+def _one_factor(spark, d):
+    wide = panel.to_wide(panels.returns(spark, d, "flag"), sorted(FLAG_BOOK), "ret")
+    return FA.align(wide.select("date", F.col("A").alias("ret")), wide.select("date", "N"), ["N"])
+
+
+@query(panels.sql("flag", *_ONE, *_HAC, select="SELECT 'alpha' AS term, round(a, 9) AS estimate, round(sa, 9) AS std_error, round(a / sa, 6) AS t_stat FROM se UNION ALL SELECT 'N', round(b, 9), round(sb, 9), round(b / sb, 6) FROM se"))
+def newey_west_errors(spark, d):
+    t = FA.factor_model(_one_factor(spark, d)).table(spark)
+    return t.select("term", F.round("estimate", 9).alias("estimate"), F.round("std_error", 9).alias("std_error"), F.round("t_stat", 6).alias("t_stat"))
+
+
+@query(panels.sql("flag", *_ONE, "va AS (SELECT *, sse / (n - 2) AS s2, sff - sf * sf / n AS sxx FROM ab, ss)", select="SELECT 'alpha' AS term, round(a, 9) AS estimate, round(sqrt(s2 * (1.0 / n + mf * mf / sxx)), 9) AS std_error FROM va UNION ALL SELECT 'N', round(b, 9), round(sqrt(s2 / sxx), 9) FROM va"))
+def macro_sensitivities(spark, d):
+    return rounded(stress.macro_sensitivities(_one_factor(spark, d)).table(spark).select("term", "estimate", "std_error"), 9)
+
+
+@query(panels.sql("flag", *_ONE, "rk AS (SELECT b * b * vf * 252 AS sy, sse / (n - 2) * 252 AS sp FROM ab, ss)", select="SELECT round(sy, 9) AS systematic, round(sp, 9) AS specific, round(sqrt(sy + sp), 9) AS volatility, round(sy / (sy + sp), 9) AS share FROM rk"))
+def factor_risk(spark, d):
+    aligned = _one_factor(spark, d)
+    risk = FA.factor_risk(FA.factor_model(aligned), FA.factor_covariance(aligned))
+    return rounded(spark.createDataFrame([(risk["systematic"], risk["specific"], risk["volatility"], risk["shares"]["N"])], "systematic double, specific double, volatility double, share double"), 9)
+
+
+@query(panels.sql("flag", *_ONE, select="SELECT round(a, 9) AS alpha, round(b * mf, 9) AS factor_part, round(my, 9) AS mean FROM ab"))
+def factor_attribution(spark, d):
+    aligned = _one_factor(spark, d)
+    part = FA.attribution(aligned, FA.factor_model(aligned))
+    return rounded(spark.createDataFrame([(part["alpha"], part["factors"]["N"], part["mean"])], "alpha double, factor_part double, mean double"), 9)
+
+
+@query(
+    panels.sql(
+        "flag", _XY, "k AS (SELECT count(*) AS n, regr_slope(y, f) AS b1, regr_slope(h, f) AS b2, var_samp(f) AS vf, regr_sxx(y, f) AS sxx, regr_syy(y, f) AS syy, regr_syy(h, f) AS shh FROM xy)",
+        select="SELECT a, b, round(cov * 252, 12) AS cov FROM (SELECT 'A' AS a, 'A' AS b, b1 * b1 * vf + (syy - b1 * b1 * sxx) / (n - 2) AS cov FROM k UNION ALL SELECT 'A', 'R', b1 * b2 * vf FROM k UNION ALL SELECT 'R', 'R', b2 * b2 * vf + (shh - b2 * b2 * sxx) / (n - 2) FROM k)",
+    )
+)
+def factor_implied_covariance(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    factor = rows.where("ticker = 'N'").select("date", F.col("ret").alias("N"))
+    m = FA.estimate_implied_covariance(rows, factor, ["A", "R"], ["N"])
+    return rounded(spark.createDataFrame([("A", "A", float(m[0, 0])), ("A", "R", float(m[0, 1])), ("R", "R", float(m[1, 1]))], "a string, b string, cov double"), 12)
+
+
 @query(panels.sql("flag", _MKT, select="SELECT r.date, r.ticker, round(ret, 6) AS ret, round(factor, 6) AS factor FROM r JOIN mk USING (date)"))
 def factor_alignment(spark, d):
     return rounded(_market_pairs(spark, d).select("date", "ticker", "ret", "factor"))
@@ -400,11 +459,11 @@ WINDOWS = [("first", "1993-01-01", "1993-06-30"), ("second", "1994-03-01", "1995
         "x AS (SELECT scenario, date, sum(weight * ret) AS q, sum(weight) AS w FROM r JOIN book USING (ticker) JOIN wn ON date BETWEEN s AND e GROUP BY 1, 2)",
         "y AS (SELECT scenario, date, product(1 + q) OVER (PARTITION BY scenario ORDER BY date) AS g FROM x)",
         "z AS (SELECT *, g / max(g) OVER (PARTITION BY scenario ORDER BY date) - 1 AS dd FROM y)",
-        select="SELECT scenario, count(*) AS n_days, round(arg_max(g, date) - 1, 6) AS pnl, round(min(dd), 6) AS max_drawdown, 1.0 AS covered FROM z GROUP BY scenario",
+        select="SELECT scenario, count(*) AS n_days, round(arg_max(g, date) - 1, 9) AS pnl, round(min(dd), 9) AS max_drawdown, 1.0 AS covered FROM z GROUP BY scenario",
     )
 )
 def scenario_replay(spark, d):
-    return rounded(stress.replay_assets(panels.returns(spark, d, "flag"), FLAG_BOOK, stress.scenarios(spark, WINDOWS)))
+    return rounded(stress.replay_assets(panels.returns(spark, d, "flag"), FLAG_BOOK, stress.scenarios(spark, WINDOWS)), 9)
 
 
 @query(
@@ -417,6 +476,31 @@ def scenario_contributions(spark, d):
     return rounded(stress.replay_contributions(panels.returns(spark, d, "flag"), FLAG_BOOK, stress.scenarios(spark, WINDOWS)))
 
 
+_BETAS = "bt AS (SELECT * FROM (VALUES ('N', 1.1), ('R', -0.4)) t(ticker, beta))"
+_BETA_DAYS = "fx AS (SELECT scenario, date, ticker AS factor, beta * ret AS part FROM r JOIN bt USING (ticker) JOIN wn ON date BETWEEN s AND e)"
+
+
+def _factor_table(spark, d) -> DataFrame:
+    return panels.returns(spark, d, "flag").select("date", F.col("ticker").alias("factor"), F.col("ret").alias("value"))
+
+
+@query(
+    panels.sql(
+        "flag", _BETAS, _WINDOWS, _BETA_DAYS,
+        "y AS (SELECT scenario, date, product(1 + q) OVER (PARTITION BY scenario ORDER BY date) AS g FROM (SELECT scenario, date, sum(part) AS q FROM fx GROUP BY 1, 2))",
+        "z AS (SELECT *, g / max(g) OVER (PARTITION BY scenario ORDER BY date) - 1 AS dd FROM y)",
+        select="SELECT scenario, count(*) AS n_days, round(arg_max(g, date) - 1, 9) AS pnl, round(min(dd), 9) AS max_drawdown FROM z GROUP BY scenario",
+    )
+)
+def factor_replay(spark, d):
+    return rounded(stress.replay_factors(_factor_table(spark, d), {"N": 1.1, "R": -0.4}, stress.scenarios(spark, WINDOWS)), 9)
+
+
+@query(panels.sql("flag", _BETAS, _WINDOWS, _BETA_DAYS, select="SELECT scenario, factor, round(sum(part), 9) AS contribution FROM fx GROUP BY 1, 2"))
+def factor_replay_contributions(spark, d):
+    return rounded(stress.replay_factor_contributions(_factor_table(spark, d), {"N": 1.1, "R": -0.4}, stress.scenarios(spark, WINDOWS)), 9)
+
+
 @query("SELECT * FROM (VALUES ('EQUITY_CRASH', -0.22), ('VALUE_ROTATION', -0.085), ('QUALITY_FLIGHT', -0.062)) t(scenario, pnl)")
 def factor_shocks(spark, d):
     return rounded(stress.shock(spark, {"Mkt-RF": 1.1, "HML": -0.3, "RMW": 0.6}, stress.FACTOR_SHOCKS))
@@ -552,10 +636,9 @@ def fold_ranges(spark, d):
 
 @query(panels.sql("flag", _BOOK, select="SELECT ticker, coalesce(weight, 0.0) AS current, coalesce(target, 0.0) AS target, round(coalesce(target, 0) - coalesce(weight, 0), 6) AS delta FROM book FULL JOIN (SELECT * FROM (VALUES ('A', 0.2), ('X', 0.8)) t(ticker, target)) USING (ticker)"))
 def rebalance_deltas(spark, d):
-    now = spark.createDataFrame(list(FLAG_BOOK.items()), "ticker string, current double")
-    want = spark.createDataFrame([("A", 0.2), ("X", 0.8)], "ticker string, target double")
-    both = now.join(want, "ticker", "full").na.fill(0.0)
-    return rounded(both.select("ticker", "current", "target", (F.col("target") - F.col("current")).alias("delta")))
+    now = spark.createDataFrame(list(FLAG_BOOK.items()), "ticker string, weight double")
+    want = spark.createDataFrame([("A", 0.2), ("X", 0.8)], "ticker string, weight double")
+    return rounded(backtest.deltas(now, want))
 
 
 # ---------------------------------------------------------------- other aggregates
@@ -565,47 +648,42 @@ def rebalance_deltas(spark, d):
 def effective_positions(spark, d):
     w = F.col("c_acctbal") / F.sum(F.abs("c_acctbal")).over(W.partitionBy("c_mktsegment"))
     rows = read_table(spark, d, "customer").select("c_mktsegment", w.alias("w"))
-    return rounded(rows.groupBy("c_mktsegment").agg((1 / F.sum(F.col("w") * F.col("w"))).alias("effective_n"), F.sum(F.abs("w")).alias("gross"), F.sum("w").alias("net")))
+    return rounded(C.exposures(rows, ["c_mktsegment"], "w"))
 
 
 @query(
     panels.sql(
-        "flag", "u AS (SELECT ticker, quantile_cont(-ret, 0.95) AS u FROM r GROUP BY ticker)", "e AS (SELECT r.ticker, -ret AS loss FROM r JOIN u USING (ticker) WHERE -ret > u)",
-        select="SELECT ticker, round(loss, 6) AS loss, round((row_number() OVER (PARTITION BY ticker ORDER BY loss) - 0.5) / count(*) OVER (PARTITION BY ticker), 6) AS position FROM e",
+        "flag", "u AS (SELECT ticker, quantile_cont(-ret, 0.95) AS u, count(*) AS n FROM r GROUP BY ticker)", "e AS (SELECT r.ticker, -ret AS loss, u, n FROM r JOIN u USING (ticker) WHERE -ret > u)",
+        select="SELECT ticker, round(u, 9) AS threshold, n, round(loss, 9) AS loss, round((row_number() OVER (PARTITION BY ticker ORDER BY loss) - 0.5) / count(*) OVER (PARTITION BY ticker), 9) AS position FROM e",
     )
 )
 def exceedance_positions(spark, d):
-    losses = panels.returns(spark, d, "flag").select("ticker", (-F.col("ret")).alias("loss"))
-    u = losses.groupBy("ticker").agg(F.percentile("loss", F.lit(0.95)).alias("u"))
-    over = losses.join(F.broadcast(u), "ticker").where("loss > u")
-    by = W.partitionBy("ticker")
-    return rounded(over.select("ticker", "loss", ((F.row_number().over(by.orderBy("loss")) - 0.5) / F.count(F.lit(1)).over(by)).alias("position")))
+    return rounded(C.exceedances(panels.returns(spark, d, "flag"), ["ticker"]).select("ticker", "threshold", "n", "loss", "position"), 9)
 
 
 @query("SELECT o_custkey, o_orderdate, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cumulative FROM orders")
 def cumulative_cost(spark, d):
-    run = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
-    return read_table(spark, d, "orders").select("o_custkey", "o_orderdate", F.round(F.sum("o_totalprice").over(run), 2).alias("cumulative"))
+    rows = backtest.cumulated(read_table(spark, d, "orders"), "o_totalprice", ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return rows.select("o_custkey", "o_orderdate", F.round("cumulative_o_totalprice", 2).alias("cumulative"))
 
 
 @query("SELECT l_suppkey, l_partkey, quantity FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS k FROM lineitem GROUP BY 1, 2) WHERE k <= 3")
 def top_by_group(spark, d):
     sums = read_table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"))
-    k = F.row_number().over(W.partitionBy("l_suppkey").orderBy(F.desc("quantity"), "l_partkey"))
-    return sums.withColumn("k", k).where("k <= 3").drop("k")
+    return panel.top_k(sums, ["l_suppkey"], [F.desc("quantity"), "l_partkey"], 3)
 
 
 @query("SELECT CAST(o_orderdate AS DATE) AS date, round(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END), 2) AS urgent, round(sum(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END), 2) AS low FROM orders GROUP BY 1")
 def pivot_wide(spark, d):
     rows = read_table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("ticker"), "o_totalprice")
-    wide = rows.groupBy("date").pivot("ticker", ["1-URGENT", "5-LOW"]).agg(F.round(F.sum("o_totalprice"), 2))
-    return wide.withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
+    sums = rows.groupBy("date", "ticker").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return panel.to_wide(sums, ["1-URGENT", "5-LOW"], "total").withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
 
 
 @query("SELECT s_suppkey, name, v FROM (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS nation, s_acctbal AS balance FROM supplier) UNPIVOT (v FOR name IN (nation, balance))")
 def unpivot_long(spark, d):
     rows = read_table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("nation"), F.col("s_acctbal").alias("balance"))
-    return rows.unpivot(["s_suppkey"], ["nation", "balance"], "name", "v")
+    return panel.to_long(rows, "v", "name", ["s_suppkey"])
 
 
 # ---------------------------------------------------------------- the SQL surface
@@ -619,16 +697,16 @@ _SQL = {
     "sql_union_all": "SELECT s_nationkey AS nation FROM supplier UNION ALL SELECT c_nationkey FROM customer",
     "sql_union": "SELECT s_nationkey AS nation FROM supplier UNION SELECT c_nationkey FROM customer",
     "sql_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'",
-    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000",
     "sql_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
-    "sql_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "sql_correlated": "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "sql_having": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 5",
     "sql_case_filter": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, round(avg(CASE WHEN value <= 50 THEN value END), 6) AS low_mean FROM events GROUP BY event_type",
     "sql_star_join": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
     "sql_recursive": "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
     "sql_full_join": "SELECT coalesce(s.nation, c.nation) AS nation, coalesce(s.n, 0) AS suppliers, coalesce(c.n, 0) AS customers FROM (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1) c ON s.nation = c.nation",
-    "sql_distinct_on": "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS largest FROM orders GROUP BY o_custkey",
+    "sql_distinct_on": "SELECT o_custkey, o_orderkey AS largest FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
     "sql_tumbling": "SELECT CAST(ts AS DATE) AS day, event_type AS ticker, round(avg(value), 6) AS price, count(*) AS n FROM events GROUP BY 1, 2",
 }
 
@@ -676,7 +754,7 @@ _MONTHLY = [
     "dn AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM r))",
     "dc AS (SELECT max(date) AS date, 1 AS dec FROM dn WHERE TRUE GROUP BY year(date), month(date) HAVING max(i) >= 21)",
     "dy AS (SELECT dn.date, coalesce(dec, 0) AS dec, coalesce(sum(coalesce(dec, 0)) OVER (ORDER BY dn.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS per FROM dn LEFT JOIN dc USING (date))",
-    "rw AS (SELECT r.date, per, dec, weight, product(1 + ret) OVER (PARTITION BY r.ticker, per ORDER BY r.date) AS g FROM r JOIN bk USING (ticker) JOIN dy USING (date) WHERE per > 0)",
+    "rw AS (SELECT r.date, r.ticker, per, dec, weight, product(1 + ret) OVER (PARTITION BY r.ticker, per ORDER BY r.date) AS g FROM r JOIN bk USING (ticker) JOIN dy USING (date) WHERE per > 0)",
     "br AS (SELECT date, per, dec, 1 + sum(weight * (g - 1)) AS v FROM rw GROUP BY 1, 2, 3)",
     "cs AS (SELECT br.date, br.per, br.dec, br.v, CASE WHEN br.dec = 1 THEN sum(abs(rw.weight - rw.weight * rw.g / br.v)) * 0.001 ELSE 0 END AS cost FROM br JOIN rw ON rw.date = br.date GROUP BY 1, 2, 3, 4)",
     "en AS (SELECT 0 AS per, 1 - 0.001 AS f UNION ALL SELECT per, v * (1 - cost) FROM cs WHERE dec = 1)",
@@ -698,25 +776,75 @@ def backtest_grouped(spark, d):
     return rounded(rows.where("kind = 'equity'").select("date", "equity"))
 
 
-STRATEGIES = [strategies.EqualWeight(), strategies.MinimumVariance(), strategies.RiskParity(), strategies.HierarchicalRiskParity(), strategies.InverseVolatility(), strategies.Momentum(), strategies.DeriskOnDrawdown(), strategies.RegimeAware()]
+STRATEGIES = [strategies.EqualWeight(), strategies.MinimumVariance(), strategies.RiskParity(), strategies.HierarchicalRiskParity(), strategies.InverseVolatility(), strategies.Momentum(), strategies.DeriskOnDrawdown("N"), strategies.RegimeAware("N")]
+_FILLS = "fl AS (SELECT (SELECT min(date) FROM dc) AS date, ticker, weight AS d FROM bk UNION ALL SELECT rw.date, rw.ticker, rw.weight - rw.weight * rw.g / br.v FROM rw JOIN br USING (date) WHERE rw.dec = 1)"
+
+
+def _equal_run(spark, d) -> DataFrame:
+    return backtest.run_all(panels.returns(spark, d, "flag"), [strategies.EqualWeight()], backtest.BacktestConfig(lookback=21, dust=0.0))
+
+
+@query(panels.sql("flag", *_MONTHLY, _FILLS, select="SELECT 'equal_weight' AS run_id, ticker, round(sum(abs(d)), 9) AS turnover, round(sum(abs(d)) * 0.001, 9) AS cost, count(*) AS n_trades FROM fl GROUP BY ticker"))
+def backtest_trades(spark, d):
+    return rounded(backtest.trades_by_asset(_equal_run(spark, d)), 9)
+
+
+@query(panels.sql("flag", *_MONTHLY, _FILLS, select="SELECT 'equal_weight' AS run_id, date, round(turnover, 9) AS turnover, round(turnover * 0.001, 9) AS cost, round(sum(turnover * 0.001) OVER (ORDER BY date), 9) AS cumulative_cost FROM (SELECT date, sum(abs(d)) AS turnover FROM fl GROUP BY date)"))
+def backtest_costs(spark, d):
+    return rounded(backtest.trades_by_date(_equal_run(spark, d)), 9)
+
+
+@query(
+    panels.sql(
+        "flag", *_MONTHLY, _FILLS, "eq AS (SELECT date, base * v * (1 - cost) AS equity FROM cs JOIN ch USING (per))",
+        select="SELECT 'equal_weight' AS run_id, round(sum(abs(d)), 9) AS turnover, round(sum(abs(d)) * 0.001, 9) AS total_cost, count(DISTINCT date) AS n_rebalances, round((SELECT arg_max(equity, date) FROM eq), 9) AS final_equity FROM fl",
+    )
+)
+def backtest_totals(spark, d):
+    return rounded(backtest.run_metrics(_equal_run(spark, d)).select("run_id", "turnover", "total_cost", "n_rebalances", "final_equity"), 9)
 
 
 @query()
 def backtest_strategies(spark, d):
-    return rounded(backtest.run_metrics(backtest.run_all(panels.returns(spark, d, "flag"), STRATEGIES, backtest.BacktestConfig(lookback=126, regime=True, regime_restarts=1, regime_refit="annual"))))
+    rows = panels.returns(spark, d, "flag")
+    config = backtest.BacktestConfig(lookback=126, regime=True, regime_restarts=1, regime_refit="annual")
+    return rounded(backtest.run_metrics(backtest.run_all(rows, STRATEGIES, config, panel.equal_weight_returns(rows))))
 
 
-@query()
-def backtest_trades(spark, d):
-    return rounded(backtest.trades_by_asset(backtest.run_all(panels.returns(spark, d, "flag"), STRATEGIES[:3], backtest.BacktestConfig(lookback=126))))
+def _folds(rows: DataFrame) -> list:
+    dates = [r[0] for r in rows.select("date").distinct().orderBy("date").collect()]  # one track of dates
+    return walkforward.make_folds(dates, 4, min_train=max(60, min(504, len(dates) // 3)))
+
+
+_FOLDED = [
+    "bk AS (SELECT ticker, 1.0 / count(*) OVER () AS weight FROM (SELECT DISTINCT ticker FROM r))",
+    "nd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM r))",
+    "fo AS (SELECT fold, m + CAST(floor((n - m) * fold / 4.0) AS BIGINT) AS lo, m + CAST(floor((n - m) * (fold + 1) / 4.0) AS BIGINT) - 1 AS hi FROM (SELECT DISTINCT n, greatest(60, least(504, n // 3)) AS m FROM nd), range(4) t(fold))",
+    "fd AS (SELECT fold, date, i, lo FROM nd JOIN fo ON i <= hi)",
+    "dc AS (SELECT fold, max(date) AS date, 1 AS dec FROM fd GROUP BY fold, year(date), month(date) HAVING max(i) + 1 >= 42)",
+    "dy AS (SELECT fd.fold, fd.date, lo, i, coalesce(dec, 0) AS dec, coalesce(sum(coalesce(dec, 0)) OVER (PARTITION BY fd.fold ORDER BY fd.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS per FROM fd LEFT JOIN dc ON dc.fold = fd.fold AND dc.date = fd.date)",
+    "rw AS (SELECT fold, r.date, i, lo, per, dec, weight, product(1 + ret) OVER (PARTITION BY fold, r.ticker, per ORDER BY r.date) AS g FROM r JOIN bk USING (ticker) JOIN dy USING (date) WHERE per > 0)",
+    "br AS (SELECT fold, date, i, lo, per, dec, 1 + sum(weight * (g - 1)) AS v FROM rw GROUP BY ALL)",
+    "cs AS (SELECT br.fold, br.date, br.i, br.lo, br.per, br.dec, br.v, CASE WHEN br.dec = 1 THEN sum(abs(rw.weight - rw.weight * rw.g / br.v)) * 0.001 ELSE 0 END AS cost FROM br JOIN rw ON rw.date = br.date AND rw.fold = br.fold GROUP BY 1, 2, 3, 4, 5, 6, 7)",
+    "en AS (SELECT DISTINCT fold, 0 AS per, 1 - 0.001 AS f FROM fo UNION ALL SELECT fold, per, v * (1 - cost) FROM cs WHERE dec = 1)",
+    "ch AS (SELECT fold, per + 1 AS per, product(f) OVER (PARTITION BY fold ORDER BY per) AS base FROM en)",
+    "sg AS (SELECT cs.fold, date, base * v * (1 - cost) AS equity FROM cs JOIN ch ON ch.fold = cs.fold AND ch.per = cs.per WHERE i >= lo)",
+    "gr AS (SELECT fold, arg_max(equity, date) / arg_min(equity, date) AS g FROM sg GROUP BY fold)",
+    "bs AS (SELECT fold, coalesce(product(g) OVER (ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS base FROM gr)",
+]
+
+
+@query(panels.sql("flag", *_FOLDED, select="SELECT CAST(fold AS BIGINT) AS fold, date, round(base * equity / first_value(equity) OVER (PARTITION BY fold ORDER BY date), 9) AS equity FROM sg JOIN bs USING (fold)"))
+def walk_forward_equity(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    out, _ = walkforward.walk_forward(rows, [strategies.EqualWeight()], _folds(rows), backtest.BacktestConfig(lookback=42, dust=0.0))
+    return rounded(out.where("kind = 'equity'").select("fold", "date", "equity"), 9)
 
 
 @query()
 def walk_forward(spark, d):
     rows = panels.returns(spark, d, "flag")
-    dates = [r[0] for r in rows.select("date").distinct().orderBy("date").collect()]  # one track of dates
-    folds = walkforward.make_folds(dates, 4, min_train=max(60, min(504, len(dates) // 3)))
-    out, _ = walkforward.walk_forward(rows, [strategies.EqualWeight(), strategies.InverseVolatility(), strategies.Momentum()], folds, backtest.BacktestConfig(lookback=42))
+    out, _ = walkforward.walk_forward(rows, [strategies.EqualWeight(), strategies.InverseVolatility(), strategies.Momentum()], _folds(rows), backtest.BacktestConfig(lookback=42))
     return rounded(out.where("kind = 'equity'").select("fold", "run_id", "date", "equity", "ret"))
 
 
@@ -747,10 +875,103 @@ def efficient_frontier(spark, d):
     return rounded(spark.createDataFrame([(k, float(p["target"]), float(p["volatility"])) for k, p in enumerate(points)], "point int, target double, volatility double"), 9)
 
 
-@query()
+_SHRUNK = [
+    "c AS (SELECT date, ticker, ret - avg(ret) OVER (PARTITION BY ticker) AS x FROM r)",
+    "m AS (SELECT k.ticker AS a, l.ticker AS b, count(*) AS n, avg(k.x * l.x) AS s, avg(k.x * k.x * l.x * l.x) AS q, avg(pow(k.x, 3) * l.x) AS u FROM c k JOIN c l USING (date) GROUP BY 1, 2)",
+    "w AS (SELECT m.*, va.s AS va, vb.s AS vb, sqrt(count(*) OVER ()) AS p FROM m JOIN m va ON va.a = m.a AND va.b = m.a JOIN m vb ON vb.a = m.b AND vb.b = m.b)",
+    "rb AS (SELECT (sum(s / sqrt(va * vb)) - max(p)) / (max(p) * (max(p) - 1)) AS rbar FROM w)",
+    "t AS (SELECT w.*, rbar, CASE WHEN a = b THEN s ELSE rbar * sqrt(va * vb) END AS t FROM w, rb)",
+    "dl AS (SELECT least(greatest((sum(q - s * s) - sum(CASE WHEN a = b THEN q - s * s ELSE rbar * (u - va * s) * sqrt(vb / va) END)) / sum(pow(t - s, 2)) / max(n), 0), 1) AS delta FROM t)",
+]
+
+
+@query(panels.sql("prio_month", *_SHRUNK, select="SELECT a, b, round(delta * t + (1 - delta) * s * n / (n - 1), 14) AS cov FROM t, dl"))
 def shrunk_covariance(spark, d):
     _, _, cov = _matrix(spark, d, method="constant_correlation")
-    return rounded(cov.table(spark), 9)
+    return rounded(cov.table(spark), 14)
+
+
+#: The covariance of the three flags in one row, and that of two of them.
+_THREE = "k3 AS (SELECT max(cov) FILTER (WHERE a = 'A' AND b = 'A') AS aa, max(cov) FILTER (WHERE a = 'A' AND b = 'N') AS an, max(cov) FILTER (WHERE a = 'A' AND b = 'R') AS ar, max(cov) FILTER (WHERE a = 'N' AND b = 'N') AS nn, max(cov) FILTER (WHERE a = 'N' AND b = 'R') AS nr, max(cov) FILTER (WHERE a = 'R' AND b = 'R') AS rr FROM cv)"
+_SOLVED = "w3 AS (SELECT nn * rr - nr * nr + ar * nr - an * rr + an * nr - ar * nn AS wa, ar * nr - an * rr + aa * rr - ar * ar + an * ar - aa * nr AS wn, an * nr - ar * nn + an * ar - aa * nr + aa * nn - an * an AS wr FROM k3)"
+
+
+def _flag_cov(spark, d, tickers=("A", "N", "R")):
+    rows = panels.returns(spark, d, "flag").where(F.col("ticker").isin(list(tickers)))
+    return rows, list(tickers), C.estimate(rows, list(tickers)).values
+
+
+@query(panels.sql("flag", _PAIRS, _COV, _THREE, _SOLVED, select="SELECT ticker, round(w / (wa + wn + wr), 9) AS weight FROM (SELECT 'A' AS ticker, wa AS w, * FROM w3 UNION ALL SELECT 'N', wn, * FROM w3 UNION ALL SELECT 'R', wr, * FROM w3)"))
+def min_variance_weights(spark, d):
+    _, tickers, cov = _flag_cov(spark, d)
+    best = optimizers.min_variance(cov, tickers, optimizers.LONG_SHORT)
+    return rounded(panel.weights_frame(spark.range(1), dict(zip(tickers, best.weights))), 9)
+
+
+@query("SELECT DISTINCT l_returnflag AS ticker, round(1.0 / 3, 6) AS share FROM lineitem")
+def risk_parity_shares(spark, d):
+    """The shares of risk of the risk-parity book, which are equal by its definition."""
+    rows, tickers, cov = _flag_cov(spark, d)
+    book = optimizers.risk_parity(cov, tickers)
+    return rounded(C.risk_decomposition(C.covariance(rows), panel.weights_frame(rows, dict(zip(tickers, book.weights)))).select("ticker", "share"))
+
+
+_EIGEN = "e AS (SELECT *, (aa + nn) / 2 + d AS l1, (aa + nn) / 2 - d AS l2 FROM (SELECT *, sqrt(pow((aa - nn) / 2, 2) + an * an) AS d FROM k3)), v AS (SELECT *, an / h AS x, (l1 - aa) / h AS y FROM (SELECT *, sqrt(an * an + pow(l1 - aa, 2)) AS h FROM e)), z AS (SELECT *, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END AS s1, CASE WHEN abs(y) >= abs(x) THEN sign(y) ELSE -sign(x) END AS s2 FROM v)"
+_LOADINGS = "lo AS (SELECT 'A' AS ticker, 1 AS component, x * s1 AS loading FROM z UNION ALL SELECT 'N', 1, y * s1 FROM z UNION ALL SELECT 'A', 2, y * s2 FROM z UNION ALL SELECT 'N', 2, -x * s2 FROM z)"
+
+
+@query(panels.sql("flag", _PAIRS, _COV, _THREE, select="SELECT ticker, round(CASE WHEN ticker = 'A' THEN nn ELSE aa END / (aa + nn), 9) AS weight FROM (VALUES ('A'), ('N')) t(ticker), k3"))
+def hrp_two_assets(spark, d):
+    _, tickers, cov = _flag_cov(spark, d, ("A", "N"))
+    return rounded(panel.weights_frame(spark.range(1), dict(zip(tickers, optimizers.hrp(cov, tickers).weights))), 9)
+
+
+@query(
+    panels.sql(
+        "flag", _PAIRS, _COV, _THREE,
+        "mu AS (SELECT avg(ret) FILTER (WHERE ticker = 'A') AS ma, avg(ret) FILTER (WHERE ticker = 'N') AS mn FROM r)",
+        "b AS (SELECT *, least(greatest((nn - an) / (aa + nn - 2 * an), 0), 1) AS w0 FROM k3, mu)",
+        "g AS (SELECT *, w0 * ma + (1 - w0) * mn + (greatest(ma, mn) - (w0 * ma + (1 - w0) * mn)) * point / 9 AS target FROM b, range(10) t(point))",
+        "q AS (SELECT *, (target - mn) / (ma - mn) AS w FROM g)",
+        select="SELECT point, round(target, 9) AS target, round(sqrt(w * w * aa + 2 * w * (1 - w) * an + (1 - w) * (1 - w) * nn), 9) AS volatility FROM q",
+    )
+)
+def frontier_two_assets(spark, d):
+    rows, tickers, cov = _flag_cov(spark, d, ("A", "N"))
+    mu = {r["ticker"]: r["m"] for r in rows.groupBy("ticker").agg(F.avg("ret").alias("m")).collect()}
+    points = optimizers.efficient_frontier(cov, np.array([mu[t] for t in tickers]), tickers, points=10)
+    return rounded(spark.createDataFrame([(k, float(p["target"]), float(p["volatility"])) for k, p in enumerate(points)], "point int, target double, volatility double"), 9)
+
+
+@query(panels.sql("flag", _PAIRS, _COV, _THREE, _EIGEN, _LOADINGS, select="SELECT ticker, CAST(component AS BIGINT) AS component, round(loading, 6) AS loading FROM lo"))
+def components_two_assets(spark, d):
+    _, tickers, cov = _flag_cov(spark, d, ("A", "N"))
+    return rounded(FA.principal_components(cov, tickers).table(spark))
+
+
+@query(panels.sql("flag", _PAIRS, _COV, _THREE, _EIGEN, _LOADINGS, "c AS (SELECT date, ticker, ret - avg(ret) OVER (PARTITION BY ticker) AS x FROM r)", select="SELECT date, CAST(component AS BIGINT) AS component, round(sum(x * loading), 6) AS score FROM c JOIN lo USING (ticker) GROUP BY date, component"))
+def scores_two_assets(spark, d):
+    rows, tickers, cov = _flag_cov(spark, d, ("A", "N"))
+    return rounded(FA.scores(rows, FA.principal_components(cov, tickers)))
+
+
+@query(
+    panels.sql(
+        "flag", _PAIRS, _COV, _THREE, _EIGEN, "sh AS (SELECT l1 * pow((x + y) / 2, 2) AS a, l2 * pow((y - x) / 2, 2) AS b FROM z)", "st AS (SELECT a / (a + b) AS a, b / (a + b) AS b FROM sh)",
+        select="SELECT round(exp(-(a * ln(a) + b * ln(b))), 6) AS effective_bets, 2.0 AS effective_positions, round(greatest(a, b), 6) AS top_share FROM st",
+    )
+)
+def concentration_two_assets(spark, d):
+    _, tickers, cov = _flag_cov(spark, d, ("A", "N"))
+    c = FA.concentration(dict.fromkeys(tickers, 0.5), cov, tickers)
+    return rounded(spark.createDataFrame([(float(c["effective_bets"]), float(c["effective_positions"]), float(c["top_share"]))], "effective_bets double, effective_positions double, top_share double"))
+
+
+@query(panels.sql("flag", _PAIRS, _RHO, select="SELECT a AS source, b AS target, round(sqrt(greatest(2 * (1 - rho), 0)), 6) AS distance, round(rho, 6) AS correlation FROM rho WHERE a < b ORDER BY rho DESC LIMIT 2"))
+def spanning_tree_three_assets(spark, d):
+    """The tree of three assets: the two shortest of their three distances."""
+    rows, tickers, cov = _flag_cov(spark, d)
+    return rounded(networks.spanning_tree(numeric.correlation_of(cov), tickers).table(spark))
 
 
 @query()
@@ -796,7 +1017,14 @@ def evt_tail(spark, d):
     return rounded(C.evt_tail(panels.returns(spark, d, "flag"), ["ticker"]))
 
 
-@query()
+@query(
+    panels.sql(
+        "flag", _XY,
+        "q AS (SELECT date, count(*) OVER w AS n, avg(y) OVER w AS my, avg(f) OVER w AS mf, avg(h) OVER w AS mh, var_pop(f) OVER w AS sff, var_pop(h) OVER w AS shh, var_pop(y) OVER w AS syy, covar_pop(f, h) OVER w AS sfh, covar_pop(f, y) OVER w AS sfy, covar_pop(h, y) OVER w AS shy FROM xy WINDOW w AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))",
+        "b AS (SELECT *, (sfy * shh - shy * sfh) / (sff * shh - sfh * sfh) AS bf, (shy * sff - sfy * sfh) / (sff * shh - sfh * sfh) AS bh FROM q WHERE n = 252)",
+        select='SELECT date, round(my - bf * mf - bh * mh, 6) AS alpha, round(bf, 6) AS "N", round(bh, 6) AS "R", round((bf * sfy + bh * shy) / syy, 6) AS r_squared FROM b',
+    )
+)
 def rolling_factor_betas(spark, d):
     wide = panel.to_wide(panels.returns(spark, d, "flag"), sorted(FLAG_BOOK), "ret")
     rows = wide.select("date", F.col("A").alias("ret"), "N", "R").dropna()

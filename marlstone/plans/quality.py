@@ -44,7 +44,7 @@ def short_history(prices: DataFrame, min_obs: int = 252) -> DataFrame:
     """Fewer rows than a year's worth, scaled by the ticker's calendar."""
     need = F.when(F.col("calendar") == "continuous", F.lit(round(min_obs * 365 / 252))).otherwise(F.lit(min_obs))
     counts = prices.groupBy("ticker", "calendar").agg(F.count(F.lit(1)).alias("n_obs")).withColumn("need", need).where("n_obs < need")
-    return _finding(counts, "short_history", F.lit(WARNING), F.col("n_obs"), F.format_string("only %d observations (< %d)", F.col("n_obs"), F.col("need")), F.to_json(F.struct("n_obs", F.col("need").alias("min_obs"))))
+    return _finding(counts, "short_history", F.lit(WARNING), F.col("n_obs"), F.format_string("history of %d rows where %d are needed", F.col("n_obs"), F.col("need")), F.to_json(F.struct("n_obs", F.col("need").alias("min_obs"))))
 
 
 def _band(which: int):
@@ -61,10 +61,9 @@ def outlier_events(prices: DataFrame, value: str = "adj_close") -> DataFrame:
     usable = prices.where(F.col(value) > 0)
     rets = usable.withColumn("ret", F.col(value) / F.lag(value).over(track) - 1).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("ticker")))
     rets = rets.where(F.col("ret").isNotNull() & (F.col("__n") >= 3)).select("ticker", "asset_class", "date", "ret")
-    centre = rets.groupBy("ticker").agg(F.median("ret").alias("__m"))
-    joined = rets.join(F.broadcast(centre), "ticker")
-    spread = joined.groupBy("ticker").agg(F.median(F.abs(F.col("ret") - F.col("__m"))).alias("__mad"))
-    joined = joined.join(F.broadcast(spread), "ticker").withColumns({"__warn": _band(0), "__crit": _band(1)})
+    whole = W.partitionBy("ticker")  # the partitions of the returns: no further shuffle
+    joined = rets.withColumn("__m", F.median("ret").over(whole))
+    joined = joined.withColumn("__mad", F.median(F.abs(F.col("ret") - F.col("__m"))).over(whole)).withColumns({"__warn": _band(0), "__crit": _band(1)})
     far = (F.col("__mad") > 0) & (F.abs(F.col("ret") - F.col("__m")) > MAD_MULTIPLE * MAD_SCALE * F.col("__mad"))
     severity = F.when(F.abs("ret") > F.col("__crit"), F.lit(CRITICAL)).otherwise(F.lit(WARNING))
     return joined.where((F.abs("ret") > F.col("__warn")) | far).select("ticker", "asset_class", "date", "ret", severity.alias("severity"))

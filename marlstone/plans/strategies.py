@@ -85,7 +85,7 @@ class EqualWeight:
     name: str = "equal_weight"
 
     def target_weights(self, context):
-        return dict.fromkeys(context.universe, 1 / len(context.universe))
+        return _equal(context)
 
 
 @dataclass(frozen=True)
@@ -149,40 +149,49 @@ class InverseVolatility:
         return dict(zip(context.universe, 1 / vol))
 
 
+def _equal(context) -> dict[str, float]:
+    return dict.fromkeys(context.universe, 1 / len(context.universe))
+
+
 @dataclass(frozen=True)
 class Momentum:
-    """The ``top`` assets by return over the window without its last ``skip`` rows, in equal parts."""
+    """The ``top`` assets by return over the window without its last ``skip`` rows, in equal parts; all assets as long as
+    there are no more rows than that."""
 
     top: int = 2
     skip: int = 21
     name: str = "momentum"
 
     def target_weights(self, context):
-        past = context.returns[: -self.skip] if context.n_obs > self.skip else context.returns
-        order = np.argsort(-np.prod(1 + past, axis=0), kind="stable")[: self.top]
+        if context.n_obs <= self.skip:
+            return _equal(context)
+        growth = np.prod(1 + context.returns[: context.n_obs - self.skip], axis=0)
+        order = np.argsort(-growth, kind="stable")[: self.top]
         return {context.universe[i]: 1 / len(order) for i in order}
 
 
 @dataclass(frozen=True)
 class DeriskOnDrawdown:
-    """Equal weights, moved to the calmest asset while the equal-weight book is far below its peak."""
+    """Equal weights, but all in the ``defensive`` asset while the equal-weight book is more than ``limit`` below its peak in
+    the window."""
 
+    defensive: str = "TLT"
     limit: float = 0.10
     name: str = "derisk_dd"
 
     def target_weights(self, context):
         growth = np.cumprod(1 + context.returns.mean(axis=1))
-        if growth[-1] / growth.max() - 1 < -self.limit:
-            return {context.universe[int(np.argmin(np.diag(context.covariance)))]: 1.0}
-        return dict.fromkeys(context.universe, 1 / len(context.universe))
+        deep = growth[-1] / growth.max() - 1 < -self.limit
+        return {self.defensive: 1.0} if deep and self.defensive in context.universe else _equal(context)
 
 
 @dataclass(frozen=True)
 class RegimeAware:
-    """Risk parity in calm regimes, minimum variance in stress."""
+    """Equal weights, but all in the ``defensive`` asset while the market is in its stress regime."""
 
+    defensive: str = "TLT"
     name: str = "regime_aware"
 
     def target_weights(self, context):
         stress = context.regime is not None and context.regime.is_stress
-        return _solved((min_variance if stress else risk_parity)(context.covariance, context.universe))
+        return {self.defensive: 1.0} if stress and self.defensive in context.universe else _equal(context)

@@ -1,10 +1,14 @@
-"""The store: Parquet tables partitioned by ticker, upserts that keep the last row of a key, and SQL over them."""
+"""The store: Parquet tables in parts behind pointers, upserts that keep the last row of a key, and SQL over them."""
 
 from __future__ import annotations
 
+import json
 import logging
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +27,11 @@ TABLES = {"prices": (PRICES, ["ticker", "date"]), "rates": (RATES, ["date", "ser
 class Store:
     """Tables under one base path, which any file system of Spark's can hold.
 
-    A write goes to a new version folder, and a pointer row names the current one, so readers and retried tasks never see
-    half a table. Prices are partitioned by ticker: a ticker's scan opens its own files only, and its upsert rewrites its
-    own partition.
+    A table is a set of parts (one for each ticker of the prices, one for other tables), each a folder of Parquet files that
+    never changes. A write puts a new part beside the old one and then a new pointer file, whose number is one higher and
+    which lists the parts that count. Readers take the highest whole pointer, so they and retried tasks never see half a
+    table, and a crash between the steps leaves the table as it was. Two writers can't take the same number: the later one
+    starts from the other's pointer. A ticker's scan opens its own files only.
     """
 
     def __init__(self, spark: SparkSession, base: str):
@@ -33,43 +39,74 @@ class Store:
 
     # -------------------------------------------------------- tables
 
-    def _path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def exists(self, name: str) -> bool:
+    def _pointers(self, name: str) -> list[int]:
+        fs, path = self._fs()
+        folder = path(f"{self.base}/{name}/pointers")
+        if not fs.exists(folder):
+            return []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
+
+    def parts(self, name: str) -> dict[str, str]:
+        """The folder of each part by the highest pointer that is whole; none without a table."""
+        for number in reversed(self._pointers(name)):
+            text = "".join(r[0] for r in self.spark.read.text(f"{self.base}/{name}/pointers/{number:08d}", wholetext=True).collect())
+            try:
+                return json.loads(text)
+            except json.JSONDecodeError:
+                continue  # still being written, or left by a writer that died
+        return {}
+
+    def _point(self, name: str, changed: dict[str, str]) -> None:
+        """A new pointer: the parts there are with the changed ones in their places."""
         fs, path = self._fs()
-        return fs.exists(path(self._path(name)))
+        while True:
+            text = json.dumps(self.parts(name) | changed)
+            number = max(self._pointers(name), default=0) + 1
+            target = path(f"{self.base}/{name}/pointers/{number:08d}")
+            try:
+                out = fs.create(target, False)
+            except Py4JJavaError:
+                if fs.exists(target):
+                    continue  # another writer was faster
+                raise
+            out.write(bytearray(text.encode()))
+            out.close()
+            return
 
-    def table(self, name: str) -> DataFrame:
-        schema = TABLES[name][0]
-        if not self.exists(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(name))
+    def exists(self, name: str) -> bool:
+        return bool(self.parts(name))
 
-    def _replace(self, rows: DataFrame, name: str, partition: str | None = None) -> None:
-        """Write beside the table, then put it in the table's place; with ``partition`` only its partitions."""
+    def table(self, name: str, only: Sequence[str] | None = None) -> DataFrame:
+        """The whole table, or only some of its parts."""
+        schema = TABLES[name][0]
+        parts = self.parts(name)
+        folders = [f"{self.base}/{name}/{f}" for p, f in sorted(parts.items()) if only is None or p in only]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _replace(self, rows: DataFrame, name: str, part: str = "all") -> None:
+        """Write a part anew and point to it."""
+        folder = f"data/{quote(part, safe='')}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.base}/{name}/{folder}")
+        self._point(name, {part: folder})
+
+    def vacuum(self, name: str, keep: int = 2) -> int:
+        """Delete the folders that none of the last ``keep`` pointers lists, and older pointers; the number of folders deleted."""
         fs, path = self._fs()
-        fresh = self._path(f".{name}.new")
-        fs.delete(path(fresh), True)
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(fresh)
-        if partition and self.exists(name):
-            for s in fs.listStatus(path(fresh)):
-                part = s.getPath().getName()
-                if "=" in part:
-                    target = path(f"{self._path(name)}/{part}")
-                    fs.delete(target, True)
-                    fs.rename(s.getPath(), target)
-            fs.delete(path(fresh), True)
-        else:
-            fs.delete(path(self._path(name)), True)
-            fs.mkdirs(path(self.base))
-            fs.rename(path(fresh), path(self._path(name)))
+        numbers = self._pointers(name)
+        used = set()
+        for number in numbers[-keep:]:
+            used |= set(json.loads("".join(r[0] for r in self.spark.read.text(f"{self.base}/{name}/pointers/{number:08d}", wholetext=True).collect()) or "{}").values())
+        for number in numbers[:-keep]:
+            fs.delete(path(f"{self.base}/{name}/pointers/{number:08d}"), False)
+        gone = [s.getPath() for s in fs.listStatus(path(f"{self.base}/{name}/data")) if f"data/{s.getPath().getName()}" not in used]
+        for p in gone:
+            fs.delete(p, True)
+        return len(gone)
 
     # -------------------------------------------------------- writes
 
@@ -77,9 +114,11 @@ class Store:
         """Rows of one ticker; with ``upsert`` merged by date with what is there, the new rows winning. Returns its rows."""
         rows = rows.withColumn("ticker", F.lit(ticker))
         if upsert:
-            rows = upserted(self.table("prices").where(F.col("ticker") == ticker), rows, ["ticker", "date"])
-        self._replace(rows.repartition(1).sortWithinPartitions("date"), "prices", "ticker")
-        return self.table("prices").where(F.col("ticker") == ticker).count()
+            rows = upserted(self.table("prices", [ticker]), rows, ["ticker", "date"])
+        columns = [f.name for f in self.table("prices", []).schema.fields]
+        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in columns])
+        self._replace(rows.repartition(1).sortWithinPartitions("date"), "prices", ticker)
+        return self.table("prices", [ticker]).count()
 
     def write_series(self, rows: DataFrame, name: str, keys: Sequence[str] | None = None, upsert: bool = True) -> int:
         keys = list(keys or TABLES[name][1])
@@ -106,7 +145,7 @@ class Store:
         for t in tickers:
             if t not in known:
                 log.warning("no prices of %s", t)
-        rows = self._between(self.table("prices").where(F.col("ticker").isin(list(tickers))), start, end)
+        rows = self._between(self.table("prices", list(tickers)), start, end)
         return rows.select("date", "ticker", F.col(column).alias("price"))
 
     def read_prices(self, tickers: Sequence[str], start=None, end=None, column: str = "adj_close") -> DataFrame:
@@ -142,10 +181,10 @@ class Store:
         return Calendar.parse(self.assets().get(ticker, {}).get("calendar"))
 
     def last_date(self, ticker: str):
-        return self.table("prices").where(F.col("ticker") == ticker).agg(F.max("date")).head()[0]
+        return self.table("prices", [ticker]).agg(F.max("date")).head()[0]
 
     def available_tickers(self) -> list[str]:
-        return sorted(r[0] for r in self.table("prices").select("ticker").distinct().collect())
+        return sorted(self.parts("prices"))
 
     # -------------------------------------------------------- SQL
 

@@ -32,6 +32,8 @@ LEAST = 0.3
 WEAKEST, STRONGEST = 1.0, 1e4
 #: Copies of each host verdict, so that a host with a third of all documents meets its verdict in many tasks.
 SALTS = 32
+#: So many rejected hosts are sent to all tasks; beyond it they are joined.
+FEW_HOSTS = 10_000
 
 #: The rules whose failures are summed by host.
 RULES = {
@@ -163,13 +165,18 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     """The rows of ``docs`` that are kept, each on its own merits and its own host's, with all their columns.
 
     Nulls, repeated rows and empty tables are treated as in ``quality_verdicts``; columns may have any names. The rows are
-    staged beside their counts, so texts are judged once and never shuffled: only hosts' sums are, and the rejected hosts,
-    of which there are few, meet the rows in an anti join.
+    staged beside their counts, so texts are judged once. Only hosts' sums are shuffled where the rejected hosts are at most
+    FEW_HOSTS, as they are then sent to the rows; more of them meet the rows through salts.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     counted = staged(text_counts(docs, text, row, F.col(host).cast("string").alias("__host")), "quality-rows")
-    rejected = host_verdicts(counted, "__host").where("host_rejected").select("__host")
-    return counted.where(~F.col("base_failed")).join(rejected, "__host", "left_anti").select("__row.*")
+    rejected = staged(host_verdicts(counted, "__host").where("host_rejected").select("__host"), "rejected-hosts")
+    good = counted.where(~F.col("base_failed"))
+    if (hosts := rejected.count()) <= FEW_HOSTS:
+        return (good.join(F.broadcast(rejected), "__host", "left_anti") if hosts else good).select("__row.*")
+    salted = good.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
+    many = rejected.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(many, ["__host", "__salt"], "left_anti").select("__row.*")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

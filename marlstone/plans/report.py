@@ -202,10 +202,27 @@ def analysis_payload(spec: PortfolioSpec, returns: panel.ReturnSeries, factors:
 # ---------------------------------------------------------------- tearsheets of runs
 
 
+#: The share of folds that one strategy must win for the selection to count as stable.
+STABLE = 0.7
+
+
+def run_warnings(r: backtest.BacktestResult) -> list[str]:
+    """Reasons to distrust a run."""
+    out = [] if r.meta.is_reproducible else ["The code of this run was not committed: it can't be repeated from its commit."]
+    if not r.folds:
+        out.append("The run has no walk-forward folds: all its results are in sample.")
+    stable = r.metrics.get("selection_stability")
+    if stable is not None and stable < STABLE:
+        out.append(f"The strategy that won most folds won {stable:.0%} of them: the curve mixes rules instead of testing one.")
+    return out
+
+
 def run_overview(r: backtest.BacktestResult) -> dict:
-    m = performance.metrics(r.equity_curve.withColumn("track", F.lit("run")), ["track"]).drop("track").head().asDict()
-    notes = [] if r.meta.is_reproducible else ["the run's code was not committed"]
-    return section([stat(k, v) for k, v in {**m, **r.metrics}.items()], notes=notes + ([] if r.folds else ["all results are in sample"]))
+    ppy = r.meta.config.get("periods_per_year", 252)
+    m = performance.metrics(r.equity_curve.withColumn("track", F.lit("run")), ["track"], ppy, rate=0.0).drop("track").head().asDict()
+    lag = r.meta.config.get("publication_lag_days", 0)
+    notes = [] if lag else ["No publication lag: every input counts as known on its own date."]
+    return section([stat(k, v) for k, v in {**m, **{k: v for k, v in r.metrics.items() if not isinstance(v, (list, dict))}}.items()], notes=notes)
 
 
 def run_trading(r: backtest.BacktestResult) -> dict:
@@ -220,13 +237,18 @@ def run_exposure(r: backtest.BacktestResult) -> dict:
 
 
 def run_folds(r: backtest.BacktestResult) -> dict:
+    """The folds with their winners; the selection comes with the run's metrics (fold_selection, selection_stability)."""
     if not r.folds:
         raise ValueError("the run has no folds")
-    return section(tables=[table("Folds", [{k: getattr(f, k) for k in ("number", "train_start", "train_end", "test_start", "test_end")} for f in r.folds])])
+    picks = {s["fold"]: s for s in r.metrics.get("fold_selection") or []}
+    rows = [{**{k: getattr(f, k) for k in ("number", "train_start", "train_end", "test_start", "test_end")}, "winner": picks.get(f.number, {}).get("winner"), "score": picks.get(f.number, {}).get("score")} for f in r.folds]
+    winners = sorted(p["winner"] for p in picks.values())
+    stats = [stat("folds", len(rows)), stat("selection stability", r.metrics.get("selection_stability")), stat("most chosen", max(winners, key=winners.count) if winners else None)]
+    return section(stats, [table("Folds", rows)])
 
 
 RUN_SECTIONS = [("overview", "Overview", run_overview), ("risk", "Exposure", run_exposure), ("trading", "Trading", run_trading), ("walkforward", "Walk-forward", run_folds)]
 
 
 def tearsheet(result: backtest.BacktestResult, only: Sequence[str] | None = None) -> dict:
-    return build(RUN_SECTIONS, result, {"strategy": result.meta.strategy, "commit": result.meta.commit}, only)
+    return build(RUN_SECTIONS, result, {"strategy": result.meta.strategy, "commit": result.meta.commit, "warnings": run_warnings(result)}, only)

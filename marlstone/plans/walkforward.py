@@ -123,6 +123,13 @@ def chained(rows: DataFrame) -> DataFrame:
     return out.unionByName(rows.where("kind <> 'equity'").select(*out.columns))
 
 
+def selection_metrics(selection: DataFrame) -> dict:
+    """What a saved walk-forward run carries about its selection: n_folds, fold_selection and selection_stability."""
+    rows = [{**r.asDict(), "test_start": str(r["test_start"]), "test_end": str(r["test_end"])} for r in selection.orderBy("fold").collect()]
+    best = stability(selection).head()
+    return {"n_folds": len(rows), "fold_selection": rows, "selection_stability": best["share"] if best else 0.0}
+
+
 def stability(selection: DataFrame) -> DataFrame:
     """(winner, n, share) of the strategy that won the most folds; of equals the first by name."""
     counts = selection.groupBy("winner").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.panel import drop_empty_rows, keep_last, positive
-from marlstone.sources.registry import RATE_SOURCES, price_source
+from marlstone.sources.registry import SOURCES, source
 from marlstone.sources.store import Store
 
 log = logging.getLogger(__name__)
@@ -53,7 +53,7 @@ def with_retry(get: Callable[[], object], transient: tuple[type[BaseException],
 
 
 class Pipeline:
-    """Updates a store from ``fetch_prices(ticker, start)``, ``fetch_rate(id, start)`` and ``fetch_factors(name)``."""
+    """Updates a store from ``fetch_prices(ticker, start)``, ``fetch_rate(id, start)`` and ``fetch_factors(name, start)``."""
 
     def __init__(self, store: Store, fetch_prices=None, fetch_rate=None, fetch_factors=None):
         self.store, self.fetch_prices, self.fetch_rate, self.fetch_factors = store, fetch_prices, fetch_rate, fetch_factors
@@ -62,7 +62,7 @@ class Pipeline:
         """From the day after each ticker's last date on; a ticker that is up to date is skipped but keeps its metadata."""
         today, out = today or dt.date.today(), []
         for t in tickers:
-            source = price_source(t)
+            origin = source("prices", t)
             since = start
             if incremental and (last := self.store.last_date(t)) is not None:
                 since = (last + dt.timedelta(days=1)).isoformat()
@@ -74,7 +74,7 @@ class Pipeline:
                     self.store.write_prices(t, r.data)
                 out.append(r)
             if out[-1].ok:
-                self.store.write_asset(t, source.calendar.value, (asset_classes or {}).get(t, source.asset_class), source.backend)
+                self.store.write_asset(t, origin.calendar.value, (asset_classes or {}).get(t, origin.asset_class), origin.backend)
         return out
 
     def update_rates(self, ids: Sequence[str], start: str = "1990-01-01") -> list[IngestResult]:
@@ -83,17 +83,17 @@ class Pipeline:
         for i in ids:
             r = ingest(i, lambda i=i: self.fetch_rate(i, start), lambda df: df.where("value is not null"))
             if r.ok:
-                s = RATE_SOURCES.get(i)
+                s = SOURCES.get(("rates", i))
                 parts.append(r.data.select("date", F.lit(i).alias("series_id"), "value", F.lit(s.currency if s else None).cast("string").alias("currency"), F.lit(s.backend if s else None).cast("string").alias("source")))
             out.append(r)
         if parts:
             self.store.write_series(_union(parts), "rates")
         return out
 
-    def update_factors(self, names: Sequence[str]) -> list[IngestResult]:
+    def update_factors(self, names: Sequence[str], start: str | None = None) -> list[IngestResult]:
         out, parts = [], []
         for n in names:
-            r = ingest(n, lambda n=n: self.fetch_factors(n), lambda df: df.where("value is not null"))
+            r = ingest(n, lambda n=n: self.fetch_factors(n, start), lambda df: df.where("value is not null"))
             if r.ok:
                 parts.append(r.data.withColumn("__k", F.lit(len(parts))))
             out.append(r)
@@ -102,6 +102,19 @@ class Pipeline:
         return out
 
 
+def ingest_specification(spec, store: Store, connectors) -> list[IngestResult]:
+    """Prices, rates and factors that a specification names; what fails is reported and the rest goes on, as the store may
+    hold enough from before."""
+    p = Pipeline(store, connectors.prices, connectors.rate, connectors.factors)
+    out = p.update_prices([x.ticker for x in spec.positions], spec.start or "2015-01-01", asset_classes=spec.asset_classes)
+    out += p.update_rates(list(spec.rates), spec.start or "1990-01-01")
+    out += p.update_factors(list(spec.factor_datasets), spec.factor_start)
+    for r in out:
+        if not r.ok:
+            log.warning("%s could not be ingested: %s", r.name, r.error)
+    return out
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 
@@ -29,9 +30,13 @@ def fred_csv(spark: SparkSession, path: str | None = None, text: str | None = No
     return parts.select(F.expr("try_cast(trim(d) AS DATE)").alias("date"), F.expr("try_cast(nullif(trim(v), '.') AS DOUBLE)").alias("value")).dropna().orderBy("date")
 
 
-def ecb_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(date, value) of TIME_PERIOD and OBS_VALUE."""
-    raw = spark.read.csv(path, header=True)
+def ecb_csv(spark: SparkSession, path: str | None = None, text: str | None = None) -> DataFrame:
+    """(date, value) of TIME_PERIOD and OBS_VALUE, of a file or of a text."""
+    if text is not None:
+        head, *rows = csv.reader(io.StringIO(text))
+        raw = spark.createDataFrame([tuple(r) for r in rows if len(r) == len(head)], ", ".join(f"`{c}` string" for c in head))
+    else:
+        raw = spark.read.csv(path, header=True)
     return raw.select(F.expr("try_cast(TIME_PERIOD AS DATE)").alias("date"), F.expr("try_cast(OBS_VALUE AS DOUBLE)").alias("value")).dropna().orderBy("date")
 
 
@@ -63,7 +68,12 @@ def french_text(spark: SparkSession, text: str, source: str = "french") -> DataF
 def french_zip(spark: SparkSession, path: str, source: str) -> DataFrame:
     """The same from the archive it comes in, which is read through Spark."""
     content = spark.read.format("binaryFile").load(path).select("content").head()[0]  # one small archive
-    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+    return french_archive(spark, bytes(content), source)
+
+
+def french_archive(spark: SparkSession, content: bytes, source: str) -> DataFrame:
+    """The same from the archive's bytes."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         return french_text(spark, z.read(z.namelist()[0]).decode("latin-1"), source)
 
 

@@ -65,8 +65,8 @@ class Store:
         """A new pointer: the parts there are with the changed ones in their places."""
         fs, path = self._fs()
         while True:
+            number = max(self._pointers(name), default=0) + 1  # before the parts are read: who writes meanwhile takes it
             text = json.dumps(self.parts(name) | changed)
-            number = max(self._pointers(name), default=0) + 1
             target = path(f"{self.base}/{name}/pointers/{number:08d}")
             try:
                 out = fs.create(target, False)

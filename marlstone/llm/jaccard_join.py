@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged
+from marlstone.llm.common import free_name, staged
 from marlstone.llm.components import components
 from marlstone.llm.words import mix, shingles, small_batches, split_words, word_hashes
 
@@ -65,7 +65,8 @@ def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """doc_id, key (of the shingle set), size, path (RUNS * DEPTH tokens) and sketch (a byte for each of SKETCH orders)."""
+    """doc_id, mark (a hash of the text, which tells rows with equal ids apart), key (of the shingle set), size, path (RUNS *
+    DEPTH tokens) and sketch (a byte for each of SKETCH orders)."""
 
     def make(batches):
         for batch in small_batches(batches, 1):
@@ -78,9 +79,13 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 marks.append((first & np.uint64(0xFF)).astype(np.uint8).tobytes())
             flat = pa.array(np.concatenate(paths) if paths else np.empty(0, dtype=np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, RUNS * DEPTH), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary())], names=["doc_id", "key", "size", "path", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary())], names=["doc_id", "mark", "key", "size", "path", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(make, "doc_id long, key binary, size int, path array<int>, sketch binary")
+    return _marked(docs, doc_id, text).mapInArrow(make, "doc_id long, mark long, key binary, size int, path array<int>, sketch binary")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
 
 
 def leaves(sets: DataFrame) -> DataFrame:
@@ -249,31 +254,27 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(_rebatched(check), "key binary, links long, root binary, split boolean")
 
 
-def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, n_links, n_copies, and the key of its set.
-
-    Documents are linked if their sets of k-word shingles have a Jaccard index of ``threshold`` or more (the default runs
-    and sketches are planned for 0.8). class_id is the smallest id among the documents that are linked, directly or through
-    others; n_links counts the other documents linked directly, those with an equal set included; n_copies the rows with an
-    equal set, this one included. A text of 1 to k-1 words is one shingle; null and wordless texts are equal to each other
-    and to nothing else. Rows without an id are linked to those with an equal set only. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, mark and set key of each row; and for each set key class_id, n_links, n_copies and head, the
+    row that stands for its class: the one with the smallest id, of equals the smallest hash of the text; null ids last."""
     rows = staged(sketches(docs, doc_id, text, k), "sketches")
-    sets = staged(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("path").alias("path"), F.any_value("sketch").alias("sketch")), "sets")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    sets = rows.groupBy("key").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("path").alias("path"), F.any_value("sketch").alias("sketch"))
+    sets = staged(sets, "sets")
     links = staged(candidate_links(sets.where("size > 0")), "candidates")
     of = staged(components(links).select(F.col("node").alias("key"), F.col("root").alias("component")), "candidate-components")
-    heads = staged(of.join(sets.select("key", "rep", "copies", "size"), "key"), "members")
+    heads = staged(of.join(sets.select("key", "row", "copies", "size"), "key"), "members")
     totals = staged(heads.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")), "component-sizes")
     heads = heads.join(totals, "component")
 
     def make(batches):
         for batch in small_batches(batches, 1, SET_BATCH):
             found = _sets(batch.column(1), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "key", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "set"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).join(heads.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    whole = texts.mapInArrow(make, "doc_id long, key binary, set binary")
-    whole = whole.join(heads.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    wanted = heads.select(_row_id(F.col("row.doc_id")).alias("id"), F.col("row.mark").alias("mark")).distinct()
+    texts = _marked(docs, doc_id, text).withColumn("id", _row_id(F.col("doc_id"))).join(wanted, ["id", "mark"], "left_semi")
+    whole = texts.select("id", "text").mapInArrow(make, "key binary, set binary").dropDuplicates(["key"]).join(heads, "key")
     checked = staged(verified(whole, threshold), "verified")
     counted = checked.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("split").alias("split"))
     split = checked.where("split")
@@ -281,27 +282,41 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         roots = components(split.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("key"), F.col("root").alias("whole"))
         counted = counted.join(roots, "key", "left").withColumn("root", F.when(F.col("split"), F.coalesce("whole", "key")).otherwise(F.col("root"))).drop("whole")
     counted = staged(counted, "links")
-    ids = staged(counted.join(sets.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("class_id")), "class-ids")
-    classes = counted.join(ids, "root").select("key", "links", "class_id")
-    final = sets.select("key", "rep", "copies").join(classes, "key", "left").select(
-        "key",
-        F.coalesce("class_id", "rep").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.col("copies").alias("n_copies"),
-    )
-    return rows.select("doc_id", "key").join(staged(final, "classes"), "key").select("doc_id", "class_id", "n_links", "n_copies", F.hex("key").alias("set_key"))
+    ids = staged(counted.join(sets.select("key", "row"), "key").groupBy("root").agg(F.min("row").alias("head")), "class-heads")
+    linked = counted.join(ids, "root").select("key", "links", "head")
+    classes = sets.select("key", "row", "copies").join(linked, "key", "left")
+    classes = classes.select("key", F.coalesce("head", "row").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    return rows.select("doc_id", "mark", "key"), staged(classes.withColumn("class_id", F.col("head.doc_id")), "classes")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class, one for each class, with all their columns.
+def _row_id(doc_id):
+    """A join key of an id that null ids have as well."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
 
-    Of rows that share an id one stays. Of rows without an id those with equal texts count as copies, and one stays.
+
+def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, n_links, n_copies, and the key of its set.
+
+    Documents are linked if their sets of k-word shingles have a Jaccard index of ``threshold`` or more (the default runs
+    and sketches are planned for 0.8). class_id is the smallest id among the documents that are linked, directly or through
+    others, null if none of them has one; n_links counts the other documents linked directly, those with an equal set
+    included; n_copies the rows with an equal set, this one included. A text of 1 to k-1 words is one shingle; null and
+    wordless texts are equal to each other and to nothing else. Repeated rows and repeated ids are documents each on their
+    own. A text of any length is one set, which one task holds. Ids must be integers or null. An empty table gives no rows.
     """
-    heads = similarity_classes(docs, doc_id, text, threshold, k).where("doc_id = class_id").select(F.col("class_id").alias("__class"))
-    no_id = docs[doc_id].isNull()
-    one = docs.where(~no_id).join(heads, docs[doc_id] == heads["__class"], "left_semi").dropDuplicates([doc_id])
-    rest = docs.where(no_id)
-    return one if rest.isEmpty() else one.unionByName(rest.dropDuplicates([text]))
+    rows, classes = _classes(docs, doc_id, text, threshold, k)
+    return rows.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "n_links", "n_copies", F.hex("key").alias("set_key"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns: that with the smallest id, of equal ids that with the
+    smallest hash of its text. Rows without an id stay where no row of their class has one; of rows equal in id and text
+    one stays. Columns of ``docs`` may have any names."""
+    _, classes = _classes(docs, doc_id, text, threshold, k)
+    own, mark = free_name(docs.columns, "__id"), free_name(docs.columns, "__mark")
+    heads = classes.select(_row_id(F.col("head.doc_id")).alias(own), F.col("head.mark").alias(mark)).distinct()
+    rows = docs.withColumns({own: _row_id(docs[doc_id].cast("long")), mark: F.xxhash64(docs[text])})
+    return rows.join(heads, [own, mark], "left_semi").dropDuplicates([own, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

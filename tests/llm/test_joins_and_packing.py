@@ -184,3 +184,134 @@ def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<article><p>x y</p></article>"), (2, "u", "<div>" * 3000 + "deep"), (2, "u", "<div>" * 3000 + "deep")], "page_id long, url string, html string")
     assert Counter((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect()) == Counter([(1, "", 0), (None, "x y", 3), (2, "deep", 4), (2, "deep", 4)])
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    near = words(7, 80).split()
+    near[40] = "changed"
+    rows = [(1, words(1, 60)), (1, words(2, 60)), (1, words(2, 60)), (None, words(7, 80)), (None, " ".join(near)), (None, words(7, 80)), (None, words(8, 30))]
+    docs = spark.createDataFrame([(*r, k, True) for k, r in enumerate(rows)], "doc_id long, text string, __id int, __mark boolean")
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard_join.similarity_classes(docs).collect())
+    assert got == Counter([(1, 1, 0, 1), (1, 1, 1, 2), (1, 1, 1, 2), (None, None, 2, 2), (None, None, 2, 2), (None, None, 2, 1), (None, None, 0, 1)])
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.text for r in kept.collect() if r.doc_id) == Counter([words(1, 60), words(2, 60)])
+    left = [r.text for r in kept.collect() if r.doc_id is None]
+    assert len(left) == 2 and words(8, 30) in left
+
+
+def test_recall_on_the_drivers_documents(spark):
+    """Every link of the documents whose id is divisible by 50, found by an inverted index over all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    index = {}
+    for i, s in sets.items():
+        for g in s:
+            index.setdefault(g, []).append(i)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similarity_classes(docs).collect()}
+    want, ends = 0, 0
+    for i in (i for i in sets if i % 50 == 0):
+        shared = Counter(j for g in sets[i] for j in index[g])
+        linked = [j for j, n in shared.items() if j != i and n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+        linked += [j for j in sets if j != i and not sets[i] and not sets[j]]
+        assert got[i][1] == len(linked) and all(got[j][0] == got[i][0] for j in linked), i
+        want, ends = want + 1, ends + len(linked)
+    assert want >= 10 and ends > 0
+
+
+def test_archives_are_read_and_kept_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rows = [(i, f"http://x/{i}", (f"page {i % 7} " + words(i % 7, 400)) if i % 3 else f"small {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = str(tmp_path / "kept")
+    got = warc.archive_round_trip(df, folder=folder).collect()
+    assert len(got) == 60 and all(r.intact for r in got)
+    last = {k: max(i for i in range(60) if i % 7 == k and i % 3) for k in range(7)}
+    assert {r.page_id: r.refers_to for r in got if r.record_type == "revisit"} == {i: last[i % 7] for i in range(60) if i % 3 and i != last[i % 7]}
+    archives = list((tmp_path / "kept" / "archives").glob("*.warc.gz"))
+    assert len(archives) > 3 and not list((tmp_path / "kept" / "archives").glob("*.open"))
+    import gzip
+
+    heads = b"".join(gzip.decompress(a.read_bytes()) for a in archives)
+    assert heads.count(b"WARC-Type: response") == 27 and heads.count(b"WARC-Type: revisit") == 33
+
+
+def plain_article(html):
+    """The article's blocks by a plain tree walk: what a page without trick markup must give."""
+    from html.parser import HTMLParser
+
+    skip, block = {"script", "style", "nav", "footer", "aside", "form"}, {"p", "h1", "h2", "li", "div", "article", "ul"}
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.text, self.deep, self.inside = [], [], 0, False
+
+        def cut(self):
+            t = " ".join("".join(self.text).split())
+            self.out += [t] if t else []
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in block:
+                self.cut() if self.inside else None
+            self.inside |= tag == "article"
+            self.deep += tag in skip
+
+        def handle_endtag(self, tag):
+            if tag in block:
+                self.cut() if self.inside else None
+            self.inside &= tag != "article"
+            self.deep -= tag in skip
+
+        def handle_data(self, data):
+            if self.inside and not self.deep:
+                self.text.append(data)
+
+    tree = Tree()
+    tree.feed(html)
+    return "\n".join(tree.out)
+
+
+def random_page(seed):
+    r = random.Random(seed)
+    parts = [f"<h1>{words(seed, 5)}</h1>"]
+    for k in range(r.randint(2, 9)):
+        kind = r.choice(["p", "p", "p", "short", "list", "inner", "form", "aside"])
+        text = words(1000 * seed + k, r.randint(20, 90))
+        parts.append({"p": f"<p>{text} &amp; <b>bold</b> end</p>", "short": "<p>Hm.</p>", "list": "<ul><li>one two</li><li>three</li></ul>", "inner": f"<div>{text}</div>", "form": "<form><p>Your name</p></form>", "aside": f"<aside><p>{text}</p></aside>"}[kind])
+    menu = "".join(f'<li><a href="/{k}">{words(k + seed, 2)}</a></li>' for k in range(r.randint(3, 30)))
+    return f"<html><head><title>x</title><script>a('</p>')</script></head><body><nav><ul>{menu}</ul></nav><div class='top-banner ad-slot'>{words(seed + 5, 9)}</div><article>{''.join(parts)}<p>{words(seed, 60)}</p></article><section id='comments'><p>{words(seed + 9, 70)}</p></section><footer>{words(seed + 2, 12)}</footer></body></html>"
+
+
+def test_html_against_a_tree_walk():
+    for seed in range(60):
+        html = random_page(seed)
+        assert html_extract.main_text(html) == plain_article(html), seed
+
+
+def test_clusters_decide_what_no_name_tells(monkeypatch):
+    story = [words(k, 60) for k in range(4)]
+    menu = "".join(f'<a href="/{k}">{words(k, 2)}</a> ' for k in range(8))
+    page = f"<body><div class=x1>{menu}</div><div class=x2><p>{story[0]}</p><p>{story[1]}</p></div><div class=x3>{menu}</div><div class=x4><p>{story[2]}</p><p>{story[3]}</p></div><div class=x5>{menu}</div></body>"
+    assert html_extract.main_text(page) == "\n".join(story)
+    monkeypatch.setattr(html_extract, "two_cluster_threshold", lambda values: float("-inf"))
+    assert html_extract.main_text(page).count("\n") == 6
+    assert "Foot" in html_extract.main_text(f"<body><article><p>{story[0]}</p></article><footer>Foot</footer></body>")
+
+
+def test_html_of_any_depth_and_odd_markup():
+    import time
+
+    for n in (2000, 16000):
+        for html in ("<div>" * n + "</b>" * n, "<div>x" * n, "<ul><li class=share><ul>" + "<div>" * n + "<li>" * n):
+            start = time.perf_counter()
+            html_extract.main_text(html)
+            assert time.perf_counter() - start < 2 + n * 2e-4
+    for odd in ("<![foo[x]]>", "<p>a<![foo[x]]>b", "<![", "<!doctype", "<a href='", "&#x110000;", "<p>x<![CDATA[y]]>z"):
+        assert isinstance(html_extract.main_text(odd), str)
+    long = words(3, 50)
+    assert html_extract.main_text(f"<body><form action=x><nav>Menu</nav><article><p>{long}</p></article></form></body>") == long
+    assert html_extract.main_text(f"<body><nav>Menu of the site</nav><footer>{long}</footer></body>") == ""
+    for name, want in (("site-footer", 2), ("ad-slot", 2), ("main-nav", 1), ("has-sidebar", 0), ("content-sidebar-wrap", 0), ("menu-open", 0), ("cookieBanner", 2), ("page-with-comments", 0)):
+        assert html_extract.name_mark(name) == want, name

@@ -92,22 +92,27 @@ class Pieces:
         self.raw_start = np.concatenate([[0], np.cumsum(self.raw_size)])
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The UTF-8 bytes of a text's ids, without the blank that encoding puts before the text."""
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The UTF-8 bytes of ids in a row, and where each id's bytes start (one more than ids)."""
         sizes = self.raw_size[ids]
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.raw[np.arange(starts[-1]) + np.repeat(self.raw_start[ids] - starts[:-1], sizes)].tobytes()
+        return self.raw[np.arange(starts[-1]) + np.repeat(self.raw_start[ids] - starts[:-1], sizes)].tobytes(), starts
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of a text's ids, without the blank that encoding puts before the text."""
+        out, _ = self.bytes_of(ids)
         return out[1:] if out[:1] == b" " else out
 
 
 class Lattices:
-    """The lattices of the distinct words of a batch (longest first), laid end to end: for each place and length of an edge
-    its piece, the logarithm of its probability there, and the cumulated probabilities of the lengths up to it."""
+    """The lattices of the distinct words of a batch (longest first, each with a blank before it that ``words`` leaves out),
+    laid end to end: for each place and length of an edge its piece, the logarithm of its probability there, and the cumulated
+    probabilities of the lengths up to it."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         self.start = np.concatenate([[0], np.cumsum(sizes)])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        codes = np.frombuffer((BLANK + BLANK.join(words) if words else "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         n, most = len(codes), pieces.longest
         self.left = (np.repeat(self.start[1:], sizes) - np.arange(n)).astype(np.int32)  # places to the word's end
         self.piece = np.full((n, most), -1, dtype=np.int32)
@@ -348,7 +353,8 @@ def _ids(pieces: Pieces, lat: Lattices, place: np.ndarray, k: np.ndarray, bounds
 
 
 def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words, longest first, each with the blanks before it, the word of each occurrence, and its text."""
+    """The distinct words, longest first, each with the blanks before it but for the first one, the word of each occurrence, and
+    its text."""
     texts = texts.cast(pa.large_string())
     texts = pc.if_else(pc.equal(texts, ""), None, pc.replace_substring(texts, BLANK, " "))
     lists = pc.split_pattern(texts, " ")
@@ -356,7 +362,7 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = lists.flatten().dictionary_encode()
     word, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
     owner = np.repeat(np.arange(len(texts)), sizes)
-    words = [BLANK + w for w in vocabulary]
+    words = vocabulary
     if "" in vocabulary:  # blanks in a row: they go before the next word, or end the text
         none = vocabulary.index("")
         more: dict[tuple[int, int], int] = {}
@@ -371,25 +377,30 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
                 key = (int(word[at]), blanks)
                 if key not in more:
                     more[key] = len(words)
-                    words.append(BLANK * (blanks + 1) + vocabulary[key[0]])
+                    words.append(BLANK * blanks + vocabulary[key[0]])
                 word[at], blanks = more[key], 0
         word, owner = word[~drop], owner[~drop]
-    order = np.argsort([-len(w) for w in words], kind="stable")
+    order = np.argsort(-np.fromiter(map(len, words), dtype=np.int64, count=len(words)), kind="stable")
     rank = np.empty(len(words), dtype=np.int64)
     rank[order] = np.arange(len(words))
     return [words[k] for k in order.tolist()], rank[word], owner
 
 
-def sampled_texts(pieces: Pieces, texts: list[str | None] | pa.Array, keys: list, samples: int = SAMPLES):
-    """Yield for each text a list of (ids, log-probability, perturbed, log-inclusion), best first; an empty text has one, of no ids."""
-    words, word, owner = _words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+def _sampled(pieces: Pieces, texts: pa.Array, keys: list, samples: int) -> list[tuple]:
+    """For each round (ids of all texts, bounds of the texts in them, log-probabilities, perturbed, log-inclusions, drawn)."""
+    words, word, owner = _words(texts)
     lat = Lattices(pieces, words)
     key = np.array([xxhash.xxh3_64_intdigest(repr(x).encode()) for x in keys], dtype=np.uint64)
     rounds, threshold = search(lat, word, owner, len(texts), key, samples)
     with np.errstate(over="ignore", divide="ignore"):
-        flat = [(*_ids(pieces, lat, place, k, bounds), g, lp, drawn, _log_inclusion(lp - threshold)) for place, k, bounds, g, lp, drawn in rounds]
+        return [(*_ids(pieces, lat, place, k, bounds), lp, g, _log_inclusion(lp - threshold), drawn) for place, k, bounds, g, lp, drawn in rounds]
+
+
+def sampled_texts(pieces: Pieces, texts: list[str | None], keys: list, samples: int = SAMPLES):
+    """Yield for each text a list of (ids, log-probability, perturbed, log-inclusion), best first; an empty text has one, of no ids."""
+    rounds = _sampled(pieces, pa.array(texts, pa.large_string()), keys, samples)
     for t in range(len(texts)):
-        yield [(ids[b[t] : b[t + 1]], float(lp[t]), float(g[t]), float(inc[t])) for ids, b, g, lp, drawn, inc in flat if drawn[t]]
+        yield [(ids[b[t] : b[t + 1]], float(lp[t]), float(g[t]), float(inc[t])) for ids, b, lp, g, inc, drawn in rounds if drawn[t]]
 
 
 def _log_inclusion(x: np.ndarray) -> np.ndarray:
@@ -426,17 +437,22 @@ def sampled_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     def sample(batches):
         pieces = Pieces(path)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()))
         for batch in small_batches(batches, 1, BLOCK):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            raw = texts.cast(pa.large_binary()).to_pylist()
-            keys = [texts[k].as_py() if i is None else i for k, i in enumerate(ids)]
-            rows = []
-            for k, found in enumerate(sampled_texts(pieces, texts, keys, samples)):
-                for number, (piece_ids, lp, g, inc) in enumerate(found, 1):
-                    rows.append((ids[k], number, len(piece_ids), zlib.crc32(piece_ids.astype("<u4").tobytes()), lp, g, inc, pieces.decode(piece_ids) == (raw[k] or b""), *([piece_ids] if with_ids else [])))
-            columns = zip(*rows) if rows else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=schema.fieldNames())
+            texts = batch.column(1)
+            raw = pc.fill_null(texts.cast(pa.large_binary()), b"").to_pylist()
+            keys = [texts[k].as_py() if i is None else i for k, i in enumerate(batch.column(0).to_pylist())]
+            for number, (ids, bounds, lp, g, inc, drawn) in enumerate(_sampled(pieces, texts, keys, samples), 1):
+                own = np.flatnonzero(drawn)
+                packed = ids.astype("<u4").tobytes()
+                decoded, starts = pieces.bytes_of(ids)
+                ends = starts[bounds].tolist()
+                crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(bounds[own].tolist(), bounds[own + 1].tolist())]
+                whole = [decoded[ends[t] + 1 : ends[t + 1]] == raw[t] for t in own.tolist()]  # without the blank that stands before a text
+                columns = [batch.column(0).take(pa.array(own)), pa.array(np.full(len(own), number, dtype=np.int32)), pa.array(np.diff(bounds)[own].astype(np.int64)), pa.array(crc, pa.int64())]
+                columns += [pa.array(x[own].astype(np.float64)) for x in (lp, g, inc)] + [pa.array(whole, pa.bool_())]
+                if with_ids:
+                    columns.append(pa.array([ids[bounds[t] : bounds[t + 1]] for t in own], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(sample, schema)
 

@@ -30,9 +30,10 @@ HIDDEN = 16
 CLASSES = 32
 LANES, STEPS = 512, 32
 TRAIN_LANES, TRAIN_STEPS = 256, 16
-#: Tokens whose documents are scored together (long ones fill no lanes by themselves), and that a task is fitted to at most, about.
+#: Tokens whose documents are scored together (long ones fill no lanes by themselves).
 SCORE_TOKENS = 4_000_000
-FIT_TOKENS = 8_000_000
+#: Tokens that a task is fitted to, about: networks that saw less are not worth averaging, and more would fill its memory.
+FIT_LEAST, FIT_MOST = 250_000, 8_000_000
 #: Training documents are cut into runs of RUN tokens, which are dealt over the rounds: each run is fitted to in one of them.
 RUN = 128
 ROUNDS = 4
@@ -421,8 +422,9 @@ def fitted(corpus: DataFrame, lexicon: Lexicon, layout: Layout, tokens: int, rou
             ids = [lexicon.token_ids(np.frombuffer(r, dtype=np.int64)).astype(narrow).tobytes() for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["deal", "run"])
 
+    tasks = max(1, min(shuffle_partitions(corpus.sparkSession), tokens // FIT_LEAST), tokens // FIT_MOST)
     encoded = corpus.where("run is not null").select("deal", "run").mapInArrow(encode, "deal long, run binary")
-    runs = staged(encoded.repartition(max(shuffle_partitions(corpus.sparkSession), tokens // FIT_TOKENS), F.xxhash64("deal")), "lm-runs")
+    runs = staged(encoded.repartition(tasks, F.xxhash64("deal")), "lm-runs")
     for number in range(rounds):
         start = params
 

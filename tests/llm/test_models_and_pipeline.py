@@ -191,3 +191,98 @@ def test_pipeline_stages(spark, spoken, labels, tmp_path):
 def test_pipeline_on_the_smallest_table(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
+def plain_gru(p, layout, ids):
+    """The log-probability of one document, token by token, by the equations."""
+    n, h, out = len(layout.cls), np.zeros(lm.HIDDEN), 0.0
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    before = n
+    for t in ids:
+        zr = sigmoid(p["xg"][before].astype(float) + h @ p["ug"])
+        z, r = zr[: lm.HIDDEN], zr[lm.HIDDEN :]
+        new = np.tanh(p["xn"][before] + r * (h @ p["un"]))
+        h = (1 - z) * new + z * h
+        logits = h @ p["cw"] + p["cb"]
+        c = layout.cls[t]
+        a, b = layout.first[c], layout.first[c + 1]
+        within = h @ p["ww"][:, a:b] + p["wb"][a:b]
+        out += logits[c] - np.log(np.exp(logits).sum()) + within[t - a] - np.log(np.exp(within).sum())
+        before = t
+    return out
+
+
+def test_scores_by_the_equations():
+    r = np.random.default_rng(9)
+    weights = np.sort(r.uniform(1, 50, 40))[::-1]
+    layout = lm.Layout(weights, 6)
+    flat = lm.initial(weights, layout) + r.normal(0, 0.3, len(lm.initial(weights, layout))).astype(np.float32)
+    p = lm.unpack(flat, 40, layout.classes)
+    docs = [r.integers(0, 40, n) for n in (1, 70, 3, 200, 33)]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    got = lm.score_runs(p, layout, np.concatenate(docs).astype(np.int16), offsets)
+    assert np.allclose(got, [plain_gru(p, layout, d) for d in docs], rtol=1e-4)
+
+
+def test_scores_do_not_depend_on_batches(odd, monkeypatch):
+    a = {(r.doc_id, r.n_tokens): round(r.score, 2) for r in lm.scores(odd).collect()}
+    monkeypatch.setattr(lm, "SCORE_TOKENS", 50)
+    b = {(r.doc_id, r.n_tokens): round(r.score, 2) for r in lm.scores(odd).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.02 + 1e-4 * abs(a[k]) for k in a)
+
+
+def test_the_network_beats_the_base_on_held_out_documents(spark):
+    rows = lm.query(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    tokens = sum(r.n_tokens for r in rows)
+    assert len(rows) > 100 and sum(r.score for r in rows) / tokens > sum(r.base_score for r in rows) / tokens + 0.02
+
+
+def test_samples_depend_on_the_key_alone():
+    pieces = sentencepieces.Pieces(sentencepieces.default_model())
+    texts = [words(k, 5 + k) for k in range(12)]
+    whole = list(sentencepieces.sampled_texts(pieces, texts, list(range(12)), 3))
+    for k in (0, 5, 11):
+        (alone,) = sentencepieces.sampled_texts(pieces, [texts[k]], [k], 3)
+        assert [(a[0].tolist(), round(a[1], 4)) for a in alone] == [(a[0].tolist(), round(a[1], 4)) for a in whole[k]]
+
+
+def test_pipeline_of_odd_tables(spark, labels, tmp_path):
+    good, other = words(31, 50), words(32, 50)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, `__row` int, kept boolean, __host string"
+    rows = [(1, good, "en", "h", 1), (1, good, "en", "h", 1), (1, other, "en", None, 1), (2, None, None, None, None), (3, "", "en", "h", 0), (None, words(33, 50), None, "h", 2), (None, words(33, 50), None, "h", 2), (4, words(34, 30000), "en", "h", 9), (5, 'token = "abcdefgh12345678" ' + words(35, 40), "en", "h", 9)]
+    for name, table in (("odd", spark.createDataFrame([(*r, 0.5, 1, True, "x") for r in rows], schema)), ("empty", spark.createDataFrame([], schema))):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, str(folder))
+            assert docs.columns == corpus_pipeline.COLUMNS
+        got = {(r.doc_id, r.text) for r in docs.collect()}
+        if name == "empty":
+            assert got == set() and corpus_pipeline.run(spark, str(folder)).count() == 0
+            continue
+        assert got == {(1, good), (1, other), (None, words(33, 50)), (4, words(34, 30000)), (5, f"[SECRET]\" {words(35, 40)}")}
+        packed = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r.doc_id for r in packed} == {1, None, 4, 5} and len({r.piece for r in packed if r.doc_id == 4}) > 5
+
+
+def test_pipeline_by_brute_force(spark):
+    """The stages on the driver's smallest table: rules in plain Python, copies by comparing all pairs, masks by the scan."""
+    from tests.llm.test_joins_and_packing import brute, shingle_set
+    from tests.llm.test_text_operators import plain_counts
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    good = stages[0](spark, docs, SMALL).collect()
+    assert {r.doc_id for r in good} == {r.doc_id for r in docs.collect() if not plain_counts(r.text)[-1]}  # no host is an outlier
+    clean = stages[1](spark, spark.createDataFrame(good, docs.schema), SMALL).collect()
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic = 1").collect()}
+    assert {r.doc_id for r in clean} <= {r.doc_id for r in good} and len(clean) > 0.7 * len([r for r in good if r.doc_id not in toxic])
+    one = stages[2](spark, spark.createDataFrame(clean, docs.schema), SMALL).collect()
+    _, root = brute({r.doc_id: shingle_set(r.text) for r in clean})
+    assert sorted(r.doc_id for r in one) == sorted(set(root.values()))
+    from marlstone.llm import secrets
+
+    masked = {r.doc_id: r.text for r in stages[3](spark, spark.createDataFrame(one, docs.schema), SMALL).collect()}
+    assert masked == {r.doc_id: secrets.redact(r.text) for r in one}

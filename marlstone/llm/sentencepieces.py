@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from marlstone.llm.words import mix, small_batches
 
-SAMPLES = 3
+SAMPLES = 2
 BLANK = "▁"
 #: Bytes of text of a batch that are searched at once (a longer text is searched by itself).
 BLOCK = 3_000_000

@@ -10,6 +10,7 @@ that length) to a sequence and an offset; ranks come from counts by length and s
 
 from __future__ import annotations
 
+import operator
 import os
 import zlib
 from dataclasses import dataclass, field
@@ -35,6 +36,8 @@ GAP = 1e-3
 #: Distinct words whose ids a task keeps between batches.
 WORD_CACHE = 400_000
 WORDS_AT_ONCE = 4096
+#: Bytes of text that are tokenised at once: the more, the fewer words are looked up again.
+BATCH = 8_000_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -51,7 +54,8 @@ class WordTokenizer:
     """Token ids of texts by way of their distinct words.
 
     The vocabulary's pre-tokenizer removes white space and never joins what it separates, so a text's ids are those of its
-    space- or newline-separated words in turn; each distinct word of a batch is tokenised once.
+    space- or newline-separated words in turn; each distinct word is tokenised once and its ids are kept in a pool, which is
+    emptied when it holds WORD_CACHE words.
     """
 
     def __init__(self, path: str):
@@ -59,7 +63,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The empty word alone, which has no ids."""
+        self.known: dict[str, int] = {"": 0}
+        self.pool, self.first = np.empty(0, dtype="<u4"), np.zeros(2, dtype=np.int64)  # where each word's ids start, and the end
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the places where each text's ids start (one more than texts). Nulls are empty."""
@@ -68,33 +77,35 @@ class WordTokenizer:
         words_of = np.asarray(lists.offsets)
         flat = lists.flatten().dictionary_encode()
         vocabulary, which = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        fresh = [w for w in vocabulary if w and w not in self.known]
-        if len(self.known) + len(fresh) > WORD_CACHE:  # forget all, so learn all of this batch
-            self.known.clear()
-            fresh = [w for w in vocabulary if w]
-        for at in range(0, len(fresh), WORD_CACHE):
-            self._learn(fresh[at : at + WORD_CACHE])
-        none = np.empty(0, dtype="<u4")
-        parts = [self.known[w] if w else none for w in vocabulary]
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        pool = np.concatenate(parts) if parts else none
-        pool_start = np.concatenate([[0], np.cumsum(sizes)])
-        word_size = sizes[which] if len(which) else np.empty(0, dtype=np.int64)
-        word_start = np.concatenate([[0], np.cumsum(word_size)])
-        total = int(word_start[-1])
-        gather = np.arange(total, dtype=np.int64) + np.repeat(pool_start[which] - word_start[:-1], word_size) if total else np.empty(0, dtype=np.int64)
-        return pool[gather], word_start[words_of - words_of[0]]
+        if len(self.known) > WORD_CACHE:
+            self._forget()
+        numbers = list(map(self.known.get, vocabulary))
+        self._learn([w for w, n in zip(vocabulary, numbers) if n is None])
+        if None in numbers:
+            numbers = list(map(self.known.get, vocabulary))
+        word = np.array(numbers, dtype=np.int64)[which] if len(which) else np.empty(0, dtype=np.int64)
+        size = (self.first[1:] - self.first[:-1])[word]
+        start = np.concatenate([[0], np.cumsum(size)])
+        gather = np.arange(start[-1], dtype=np.int64) + np.repeat(self.first[word] - start[:-1], size)
+        return self.pool[gather], start[words_of - words_of[0]]
 
     def _learn(self, words: list[str]) -> None:
-        known = self.known
+        pools, firsts, behind = [self.pool], [self.first], int(self.first[-1])
         for at in range(0, len(words), WORDS_AT_ONCE):
             part = words[at : at + WORDS_AT_ONCE]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            ids = np.asarray(encoded.ids, dtype="<u4")
-            places = np.fromiter((a for a, _ in encoded.offsets), dtype=np.int64, count=len(ids))
-            cuts = np.searchsorted(places, starts)
-            known.update(zip(part, (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:]))))
+            ends = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
+            ids = np.array(encoded.ids, dtype="<u4")
+            places = np.fromiter(map(_FIRST, encoded.offsets), dtype=np.int64, count=len(ids))
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+            pools.append(ids)
+            firsts.append(behind + np.searchsorted(places, ends))
+            behind += len(ids)
+        if words:
+            self.pool, self.first = np.concatenate(pools), np.concatenate(firsts)
+
+
+_FIRST = operator.itemgetter(0)
 
 
 PIECES = T.StructType(
@@ -114,17 +125,20 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str | None =
 
     def cut(batches):
         tok = WordTokenizer(path)
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, BATCH):
             ids, starts = tok.encode_batch(batch.column(1))
-            out = [[], [], [], [], []]
-            end = np.array([END_ID], dtype="<u4")
-            for k, doc in enumerate(batch.column(0).to_pylist()):
-                own = np.concatenate([ids[starts[k] : starts[k + 1]], end])
-                for number, at in enumerate(range(0, len(own), capacity)):
-                    part = own[at : at + capacity]
-                    for column, value in zip(out, (doc, number, at, len(part), zlib.crc32(part.tobytes()))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=PIECES.fieldNames())
+            ids = np.insert(ids, starts[1:], END_ID)
+            sizes = np.diff(starts) + 1
+            starts = starts[:-1] + np.arange(len(sizes))
+            count = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), count)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = number * capacity
+            length = np.minimum(capacity, sizes[row] - at)
+            raw = memoryview(np.ascontiguousarray(ids).view(np.uint8))
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip((starts[row] + at).tolist(), length.tolist())]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(at), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=PIECES.fieldNames())
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
 

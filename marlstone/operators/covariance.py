@@ -16,7 +16,10 @@ from marlstone.operators.performance import frame
 
 
 def pairs(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, date, a, b, ra, rb) for the tickers a <= b of each date."""
+    """(by…, date, a, b, ra, rb) for the tickers a <= b of each date.
+
+    That is k(k+1)/2 rows a date for k tickers, which aggregations sum up before they shuffle: meant for universes of up to
+    some thousand tickers, as the matrices that come from it are."""
     left = returns.select(*by, "date", F.col("ticker").alias("a"), F.col("ret").alias("ra"))
     right = returns.select(*by, "date", F.col("ticker").alias("b"), F.col("ret").alias("rb"))
     return left.join(right, [*by, "date"]).where("a <= b")

@@ -180,15 +180,26 @@ def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Se
     return keep_last(both, keys, ["__new", *order, *[c for c in columns if c not in keys and c not in order]]).select(*columns)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], lag_days: int = 0) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], lag_days: int = 0, split: str | None = None) -> DataFrame:
     """For each left row the right values of the last time at or before its own time less a lag.
 
-    Both sides meet in one shuffle by key and a running last value, instead of a product of rows in range.
+    Both sides meet in one shuffle by key and a running last value, instead of a product of rows in range. A key with very
+    many rows can be split by a unit of time (``split``: "month", "day", …): each span of a key is then a task's work of its
+    own, and starts from the last value before it, which comes from one aggregate row for each span.
     """
-    a = left.withColumns({"__t": F.date_sub(F.col(left_time), lag_days) if lag_days else F.col(left_time), "__side": F.lit(1), "__v": F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType), "__row": F.struct(*left.columns)})
+    struct = right.select(F.struct(*values)).schema[0].dataType
+    a = left.withColumns({"__t": F.date_sub(F.col(left_time), lag_days) if lag_days else F.col(left_time), "__side": F.lit(1), "__v": F.lit(None).cast(struct), "__row": F.struct(*left.columns)})
     b = right.select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
     both = a.select(*by, "__t", "__side", "__v", "__row").unionByName(b.select(*by, "__t", "__side", "__v", "__row"))
-    window = W.partitionBy(*by).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
+    keys = list(by)
+    if split:
+        both = both.withColumn("__span", F.date_trunc(split, "__t"))
+        ends = both.groupBy(*by, "__span").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.struct("__t", "__v"))).alias("__v"))
+        before = W.partitionBy(*by).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
+        opening = ends.withColumn("__v", F.last("__v", ignorenulls=True).over(before)).where("__v is not null")
+        opening = opening.select(*by, F.lit(None).cast(both.schema["__t"].dataType).alias("__t"), F.lit(-1).alias("__side"), "__v", F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), "__span")
+        both, keys = both.unionByName(opening), [*by, "__span"]
+    window = W.partitionBy(*keys).orderBy(F.asc_nulls_first("__t"), "__side").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn("__last", F.last("__v", ignorenulls=True).over(window)).where("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 

@@ -115,7 +115,8 @@ def rolling_sharpe(returns: DataFrame, window: int = 252, periods_per_year: int
 
 
 def rolling_drawdown(returns: DataFrame, window: int = 252, by: Sequence[str] = ("ticker",)) -> DataFrame:
-    """The largest drawdown within each window, whose peak starts anew with the window."""
+    """The largest drawdown within each window, whose peak starts anew with the window: each row looks at its whole window, so
+    the work is rows times ``window``."""
 
     def within(w):
         zero = F.struct(F.lit(1.0).alias("cum"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))

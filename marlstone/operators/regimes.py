@@ -40,7 +40,7 @@ def fit_regimes(returns: DataFrame, by: Sequence[str] = (), states: int = 2, res
 
         pdf = pdf.sort_values("date")
         start = int(key[-1])
-        m = numeric.fit_switching(pdf["ret"].to_numpy(), states, 1 if start == 0 else 2, seed + start)
+        m = numeric.fit_switching(pdf["ret"].to_numpy(), states, restarts, seed, only=start)
         out = pd.DataFrame({"date": pdf["date"].to_numpy()})
         for c, v in zip(by, key):
             out.insert(0, c, v)

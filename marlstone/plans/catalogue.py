@@ -16,6 +16,7 @@ from marlstone.operators import factors as FA
 from marlstone.operators import networks, panel, performance, regimes, stress
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
+from marlstone.streaming import twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -616,6 +617,15 @@ def as_of_join(spark, d):
     return rounded(panel.as_of(left, right, ["user_id"], "ts", "ts", ["seen"]).select("event_id", "seen"))
 
 
+@query(ORACLES["as_of_join"])
+def as_of_join_split(spark, d):
+    """The same with each user's events split by month."""
+    events = read_table(spark, d, "events")
+    left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = events.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("seen"))
+    return rounded(panel.as_of(left, right, ["user_id"], "ts", "ts", ["seen"], split="month").select("event_id", "seen"))
+
+
 @query(
     panels.sql(
         "flag", "t AS (SELECT o.date AS as_of, max(r.date) AS known FROM (SELECT DISTINCT date FROM r WHERE ticker = 'A') o JOIN (SELECT date FROM r WHERE ticker = 'A') r ON r.date <= o.date - INTERVAL 45 DAY GROUP BY o.date)",
@@ -736,6 +746,36 @@ def sql_table_function(spark, d):
     return rounded(spark.sql("SELECT date, ticker, adj_close FROM flag_prices()"))
 
 
+def _event_times(spark, d) -> DataFrame:
+    events = read_table(spark, d, "events")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT CAST(ts AS DATE) AS date, event_type AS ticker, round(avg(value), 6) AS price, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_bars(spark, d):
+    return rounded(twins.daily_bars(_event_times(spark, d)))
+
+
+@query(
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type AS ticker, value FROM events)
+    SELECT CAST(day + CAST(k + 1 AS INTEGER) AS TIMESTAMP) AS "end", ticker, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM d, range(7) t(k) GROUP BY 1, 2"""
+)
+def stream_rolling_mean(spark, d):
+    out = twins.rolling_mean(_event_times(spark, d)).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    return rounded(out)
+
+
+@query(
+    """WITH b AS (SELECT CAST(ts AS DATE) AS date, event_type AS ticker, avg(value) AS price FROM events GROUP BY 1, 2),
+    p AS (SELECT *, max(price) OVER (PARTITION BY ticker ORDER BY date) AS peak FROM b)
+    SELECT date, ticker, round(price, 6) AS price, round(peak, 6) AS peak, round(price / peak - 1, 6) AS drawdown FROM p"""
+)
+def stream_drawdowns(spark, d):
+    """The state after each bar, as the stream keeps it, over a whole table."""
+    bars = twins.daily_bars(_event_times(spark, d)).select("date", "ticker", "price")
+    return rounded(bars.groupBy("ticker").applyInPandas(twins.drawdowns_of_batch, twins.DRAWDOWNS))
+
+
 @query(
     """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
@@ -1012,6 +1052,15 @@ def regime_model(spark, d):
     return regimes.fit_regimes(rows, ["track"], restarts=2).select("track", "date", "state", "filtered_state")
 
 
+@query()
+def regime_fit_long(spark, d):
+    """All tracks of a panel behind one another as one long series, fitted from five starts."""
+    rows = panels.returns(spark, d, "flagstat")
+    place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("ticker", "date"))  # one track by construction
+    one = rows.withColumn("date", F.date_add(F.lit("1990-01-01").cast("date"), place)).withColumn("track", F.lit("all"))
+    return regimes.fit_regimes(one, ["track"], restarts=5).select("track", "date", "state", "filtered_state")
+
+
 @query()
 def evt_tail(spark, d):
     return rounded(C.evt_tail(panels.returns(spark, d, "flag"), ["ticker"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from marlstone.sources.store import Store
 
@@ -31,6 +32,40 @@ def gap_sessions(events: DataFrame, gap: str = "4 hours", key: str = "user_id",
     return sessions.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+DRAWDOWNS = "date date, ticker string, price double, peak double, drawdown double"
+
+
+def _after_bars(pdf, peak: float):
+    """Rows of DRAWDOWNS for a ticker's bars in the order of their dates, from the peak so far; and the new peak."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("date")
+    peaks = np.maximum.accumulate(np.append(peak, pdf["price"].to_numpy(dtype=float)))[1:]
+    out = pd.DataFrame({"date": pdf["date"], "ticker": pdf["ticker"], "price": pdf["price"], "peak": peaks, "drawdown": pdf["price"] / peaks - 1})
+    return out, float(peaks[-1]) if len(peaks) else peak
+
+
+def drawdowns_of_batch(pdf):
+    return _after_bars(pdf, float("-inf"))[0]
+
+
+def drawdown_stream(bars: DataFrame) -> DataFrame:
+    """Per-bar state: the peak of each ticker is kept between micro-batches, and each bar (date, ticker, price) that comes is
+    returned with the peak up to it and its drawdown. A ticker's bars must come in the order of their dates from batch to
+    batch; within one they may be in any."""
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        peak = state.get[0] if state.exists else float("-inf")
+        out, peak = _after_bars(pd.concat(list(frames)), peak)
+        state.update((peak,))
+        yield out
+
+    return bars.groupBy("ticker").applyInPandasWithState(step, DRAWDOWNS, "peak double", "append", GroupStateTimeout.NoTimeout)
+
+
 def upsert_stream(rows: DataFrame, store: Store, name: str, checkpoint: str):
     """Write a stream of series rows into the store; late and corrected rows replace earlier ones by key."""
     return rows.writeStream.foreachBatch(lambda batch, _: store.write_series(batch, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

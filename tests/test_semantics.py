@@ -323,3 +323,60 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(command, "Connectors", lambda spark, end=None: connectors.Connectors(spark, fake_get, end))
     assert command.main(["ingest", "--store", str(tmp_path / "t"), "--spec", str(tmp_path / "p.json")]) == 0
     assert "AA: 2 rows" in capsys.readouterr().out
+
+
+def sequential_filter(x, mean, sd, transition):
+    f, p, total, now = [], [], 0.0, numeric.stationary(transition)
+    for v in x:
+        d = np.exp(-0.5 * ((v - mean) / sd) ** 2) / sd / np.sqrt(2 * np.pi)
+        p.append(now)
+        f.append(now * d / (now @ d))
+        total += np.log(now @ d)
+        now = f[-1] @ transition
+    return np.array(f), np.array(p), total
+
+
+def test_filter_and_smoother_step_by_step():
+    r = np.random.default_rng(6)
+    for k, n in ((2, 1), (2, 2), (2, 777), (3, 500)):
+        x = r.normal(0, 0.01, n)
+        mean, sd = np.linspace(-1e-3, 1e-3, k), np.geomspace(0.004, 0.03, k)
+        transition = np.full((k, k), 0.04 / (k - 1))
+        np.fill_diagonal(transition, 0.96)
+        f, p, total = sequential_filter(x, mean, sd, transition)
+        got = numeric.hamilton_filter(x, mean, sd, transition)
+        assert np.allclose(got[0], f, atol=1e-10) and np.allclose(got[1], p, atol=1e-10) and abs(got[2] - total) < 1e-7 * max(1, abs(total))
+        s = f.copy()
+        for t in range(n - 2, -1, -1):
+            s[t] = f[t] * (transition @ (s[t + 1] / p[t + 1]))
+        assert np.allclose(numeric.kim_smoother(got[0], got[1], transition), s, atol=1e-9)
+    far = numeric.hamilton_filter(np.array([0.0, 5.0, 0.0]), np.zeros(2), np.array([0.001, 0.002]), np.array([[0.9, 0.1], [0.1, 0.9]]))
+    assert np.isfinite(far[0]).all() and np.isfinite(far[2])
+
+
+def test_as_of_by_spans(spark):
+    r = np.random.default_rng(2)
+    right = [(int(k), day(int(t)), float(v)) for k, t, v in zip(r.integers(0, 3, 60), r.choice(400, 60, replace=False), r.normal(size=60))]
+    left = [(int(k), day(int(t))) for k, t in zip(r.integers(0, 4, 80), r.integers(-5, 420, 80))]
+    a, b = spark.createDataFrame(left, "k int, at date"), spark.createDataFrame(right, "k int, seen date, v double")
+    key = lambda x: (x[0], x[1])
+    want = sorted(((k, t, max(((s, v) for j, s, v in right if j == k and s <= t - dt.timedelta(days=7)), default=(None, None))[1]) for k, t in left), key=key)
+    for split in (None, "month", "year"):
+        assert sorted(map(tuple, panel.as_of(a, b, ["k"], "at", "seen", ["v"], 7, split).collect()), key=key) == want
+
+
+def test_drawdowns_keep_their_state_between_batches(spark, tmp_path):
+    from marlstone.streaming import twins
+
+    r = np.random.default_rng(3)
+    bars = [(day(i), t, float(v)) for i in range(30) for t, v in zip("AB", 100 + r.normal(0, 5, 2))]
+    schema = "date date, ticker string, price double"
+    folder = str(tmp_path / "bars")
+    q = None
+    for part in (bars[:20], bars[20:44], bars[44:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        q = twins.drawdown_stream(spark.readStream.schema(schema).parquet(folder)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    whole = spark.createDataFrame(bars, schema).groupBy("ticker").applyInPandas(twins.drawdowns_of_batch, twins.DRAWDOWNS)
+    assert len(got) == 60 and got == sorted(tuple(x) for x in whole.collect())

@@ -2,7 +2,8 @@
 without secrets, packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. A stage's result is a Parquet table in
-the shared folder before the next stage reads it.
+the shared folder before the next stage reads it. Columns of ``docs`` beside those of documents are dropped, whatever their
+names; an empty table goes through all stages as one; texts of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts go; rows without a source have no host that could
+    reject them; repeated rows are judged each on their own."""
     return quality.keep_good(docs).select(*COLUMNS)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier, fitted to the labelled ones among them, doesn't reject."""
+    """Documents that the toxicity classifier, fitted to the labelled ones among them, doesn't reject. Without labels of both
+    classes none is rejected; rows without an id are scored but not learnt from."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the one with the smallest id, of equal ids that with the smallest hash of its
+    text. Rows without an id stay where none of their class has one, one for each class."""
     return jaccard_join.keep_one(docs).select(*COLUMNS)
 
 
@@ -36,7 +40,7 @@ def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in sequences."""
+    """The documents' pieces with their places in sequences; a null or empty text is one piece of length 1."""
     return packing.packed(docs)
 
 

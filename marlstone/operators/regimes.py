@@ -57,6 +57,11 @@ def fit_regimes(returns: DataFrame, by: Sequence[str] = (), states: int = 2, res
     return every.withColumn("__best", best).where(F.col("start") == -F.col("__best.s")).drop("__best", "start")
 
 
+def since(states: DataFrame, start) -> DataFrame:
+    """The model's rows from a date on; its parameters are those of the whole track, as they stand in every row."""
+    return states.where(F.col("date") >= F.lit(start).cast("date"))
+
+
 def probabilities_at(states: DataFrame, date, filtered: bool = True):
     """The state probabilities on the last date up to ``date``; filtered ones unless asked otherwise."""
     row = states.where(F.col("date") <= F.lit(date).cast("date")).agg(F.max_by("filtered" if filtered else "smoothed", "date")).head()

@@ -16,6 +16,7 @@ from marlstone.operators import factors as FA
 from marlstone.operators import networks, panel, performance, regimes, stress
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
+from marlstone.sources.store import table_function
 from marlstone.streaming import twins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +197,16 @@ def ewma_cov(spark, d):
     return rounded(C.ewma_covariance(panels.returns(spark, d, "prio_month")), 14)
 
 
+@query(
+    panels.sql(
+        "prio_month", _PAIRS, "w AS (SELECT *, pow(0.94, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) - 1) AS w FROM pr)", "ew AS (SELECT a, b, sum(w * ra * rb) / sum(w) AS cov FROM w GROUP BY 1, 2)",
+        select="SELECT c.a, c.b, round(CASE WHEN c.a = c.b THEN 1.0 ELSE c.cov / sqrt(x.cov * y.cov) END, 6) AS rho FROM ew c JOIN ew x ON x.a = c.a AND x.b = c.a JOIN ew y ON y.a = c.b AND y.b = c.b",
+    )
+)
+def ewma_corr(spark, d):
+    return rounded(C.ewma_correlation(panels.returns(spark, d, "prio_month")))
+
+
 _RHO = "rho AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE corr(ra, rb) END AS rho FROM pr GROUP BY 1, 2)"
 
 
@@ -741,8 +752,7 @@ for _name, _text in _SQL.items():
 
 @query("SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS ticker, round(avg(l_extendedprice), 6) AS adj_close FROM lineitem GROUP BY 1, 2")
 def sql_table_function(spark, d):
-    panels.panel(spark, d, "flag").createOrReplaceTempView("__flag_prices")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION flag_prices() RETURNS TABLE(date DATE, ticker STRING, adj_close DOUBLE) RETURN SELECT date, ticker, price FROM __flag_prices")
+    table_function(spark, "flag_prices", panels.panel(spark, d, "flag").select("date", "ticker", F.col("price").alias("adj_close")))
     return rounded(spark.sql("SELECT date, ticker, adj_close FROM flag_prices()"))
 
 
@@ -1061,6 +1071,19 @@ def regime_fit_long(spark, d):
     return regimes.fit_regimes(one, ["track"], restarts=5).select("track", "date", "state", "filtered_state")
 
 
+@query()
+def tail_comparison(spark, d):
+    return rounded(C.tail_comparison(panels.returns(spark, d, "flag"), ["ticker"]))
+
+
+_EMPTY_FITS = "u AS (SELECT ticker, quantile_cont(-ret, 0.95) AS u, count(*) AS n FROM r GROUP BY ticker)"
+
+
+@query(panels.sql("flag", _EMPTY_FITS, select="SELECT r.ticker, round(max(u), 9) AS threshold, max(n) AS n, count(*) AS exceedances FROM r JOIN u USING (ticker) WHERE -ret > u GROUP BY r.ticker"))
+def evt_exceedances(spark, d):
+    return rounded(C.evt_tail(panels.returns(spark, d, "flag"), ["ticker"]).select("ticker", "threshold", "n", "exceedances"), 9)
+
+
 @query()
 def evt_tail(spark, d):
     return rounded(C.evt_tail(panels.returns(spark, d, "flag"), ["ticker"]))

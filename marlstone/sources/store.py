@@ -24,6 +24,14 @@ ASSETS = "ticker STRING, calendar STRING, asset_class STRING, source STRING"
 TABLES = {"prices": (PRICES, ["ticker", "date"]), "rates": (RATES, ["date", "series_id"]), "factors": (FACTORS, ["date", "factor"]), "assets": (ASSETS, ["ticker"])}
 
 
+def table_function(spark: SparkSession, name: str, rows: DataFrame) -> None:
+    """Make ``rows`` a table function of Spark SQL: SELECT ... FROM name()."""
+    view = f"__{name}"
+    rows.createOrReplaceTempView(view)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS TABLE({columns}) RETURN SELECT {', '.join(f'`{c}`' for c in rows.columns)} FROM {view}")
+
+
 class Store:
     """Tables under one base path, which any file system of Spark's can hold.
 
@@ -192,6 +200,5 @@ class Store:
         """Spark SQL in which prices(), rates() and factors() are table functions, the last two if there are such tables."""
         for name in ("prices", "rates", "factors"):
             if name == "prices" or self.exists(name):
-                self.table(name).createOrReplaceTempView(f"__{name}")
-                self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS TABLE({TABLES[name][0]}) RETURN SELECT {', '.join(c.split()[0] for c in TABLES[name][0].split(', '))} FROM __{name}")
+                table_function(self.spark, name, self.table(name))
         return self.spark.sql(query)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Callable
 
@@ -16,7 +17,8 @@ from marlstone.operators import factors as FA
 from marlstone.operators import networks, panel, performance, regimes, stress
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
-from marlstone.sources.store import table_function
+from marlstone.sources import ingest, parsers
+from marlstone.sources.store import scratch_store, table_function
 from marlstone.streaming import twins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -576,6 +578,163 @@ def quality_report(spark, d):
     return quality.report(_priced(spark, d))
 
 
+@query(
+    panels.sql(
+        "prio_day", _PRICED_RETS,
+        "m AS (SELECT ticker, median(ret) AS m FROM q WHERE ret IS NOT NULL GROUP BY ticker)",
+        "md AS (SELECT ticker, median(abs(ret - m)) AS mad FROM q JOIN m USING (ticker) WHERE ret IS NOT NULL GROUP BY ticker)",
+        "ou AS (SELECT ticker, count(*) AS n, max(CASE WHEN abs(ret) > 0.4 THEN 1 ELSE 0 END) AS bad FROM q JOIN m USING (ticker) JOIN md USING (ticker) WHERE ret IS NOT NULL AND (abs(ret) > 0.2 OR (mad > 0 AND abs(ret - m) > 8 * 1.4826 * mad)) GROUP BY ticker)",
+        "ca AS (SELECT ticker, count(*) AS n FROM (SELECT t.ticker, d.date FROM (SELECT DISTINCT ticker FROM p) t CROSS JOIN (SELECT DISTINCT date FROM p) d ANTI JOIN p ON p.ticker = t.ticker AND p.date = d.date) GROUP BY ticker)",
+        "ga AS (SELECT ticker, count(*) AS n FROM (SELECT ticker, date - lag(date) OVER (PARTITION BY ticker ORDER BY date) AS days FROM p) WHERE days > 4 GROUP BY ticker)",
+        "st AS (SELECT ticker, max(n) + 1 AS n FROM (SELECT ticker, run, count(*) AS n FROM (SELECT ticker, same, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY date) AS run FROM (SELECT ticker, date, coalesce(price = lag(price) OVER (PARTITION BY ticker ORDER BY date), false) AS same FROM p)) WHERE same GROUP BY 1, 2) GROUP BY ticker HAVING max(n) + 1 >= 5)",
+        "sh AS (SELECT ticker, count(*) AS n FROM p GROUP BY ticker HAVING count(*) < 252)",
+        select="""SELECT ticker, 'return_outliers' AS check_name, CASE WHEN bad = 1 THEN 'critical' ELSE 'warning' END AS severity, n FROM ou UNION ALL SELECT ticker, 'calendar_gaps', CASE WHEN n > 5 THEN 'warning' ELSE 'info' END, n FROM ca
+            UNION ALL SELECT ticker, 'observation_gaps', 'info', n FROM ga UNION ALL SELECT ticker, 'stale_prices', 'warning', n FROM st UNION ALL SELECT ticker, 'short_history', 'warning', n FROM sh""",
+    )
+)
+def quality_findings(spark, d):
+    return quality.report(_priced(spark, d)).select("ticker", F.col("check").alias("check_name"), "severity", "n")
+
+
+# ---------------------------------------------------------------- the store and its sources
+
+_STORED = "sp AS (SELECT date, ticker, price * CASE WHEN year(date) = 1995 THEN 2 ELSE 1 END AS price FROM p)"
+
+
+def _filled_store(spark, d):
+    """The flags' prices as three tickers, then corrections of one year for all of them."""
+    store = scratch_store(spark)
+    rows = panels.panel(spark, d, "flag")
+    for t in sorted(FLAG_BOOK):
+        own = rows.where(F.col("ticker") == t).select("date", *[F.col("price").alias(c) for c in ("open", "high", "low", "close", "adj_close")], F.lit(1.0).alias("volume"))
+        store.write_prices(t, own)
+        store.write_prices(t, own.where("year(date) = 1995").withColumn("adj_close", 2 * F.col("adj_close")))
+        store.write_asset(t, "trading_days", "equity", "test")
+    store.write_asset("R", "continuous", "crypto", "test")
+    return store
+
+
+@query(panels.sql("flag", _STORED, select="SELECT date, round(max(price) FILTER (WHERE ticker = 'A'), 6) AS \"A\", round(max(price) FILTER (WHERE ticker = 'N'), 6) AS \"N\" FROM sp WHERE ticker IN ('A', 'N') AND date BETWEEN DATE '1994-06-01' AND DATE '1996-06-30' GROUP BY date"))
+def store_prices(spark, d):
+    return rounded(_filled_store(spark, d).read_prices(["A", "N", "missing"], "1994-06-01", "1996-06-30"))
+
+
+@query(
+    panels.sql(
+        "flag", _STORED, "ac AS (SELECT date FROM sp WHERE ticker IN ('A', 'R') AND date >= DATE '1994-01-01' GROUP BY date HAVING count(*) = 2)",
+        select="SELECT date, ticker, round(ln(price / prev), 6) AS ret FROM (SELECT *, lag(price) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM sp JOIN ac USING (date) WHERE ticker IN ('A', 'R')) WHERE prev IS NOT NULL",
+    )
+)
+def store_returns(spark, d):
+    return rounded(_filled_store(spark, d).read_returns(["A", "R"], "1994-01-01", kind="log").data)
+
+
+@query(panels.sql("flag", select="SELECT ticker, max(date) AS last, CASE WHEN ticker = 'R' THEN 'continuous' ELSE 'trading_days' END AS calendar, CASE WHEN ticker = 'R' THEN 'crypto' ELSE 'equity' END AS asset_class FROM p GROUP BY ticker"))
+def store_listing(spark, d):
+    store = _filled_store(spark, d)
+    meta = store.assets()
+    return spark.createDataFrame([(t, store.last_date(t), store.calendar_for(t).value, meta[t]["asset_class"]) for t in store.available_tickers()], "ticker string, last date, calendar string, asset_class string")
+
+
+@query(panels.sql("flag", select="SELECT date, round(max(ret) FILTER (WHERE ticker = 'A') * CASE WHEN year(date) = 1996 THEN -1 ELSE 1 END, 6) AS \"A\", round(max(ret) FILTER (WHERE ticker = 'R') * CASE WHEN year(date) = 1996 THEN -1 ELSE 1 END, 6) AS \"R\" FROM r WHERE date >= DATE '1995-01-01' GROUP BY date"))
+def store_factors(spark, d):
+    store = scratch_store(spark)
+    rows = panels.returns(spark, d, "flag").select("date", F.col("ticker").alias("factor"), F.col("ret").alias("value"), F.lit("test").alias("source"))
+    store.write_series(rows, "factors")
+    store.write_series(rows.where("year(date) = 1996").withColumn("value", -F.col("value")), "factors")
+    return rounded(store.read_factors(["A", "R"], "1995-01-01"))
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(sum(o_totalprice), 2) AS rate FROM orders GROUP BY 1 HAVING CAST(date_trunc('month', o_orderdate) AS DATE) BETWEEN DATE '1993-01-01' AND DATE '1995-12-31'")
+def store_rates(spark, d):
+    store = scratch_store(spark)
+    rows = read_table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("date")).agg(F.sum("o_totalprice").alias("value"))
+    store.write_series(rows.select("date", F.lit("rate").alias("series_id"), "value", F.lit("USD").alias("currency"), F.lit("test").alias("source")), "rates")
+    return rounded(store.read_rates(None, "1993-01-01", "1995-12-31"), 2)
+
+
+@query(panels.sql("flag", select="SELECT date, ticker, round(price, 6) AS adj_close FROM p WHERE date >= DATE '1993-01-01' AND ticker <> 'N'"))
+def incremental_ingest(spark, d):
+    """Prices fetched in two runs, the second from each ticker's last date on; one ticker's source fails."""
+    rows = panels.panel(spark, d, "flag")
+    asked = {"until": "1995-12-31"}
+
+    def fetch(ticker, since):
+        if ticker == "N":
+            raise ConnectionError("no such source")
+        own = rows.where((F.col("ticker") == ticker) & (F.col("date") >= F.lit(since).cast("date")) & (F.col("date") <= F.lit(asked["until"]).cast("date")))
+        return own.select("date", *[F.col("price").alias(c) for c in ("open", "high", "low", "close", "adj_close")], F.lit(1.0).alias("volume"))
+
+    pipeline = ingest.Pipeline(scratch_store(spark), fetch)
+    for until in ("1995-12-31", "2100-01-01"):
+        asked["until"] = until
+        pipeline.update_prices(sorted(FLAG_BOOK), "1993-01-01", today=dt.date.fromisoformat(until))
+    return rounded(pipeline.store.table("prices").select("date", "ticker", "adj_close"))
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 HAVING month(CAST(date_trunc('month', o_orderdate) AS DATE)) <> 3")
+def parse_rates_csv(spark, d):
+    """A provider's text with missing values (March's), parsed."""
+    counts = sorted((r["m"], r["n"]) for r in read_table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect())
+    return parsers.fred_csv(spark, text="observation_date,X\n" + "".join(f"{m},{'.' if m.month == 3 else n}\n" for m, n in counts))
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, factor, CAST(CASE factor WHEN 'N' THEN count(*) ELSE -count(*) END AS DOUBLE) / 100 AS value FROM orders, (VALUES ('N'), ('Neg')) t(factor) GROUP BY 1, 2")
+def parse_factors_csv(spark, d):
+    """A provider's block of daily rows between other text, in percent, turned into long decimals."""
+    counts = sorted((r["m"], r["n"]) for r in read_table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect())
+    text = "Some text\n\n,N,Neg\n" + "".join(f"{m:%Y%m%d},  {n}.00, {-n}.00\n" for m, n in counts) + "\n Annual\n1999, 1, 2\n"
+    return parsers.french_text(spark, text).select("date", "factor", "value")
+
+
+@query("SELECT CAST(ts AS DATE) AS date, round(arg_max(value, epoch_ms(ts) * 1000000 + event_id), 6) AS close FROM events GROUP BY 1")
+def parse_candles(spark, d):
+    """Candles of a day and their last one, as an exchange's pages give them."""
+    rows = read_table(spark, d, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "value")
+    last = panel.top_k(rows, ["ms"], [F.desc("event_id")], 1)
+    candles = last.select(F.col("ms").alias("ts"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"))
+    return rounded(parsers.exchange_candles(candles, "X").select("date", "close"))
+
+
+# ---------------------------------------------------------------- more of panels, regimes, stress
+
+
+@query(panels.sql("flag", "rf AS (SELECT date, avg(ret) / 10 AS rf FROM r WHERE month(date) <> 7 GROUP BY date)", select="SELECT date, ticker, round(ret - rf, 9) AS excess FROM r JOIN rf USING (date)"))
+def excess_over_series(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    rate = rows.where("month(date) <> 7").groupBy("date").agg((F.avg("ret") / 10).alias("rf"))
+    return rounded(panel.excess(rows, 252, rate).select("date", "ticker", "excess"), 9)
+
+
+@query(panels.sql("flag", *_VS, _MARKET_STATES, select="SELECT CAST(state AS BIGINT) AS state, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS frequency FROM ms GROUP BY state"))
+def state_frequencies(spark, d):
+    return rounded(regimes.frequencies(_market_states(spark, d)), 9)
+
+
+@query(
+    panels.sql(
+        "flag", _BOOK, _WINDOWS, "x AS (SELECT scenario, date, sum(weight * ret) AS q FROM r JOIN book USING (ticker) JOIN wn ON date BETWEEN s AND e GROUP BY 1, 2)", "y AS (SELECT scenario, product(1 + q) - 1 AS pnl FROM x GROUP BY scenario)",
+        select="SELECT arg_min(scenario, pnl) AS scenario, round(min(pnl), 9) AS pnl FROM y",
+    )
+)
+def worst_scenario(spark, d):
+    return rounded(stress.worst(stress.replay_assets(panels.returns(spark, d, "flag"), FLAG_BOOK, stress.scenarios(spark, WINDOWS))), 9)
+
+
+@query(
+    panels.sql(
+        "flag", "bk2 AS (SELECT * FROM (VALUES ('A', 0.2), ('N', 0.2), ('R', 0.6)) t(ticker, weight))", _PAIRS, _COV,
+        "full_cv AS (SELECT a, b, cov FROM cv UNION ALL SELECT b, a, cov FROM cv WHERE a <> b)",
+        "x AS (SELECT a AS ticker, wa.weight, wa.weight * sum(cov * wb.weight) AS v FROM full_cv JOIN bk2 wa ON wa.ticker = a JOIN bk2 wb ON wb.ticker = b GROUP BY 1, 2)",
+        select="SELECT ticker, round(share, 6) AS share FROM (SELECT ticker, weight, v / sum(v) OVER () AS share FROM x) WHERE share > 1.2 * weight",
+    )
+)
+def overweight_risk(spark, d):
+    rows = panels.returns(spark, d, "flag")
+    book = panel.weights_frame(rows, {"A": 0.2, "N": 0.2, "R": 0.6})
+    return rounded(C.overweight(C.risk_decomposition(C.covariance(rows), book), 1.2).select("ticker", "share"))
+
+
 # ---------------------------------------------------------------- schedules, upserts, joins
 
 
@@ -587,6 +746,16 @@ def _order_dates(spark, d):
     return read_table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
 
 
+@query(_schedule_sql("d"))
+def schedule_daily(spark, d):
+    return panel.schedule(_order_dates(spark, d), "daily")
+
+
+@query(_schedule_sql("year(d)"))
+def schedule_annual(spark, d):
+    return panel.schedule(_order_dates(spark, d), "annual")
+
+
 @query(_schedule_sql("isoyear(d), week(d)"))
 def schedule_weekly(spark, d):
     return panel.schedule(_order_dates(spark, d), "weekly")

@@ -81,7 +81,7 @@ def stale_prices(prices: DataFrame, min_run: int = 5, value: str = "adj_close")
     """Runs of at least ``min_run`` equal prices."""
     same = F.col(value) == F.lag(value).over(W.partitionBy("ticker").orderBy("date"))
     longest = runs(prices.withColumn("__same", same), F.col("__same"), ["ticker"]).groupBy("ticker").agg((F.max("length") + 1).alias("longest")).where(F.col("longest") >= min_run)
-    return _finding(longest, "stale_prices", F.lit(WARNING), F.col("longest"), F.format_string("flat price run of %d days", F.col("longest")), F.to_json(F.struct(F.col("longest").alias("longest_run"))))
+    return _finding(longest, "stale_prices", F.lit(WARNING), F.col("longest"), F.format_string("the same price on %d days in a row", F.col("longest")), F.to_json(F.struct(F.col("longest").alias("longest_run"))))
 
 
 def missing_dates(prices: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import tempfile
 import uuid
 from collections.abc import Sequence
 from urllib.parse import quote
@@ -24,6 +25,20 @@ ASSETS = "ticker STRING, calendar STRING, asset_class STRING, source STRING"
 TABLES = {"prices": (PRICES, ["ticker", "date"]), "rates": (RATES, ["date", "series_id"]), "factors": (FACTORS, ["date", "factor"]), "assets": (ASSETS, ["ticker"])}
 
 
+def scratch_store(spark: SparkSession) -> "Store":
+    """A store of its own under the shared checkpoint folder (in a local session without one, a temporary folder)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="marlstone-store-")
+    store = Store(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    fs, path = store._fs()
+    fs.mkdirs(path(store.base))
+    fs.deleteOnExit(path(store.base))
+    return store
+
+
 def table_function(spark: SparkSession, name: str, rows: DataFrame) -> None:
     """Make ``rows`` a table function of Spark SQL: SELECT ... FROM name()."""
     view = f"__{name}"

@@ -10,6 +10,7 @@ that length) to a sequence and an offset; ranks come from counts by length and s
 
 from __future__ import annotations
 
+import itertools
 import operator
 import os
 import zlib
@@ -34,10 +35,10 @@ GROUPS = 64
 #: Relative distance from the linear program's optimum at which column generation stops.
 GAP = 1e-3
 #: Distinct words whose ids a task keeps between batches.
-WORD_CACHE = 400_000
+WORD_CACHE = 500_000
 WORDS_AT_ONCE = 4096
 #: Bytes of text that are tokenised at once: the more, the fewer words are looked up again.
-BATCH = 8_000_000
+BATCH = 16_000_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -66,9 +67,10 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        """The empty word alone, which has no ids."""
+        """Keep the empty word, which has no ids, and the marks that words are parted from."""
         self.known: dict[str, int] = {"": 0}
         self.pool, self.first = np.empty(0, dtype="<u4"), np.zeros(2, dtype=np.int64)  # where each word's ids start, and the end
+        self._learn([".", ","])
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the places where each text's ids start (one more than texts). Nulls are empty."""
@@ -76,18 +78,43 @@ class WordTokenizer:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words_of = np.asarray(lists.offsets)
         flat = lists.flatten().dictionary_encode()
-        vocabulary, which = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+        which = flat.indices.to_numpy(zero_copy_only=False)
+        stem, mark = self._numbers(flat.dictionary)
+        # the ids of each distinct word, its mark's behind its stem's, and then those of all words in turn
+        size = np.stack([self._sizes()[stem], self._sizes()[mark]], axis=1)
+        pool, start = self._gathered(self.pool, np.stack([self.first[stem], self.first[mark]], axis=1).reshape(-1), size.reshape(-1))
+        ids, starts = self._gathered(pool, start[:-1:2][which], size.sum(axis=1)[which])
+        return ids, starts[words_of - words_of[0]]
+
+    def _sizes(self) -> np.ndarray:
+        return self.first[1:] - self.first[:-1]
+
+    @staticmethod
+    def _gathered(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of ``pool`` that start at ``first``, one behind another, and where each starts (one more than runs)."""
+        start = np.concatenate([[0], np.cumsum(size)])
+        return pool[np.arange(start[-1], dtype=np.int64) + np.repeat(first - start[:-1], size)], start
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The known words that each word consists of. The pre-tokenizer parts a full stop or comma from the letter before it, and
+        the vocabulary knows lower case only, so "Word," is "word" and ","; what may hold a special token stays as it is."""
+        marked = pc.match_substring_regex(words, "[A-Za-z][.,]$")
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        stems = pc.if_else(pc.match_substring(stems, "<|"), stems, pc.ascii_lower(stems)).dictionary_encode()
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), "")
         if len(self.known) > WORD_CACHE:
             self._forget()
-        numbers = list(map(self.known.get, vocabulary))
-        self._learn([w for w, n in zip(vocabulary, numbers) if n is None])
-        if None in numbers:
-            numbers = list(map(self.known.get, vocabulary))
-        word = np.array(numbers, dtype=np.int64)[which] if len(which) else np.empty(0, dtype=np.int64)
-        size = (self.first[1:] - self.first[:-1])[word]
-        start = np.concatenate([[0], np.cumsum(size)])
-        gather = np.arange(start[-1], dtype=np.int64) + np.repeat(self.first[word] - start[:-1], size)
-        return self.pool[gather], start[words_of - words_of[0]]
+        vocabulary = stems.dictionary.to_pylist()
+        behind = len(self.known)
+        number = np.fromiter(map(self.known.get, vocabulary, itertools.repeat(-1)), dtype=np.int64, count=len(vocabulary))
+        fresh = np.flatnonzero(number < 0)
+        self._learn([vocabulary[k] for k in fresh.tolist()])
+        number[fresh] = np.arange(behind, behind + len(fresh))
+        stem = number[stems.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, dtype=np.int64)
+        mark = np.zeros(len(words), dtype=np.int64)
+        for text in (".", ","):
+            mark[pc.equal(marks, text).to_numpy(zero_copy_only=False)] = self.known[text]
+        return stem, mark
 
     def _learn(self, words: list[str]) -> None:
         pools, firsts, behind = [self.pool], [self.first], int(self.first[-1])

@@ -147,11 +147,13 @@ PIECES = T.StructType(
 
 
 def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32. A null text is the end id alone."""
+    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, and its number in the task that cut it,
+    which tells equal pieces apart (number). A null text is the end id alone."""
     path = tokenizer_path or default_tokenizer()
 
     def cut(batches):
         tok = WordTokenizer(path)
+        behind = 0
         for batch in small_batches(batches, 1, BATCH):
             ids, starts = tok.encode_batch(batch.column(1))
             ids = np.insert(ids, starts[1:], END_ID)
@@ -164,10 +166,11 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str | None =
             length = np.minimum(capacity, sizes[row] - at)
             raw = memoryview(np.ascontiguousarray(ids).view(np.uint8))
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip((starts[row] + at).tolist(), length.tolist())]
-            columns = [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(at), pa.array(length), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=PIECES.fieldNames())
+            columns = [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(at), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.arange(behind, behind + len(row)))]
+            behind += len(row)
+            yield pa.RecordBatch.from_arrays(columns, names=[*PIECES.fieldNames(), "number"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, T.StructType([*PIECES.fields, T.StructField("number", T.LongType())]))
 
 
 # ---------------------------------------------------------------- plan
@@ -381,7 +384,7 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 5)
     span = int(max(histogram.values(), default=0)) + 1  # key = length * span + rank, in exact integers
     keys = runs[:, 0] * span + runs[:, 1]
-    ordered = ranked(cut, "length", F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32"))
+    ordered = ranked(cut, "length", F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32"), F.col("number"))
 
     def place(batches):
         for batch in batches:

@@ -315,3 +315,19 @@ def test_html_of_any_depth_and_odd_markup():
     assert html_extract.main_text(f"<body><nav>Menu of the site</nav><footer>{long}</footer></body>") == ""
     for name, want in (("site-footer", 2), ("ad-slot", 2), ("main-nav", 1), ("has-sidebar", 0), ("content-sidebar-wrap", 0), ("menu-open", 0), ("cookieBanner", 2), ("page-with-comments", 0)):
         assert html_extract.name_mark(name) == want, name
+
+
+def test_equal_pieces_are_spread_and_placed_once(spark):
+    """A third of all rows equal, without ids: their ranks come from many salts, and no place is given twice."""
+    rows = [(None, "")] * 3000 + [(i, words(i, 60)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    cut = packing.pieces(docs, "doc_id", "text")
+    salts = packing.ranked(cut, "length", *[cut[c] for c in ("doc_id", "piece", "start", "ids_crc32", "number")])
+    assert sorted(r[0] for r in salts.where("length = 1").select("__rank").collect()) == list(range(3000))
+    by = {}
+    for r in packing.packed(docs).collect():
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, by.values())) == 3060
+    for own in by.values():
+        ends = [0, *(a + b for a, b in sorted(own))]
+        assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048

@@ -11,13 +11,14 @@ tokens. Counts of rare words are joined to the documents in a shuffle by word; o
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 
 from marlstone.llm.common import shuffle_partitions, staged
 from marlstone.llm.words import small_batches, split_words, word_hashes
@@ -457,10 +458,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     lexicon = Lexicon(*frequent(counts, head), total, distinct, vocabulary)
     layout = Layout(lexicon.weights)
     params = fitted(corpus, lexicon, layout, int(total))
-    known = docs.sparkSession.sparkContext.broadcast((lexicon, layout, params))  # bounded by head and vocabulary
+    # bounded by head and vocabulary; pickled with its classes, as executors need not have this package
+    known = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((lexicon, layout, params)))
 
     def score(batches):
-        lexicon, layout, params = known.value
+        lexicon, layout, params = pickle.loads(known.value)
         p = unpack(params, len(lexicon.weights), layout.classes)
         task, row = TaskContext.get().partitionId() << 33, 0
         end = np.array([_end_hash()], dtype=np.int64)

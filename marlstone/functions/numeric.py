@@ -269,27 +269,41 @@ def stationary(transition: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
+#: Entries of products are kept at this share of the largest one at least: products of two are then no denormal numbers, which
+#: processors are slow with.
+TINY = 1e-100
+
+
 def _running_products(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The products of the first t matrices for each t, each divided by its largest entry, and the logarithms of what was
-    divided by. Doubling the reach of the products takes log2(n) vectorised steps instead of n small ones."""
-    out = m.copy()
-    top = out.max(axis=(1, 2), keepdims=True)
-    out /= top
-    logs, reach = np.log(top[:, 0, 0]), 1
-    while reach < len(out):
-        joined = out[:-reach] @ out[reach:]
-        top = joined.max(axis=(1, 2), keepdims=True)
-        out[reach:] = joined / top
-        logs[reach:] = logs[:-reach] + logs[reach:] + np.log(top[:, 0, 0])
-        reach *= 2
-    return out, logs
+    divided by. Doubling the reach of the products takes log2(n) steps instead of n; each works on whole series of entries."""
+    k = m.shape[1]
+    out = np.ascontiguousarray(m.transpose(1, 2, 0))  # entry by entry, along the series
+    logs, reach = np.zeros(len(m)), 0
+    while True:
+        if reach:
+            left, right = out[:, :, :-reach], out[:, :, reach:]
+            joined = np.zeros(right.shape)
+            for i in range(k):
+                for j in range(k):
+                    for inner in range(k):
+                        joined[i, j] += left[i, inner] * right[inner, j]
+            logs[reach:] += logs[:-reach].copy()
+        else:
+            joined = out
+        top = joined.reshape(k * k, -1).max(axis=0)
+        out[:, :, reach:] = np.maximum(joined / top, TINY)
+        logs[reach:] += np.log(top)
+        reach = 2 * reach or 1
+        if reach >= len(m):
+            return out.transpose(2, 0, 1), logs
 
 
 def hamilton_filter(x, mean, sd, transition):
     """Filtered and predicted state probabilities and the log-likelihood."""
     dens = _log_normal(x, mean, sd)
     top = dens.max(axis=1, keepdims=True)
-    steps = transition[None] * np.maximum(np.exp(dens - top), 1e-290)[:, None, :]
+    steps = transition[None] * np.maximum(np.exp(dens - top), TINY)[:, None, :]
     start = stationary(transition)
     steps[0] = np.diag(np.exp(dens[0] - top[0]))
     products, logs = _running_products(steps)

@@ -1,4 +1,4 @@
-"""The ten operators' queries over the driver's tables, and the SQL of those that SQL can express."""
+"""The operators' queries over the driver's tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import fingerprints, html_extract, jaccard_join, lm, packing, quality, secrets, sentencepieces, toxicity, warc
+from marlstone.llm import ann, fingerprints, html_extract, jaccard_join, lm, packing, quality, secrets, sentencepieces, toxicity, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_lm": lm.query,
         "op10_warc": warc.query,
+        "op11_whitening": whitening.query,
+        "op12_ann": ann.query,
     }
 
 

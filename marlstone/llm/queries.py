@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import ann, fingerprints, html_extract, jaccard_join, lm, packing, quality, secrets, sentencepieces, toxicity, warc, whitening
+from marlstone.llm import ann, conversations, fingerprints, html_extract, jaccard_join, lm, packing, quality, secrets, sentencepieces, toxicity, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": warc.query,
         "op11_whitening": whitening.query,
         "op12_ann": ann.query,
+        "op13_conversations": conversations.query,
     }
 
 

@@ -60,11 +60,10 @@ def unit(a: np.ndarray) -> np.ndarray:
     return a / lengths(a)[:, None]
 
 
-def _top(order_by: list, k: int, rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order_by))).where(F.col("rank") <= k)
-
-
-BEST = [F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("row")]
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    """Each query's ``k`` best rows, ranked: highest score, then smallest id, null last, then smallest row."""
+    best = [F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("row")]
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("rank") <= k)
 
 
 def _best(own: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
@@ -187,7 +186,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", emb
         ok = np.isfinite(held[3])
         yield pa.RecordBatch.from_arrays([pa.array(held[0][ok]), pa.array(held[1][ok]), pa.array(held[2][ok]), pa.array(held[3][ok]), pa.array(held[4][ok])], names=["query", "vec_id", "row", "score", "list"])
 
-    truth = _top(BEST, k, rows.select("vec_id", "vector", "row").mapInArrow(true_neighbours, "query long, vec_id long, row long, score double, list long"), "query").select("query", "list").toArrow()  # k rows for each measured query
+    truth = _top(rows.select("vec_id", "vector", "row").mapInArrow(true_neighbours, "query long, vec_id long, row long, score double, list long"), k).select("query", "list").toArrow()  # k rows for each measured query
     place = np.argsort(np.argsort(-(unit(tried) @ centres.T), axis=1, kind="stable"), axis=1)
     ranks = np.sort(place[truth.column("query").to_numpy(), truth.column("list").to_numpy()])
     probes = int(ranks[max(0, int(np.ceil(recall * len(ranks))) - 1)]) + 1 if len(ranks) else lists
@@ -272,7 +271,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, vec_id: str = "vec_id", emb
     def found_by(queries: DataFrame, test: bool) -> DataFrame:
         both = tiles(listed.withColumn("bound", F.lit(None).cast("double")), "row_parts", "query_parts", 0).unionByName(tiles(queries, "query_parts", "row_parts", 1))
         both = both.repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", "kind")
-        return _top(BEST, k, both.mapInArrow(scan_tiles(test), ROWS), "query")
+        return _top(both.mapInArrow(scan_tiles(test), ROWS), k)
 
     best = staged(found_by(asked, True), "ann-found")
     # The test abandons a true neighbour now and then; a query that is left with too few is scanned without it.

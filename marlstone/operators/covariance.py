@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from marlstone.functions import numeric
+from marlstone.operators import scan
 from marlstone.operators.performance import frame
 
 
@@ -38,7 +39,6 @@ def ewma_covariance(returns: DataFrame, decay: float = 0.94, scale: float = 1.0)
 
 def correlation(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by…, a, b, rho), Pearson; 1 on the diagonal."""
-    rho = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.corr("ra", "rb"))
     return pairs(returns, by).groupBy(*by, "a", "b").agg(F.corr("ra", "rb").alias("__r")).select(*by, "a", "b", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("__r")).alias("rho"))
 
 
@@ -167,14 +167,12 @@ def rolling_risk_contribution(returns: DataFrame, weights: dict[str, float], win
 
     The windows' cross-products come from frames over each pair; each date's small matrix is one group."""
     tickers = sorted(weights)
-    over = frame(["a", "b"], window)
     rows = pairs(returns.where(F.col("ticker").isin(tickers)))
     if decay is None:
-        value = F.covar_samp("ra", "rb").over(over)
+        over = frame(["a", "b"], window)
+        cov = rows.withColumns({"cov": F.covar_samp("ra", "rb").over(over), "__n": F.count(F.lit(1)).over(over)}).where(F.col("__n") == window).select("date", "a", "b", "cov")
     else:
-        norm = sum(decay**k for k in range(window))
-        value = F.aggregate(F.collect_list(F.col("ra") * F.col("rb")).over(over), F.lit(0.0), lambda acc, x: acc * decay + x) / norm
-    cov = rows.withColumns({"cov": value, "__n": F.count(F.lit(1)).over(over)}).where(F.col("__n") == window).select("date", "a", "b", "cov")
+        cov = scan.sliding_ewma(rows, F.col("ra") * F.col("rb"), window, decay, ["a", "b"], name="cov").select("date", "a", "b", "cov")
     book = returns.sparkSession.createDataFrame([(t, float(w)) for t, w in weights.items()], "t string, w double")
     rc = both_triangles(cov, ["date"]).join(book.select(F.col("t").alias("b"), F.col("w").alias("wb")), "b").groupBy("date", "a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"))
     rc = rc.join(book.select(F.col("t").alias("a"), F.col("w").alias("wa")), "a").withColumn("rc", F.col("wa") * F.col("sw"))

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from marlstone.operators import scan
+from marlstone.staging import staged
+
 
 def growth(returns: DataFrame, by: Sequence[str] = (), ret: str = "ret") -> DataFrame:
     """Add ``growth`` (cumulated product of 1 + r), ``peak`` and ``drawdown`` by date within ``by``.
@@ -47,19 +50,25 @@ def zero_if(condition: Column, value: Column) -> Column:
     return F.when(condition, F.lit(0.0)).otherwise(value)
 
 
-def metrics(returns: DataFrame, by: Sequence[str], periods_per_year: int = 252, rate: float = 0.04, confidence: float = 0.95, ret: str = "ret") -> DataFrame:
+def metrics(returns: DataFrame, by: Sequence[str], periods_per_year: int = 252, rate: float = 0.04, confidence: float = 0.95, ret: str = "ret", span_days: float | None = None) -> DataFrame:
     """The metric set of each track, from one shuffle by track: windows in the order of dates give drawdowns, the length of the
     drawdown so far and the track's quantile, and one aggregation over the same partitions gives the rest.
 
-    Ratios are 0 where their denominator is 0. A null or NaN return doesn't count. CVaR is VaR where no return reaches it.
+    With ``span_days`` tracks may be of any length: drawdowns are a prefix scan over spans of so many days and the quantile is
+    selected from a bracket, so that no task holds a track. Ratios are 0 where their denominator is 0. A null or NaN return doesn't count. CVaR is VaR where no return reaches it.
     """
     by = list(by)
     root = math.sqrt(periods_per_year)
     clean = returns.where(F.col(ret).isNotNull() & ~F.isnan(ret)).select(*by, "date", F.col(ret).alias("ret"))
-    run = W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    tracks = growth(clean, by).withColumn("__i", F.count(F.lit(1)).over(run))
-    tracks = tracks.withColumn("__below", F.col("__i") - F.coalesce(F.last(F.when(F.col("drawdown") >= 0, F.col("__i")), ignorenulls=True).over(run), F.lit(0)))
-    tracks = tracks.withColumn("__q", F.percentile("ret", F.lit(1 - confidence)).over(W.partitionBy(*by)))
+    if span_days is not None:
+        clean = staged(clean, "returns")  # read by the scan and by each round of the selection
+        quantiles = scan.exact_quantiles(clean, by, "ret", 1 - confidence).select(*by, F.col("quantile").alias("__q"))
+        tracks = scan.growth_scan(clean, by, days=span_days).withColumnRenamed("below", "__below").join(quantiles, by)
+    else:
+        run = W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+        tracks = growth(clean, by).withColumn("__i", F.count(F.lit(1)).over(run))
+        tracks = tracks.withColumn("__below", F.col("__i") - F.coalesce(F.last(F.when(F.col("drawdown") >= 0, F.col("__i")), ignorenulls=True).over(run), F.lit(0)))
+        tracks = tracks.withColumn("__q", F.percentile("ret", F.lit(1 - confidence)).over(W.partitionBy(*by)))
     ex = F.col("ret") - rate / periods_per_year
     sums = tracks.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_obs"),
@@ -115,20 +124,9 @@ def rolling_sharpe(returns: DataFrame, window: int = 252, periods_per_year: int
 
 
 def rolling_drawdown(returns: DataFrame, window: int = 252, by: Sequence[str] = ("ticker",)) -> DataFrame:
-    """The largest drawdown within each window, whose peak starts anew with the window: each row looks at its whole window, so
-    the work is rows times ``window``."""
-
-    def within(w):
-        zero = F.struct(F.lit(1.0).alias("cum"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
-
-        def step(acc, r):
-            cum = acc["cum"] * (1 + r)
-            peak = F.greatest(acc["peak"], cum)
-            return F.struct(cum.alias("cum"), peak.alias("peak"), F.least(acc["dd"], cum / peak - 1).alias("dd"))
-
-        return F.aggregate(F.collect_list("ret").over(w), zero, step, lambda acc: acc["dd"])
-
-    return rolling(returns, {"max_drawdown": within}, window, by)
+    """The largest drawdown within each full window, whose peak starts anew with the window; each row costs the same whatever
+    the window's width."""
+    return scan.sliding_drawdown(returns, window, by)
 
 
 def segment_rebased(equity: DataFrame, segment: str) -> DataFrame:

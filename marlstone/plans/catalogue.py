@@ -14,9 +14,10 @@ from pyspark.sql import Window as W
 from marlstone.functions import numeric, optimizers
 from marlstone.operators import covariance as C
 from marlstone.operators import factors as FA
-from marlstone.operators import networks, panel, performance, regimes, stress
+from marlstone.operators import networks, panel, performance, regimes, scan, stress
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
+from marlstone.staging import staged
 from marlstone.sources import ingest, parsers
 from marlstone.sources.store import scratch_store, table_function
 from marlstone.streaming import twins
@@ -112,8 +113,8 @@ def _metrics_sql(name: str, key: str, source: str) -> str:
     )
 
 
-def _metrics(rows: DataFrame) -> DataFrame:
-    out = performance.metrics(rows, ["ticker"]).withColumnsRenamed({"start": "first", "end": "last"})
+def _metrics(rows: DataFrame, span_days: float | None = None) -> DataFrame:
+    out = performance.metrics(rows, ["ticker"], span_days=span_days).withColumnsRenamed({"start": "first", "end": "last"})
     return rounded(out)
 
 
@@ -124,7 +125,21 @@ def perf_metrics(spark, d):
 
 @query(_metrics_sql("event_day", "'book'", "(SELECT date, avg(ret) AS ret FROM r GROUP BY date)"))
 def perf_metrics_events(spark, d):
-    return _metrics(panel.equal_weight_returns(panels.returns(spark, d, "event_day")).withColumn("ticker", F.lit("book")))
+    """One track, by spans of time: no task holds it."""
+    return _metrics(panel.equal_weight_returns(panels.returns(spark, d, "event_day")).withColumn("ticker", F.lit("book")), scan.SPAN_DAYS)
+
+
+@query(_metrics_sql("flag", "ticker", "r"))
+def perf_metrics_spans(spark, d):
+    """The same measures as ``perf_metrics``, each track in many spans and its quantile selected from a bracket."""
+    return _metrics(panels.returns(spark, d, "flag"), 180)
+
+
+@query(panels.sql("flag", "q AS (SELECT ticker, count(*) AS n, quantile_cont(ret, 0.5) AS median, quantile_cont(ret, 0.99) AS high FROM r GROUP BY ticker)", select="SELECT ticker, n, round(median, 9) AS median, round(high, 9) AS high FROM q"))
+def selected_quantiles(spark, d):
+    rows = staged(panels.returns(spark, d, "flag"), "returns")
+    high = scan.exact_quantiles(rows, ["ticker"], "ret", 0.99, most=200).select("ticker", F.col("quantile").alias("high"))
+    return rounded(scan.exact_quantiles(rows, ["ticker"], "ret", 0.5, most=200).withColumnRenamed("quantile", "median").join(high, "ticker"), 9)
 
 
 _GROWTH = "g AS (SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS growth FROM r)"
@@ -178,6 +193,19 @@ def rolling_drawdown(spark, d):
     return rounded(performance.rolling_drawdown(panels.returns(spark, d, "prio_month"), 12).select("date", "ticker", F.col("max_drawdown").alias("value")))
 
 
+@query(
+    panels.sql(
+        "flag",
+        "n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS g FROM r)",
+        "pk AS (SELECT e.ticker, e.i, j.i AS at, j.g, max(j.g) OVER (PARTITION BY e.ticker, e.i ORDER BY j.i) AS peak FROM n e JOIN n j ON j.ticker = e.ticker AND j.i BETWEEN e.i - 251 AND e.i WHERE e.i >= 252)",
+        "wd AS (SELECT ticker, i, min(g / peak - 1) AS v FROM pk GROUP BY 1, 2)",
+        select="SELECT date, ticker, round(v, 6) AS value FROM wd JOIN n USING (ticker, i)",
+    )
+)
+def rolling_drawdown_year(spark, d):
+    return rounded(performance.rolling_drawdown(panels.returns(spark, d, "flag"), 252).select("date", "ticker", F.col("max_drawdown").alias("value")))
+
+
 # ---------------------------------------------------------------- covariance and risk
 
 _PAIRS = "pr AS (SELECT x.date, x.ticker AS a, y.ticker AS b, x.ret AS ra, y.ret AS rb FROM r x JOIN r y ON x.date = y.date AND x.ticker <= y.ticker)"
@@ -307,6 +335,21 @@ def rolling_risk_contribution(spark, d):
     return rounded(C.rolling_risk_contribution(panels.returns(spark, d, "flag"), FLAG_BOOK, decay=None).select("date", "ticker", "share"))
 
 
+@query(
+    panels.sql(
+        "flag", _BOOK, _PAIRS,
+        "ni AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date) AS i FROM pr)",
+        "cw AS (SELECT e.date, e.a, e.b, sum(pow(0.94, e.i - j.i) * j.ra * j.rb) AS cov FROM ni e JOIN ni j ON e.a = j.a AND e.b = j.b AND j.i BETWEEN e.i - 62 AND e.i WHERE e.i >= 63 GROUP BY 1, 2, 3)",
+        "fw AS (SELECT date, a, b, cov FROM cw UNION ALL SELECT date, b, a, cov FROM cw WHERE a <> b)",
+        "rc AS (SELECT date, a, x.weight * sum(cov * y.weight) AS rc FROM fw JOIN book x ON a = x.ticker JOIN book y ON b = y.ticker GROUP BY date, a, x.weight)",
+        select="SELECT date, a AS ticker, round(rc / sum(rc) OVER (PARTITION BY date), 6) AS share FROM rc",
+    )
+)
+def rolling_risk_ewma(spark, d):
+    """The default form: weights that fall from each window's last date."""
+    return rounded(C.rolling_risk_contribution(panels.returns(spark, d, "flag"), FLAG_BOOK).select("date", "ticker", "share"))
+
+
 # ---------------------------------------------------------------- factors
 
 
@@ -1231,13 +1274,46 @@ def regime_model(spark, d):
     return regimes.fit_regimes(rows, ["track"], restarts=2).select("track", "date", "state", "filtered_state")
 
 
-@query()
-def regime_fit_long(spark, d):
-    """All tracks of a panel behind one another as one long series, fitted from five starts."""
+def _one_series(spark, d) -> DataFrame:
+    """All tracks of a panel behind one another as one long series."""
     rows = panels.returns(spark, d, "flagstat")
     place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("ticker", "date"))  # one track by construction
-    one = rows.withColumn("date", F.date_add(F.lit("1990-01-01").cast("date"), place)).withColumn("track", F.lit("all"))
-    return regimes.fit_regimes(one, ["track"], restarts=5).select("track", "date", "state", "filtered_state")
+    return rows.withColumn("date", F.date_add(F.lit("1990-01-01").cast("date"), place))
+
+
+@query()
+def regime_fit_long(spark, d):
+    """One long series, fitted from five starts."""
+    return regimes.fit_regime_series(_one_series(spark, d), restarts=5).select(F.lit("all").alias("track"), "date", "state", "filtered_state")
+
+
+@query()
+def regime_fit_spans(spark, d):
+    """The same series cut into spans, ten steps from two starts, each step one job over the spans."""
+    found = regimes.fit_regime_series(_one_series(spark, d), restarts=2, iterations=10, span_rows=4096)
+    return rounded(found.select("date", "state", "filtered_state", F.col("filtered")[0].alias("calm"), "loglik"), 6)
+
+
+_CALM = (0.0004, 0.003, -0.0006, 0.009, 0.97, 0.08)  # means and deviations of two states, the chances to stay calm and to leave stress
+_DENS = [f"exp(-0.5 * pow((x.ret - {m!r}) / {s!r}, 2)) / {s!r}" for m, s in (_CALM[:2], _CALM[2:4])]
+_STEP = (f"(pc * {_CALM[4]!r} + (1 - pc) * {_CALM[5]!r})", f"(pc * {1 - _CALM[4]!r} + (1 - pc) * {1 - _CALM[5]!r})")
+
+
+@query(
+    panels.sql(
+        "flag", "mk AS (SELECT date, avg(ret) AS ret, row_number() OVER (ORDER BY date) AS i FROM r GROUP BY date)",
+        f"""fi AS (
+            SELECT x.i, x.date, s * {_DENS[0]} / (s * {_DENS[0]} + (1 - s) * {_DENS[1]}) AS pc, ln((s * {_DENS[0]} + (1 - s) * {_DENS[1]}) / sqrt(2 * pi())) AS ll FROM mk x, (SELECT {_CALM[5]!r} / ({_CALM[5]!r} + 1 - {_CALM[4]!r}) AS s) WHERE x.i = 1
+            UNION ALL SELECT x.i, x.date, {_STEP[0]} * {_DENS[0]} / ({_STEP[0]} * {_DENS[0]} + {_STEP[1]} * {_DENS[1]}), ll + ln(({_STEP[0]} * {_DENS[0]} + {_STEP[1]} * {_DENS[1]}) / sqrt(2 * pi())) FROM fi JOIN mk x ON x.i = fi.i + 1)""",
+        select="SELECT date, round(pc, 6) AS calm, round((SELECT max_by(ll, i) FROM fi), 4) AS loglik FROM fi",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def regime_filter(spark, d):
+    """A given model's filtered probabilities and log-likelihood of a market's returns, by a scan over spans."""
+    m0, s0, m1, s1, stay, leave = _CALM
+    market = panel.equal_weight_returns(panels.returns(spark, d, "flag"))
+    found = regimes.filter_series(market, [m0, m1], [s0, s1], [[stay, 1 - stay], [leave, 1 - leave]], span_rows=300)
+    return found.select("date", F.round(F.col("filtered")[0], 6).alias("calm"), F.round("loglik", 4).alias("loglik"))
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +18,8 @@ from marlstone.operators import factors as FA
 from marlstone.operators import networks, panel, performance, regimes, scan, stress
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
-from marlstone.staging import staged
-from marlstone.sources import ingest, parsers
+from marlstone.staging import scratch_dir, staged
+from marlstone.sources import datasource, parsers
 from marlstone.sources.store import scratch_store, table_function
 from marlstone.streaming import twins
 
@@ -699,35 +700,61 @@ def store_rates(spark, d):
 @query(panels.sql("flag", select="SELECT date, ticker, round(price, 6) AS adj_close FROM p WHERE date >= DATE '1993-01-01' AND ticker <> 'N'"))
 def incremental_ingest(spark, d):
     """Prices fetched in two runs, the second from each ticker's last date on; one ticker's source fails."""
-    rows = panels.panel(spark, d, "flag")
-    asked = {"until": "1995-12-31"}
+    datasource.register(spark)
+    landed, store = _landed_charts(spark, panels.panel(spark, d, "flag").where("ticker <> 'N'")), scratch_store(spark)
+    for until in ("1995-12-31", None):
+        datasource.ingest_series(store, "prices", sorted(FLAG_BOOK), "1993-01-01", until, landed)
+    return rounded(store.table("prices").select("date", "ticker", "adj_close"))
+
+
+def _landed(spark, kind: str, lines: DataFrame) -> str:
+    """Lines (series, n, line) as the texts that a provider's files would be; the folder they lie in."""
+    base = f"{scratch_dir(spark)}/landed-{uuid.uuid4().hex}"
+    lines.repartition("series").sortWithinPartitions("series", "n").select("series", F.col("line").alias("value")).write.partitionBy("series").text(f"{base}/{kind}")
+    return base
+
+
+def _landed_charts(spark, prices: DataFrame) -> str:
+    """A chart answer for each ticker of (date, ticker, price)."""
+    rows = prices.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("date").cast("timestamp")).alias("t"), "price"))).alias("r"))
+    closes = F.col("r.price")
+    quote = F.struct(*[closes.alias(c) for c in ("open", "high", "low", "close")], F.transform("r", lambda x: F.lit(1.0)).alias("volume"))
+    result = F.struct(F.col("r.t").alias("timestamp"), F.struct(F.lit(0).alias("gmtoffset")).alias("meta"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
+    return _landed(spark, "prices", rows.select(F.col("ticker").alias("series"), F.lit(0).alias("n"), F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("line")))
+
+
+@query(panels.sql("flag", select="SELECT date, ticker, round(price, 6) AS close FROM p WHERE ticker <> 'R' AND date > DATE '1994-03-01' AND date <= DATE '1997-06-30'"))
+def source_prices(spark, d):
+    """Chart answers read by the data source, bounds and tickers pushed down to it."""
+    datasource.register(spark)
+    landed = _landed_charts(spark, panels.panel(spark, d, "flag"))
+    rows = datasource.series(spark, "prices", sorted(FLAG_BOOK), landed=landed)
+    rows = rows.where((F.col("date") > F.lit("1994-03-01").cast("date")) & (F.col("date") <= F.lit("1997-06-30").cast("date")) & F.col("ticker").isin("A", "N") & F.col("error").isNull())
+    return rounded(rows.select("date", "ticker", "close"))
 
-    def fetch(ticker, since):
-        if ticker == "N":
-            raise ConnectionError("no such source")
-        own = rows.where((F.col("ticker") == ticker) & (F.col("date") >= F.lit(since).cast("date")) & (F.col("date") <= F.lit(asked["until"]).cast("date")))
-        return own.select("date", *[F.col("price").alias(c) for c in ("open", "high", "low", "close", "adj_close")], F.lit(1.0).alias("volume"))
 
-    pipeline = ingest.Pipeline(scratch_store(spark), fetch)
-    for until in ("1995-12-31", "2100-01-01"):
-        asked["until"] = until
-        pipeline.update_prices(sorted(FLAG_BOOK), "1993-01-01", today=dt.date.fromisoformat(until))
-    return rounded(pipeline.store.table("prices").select("date", "ticker", "adj_close"))
+def _monthly_orders(spark, d) -> DataFrame:
+    return read_table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("m")).agg(F.count(F.lit(1)).alias("k"))
 
 
 @query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 HAVING month(CAST(date_trunc('month', o_orderdate) AS DATE)) <> 3")
 def parse_rates_csv(spark, d):
-    """A provider's text with missing values (March's), parsed."""
-    counts = sorted((r["m"], r["n"]) for r in read_table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect())
-    return parsers.fred_csv(spark, text="observation_date,X\n" + "".join(f"{m},{'.' if m.month == 3 else n}\n" for m, n in counts))
+    """A provider's text with missing values (March's), fetched and parsed in executors."""
+    datasource.register(spark)
+    months = _monthly_orders(spark, d).select(F.date_format("m", "yyyy-MM-dd").alias("n"), F.when(F.month("m") == 3, F.lit(".")).otherwise(F.col("k").cast("string")).alias("v"))
+    head = spark.range(1).select(F.lit("").alias("n"), F.lit("observation_date,X").alias("line"))
+    lines = head.unionByName(months.select("n", F.concat_ws(",", "n", "v").alias("line"))).withColumn("series", F.lit("USD_2Y"))
+    return datasource.series(spark, "rates", ["USD_2Y"], landed=_landed(spark, "rates", lines)).where("error is null").select("date", "value")
 
 
 @query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, factor, CAST(CASE factor WHEN 'N' THEN count(*) ELSE -count(*) END AS DOUBLE) / 100 AS value FROM orders, (VALUES ('N'), ('Neg')) t(factor) GROUP BY 1, 2")
 def parse_factors_csv(spark, d):
-    """A provider's block of daily rows between other text, in percent, turned into long decimals."""
-    counts = sorted((r["m"], r["n"]) for r in read_table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect())
-    text = "Some text\n\n,N,Neg\n" + "".join(f"{m:%Y%m%d},  {n}.00, {-n}.00\n" for m, n in counts) + "\n Annual\n1999, 1, 2\n"
-    return parsers.french_text(spark, text).select("date", "factor", "value")
+    """A provider's block of daily rows between other text, in percent, turned into long decimals by a table function."""
+    datasource.register_table_functions(spark)
+    text = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("line")) for n, t in (("0", "Some text"), ("1", ""), ("10000101", ",N,Neg"), ("99990101", " Annual"), ("99990102", "1999, 1, 2"))])).alias("x")).select("x.*")
+    months = _monthly_orders(spark, d).select(F.date_format("m", "yyyyMMdd").alias("n"), F.format_string("%s,  %d.00, %d.00", F.date_format("m", "yyyyMMdd"), F.col("k"), -F.col("k")).alias("line"))
+    text.unionByName(months).withColumn("file", F.lit("a")).createOrReplaceTempView("__factor_lines")
+    return spark.sql("SELECT date, factor, value FROM factor_blocks(TABLE(__factor_lines))")
 
 
 @query("SELECT CAST(ts AS DATE) AS date, round(arg_max(value, epoch_ms(ts) * 1000000 + event_id), 6) AS close FROM events GROUP BY 1")

@@ -1025,6 +1025,78 @@ def stream_drawdowns(spark, d):
     return rounded(bars.groupBy("ticker").applyInPandas(twins.drawdowns_of_batch, twins.DRAWDOWNS))
 
 
+def _trickled(spark, rows: DataFrame, at: str, closing: DataFrame, late: str = "40 days") -> DataFrame:
+    """A stream of a table's rows that come in three batches, each up to 30 days from its place in time, then ``closing``."""
+    folder = f"{scratch_dir(spark)}/trickle-{uuid.uuid4().hex}"
+    moved = F.col(at) + F.make_dt_interval(F.pmod(F.xxhash64(*rows.columns), F.lit(30)).cast("int"))
+    batch = F.least(F.lit(2), F.greatest(F.lit(0), F.floor(F.months_between(moved, F.lit("1992-01-01").cast("timestamp")) / 30)))
+    rows = staged(rows.withColumn("__batch", batch), "trickle")
+    for number in range(3):
+        rows.where(F.col("__batch") == number).drop("__batch").repartition(1).write.mode("append").parquet(folder)
+    closing.select(*[F.col(c).cast(t) for c, t in rows.drop("__batch").dtypes]).repartition(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop("__batch").schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark(at, late)
+
+
+_BOOKS = {"even": FLAG_BOOK, "one": {"N": 1.0}}
+
+
+@query(
+    panels.sql(
+        "flag", "bk AS (SELECT * FROM (VALUES ('even', 'A', 0.5), ('even', 'N', 0.3), ('even', 'R', 0.2), ('one', 'N', 1.0)) t(run_id, ticker, weight))",
+        "gw AS (SELECT date, ticker, date_trunc('month', date) AS per, product(1 + ret) OVER (PARTITION BY ticker, date_trunc('month', date) ORDER BY date) AS g FROM r)",
+        "vl AS (SELECT run_id, date, per, sum(weight * g) AS v FROM gw JOIN bk USING (ticker) GROUP BY 1, 2, 3)",
+        "ed AS (SELECT run_id, per, arg_max(v, date) AS f FROM vl GROUP BY 1, 2)",
+        "bs AS (SELECT run_id, per, coalesce(product(f) OVER (PARTITION BY run_id ORDER BY per ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS base FROM ed)",
+        "eq AS (SELECT run_id, date, base * v AS equity FROM vl JOIN bs USING (run_id, per))",
+        select="SELECT run_id, date, round(equity, 6) AS equity, round(equity / max(equity) OVER (PARTITION BY run_id ORDER BY date) - 1, 6) AS drawdown FROM eq",
+    )
+)
+def stream_books(spark, d):
+    """Books by run as a stream of shuffled bars, read through to its end."""
+    runs = F.explode(F.array(*[F.lit(k) for k in _BOOKS])).alias("run_id")
+    rows = panels.returns(spark, d, "flag").select(runs, F.col("date").cast("timestamp").alias("at"), "ticker", "ret")
+    closing = spark.range(1).select(runs, F.lit("2200-01-01").cast("timestamp").alias("at"), F.lit("A").alias("ticker"), F.lit(0.0).alias("ret"))
+    found = twins.finished(twins.book_stream(_trickled(spark, rows, "at", closing), _BOOKS), "books")
+    return rounded(found.where("date < '2200-01-01'").select("run_id", "date", "equity", "drawdown"))
+
+
+@query(ORACLES["stream_drawdowns"])
+def stream_drawdowns_shuffled(spark, d):
+    """The drawdowns of bars that come in any order within the watermark, from the stream itself."""
+    bars = panels.panel(spark, d, "event_day").select("ticker", F.col("date").cast("timestamp").alias("at"), "price")
+    closing = bars.select("ticker").distinct().select("ticker", F.lit("2200-01-01").cast("timestamp").alias("at"), F.lit(0.0).alias("price"))
+    found = twins.finished(twins.ordered_drawdown_stream(_trickled(spark, bars, "at", closing)), "drawdowns")
+    return rounded(found.where("date < '2200-01-01'"))
+
+
+@query(ORACLES["publication_lag"])
+def stream_publication_lag(spark, d):
+    """``publication_lag`` as a join of two streams that both come shuffled."""
+    rows = staged(panels.returns(spark, d, "flag").where("ticker = 'A'").select("ticker", F.col("date").cast("timestamp").alias("at"), "ret"), "lagged")
+    far = spark.range(1).select(F.lit("A").alias("ticker"), F.lit("2200-01-01").cast("timestamp").alias("at"), F.lit(0.0).alias("ret"))
+    asked = _trickled(spark, rows.select("ticker", F.col("at").alias("as_of")), "as_of", far.withColumnRenamed("at", "as_of"))
+    found = twins.finished(twins.lagged_join_stream(asked, _trickled(spark, rows, "at", far)), "lagged").where("as_of < '2200-01-01'")
+    return rounded(found.select(F.col("as_of").cast("date").alias("as_of"), F.col("known").cast("date").alias("known"), "ret"))
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1")
+def stream_series(spark, d):
+    """A provider's series as a stream with its high-water mark as the offset, stopped and resumed once."""
+    datasource.register(spark)
+    months = _monthly_orders(spark, d).select(F.lit("USD_2Y").alias("series"), F.date_format("m", "yyyy-MM-dd").alias("n"), F.concat_ws(",", F.date_format("m", "yyyy-MM-dd"), F.col("k").cast("string")).alias("line"))
+    head = spark.range(1).select(F.lit("USD_2Y").alias("series"), F.lit("").alias("n"), F.lit("observation_date,X").alias("line"))
+    base = _landed(spark, "rates", head.unionByName(months.where("n < '1996-01-01'")))
+    out = f"{scratch_dir(spark)}/series-{uuid.uuid4().hex}"
+    for part in range(2):
+        if part:
+            months.where("n >= '1996-01-01'").repartition(1).sortWithinPartitions("n").select("series", F.col("line").alias("value")).write.mode("append").partitionBy("series").text(f"{base}/rates")
+        rows = spark.readStream.format("series").option("kind", "rates").option("names", "USD_2Y").option("landed", base).load()
+        q = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/marks").start()
+        q.processAllAvailable()
+        q.stop()
+    return spark.read.parquet(f"{out}/rows").where("error is null").select("date", "value")
+
+
 @query(
     """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)

@@ -51,13 +51,13 @@ class Series(InputPartition):
 
 
 def landed_body(base: str, kind: str, name: str, tail: int | None = None) -> bytes:
-    """The files of a landed series behind one another, or their last bytes."""
+    """The files of a landed series behind one another, in the order in which they were written, or their last bytes."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (fs.LocalFileSystem(), base)
     folder = f"{path}/{kind}/series={urllib.parse.quote(name, safe='')}"
     found = system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
-    files = sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and f.size)
+    files = [f.path for f in sorted(found, key=lambda f: (f.mtime_ns or 0, f.path)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and f.size]
     if not files:
         raise FileNotFoundError(f"no landed files of {name}")
     parts = []

@@ -147,7 +147,7 @@ def _after_returns(key, pdf, state, targets: dict[str, float]):
     A run begins each month with its target weights and drifts until the next one."""
     import pandas as pd
 
-    month, equity, peak, names, held = state if state else (-1, 1.0, 1.0, sorted(targets), [])
+    month, equity, peak, names, held = state if state else (-1, 1.0, 0.0, sorted(targets), [])
     weights, out = dict(zip(names, held)), []
     for at, day in pdf.groupby("at", sort=True):
         if (now := at.year * 12 + at.month) != month:

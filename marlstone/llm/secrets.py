@@ -33,6 +33,7 @@ GITHUB = re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z]
 NPM = re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 PEM = re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,10 +92,14 @@ def _byte_spans(raw: bytes, keywords) -> list[tuple[int, int, str]]:
         pattern, valid = RULES[kind]
         behind = 0
         for start in sorted(starts):
-            if start >= behind and (m := pattern.match(raw, start)):
+            if start < behind:
+                continue
+            if m := pattern.match(raw, start):
                 behind = m.end()
                 if valid(m):
                     spans.append((start, behind, kind))
+            elif kind == "jwt":  # what follows a run of its letters is the same for every start in it
+                behind = JWT_RUN.match(raw, start).end()
     return spans
 
 

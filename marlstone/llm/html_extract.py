@@ -3,7 +3,8 @@
 The standard library's parser feeds a line builder: each block of a page is one line with its number of tags and its link
 text. The lines' text-to-tag ratios (link text apart) are smoothed with a Gaussian; links and what names itself boilerplate
 by tag, role, class or id weigh the result down; and a threshold between two clusters splits the lines. The lines of the
-upper cluster are content. The region is the smallest container that holds all of them. Its lines are the main text, but for
+upper cluster are content, or all that aren't marked or links where the clusters aren't apart. The region is the smallest container that
+holds all of them, and the lines of unmarked articles beside them. Its lines are the main text, but for
 those in containers without a content line that are marked as menus, headers, footers, sidebars, notices, adverts, forms or
 comments, or that hold mostly links outside of an article.
 """
@@ -11,6 +12,7 @@ comments, or that hold mostly links outside of an article.
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,7 +41,7 @@ MARKED = 0.05
 LINKS = 0.5
 #: Start tags that close elements left open, and the elements that these are looked for in.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table"), "th": ("td th", "table"), "tr": ("td th", "table")}
-#: What a container is by itself: content, a wrapper word's (unless it holds most of the page), a class or id's, a tag or role's.
+#: What a container is by itself: content, a wrapper word's (unless it holds the whole page), a class or id's, a tag or role's.
 PLAIN, WRAPPER, NAMED, FIRM = 0, 1, 2, 3
 
 
@@ -121,15 +123,27 @@ class _Lines(HTMLParser):
             if depth > self._open(*scope):
                 self._cut(depth)
 
+    def wrapping(self) -> list[bool]:
+        """Whether a container holds all lines of the page, or all of its mains and articles: its name then tells no content
+        from anything else."""
+        lines, articles = np.zeros(len(self.parent), dtype=int), np.zeros(len(self.parent), dtype=int)
+        np.add.at(lines, [c for _, _, _, c in self.lines], 1)
+        articles[[c for c in range(1, len(self.parent)) if self.name[c] in ("article", "main")]] = 1
+        for c in range(len(self.parent) - 1, 0, -1):
+            lines[self.parent[c]] += lines[c]
+            articles[self.parent[c]] += articles[c]
+        return [bool(n == lines[0] or (articles[0] and a == articles[0])) for n, a in zip(lines, articles)]
+
     def marked(self, votes: np.ndarray) -> list[bool]:
         """Whether each container is marked, by itself or through one around it. A main, or an article with half of the votes,
-        is not for what a class, id or form around it says, and a wrapper that holds half of the votes isn't for its own."""
+        is not for what a class, id or form around it says, and a wrapper's word isn't one for what wraps the whole page."""
         soft, firm = [False], [False]
+        wrapping = self.wrapping()
         for c in range(1, len(self.parent)):
             up = self.parent[c]
             half = 2 * votes[c] >= votes[0] > 0
             content = self.mark[c] == PLAIN and (self.name[c] == "main" or (self.name[c] == "article" and half))
-            own = self.mark[c] == NAMED or (self.mark[c] == WRAPPER and not half)
+            own = self.mark[c] == NAMED or (self.mark[c] == WRAPPER and not wrapping[c])
             soft.append(not content and (soft[up] or own))
             firm.append(firm[up] or self.mark[c] == FIRM)
         return [a or b for a, b in zip(soft, firm)]
@@ -193,6 +207,13 @@ class _Lines(HTMLParser):
             if self.link_depth:
                 self.link_parts.append(data)
 
+    def tail(self, text: str):
+        """What follows the last complete tag: text up to a tag that is never finished, which goes as it does in browsers."""
+        rest, self.rawdata = self.rawdata, ""
+        found = re.search(r"<[a-zA-Z/!?]", text)
+        data = text[: found.start()] if found else text
+        self.handle_data(unescape(rest + data) if not self.cdata_elem else rest + data)
+
     def finish(self):
         self.close()
         self.flush()
@@ -220,6 +241,13 @@ def two_cluster_threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def upper_cluster(values: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Whether each value is in the upper of two clusters; ``otherwise`` where the clusters aren't apart, the lower centre not
+    under half of the upper one."""
+    upper = values >= two_cluster_threshold(values)
+    return otherwise if upper.all() or 2 * values[~upper].mean() > values[upper].mean() else upper
+
+
 def _sum_up(parser: _Lines, values: np.ndarray) -> np.ndarray:
     """The sums of the lines' values in each container, those inside it included."""
     out = np.zeros(len(parser.parent))
@@ -233,9 +261,11 @@ def content_lines(parser: _Lines) -> tuple[np.ndarray, list[bool]]:
     """Whether each line is in the upper cluster, and whether each container is marked."""
     size, tags, links = (np.array(c, dtype=float) for c in list(zip(*((len(t), n, link) for t, n, link, _ in parser.lines))))
     ratio = smooth(np.log1p((size - links) / np.maximum(1, tags)))
-    marked = parser.marked(_sum_up(parser, np.where(ratio >= two_cluster_threshold(ratio), size, 0)))
-    weighed = ratio * (1 - links / size) * np.where([marked[c] for _, _, _, c in parser.lines], MARKED, 1.0)
-    return weighed >= two_cluster_threshold(weighed), marked
+    marked = parser.marked(_sum_up(parser, np.where(upper_cluster(ratio, np.ones(len(size), dtype=bool)), size, 0)))
+    told = np.array([marked[c] for _, _, _, c in parser.lines])
+    weighed = ratio * (1 - links / size) * np.where(told, MARKED, 1.0)
+    plain = ~told & (links < LINKS * size)
+    return upper_cluster(weighed, plain if plain.any() else ~told), marked
 
 
 def main_text(html: str | None) -> str:
@@ -244,7 +274,9 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    whole = html.rfind(">") + 1  # no tag ends after the last >; the parser would look for its end from each <
+    parser.feed(html[:whole])
+    parser.tail(html[whole:])
     parser.finish()
     if not parser.lines:
         return ""
@@ -252,7 +284,12 @@ def main_text(html: str | None) -> str:
     if all(marked[c] for _, _, _, c in parser.lines):
         return ""
     held = _sum_up(parser, content)
-    region = int(np.flatnonzero(held == held[0])[-1])  # the containers that hold all content are nested: the last is the innermost
+    within = [False]
+    for c in range(1, len(parser.parent)):
+        within.append(not marked[c] and (within[parser.parent[c]] or parser.name[c] in ("article", "main")))
+    # A short article beside a long one is no less one: the region holds both.
+    spoken = _sum_up(parser, content | np.array([within[c] and 2 * n < len(t) for t, _, n, c in parser.lines]))
+    region = int(np.flatnonzero(spoken == spoken[0])[-1])  # the containers that hold all of it are nested: the last is the innermost
     size, links = _sum_up(parser, np.array([len(t) for t, _, _, _ in parser.lines])), _sum_up(parser, np.array([n for _, _, n, _ in parser.lines]))
     article, kept = [False], [region == 0]
     for c in range(1, len(parser.parent)):

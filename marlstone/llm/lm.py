@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark import TaskContext, cloudpickle
 
-from marlstone.llm.common import shuffle_partitions, staged
-from marlstone.llm.words import small_batches, split_words, word_hashes
+from marlstone.llm.common import staged
+from marlstone.llm.words import mix, small_batches, split_words, word_hashes
 
 FOLDS, HELD_OUT_FOLD = 5, 1
 VOCABULARY = 1022
@@ -34,7 +34,7 @@ TRAIN_LANES, TRAIN_STEPS = 256, 16
 #: Tokens whose documents are scored together (long ones fill no lanes by themselves).
 SCORE_TOKENS = 4_000_000
 #: Tokens that a task is fitted to, about: networks that saw less are not worth averaging, and more would fill its memory.
-FIT_LEAST, FIT_MOST = 250_000, 8_000_000
+FIT_LEAST, FIT_MOST, FIT_PARTS = 250_000, 8_000_000, 32
 #: Training documents are cut into runs of RUN tokens, which are dealt over the rounds: each run is fitted to in one of them.
 RUN = 128
 ROUNDS = 4
@@ -324,12 +324,12 @@ def train_runs(flat_params: np.ndarray, layout: Layout, flat: np.ndarray, offset
 
 def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One staged table of two kinds of rows from one pass over the training documents: (word, n), the tokens' counts of
-    a task; and (deal, run): all runs of tokens of every document, as 64-bit codes, and each run's own number."""
+    a task; and (deal, run): all runs of tokens of every document, as 64-bit codes, and a number that depends on the document
+    and the run's place in it alone, so that how the corpus is laid out changes nothing."""
 
     def count(batches):
         end = np.array([_end_hash()], dtype=np.int64)
         words, counts, size = [], [], 0
-        deal = TaskContext.get().partitionId() << 33
         for batch in small_batches(batches, 1):
             vocabulary, codes, offsets = split_words(batch.column(1), lower_ascii=True)
             hashes = word_hashes(vocabulary).view(np.int64)
@@ -337,13 +337,13 @@ def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             words += [hashes[n > 0], end]
             counts += [n[n > 0], np.array([batch.num_rows])]
             size += len(vocabulary)
-            runs = []
-            for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+            runs, deals = [], []
+            for mark, a, b in zip(batch.column(2).to_numpy(), offsets[:-1], offsets[1:]):
                 own = np.append(hashes[codes[a:b]], end)
                 runs += [own[c : c + RUN].tobytes() for c in range(0, len(own), RUN)]
+                deals.append(np.arange(-(-len(own) // RUN), dtype=np.uint64) + np.int64(mark).view(np.uint64))
             if runs:
-                numbers = pa.array(np.arange(deal, deal + len(runs)))
-                deal += len(runs)
+                numbers = pa.array((mix(np.concatenate(deals)) >> np.uint64(1)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.int64()), numbers, pa.array(runs, pa.binary())], names=["word", "n", "deal", "run"])
             if size > 2_000_000:
                 yield from flush(words, counts)
@@ -359,7 +359,7 @@ def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[a : a + 100_000]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names=["word", "n", "deal", "run"])
 
     training = docs.where(F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(FOLDS)) != HELD_OUT_FOLD, F.lit(True)))
-    return staged(training.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(count, "word long, n long, deal long, run binary"), "lm-corpus")
+    return staged(training.select(F.col(doc_id).cast("long"), F.col(text), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("__mark")).mapInArrow(count, "word long, n long, deal long, run binary"), "lm-corpus")
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -414,7 +414,8 @@ class Lexicon:
 
 def fitted(corpus: DataFrame, lexicon: Lexicon, layout: Layout, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters fitted to each of the corpus table's runs in one round; each task's result counts by its number of tokens.
-    The number of tasks grows with the corpus's ``tokens``, so that what one task holds does not."""
+    The number of parts grows with the corpus's ``tokens`` alone, so that what one task holds doesn't grow and neither the session
+    nor the files that a table lies in move a score."""
     params = initial(lexicon.weights, layout)
     narrow = np.int16 if len(lexicon.weights) < 2**15 else np.int32
 
@@ -423,22 +424,40 @@ def fitted(corpus: DataFrame, lexicon: Lexicon, layout: Layout, tokens: int, rou
             ids = [lexicon.token_ids(np.frombuffer(r, dtype=np.int64)).astype(narrow).tobytes() for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["deal", "run"])
 
-    tasks = max(1, min(shuffle_partitions(corpus.sparkSession), tokens // FIT_LEAST), tokens // FIT_MOST)
+    parts = max(1, min(FIT_PARTS, tokens // FIT_LEAST), tokens // FIT_MOST)
+
+    def pack(batches):
+        """A row for each part and round: the runs behind one another, in the order of their numbers."""
+        held: dict[int, list[bytes]] = {}
+        part = None
+        for batch in batches:
+            for own, deal, run in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != part:
+                    yield from packed(held)
+                    held, part = {}, own
+                held.setdefault(deal % rounds, []).append(run)
+        yield from packed(held)
+
+    def packed(held):
+        for number, own in held.items():
+            sizes = np.array([len(r) for r in own], dtype=np.int64) // np.dtype(narrow).itemsize
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([b"".join(own)], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], names=["round", "runs", "sizes"])
+
     encoded = corpus.where("run is not null").select("deal", "run").mapInArrow(encode, "deal long, run binary")
-    runs = staged(encoded.repartition(tasks, F.xxhash64("deal")), "lm-runs")
+    dealt = encoded.select(F.pmod(F.xxhash64("deal"), F.lit(parts)).alias("part"), "deal", "run")
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "deal", "run")
+    runs = staged(dealt.mapInArrow(pack, "round long, runs binary, sizes binary"), "lm-runs")
     for number in range(rounds):
         start = params
 
         def fit(batches):
-            parts = [np.frombuffer(r, dtype=narrow) for batch in batches for r in batch.column(0).to_pylist()]
-            if not parts:
-                return
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-            flat = np.concatenate(parts)
-            out = train_runs(start, layout, flat, offsets, RATE / (1 + number))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array((out * len(flat)).astype(np.float64)), pa.array(np.full(len(out), float(len(flat))))], names=["place", "value", "weight"])
-
-        mean = runs.where(F.col("deal") % rounds == number).select("run").mapInArrow(fit, "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()  # one row for each parameter
+            for batch in batches:
+                for own, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                    flat = np.frombuffer(own, dtype=narrow)
+                    out = train_runs(start, layout, flat, np.concatenate([[0], np.cumsum(np.frombuffer(sizes, dtype=np.int64))]), RATE / (1 + number))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array((out * len(flat)).astype(np.float64)), pa.array(np.full(len(out), float(len(flat))))], names=["place", "value", "weight"])
+
+        mean = runs.where(F.col("round") == number).select("runs", "sizes").mapInArrow(fit, "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()  # one row for each parameter
         if mean.num_rows == len(params):
             params = np.empty(len(params), dtype=np.float32)
             params[mean.column(0).to_numpy()] = mean.column(1).to_numpy()

@@ -168,7 +168,7 @@ def test_blanks_in_rows():
 
 def test_every_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_pipeline_stages(spark, spoken, labels, tmp_path):

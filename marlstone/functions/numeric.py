@@ -178,34 +178,53 @@ def sign_fixed(vectors: np.ndarray) -> np.ndarray:
 
 
 def linkage(distance: np.ndarray, method: str = "ward") -> np.ndarray:
-    """Merges (left, right, height, size) by the Lance-Williams rule; new clusters are numbered from the number of leaves."""
+    """Merges (left, right, height, size) by the Lance-Williams rule; new clusters are numbered from the number of leaves.
+
+    A chain of nearest neighbours grows until two are each other's nearest and merge: each step reads one row, so all take
+    time with the square of the leaves. The merges are then put in the order of their heights, which for these rules is that of
+    the closest pair at each step."""
+    if method not in ("single", "complete", "average", "ward"):
+        raise ValueError(f"unknown linkage {method!r}")
     n = len(distance)
-    d = {(i, j): float(distance[i, j]) for i in range(n) for j in range(i + 1, n)}
-    size = {i: 1 for i in range(n)}
-    out = []
-    get = lambda a, b: d[(a, b) if a < b else (b, a)]
+    d = np.array(distance, dtype=float)
+    np.fill_diagonal(d, np.inf)
+    size, name = np.ones(n), list(range(n))  # a merged cluster takes the place of its second part
+    live = np.ones(n, dtype=bool)
+    merges, chain = [], []
     for step in range(n - 1):
-        (a, b), h = min(d.items(), key=lambda x: (x[1], x[0]))
-        new = n + step
-        for c in size:
-            if c not in (a, b):
-                ac, bc = get(a, c), get(b, c)
-                if method == "single":
-                    v = min(ac, bc)
-                elif method == "complete":
-                    v = max(ac, bc)
-                elif method == "average":
-                    v = (size[a] * ac + size[b] * bc) / (size[a] + size[b])
-                elif method == "ward":
-                    t = size[a] + size[b] + size[c]
-                    v = math.sqrt(max(0.0, ((size[a] + size[c]) * ac**2 + (size[b] + size[c]) * bc**2 - size[c] * h**2) / t))
-                else:
-                    raise ValueError(f"unknown linkage {method!r}")
-                d[(c, new)] = v
-        size[new] = size.pop(a) + size.pop(b)
-        d = {k: v for k, v in d.items() if a not in k and b not in k}
-        out.append((a, b, h, size[new]))
-    return np.array(out).reshape(-1, 4)
+        if not chain:
+            chain.append(int(np.flatnonzero(live)[0]))
+        while True:
+            row = np.where(live, d[chain[-1]], np.inf)
+            near = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                break
+            chain.append(near)
+        a, b = chain.pop(), chain.pop()
+        h, na, nb = d[a, b], size[a], size[b]
+        ac, bc = d[a], d[b]
+        if method == "single":
+            new = np.minimum(ac, bc)
+        elif method == "complete":
+            new = np.maximum(ac, bc)
+        elif method == "average":
+            new = (na * ac + nb * bc) / (na + nb)
+        else:
+            with np.errstate(invalid="ignore"):
+                new = np.sqrt(np.maximum(0.0, ((na + size) * ac**2 + (nb + size) * bc**2 - size * h**2) / (na + nb + size)))
+        merges.append((name[a], name[b], h))
+        name[b], size[b], live[a] = n + step, na + nb, False
+        new[~live] = np.inf
+        new[b] = np.inf
+        d[b], d[:, b] = new, new
+    order = sorted(range(len(merges)), key=lambda k: (merges[k][2], k))
+    number = {n + k: n + place for place, k in enumerate(order)}
+    out, held = [], [1] * n
+    for k in order:
+        a, b = sorted(number.get(x, x) for x in merges[k][:2])
+        held.append(held[a] + held[b])
+        out.append((a, b, merges[k][2], held[-1]))
+    return np.array(out, dtype=float).reshape(-1, 4)
 
 
 def leaf_order(merges: np.ndarray) -> list[int]:

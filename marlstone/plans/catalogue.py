@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from marlstone.functions import numeric, optimizers
 from marlstone.operators import covariance as C
 from marlstone.operators import factors as FA
-from marlstone.operators import networks, panel, performance, regimes, scan, stress
+from marlstone.operators import gram, networks, panel, performance, regimes, scan, stress
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
 from marlstone.staging import scratch_dir, staged
@@ -1335,6 +1335,70 @@ def spanning_tree_three_assets(spark, d):
     return rounded(networks.spanning_tree(numeric.correlation_of(cov), tickers).table(spark))
 
 
+_WIDE = "w AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(l_suppkey AS BIGINT) AS ticker, avg(l_extendedprice) / 100000 AS ret FROM lineitem GROUP BY 1, 2)"
+_WIDE_COV = "cv AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov, count(*) AS n FROM w x JOIN w y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2)"
+_RHO = "rh AS (SELECT c.a, c.b, greatest(-1, least(1, c.cov / sqrt(x.cov * y.cov))) AS rho FROM cv c JOIN cv x ON x.a = c.a AND x.b = c.a JOIN cv y ON y.a = c.b AND y.b = c.b WHERE c.a <> c.b)"
+
+
+def _minimax(steps: int) -> list[str]:
+    """The least largest distance on a path between any two, by squaring; an edge of that length is in the tree."""
+    out = ["m0 AS (SELECT a, b, sqrt(greatest(2 * (1 - rho), 0)) AS v FROM rh UNION ALL SELECT b, a, sqrt(greatest(2 * (1 - rho), 0)) FROM rh)"]
+    for k in range(steps):
+        out.append(f"m{k + 1} AS (SELECT x.a, y.b, least(min(greatest(x.v, y.v)), coalesce(min(z.v), 9)) AS v FROM m{k} x JOIN m{k} y ON x.b = y.a AND x.a <> y.b LEFT JOIN m{k} z ON z.a = x.a AND z.b = y.b GROUP BY 1, 2)")
+    return out
+
+
+def _wide(spark, d) -> DataFrame:
+    """A universe of hundreds of series: monthly mean prices by supplier."""
+    rows = read_table(spark, d, "lineitem").select(F.date_trunc("month", "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("long").alias("ticker"), "l_extendedprice")
+    return staged(rows.groupBy("date", "ticker").agg((F.avg("l_extendedprice") / 100000).alias("ret")), "wide")
+
+
+def _wide_tiles(spark, d):
+    rows = _wide(spark, d)
+    tickers = gram.universe(rows)
+    return staged(gram.gram_tiles(rows, tickers, 4), "tiles"), tickers
+
+
+@query("WITH " + ",\n".join([_WIDE, _WIDE_COV]) + "\nSELECT a, b, round(cov, 9) AS cov, n FROM cv")
+def cov_wide(spark, d):
+    tiles, tickers = _wide_tiles(spark, d)
+    return rounded(gram.covariance_table(tiles, tickers), 9)
+
+
+@query("WITH " + ",\n".join([_WIDE, _WIDE_COV, _RHO, *_minimax(7)]) + "\nSELECT rh.a, rh.b, round(m0.v, 9) AS distance, round(rho, 9) AS rho FROM rh JOIN m0 USING (a, b) JOIN m7 USING (a, b) WHERE m0.v <= m7.v + 1e-12")
+def spanning_tree_wide(spark, d):
+    tiles, tickers = _wide_tiles(spark, d)
+    return rounded(gram.spanning_tree_edges(gram.distances(gram.covariance_table(tiles, tickers))), 9)
+
+
+@query()
+def components_wide(spark, d):
+    """Three leading components of a wide universe from its tiles."""
+    tiles, tickers = _wide_tiles(spark, d)
+    values, loadings = gram.leading_components(tiles, tickers, 3)
+    return rounded(spark.createDataFrame([(t, k + 1, float(values[k]), float(loadings[i, k])) for i, t in enumerate(tickers) for k in range(3)], "ticker long, component int, variance double, loading double"), 6)
+
+
+@query(
+    panels.sql(
+        "prio_month", "cv AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y USING (date) GROUP BY 1, 2)", "c2 AS (SELECT x.a, y.b, sum(x.cov * y.cov) AS v FROM cv x JOIN cv y ON x.b = y.a GROUP BY 1, 2)",
+        select="SELECT cv.a, cv.b, round(cov * 1e6, 6) AS cov, CAST(cv.a = cv.b AS BIGINT) AS unit, round(v * 1e12, 6) AS square FROM cv JOIN c2 ON c2.a = cv.a AND c2.b = cv.b",
+    )
+)
+def component_identities(spark, d):
+    """What makes components those of a covariance: their products with themselves are those of the unit matrix, and weighted by
+    their variances and the squares of these those of the covariance and of its square."""
+    _, tickers, cov = _matrix(spark, d)
+    pca = FA.principal_components(cov.values, tickers)
+    loads = pca.table(spark).join(spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(pca.values)], "component int, value double"), "component")
+    other = loads.select("component", F.col("ticker").alias("b"), F.col("loading").alias("lb"))
+    both = loads.join(other, "component").groupBy(F.col("ticker").alias("a"), "b").agg(
+        (F.sum(F.col("value") * F.col("loading") * F.col("lb")) * 1e6).alias("cov"), F.round(F.sum(F.col("loading") * F.col("lb")), 6).cast("long").alias("unit"), (F.sum(F.col("value") * F.col("value") * F.col("loading") * F.col("lb")) * 1e12).alias("square")
+    )
+    return rounded(both)
+
+
 @query()
 def principal_components(spark, d):
     _, tickers, cov = _matrix(spark, d)
@@ -1361,7 +1425,12 @@ def correlation_clusters(spark, d):
     return spark.createDataFrame([(t, k, c.labels[t]) for k, t in enumerate(c.order)], "ticker string, place int, cluster int")
 
 
-@query()
+@query(
+    panels.sql(
+        "prio_month", "cv AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2)", _RHO, *_minimax(2),
+        select="SELECT rh.a AS source, rh.b AS target, round(m0.v, 6) AS distance, round(rho, 6) AS correlation FROM rh JOIN m0 USING (a, b) JOIN m2 USING (a, b) WHERE m0.v <= m2.v + 1e-12",
+    )
+)
 def spanning_tree(spark, d):
     _, tickers, cov = _matrix(spark, d)
     return rounded(networks.spanning_tree(cov.correlation(), tickers).table(spark))

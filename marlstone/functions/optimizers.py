@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -170,11 +171,121 @@ def min_variance(cov, tickers, constraints: Constraints = LONG_ONLY) -> Optimiza
     return _result(project(w, low, high, constraints.budget), cov, tickers, "min_variance", success=ok)
 
 
+@dataclass(frozen=True)
+class Corner:
+    """A portfolio of the frontier at which an asset reaches or leaves a bound; ``trade`` is the return that a unit of variance
+    is worth there."""
+
+    trade: float
+    weights: np.ndarray
+
+
+def critical_line(cov, mu, low, high, budget: float = 1.0) -> list[Corner]:
+    """The corner portfolios of the efficient frontier, from the largest return down to the least variance.
+
+    Free assets move along a line as the worth of return falls; the line ends where a free asset reaches a bound or a bound
+    one's gradient changes its sign, and the next one begins there. Between two corners weights are linear in the return.
+    Bounds must be finite and hold the budget; equal means count in the order of the assets."""
+    cov, mu = np.asarray(cov, dtype=float), np.asarray(mu, dtype=float)
+    n = len(mu)
+    low, high = np.broadcast_to(np.asarray(low, dtype=float), n), np.broadcast_to(np.asarray(high, dtype=float), n)
+    if not np.isfinite(low).all() or not np.isfinite(high).all() or low.sum() > budget + 1e-12 or high.sum() < budget - 1e-12 or (low > high).any():
+        raise ValueError("bounds must be finite and hold the budget")
+    order = np.argsort(-mu, kind="stable")
+    shifted = mu.copy()
+    shifted[order] -= np.arange(n) * 1e-13 * max(np.abs(mu).max(initial=0), 1e-300)  # so that no two means are equal
+    w, rest, free = low.copy(), budget - low.sum(), None
+    for i in order:
+        add = min(rest, high[i] - low[i])
+        w[i], rest, free = w[i] + add, rest - add, i
+        if rest <= 1e-15:
+            break
+    state = np.where(w >= high - 1e-15, 1, -1)  # at the upper bound, at the lower one, free
+    state[free] = 0
+    out, trade, last = [Corner(math.inf, w.copy())], math.inf, -1
+    if budget - low.sum() <= 1e-12 or high.sum() - budget <= 1e-12:
+        return [*out, Corner(0.0, w.copy())]  # the bounds leave no choice
+    for _ in range(20 * n + 20):
+        at = np.flatnonzero(state == 0)
+        bound = np.flatnonzero(state != 0)
+        k = len(at)
+        system = np.zeros((k + 1, k + 1))
+        system[:k, :k], system[:k, k], system[k, :k] = cov[np.ix_(at, at)], -1.0, 1.0
+        fixed = np.append(-cov[np.ix_(at, bound)] @ w[bound], budget - w[bound].sum())
+        moving = np.append(shifted[at], 0.0)
+        base, slope = np.linalg.lstsq(system, np.stack([fixed, moving], axis=1), rcond=None)[0].T
+        events = []
+        for place, i in enumerate(at):
+            if slope[place] > 1e-300:  # falls with the worth of return
+                events.append(((low[i] - base[place]) / slope[place], i, -1))
+            elif slope[place] < -1e-300:
+                events.append(((high[i] - base[place]) / slope[place], i, 1))
+        if k:
+            whole_base, whole_slope = w.copy(), np.zeros(n)
+            whole_base[at], whole_slope[at] = base[:k], slope[:k]
+            gradient_base, gradient_slope = cov @ whole_base - base[k], cov @ whole_slope - shifted - slope[k]
+            for i in bound:
+                if abs(gradient_slope[i]) > 1e-300 and high[i] > low[i]:
+                    at_zero = -gradient_base[i] / gradient_slope[i]
+                    # Its gradient turns against the bound as the worth of return falls.
+                    if (state[i] < 0) == (gradient_slope[i] > 0):
+                        events.append((at_zero, i, 0))
+        # A portfolio may be a corner twice over; only what has just changed doesn't change back at the same place.
+        ahead = [e for e in events if 0 < e[0] <= trade * (1 + 1e-9) and not (e[1] == last and e[0] >= trade * (1 - 1e-9))]
+        next_trade, i, new = max(ahead, key=lambda e: e[0]) if ahead else (0.0, -1, 0)
+        next_trade, last = min(next_trade, trade), i
+        w = w.copy()
+        w[at] = np.clip(base[:k] + slope[:k] * next_trade, low[at], high[at])
+        out.append(Corner(next_trade, w.copy()))
+        trade = next_trade
+        if i < 0:
+            return out
+        if new:
+            w[i] = low[i] if new < 0 else high[i]
+        state[i] = new
+    raise ArithmeticError("the critical line does not end")
+
+
+def frontier_segments(cov, mu, low, high, budget: float = 1.0) -> list[dict]:
+    """The whole frontier, from the least return to the largest, in segments on which weights are linear in the return: returns,
+    variances and weights of both ends and their covariance."""
+    cov, mu = np.asarray(cov, dtype=float), np.asarray(mu, dtype=float)
+    upper = critical_line(cov, mu, low, high, budget)
+    lower = critical_line(cov, -mu, low, high, budget)
+    ends = [c.weights for c in lower] + [c.weights for c in reversed(upper)]
+    out = []
+    for a, b in zip(ends[:-1], ends[1:]):
+        if mu @ b - mu @ a > 1e-15 * max(1.0, np.abs(mu).max()):
+            out.append({"segment": len(out), "from_return": float(mu @ a), "to_return": float(mu @ b), "from_variance": float(a @ cov @ a), "to_variance": float(b @ cov @ b), "covariance": float(a @ cov @ b), "from_weights": a.tolist(), "to_weights": b.tolist()})
+    return out
+
+
+def on_segments(targets, segments):
+    """``targets`` (with a column ``target``, a return) with the frontier's ``weights`` and ``volatility`` there, from the table of
+    ``frontier_segments``: column expressions on the segment that holds the target. Targets outside of all have none."""
+    from pyspark.sql import functions as F
+
+    met = targets.join(F.broadcast(segments), (F.col("target") >= F.col("from_return") - 1e-15) & (F.col("target") <= F.col("to_return") + 1e-15), "left")  # a few corners
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("target") - F.col("from_return")) / (F.col("to_return") - F.col("from_return"))))
+    met = met.withColumn("__t", share)
+    variance = (1 - F.col("__t")) ** 2 * F.col("from_variance") + 2 * F.col("__t") * (1 - F.col("__t")) * F.col("covariance") + F.col("__t") ** 2 * F.col("to_variance")
+    met = met.withColumns({"weights": F.zip_with("from_weights", "to_weights", lambda a, b: a + (b - a) * F.col("__t")), "volatility": F.sqrt(F.greatest(variance, F.lit(0.0)))})
+    first = met.groupBy(*targets.columns).agg(F.min_by(F.struct("weights", "volatility"), "segment").alias("x"))  # a corner is the end of two
+    return first.select(*targets.columns, "x.weights", "x.volatility")
+
+
 def efficient_frontier(cov, mu, tickers, constraints: Constraints = LONG_ONLY, points: int = 40) -> list[dict]:
     """Points of least variance from the minimum-variance return up to the largest reachable one; failed points are left out."""
     cov, mu = np.asarray(cov, dtype=float), np.asarray(mu, dtype=float)
     base = min_variance(cov, tickers, constraints)
     low, high = constraints.bounds(len(cov))
+    if np.isfinite(low).all() and np.isfinite(high).all() and len(mu):
+        corners = critical_line(cov, mu, low, high, constraints.budget)
+        returns = np.array([mu @ c.weights for c in corners])[::-1]
+        weights = np.array([c.weights for c in corners])[::-1]
+        targets = np.linspace(returns[0], returns[-1], points) if returns[-1] > returns[0] + 1e-12 else returns[:1]
+        found = [np.array([np.interp(t, returns, weights[:, i]) for i in range(len(mu))]) for t in targets]
+        return [{"target": float(t), "volatility": float(np.sqrt(max(w @ cov @ w, 0))), "weights": w} for t, w in zip(targets, found)]
     out = [{"target": float(mu @ base.weights), "volatility": base.volatility, "weights": base.weights}]
     for target in np.linspace(mu @ base.weights, mu.max() * constraints.budget, points)[1:] if mu.max() > mu @ base.weights + 1e-12 else []:
         w, ok = quadratic(cov, low, high, constraints.budget, mu, float(target))

@@ -1228,6 +1228,37 @@ def optimised_books(spark, d):
     return _weights(spark, [optimizers.min_variance(cov.values, tickers), optimizers.risk_parity(cov.values, tickers), optimizers.hrp(cov.values, tickers)])
 
 
+_BOX = (0.1, 0.6)
+_SIDES = [("xa", "1", "0"), ("xn", "y1", "y0"), ("xr", "-1 - y1", "1 - y0")]  # weights of A, N and R as slope and base of that of A
+
+
+@query(
+    panels.sql(
+        "flag", _PAIRS, _COV,
+        "k AS (SELECT sum(CASE WHEN a = 'A' AND b = 'A' THEN cov END) AS aa, sum(CASE WHEN a = 'N' AND b = 'N' THEN cov END) AS nn, sum(CASE WHEN a = 'R' AND b = 'R' THEN cov END) AS rr, sum(CASE WHEN a = 'A' AND b = 'N' THEN cov END) AS an, sum(CASE WHEN a = 'A' AND b = 'R' THEN cov END) AS ar, sum(CASE WHEN a = 'N' AND b = 'R' THEN cov END) AS nr FROM cv)",
+        "mu AS (SELECT avg(ret) FILTER (WHERE ticker = 'A') AS ma, avg(ret) FILTER (WHERE ticker = 'N') AS mn, avg(ret) FILTER (WHERE ticker = 'R') AS mr FROM r)",
+        "en AS (SELECT *, greatest(ma, mn, mr) AS top, least(ma, mn, mr) AS bottom, ma + mn + mr - greatest(ma, mn, mr) - least(ma, mn, mr) AS mid FROM mu)",
+        f"tg AS (SELECT *, ({_BOX[1]} * bottom + {1 - _BOX[1] - _BOX[0]:.1f} * mid + {_BOX[0]} * top) AS least_return, ({_BOX[1]} * top + {1 - _BOX[1] - _BOX[0]:.1f} * mid + {_BOX[0]} * bottom) AS most_return FROM en)",
+        "ln AS (SELECT *, least_return + (most_return - least_return) * point / 20 AS target FROM tg, range(21) t(point))",
+        "pr2 AS (SELECT *, (target - mr) / (mn - mr) AS y0, -(ma - mr) / (mn - mr) AS y1 FROM ln)",
+        "iv AS (SELECT *, greatest(" + ", ".join(f"least(({_BOX[0]} - ({b})) / ({s}), ({_BOX[1]} - ({b})) / ({s}))" for _, s, b in _SIDES) + ") AS lo, least(" + ", ".join(f"greatest(({_BOX[0]} - ({b})) / ({s}), ({_BOX[1]} - ({b})) / ({s}))" for _, s, b in _SIDES) + ") AS hi FROM pr2)",
+        "vr AS (SELECT *, aa + y1 * y1 * nn + (1 + y1) * (1 + y1) * rr + 2 * y1 * an - 2 * (1 + y1) * ar - 2 * y1 * (1 + y1) * nr AS q2, 2 * y0 * y1 * nn - 2 * (1 - y0) * (1 + y1) * rr + 2 * y0 * an + 2 * (1 - y0) * ar + 2 * (y1 * (1 - y0) - y0 * (1 + y1)) * nr AS q1 FROM iv, k)",
+        "sl AS (SELECT *, least(greatest(-q1 / (2 * q2), lo), greatest(hi, lo)) AS xa FROM vr)",
+        select='SELECT point, round(target * 1e3, 6) AS target, round(xa, 5) AS "A", round(y0 + y1 * xa, 5) AS "N", round(1 - xa - y0 - y1 * xa, 5) AS "R" FROM sl',
+    )
+)
+def frontier_three_assets(spark, d):
+    """Points of the whole frontier within bounds: corner portfolios as a table, points as expressions on it."""
+    rows, tickers, cov = _flag_cov(spark, d)
+    mu = {r["ticker"]: r["m"] for r in rows.groupBy("ticker").agg(F.avg("ret").alias("m")).collect()}
+    segments = optimizers.frontier_segments(cov, np.array([mu[t] for t in tickers]), *_BOX)
+    table = spark.createDataFrame(segments, "segment int, from_return double, to_return double, from_variance double, to_variance double, covariance double, from_weights array<double>, to_weights array<double>")
+    ends = table.agg(F.min("from_return").alias("lo"), F.max("to_return").alias("hi"))
+    targets = spark.range(21).select(F.col("id").alias("point")).crossJoin(F.broadcast(ends)).withColumn("target", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / 20)
+    found = optimizers.on_segments(targets, table)
+    return rounded(found.select("point", (F.col("target") * 1e3).alias("target"), *[F.round(F.col("weights")[k], 5).alias(t) for k, t in enumerate(tickers)]))
+
+
 @query()
 def efficient_frontier(spark, d):
     rows, tickers, cov = _matrix(spark, d)

@@ -128,3 +128,34 @@ def test_weights_are_checked():
     for bad in ({"X": 1}, {"A": math.nan}, {"A": -1}, {}):
         with pytest.raises(ValueError):
             normalised(bad, NAMES)
+
+
+def test_critical_line_against_the_quadratic_solver():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 3, 5, 8):
+        for _ in range(6):
+            x = rng.standard_normal((3 * n + 3, n))
+            cov, mu = x.T @ x / len(x), rng.standard_normal(n)
+            low, high = np.zeros(n), np.full(n, max(1.0 / n, rng.uniform(0.3, 1.0)))
+            corners = optimizers.critical_line(cov, mu, low, high)
+            returns = [mu @ c.weights for c in corners]
+            assert all(a >= b - 1e-9 for a, b in zip(returns[:-1], returns[1:])) and corners[-1].trade == 0
+            best, ok = optimizers.quadratic(cov, low, high, 1.0)
+            assert ok and corners[-1].weights @ cov @ corners[-1].weights <= best @ cov @ best + 1e-9
+            for c in corners:
+                assert abs(c.weights.sum() - 1) < 1e-9 and (c.weights >= low - 1e-9).all() and (c.weights <= high + 1e-9).all()
+            for a, b in zip(corners[:-1], corners[1:]):
+                w = (a.weights + b.weights) / 2
+                other, ok = optimizers.quadratic(cov, low, high, 1.0, mu, float(mu @ w))
+                assert not ok or w @ cov @ w <= other @ cov @ other + 1e-7
+
+
+def test_critical_line_of_odd_inputs():
+    assert len(optimizers.critical_line([[1.0]], [0.1], 0.0, 1.0)) == 2
+    same = optimizers.critical_line(np.eye(3), [0.1, 0.1, 0.1], 0.0, 1.0)
+    assert np.allclose(same[-1].weights, 1 / 3)
+    fixed = optimizers.critical_line(np.eye(2), [0.1, 0.2], 0.5, 0.5)
+    assert np.allclose(fixed[-1].weights, 0.5)
+    for bad in ((0.6, 1.0), (0.0, 0.4), (-np.inf, 1.0)):
+        with pytest.raises(ValueError):
+            optimizers.critical_line(np.eye(2), [0.1, 0.2], *bad)

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from marlstone.functions import numeric
+from marlstone.operators import scan
 from marlstone.operators.panel import schedule
 from marlstone.operators.regimes import RegimeState, labels
+from marlstone.staging import staged
 from marlstone.plans.strategies import Context, LookAheadError, normalised
 
 DUST = 1e-4
@@ -270,13 +272,16 @@ def run_static(returns: DataFrame, weights: DataFrame, frequency: str = "monthly
     equity is a product of the finished periods' growth, their costs, and the running period's growth. It equals
     ``run_all`` where no trade is dust. ``weights``: (ticker, weight).
     """
+    zero = lambda c: F.coalesce(c, F.lit(0))
     dates = returns.select("date").distinct()
-    track = W.partitionBy(F.lit(1)).orderBy("date")  # one track of dates
-    numbered = dates.withColumn("__i", F.row_number().over(track))
-    decisions = schedule(dates, frequency).join(numbered, "date").where(F.col("__i") >= warmup).select("date", F.lit(1).alias("__d"))
-    days = numbered.join(decisions, "date", "left").withColumn("__d", F.coalesce("__d", F.lit(0)))
-    before = W.partitionBy(F.lit(1)).orderBy("date").rowsBetween(W.unboundedPreceding, -1)
-    days = days.withColumn("__period", F.coalesce(F.sum("__d").over(before), F.lit(0)))
+    dates = dates.join(schedule(dates, frequency).withColumn("__due", F.lit(1)), "date", "left")
+    # One track of dates, by spans of time: no window holds all of it.
+    days = dates.withColumn(scan.SPAN, scan.span_of(dates, "date"))
+    days = scan.prefix_scan(
+        days, [], "date", {"__l": lambda w: F.count(F.lit(1)).over(w)}, {"__n": F.count(F.lit(1))}, {"__p": lambda w: zero(F.sum("__n").over(w))}, {"__d": F.when(F.col("__p") + F.col("__l") >= warmup, zero(F.col("__due"))).otherwise(F.lit(0))}
+    )
+    days = scan.prefix_scan(days, [], "date", {"__l": lambda w: F.sum("__d").over(w)}, {"__n": F.sum("__d")}, {"__p": lambda w: zero(F.sum("__n").over(w))}, {"__period": F.col("__p") + F.col("__l") - F.col("__d")})
+    days = staged(days.select("date", "__d", "__period"), "days")
     rows = returns.join(F.broadcast(weights), "ticker").join(days, "date").where("__period > 0")
     since = W.partitionBy("ticker", "__period").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__g", F.product(1 + F.col("ret")).over(since))
@@ -287,10 +292,15 @@ def run_static(returns: DataFrame, weights: DataFrame, frequency: str = "monthly
     opening = first.join(F.broadcast(weights.agg(F.sum(F.abs("weight")).alias("__w"))), F.lit(True)).select("date", F.lit(0).alias("__period"), (1 - F.col("__w") * costs.rate).alias("__end"))
     ends = bars.where("__d = 1").select("date", "__period", (F.col("__v") * (1 - F.col("__cost"))).alias("__end"))
     chain = opening.select("__period", "__end").unionByName(ends.select("__period", "__end"))
-    chain = chain.select((F.col("__period") + 1).alias("__period"), F.product("__end").over(W.partitionBy(F.lit(1)).orderBy("__period").rowsBetween(W.unboundedPreceding, 0)).alias("__base"))
-    curve = bars.join(F.broadcast(chain), "__period").select("date", (F.col("__base") * F.col("__v") * (1 - F.col("__cost"))).alias("equity"))
+    chain = chain.withColumn(scan.SPAN, scan.span_of(chain, "__period"))
+    last = {"__t": F.max_by("__g", "__period")}
+    chain = scan.prefix_scan(chain, [], "__period", {"__g": lambda w: F.product("__end").over(w)}, last, {"__b": lambda w: F.coalesce(F.product("__t").over(w), F.lit(1.0))}, {"__base": F.col("__b") * F.col("__g")})
+    curve = bars.join(chain.select((F.col("__period") + 1).alias("__period"), "__base"), "__period").select("date", (F.col("__base") * F.col("__v") * (1 - F.col("__cost"))).alias("equity"))
     curve = opening.select("date", F.col("__end").alias("equity")).unionByName(curve)
-    return curve.withColumn("ret", F.col("equity") / F.coalesce(F.lag("equity").over(track), F.lit(1.0)) - 1)
+    curve = curve.withColumn(scan.SPAN, scan.span_of(curve, "date"))
+    one_back = W.partitionBy(scan.SPAN).orderBy("date").rowsBetween(-1, -1)
+    ret = F.col("equity") / F.coalesce("__prev", "__c", F.lit(1.0)) - 1
+    return scan.prefix_scan(curve, [], "date", {"__prev": lambda w: F.max("equity").over(one_back)}, {"__e": F.max_by("equity", "date")}, {"__c": lambda w: F.last("__e").over(w)}, {"ret": ret}).select("date", "equity", "ret")
 
 
 # ---------------------------------------------------------------- results

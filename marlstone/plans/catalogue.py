@@ -559,14 +559,48 @@ def factor_replay_contributions(spark, d):
     return rounded(stress.replay_factor_contributions(_factor_table(spark, d), {"N": 1.1, "R": -0.4}, stress.scenarios(spark, WINDOWS)), 9)
 
 
-@query("SELECT * FROM (VALUES ('EQUITY_CRASH', -0.22), ('VALUE_ROTATION', -0.085), ('QUALITY_FLIGHT', -0.062)) t(scenario, pnl)")
+def _shock_sql(drivers: dict[str, str], shocks: dict[str, dict[str, float]]) -> str:
+    """A row for each scenario: the moves times the drivers' sensitivities, columns of ``be``."""
+    return " UNION ALL ".join(f"SELECT '{s}' AS scenario, round({' + '.join(f'{m!r} * {drivers[f]}' for f, m in moves.items())}, 6) AS pnl FROM be" for s, moves in shocks.items())
+
+
+_WIDE_FLAGS = "wf AS (SELECT date, max(ret) FILTER (WHERE ticker = 'A') AS a, max(ret) FILTER (WHERE ticker = 'N') AS n, max(ret) FILTER (WHERE ticker = 'R') AS r FROM r GROUP BY date)"
+_SLOPES = "be AS (SELECT regr_slope(a, n) AS b1, regr_slope(a, r) AS b2, regr_slope(n, r) AS b3, regr_slope(r, n) AS b4 FROM wf)"
+
+
+def _slopes(spark, d) -> list[float]:
+    wide = panel.to_wide(panels.returns(spark, d, "flag"), sorted(FLAG_BOOK), "ret")
+    return list(wide.agg(F.regr_slope("A", "N"), F.regr_slope("A", "R"), F.regr_slope("N", "R"), F.regr_slope("R", "N")).first())
+
+
+@query(panels.sql("flag", _WIDE_FLAGS, _SLOPES, select=_shock_sql({"Mkt-RF": "b1", "HML": "b2", "RMW": "b3"}, stress.FACTOR_SHOCKS)))
 def factor_shocks(spark, d):
-    return rounded(stress.shock(spark, {"Mkt-RF": 1.1, "HML": -0.3, "RMW": 0.6}, stress.FACTOR_SHOCKS))
+    """The named factor shocks under sensitivities that a table gives."""
+    b = _slopes(spark, d)
+    return rounded(stress.shock(spark, {"Mkt-RF": b[0], "HML": b[1], "RMW": b[2]}, stress.FACTOR_SHOCKS))
 
 
-@query("SELECT * FROM (VALUES ('RATES_UP_100', -0.03), ('RATES_UP_200', -0.06), ('OIL_SHOCK', 0.02), ('USD_SHOCK', 0.08), ('VIX_SHOCK', -0.1)) t(scenario, pnl)")
+@query(panels.sql("flag", _WIDE_FLAGS, _SLOPES, select=_shock_sql({"rate_10y": "b1", "oil": "b2", "usd": "b3", "vix": "b4"}, stress.MACRO_SHOCKS)))
 def macro_shocks(spark, d):
-    return rounded(stress.shock(spark, {"rate_10y": -3.0, "oil": 0.05, "usd": 0.8, "vix": -0.005}, stress.MACRO_SHOCKS))
+    return rounded(stress.shock(spark, dict(zip(("rate_10y", "oil", "usd", "vix"), _slopes(spark, d))), stress.MACRO_SHOCKS))
+
+
+_MODEL_SHOCKS = {"CRASH": {"N": -0.2}, "BOTH": {"N": -0.1, "R": 0.05}, "REBOUND": {"R": 0.1}}
+
+
+@query(
+    panels.sql(
+        "flag", _WIDE_FLAGS,
+        "q AS (SELECT var_pop(n) AS sff, var_pop(r) AS shh, covar_pop(n, r) AS sfh, covar_pop(n, a) AS sfy, covar_pop(r, a) AS shy FROM wf)",
+        "be AS (SELECT (sfy * shh - shy * sfh) / (sff * shh - sfh * sfh) AS bn, (shy * sff - sfy * sfh) / (sff * shh - sfh * sfh) AS br FROM q)",
+        select=_shock_sql({"N": "bn", "R": "br"}, _MODEL_SHOCKS),
+    )
+)
+def factor_shocks_fitted(spark, d):
+    """Shocks of two factors under the betas of a fitted model."""
+    wide = panel.to_wide(panels.returns(spark, d, "flag"), sorted(FLAG_BOOK), "ret")
+    model = FA.factor_model(FA.AlignedFactors(wide.select("date", F.col("A").alias("ret"), "N", "R").dropna(), ("N", "R"), 0))
+    return rounded(stress.factor_shock(spark, model, _MODEL_SHOCKS))
 
 
 # ---------------------------------------------------------------- data quality
@@ -894,11 +928,17 @@ def fold_ranges(spark, d):
     return panel.within_ranges(panels.returns(spark, d, "flag"), stress.scenarios(spark, WINDOWS), "start", "end").select("date", "ticker", "scenario")
 
 
-@query(panels.sql("flag", _BOOK, select="SELECT ticker, coalesce(weight, 0.0) AS current, coalesce(target, 0.0) AS target, round(coalesce(target, 0) - coalesce(weight, 0), 6) AS delta FROM book FULL JOIN (SELECT * FROM (VALUES ('A', 0.2), ('X', 0.8)) t(ticker, target)) USING (ticker)"))
+@query(
+    """WITH o AS (SELECT year(o_orderdate) AS y, o_orderpriority AS ticker, sum(o_totalprice) AS v FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY 1, 2),
+    c AS (SELECT ticker, v / sum(v) OVER () AS w FROM o WHERE y = 1995 AND ticker <> '5-LOW'), t AS (SELECT ticker, v / sum(v) OVER () AS w FROM o WHERE y = 1996 AND ticker <> '1-URGENT')
+    SELECT ticker, round(coalesce(c.w, 0), 6) AS current, round(coalesce(t.w, 0), 6) AS target, round(coalesce(t.w, 0) - coalesce(c.w, 0), 6) AS delta FROM c FULL JOIN t USING (ticker)"""
+)
 def rebalance_deltas(spark, d):
-    now = spark.createDataFrame(list(FLAG_BOOK.items()), "ticker string, weight double")
-    want = spark.createDataFrame([("A", 0.2), ("X", 0.8)], "ticker string, weight double")
-    return rounded(backtest.deltas(now, want))
+    """From a year's shares of orders to the next one's, with a class that leaves and one that comes."""
+    sums = read_table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("ticker")).agg(F.sum("o_totalprice").alias("v"))
+    share = F.col("v") / F.sum("v").over(W.partitionBy("y"))
+    books = [sums.where((F.col("y") == y) & (F.col("ticker") != gone)).select("ticker", share.alias("weight")) for y, gone in ((1995, "5-LOW"), (1996, "1-URGENT"))]
+    return rounded(backtest.deltas(*books))
 
 
 # ---------------------------------------------------------------- other aggregates
@@ -964,7 +1004,7 @@ _SQL = {
     "sql_having": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 5",
     "sql_case_filter": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, round(avg(CASE WHEN value <= 50 THEN value END), 6) AS low_mean FROM events GROUP BY event_type",
     "sql_star_join": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
-    "sql_recursive": "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
+    "sql_recursive": "WITH RECURSIVE t(n, path) AS (SELECT r_regionkey, CAST(r_name AS STRING) FROM region WHERE r_regionkey = 0 UNION ALL SELECT r.r_regionkey, concat(t.path, '>', r.r_name) FROM t JOIN region r ON r.r_regionkey = t.n + 1) SELECT n, path FROM t",
     "sql_full_join": "SELECT coalesce(s.nation, c.nation) AS nation, coalesce(s.n, 0) AS suppliers, coalesce(c.n, 0) AS customers FROM (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1) c ON s.nation = c.nation",
     "sql_distinct_on": "SELECT o_custkey, o_orderkey AS largest FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
     "sql_tumbling": "SELECT CAST(ts AS DATE) AS day, event_type AS ticker, round(avg(value), 6) AS price, count(*) AS n FROM events GROUP BY 1, 2",

@@ -273,6 +273,7 @@ def run_static(returns: DataFrame, weights: DataFrame, frequency: str = "monthly
     ``run_all`` where no trade is dust. ``weights``: (ticker, weight).
     """
     zero = lambda c: F.coalesce(c, F.lit(0))
+    returns = staged(returns.select("date", "ticker", "ret"), "returns")  # read by the dates and by the bars
     dates = returns.select("date").distinct()
     dates = dates.join(schedule(dates, frequency).withColumn("__due", F.lit(1)), "date", "left")
     # One track of dates, by spans of time: no window holds all of it.
@@ -288,6 +289,7 @@ def run_static(returns: DataFrame, weights: DataFrame, frequency: str = "monthly
     bars = rows.groupBy("date", "__period", "__d").agg((1 + F.sum(F.col("weight") * (F.col("__g") - 1))).alias("__v"), F.sort_array(F.collect_list(F.struct("weight", "__g"))).alias("__book"))
     trade = F.aggregate("__book", F.lit(0.0), lambda acc, b: acc + F.abs(b["weight"] - b["weight"] * b["__g"] / F.col("__v")))
     bars = bars.withColumn("__cost", F.when(F.col("__d") == 1, trade * costs.rate).otherwise(F.lit(0.0)))
+    bars = staged(bars.select("date", "__period", "__d", "__v", "__cost"), "bars")
     first = days.where("__d = 1").agg(F.min("date").alias("date"))
     opening = first.join(F.broadcast(weights.agg(F.sum(F.abs("weight")).alias("__w"))), F.lit(True)).select("date", F.lit(0).alias("__period"), (1 - F.col("__w") * costs.rate).alias("__end"))
     ends = bars.where("__d = 1").select("date", "__period", (F.col("__v") * (1 - F.col("__cost"))).alias("__end"))

@@ -39,6 +39,8 @@ BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1_500_000
 #: Bytes of text whose sets, larger than the text, are held at once.
 SET_BATCH = 1_000_000
+#: Rows of a tile's matrix that are worked on at once.
+STRIP = 256
 
 _seeds = np.random.default_rng(20240229)
 _XOR = _seeds.integers(0, 2**63, SKETCH, dtype=np.uint64)
@@ -207,13 +209,14 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     column, owner = column[shared], owner[shared]
     column = np.unique(column, return_inverse=True)[1]
     width = int(column.max()) + 1 if len(column) else 0
-    step = max(64, min(4096, 16_000_000 // max(1, m)))
+    step = max(64, min(4096, 4_000_000 // max(1, m)))
     for a in range(0, width, step):
         lo, hi = np.searchsorted(column, [a, a + step])
         rows = np.unique(owner[lo:hi])
         part = np.zeros((len(rows), min(step, width - a)), dtype=np.float32)
         part[np.searchsorted(rows, owner[lo:hi]), column[lo:hi] - a] = 1
-        out[np.ix_(rows, rows)] += part @ part.T
+        for at in range(0, len(rows), STRIP):
+            out[np.ix_(rows[at : at + STRIP], rows)] += part[at : at + STRIP] @ part.T
     return out
 
 
@@ -228,16 +231,20 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             order = sorted(range(len(keys)), key=keys.__getitem__)
             sets = [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
             size = np.array([len(s) for s in sets], dtype=np.float64)
-            both = intersections(sets).astype(np.float64)
-            linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-            np.fill_diagonal(linked, False)
-            if cross:
-                block = np.array([own[k] for k in order])
-                linked &= block[:, None] != block[None, :]
-            links = linked @ np.array([copies[k] for k in order], dtype=np.float64)
-            root = np.arange(len(order))
+            both = intersections(sets)
+            m, block = len(order), np.array([own[k] for k in order])
+            weight = np.array([copies[k] for k in order], dtype=np.float64)
+            linked, links = np.zeros((m, m), dtype=bool), np.zeros(m)
+            strips = [slice(at, at + STRIP) for at in range(0, m, STRIP)]  # wide numbers are made for a strip of the matrix at a time
+            for rows in strips:
+                found = both[rows] >= threshold * (size[rows, None] + size[None, :] - both[rows]) - 1e-9
+                found[np.arange(len(found)), np.arange(m)[rows]] = False
+                if cross:
+                    found &= block[rows, None] != block[None, :]
+                linked[rows], links[rows] = found, found @ weight
+            root = np.arange(m)
             while True:  # the smallest number spreads along the links
-                near = np.where(linked, root[None, :], len(order)).min(axis=1) if len(order) else root
+                near = np.concatenate([np.where(linked[rows], root[None, :], m).min(axis=1) for rows in strips])
                 new = np.minimum(root, near)
                 new = new[new]
                 if (new == root).all():

@@ -242,10 +242,10 @@ def two_cluster_threshold(values: np.ndarray) -> float:
 
 
 def upper_cluster(values: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
-    """Whether each value is in the upper of two clusters; ``otherwise`` where the clusters aren't apart, the lower centre not
-    under half of the upper one."""
+    """Whether each value is in the upper of two clusters, as all are if they are equal; ``otherwise`` where the clusters aren't
+    apart, the lower centre not under half of the upper one."""
     upper = values >= two_cluster_threshold(values)
-    return otherwise if upper.all() or 2 * values[~upper].mean() > values[upper].mean() else upper
+    return upper if upper.all() or 2 * values[~upper].mean() <= values[upper].mean() else otherwise
 
 
 def _sum_up(parser: _Lines, values: np.ndarray) -> np.ndarray:

@@ -109,7 +109,8 @@ def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The edited text has its last floor(n/3) code points replaced by as many (or all) from the start of the next document
     by descending id. One row for each row of ``docs``. Null texts count as empty, whose fingerprint is the empty string;
     rows with equal ids follow each other by a hash of their text; rows without an id come last; a single row follows
-    itself; an empty table gives no rows. Other columns of ``docs`` are not read.
+    itself; an empty table gives no rows. Ids must be numbers or null, as rows are dealt by ranges of them; a text of any
+    length is read whole. Other columns of ``docs`` are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = with_fingerprint(rows, "__text", "__fp")

@@ -469,7 +469,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
 
     Tokens are words, with A to Z in lower case, and one end. Null and empty texts are an end alone. A null id is in no
     fold: such a row is learnt from. Repeated rows are learnt from and scored each on their own. Without training
-    documents every count is 0. Words are told apart by 64-bit hashes. An empty table gives no rows.
+    documents every count is 0. Words are told apart by 64-bit hashes. A text of any length is scored whole, state carried
+    from its first token to its end, and learnt from in runs of ``RUN`` tokens. Ids must be integers or null; other columns are
+    not read. How the rows are laid out over files and tasks changes no score. An empty table gives no rows.
     """
     corpus = counted(docs, doc_id, text)
     counts = staged(corpus.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")

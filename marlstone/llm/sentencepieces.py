@@ -430,7 +430,9 @@ def sampled_segmentations(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     The draws depend on the id (of a row without one, on its text), so repeated rows have equal samples. A text with fewer
     segmentations has fewer rows; null and empty texts have one, of no pieces. The blank sign U+2581 in a text is read as a
-    blank, so such texts don't round trip. An empty table gives no rows; other columns of ``docs`` are not read.
+    blank, so such texts don't round trip. Samples of equal perturbed log-probability, which have chance 0, are in no stated order. A text of any length is segmented whole, word by word. A branch that would need a Gumbel draw
+    of more than ``NO_CHANCE`` (a chance of 1e-14) isn't drawn. Ids must be integers or null. An empty table gives no rows;
+    other columns of ``docs`` are not read.
     """
     path = model_path or default_model()
     schema = T.StructType([*SAMPLED.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if with_ids else SAMPLED

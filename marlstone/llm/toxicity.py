@@ -233,7 +233,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """One row for each row of ``docs``: doc_id, held_out, score, predicted. Repeated rows are scored alike, each on its own.
 
     A null id is in no fold, so not held out; an empty table gives no rows. Texts with equal features have equal scores,
-    and a score equal to the threshold counts as toxic. Other columns of ``docs`` are not read.
+    and a score equal to the threshold counts as toxic. A text of any length is scored whole. Other columns of ``docs`` are
+    not read.
     """
     model = fit(docs, labels, doc_id, text, label)
     rows = scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words everywhere in this subpackage.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Rows of a staged table for each task that writes it, where a bound on the rows is known.
+ROWS_A_TASK = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +40,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts the lineage: what is computed above it runs once, and a lost executor costs only the tasks it was running.
+
+    rows: about how many rows ``df`` has at most, if that is known. It bounds tasks and files, never rows: ROWS_A_TASK rows a
+    task and a task for each core at least, not a file for each shuffle partition. On a local file system every file also costs
+    the executor a process (Hadoop's chmod), which for a moment counts as large as the executor itself.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

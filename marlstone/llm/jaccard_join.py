@@ -90,15 +90,17 @@ def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
 
 
-def leaves(sets: DataFrame) -> DataFrame:
-    """(bucket, n, key): the buckets of two sets or more that the paths end in, over all runs."""
+def leaves(sets: DataFrame, n_sets: int | None = None) -> DataFrame:
+    """(bucket, n, key): the buckets of two sets or more that the paths end in, over all runs. n_sets: about how many sets there
+    are at most, as ``staged`` takes it."""
+    places = None if n_sets is None else RUNS * n_sets
     runs = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1)))
     steps = F.slice("path", F.col("run") * DEPTH + 1, DEPTH)
     active = sets.select("key", "path", runs.alias("run")).select("key", steps.alias("steps"), F.xxhash64("run", F.get("path", F.col("run") * DEPTH)).alias("bucket"))
     found = []
     for level in range(1, DEPTH + 1):
-        counts = staged(active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-        rows = staged(active.join(counts, "bucket"), "buckets")
+        counts = staged(active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes", places)
+        rows = staged(active.join(counts, "bucket"), "buckets", places)
         if level == DEPTH:
             found.append(rows.select("bucket", "n", "key"))
             break
@@ -160,9 +162,9 @@ def _alike(marks: np.ndarray) -> np.ndarray:
     return label
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
+def candidate_links(sets: DataFrame, n_sets: int | None = None) -> DataFrame:
     """(u, v): within each bucket, each set and the smallest set of the part that sketches link it to."""
-    rows = leaves(sets).join(sets.select("key", "sketch"), "key")
+    rows = leaves(sets, n_sets).join(sets.select("key", "sketch"), "key")
     rows = tiled(rows, "bucket", F.ceil(F.col("n") / BLOCK_SETS), "key").select("tile", "key", "sketch")
 
     def link(batches):
@@ -265,13 +267,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int)
     """(rows, classes): doc_id, mark and set key of each row; and for each set key class_id, n_links, n_copies and head, the
     row that stands for its class: the one with the smallest id, of equals the smallest hash of the text; null ids last."""
     rows = staged(sketches(docs, doc_id, text, k), "sketches")
+    n = rows.count()  # bounds the number of files of what follows
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     sets = rows.groupBy("key").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("path").alias("path"), F.any_value("sketch").alias("sketch"))
-    sets = staged(sets, "sets")
-    links = staged(candidate_links(sets.where("size > 0")), "candidates")
-    of = staged(components(links).select(F.col("node").alias("key"), F.col("root").alias("component")), "candidate-components")
-    heads = staged(of.join(sets.select("key", "row", "copies", "size"), "key"), "members")
-    totals = staged(heads.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")), "component-sizes")
+    sets = staged(sets, "sets", n)
+    links = staged(candidate_links(sets.where("size > 0"), n), "candidates", RUNS * n)
+    of = staged(components(links, RUNS * n).select(F.col("node").alias("key"), F.col("root").alias("component")), "candidate-components", n)
+    heads = staged(of.join(sets.select("key", "row", "copies", "size"), "key"), "members", n)
+    totals = staged(heads.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")), "component-sizes", n)
     heads = heads.join(totals, "component")
 
     def make(batches):
@@ -286,14 +289,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int)
     counted = checked.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("split").alias("split"))
     split = checked.where("split")
     if not split.isEmpty():
-        roots = components(split.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("key"), F.col("root").alias("whole"))
+        roots = components(split.select(F.col("key").alias("u"), F.col("root").alias("v")), n).select(F.col("node").alias("key"), F.col("root").alias("whole"))
         counted = counted.join(roots, "key", "left").withColumn("root", F.when(F.col("split"), F.coalesce("whole", "key")).otherwise(F.col("root"))).drop("whole")
-    counted = staged(counted, "links")
-    ids = staged(counted.join(sets.select("key", "row"), "key").groupBy("root").agg(F.min("row").alias("head")), "class-heads")
+    counted = staged(counted, "links", n)
+    ids = staged(counted.join(sets.select("key", "row"), "key").groupBy("root").agg(F.min("row").alias("head")), "class-heads", n)
     linked = counted.join(ids, "root").select("key", "links", "head")
     classes = sets.select("key", "row", "copies").join(linked, "key", "left")
     classes = classes.select("key", F.coalesce("head", "row").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return rows.select("doc_id", "mark", "key"), staged(classes.withColumn("class_id", F.col("head.doc_id")), "classes")
+    return rows.select("doc_id", "mark", "key"), staged(classes.withColumn("class_id", F.col("head.doc_id")), "classes", n)
 
 
 def _row_id(doc_id):

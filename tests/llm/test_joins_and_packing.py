@@ -1,6 +1,7 @@
 """The Jaccard join, packing, WARC archives and HTML extraction."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm import components, html_extract, jaccard_join, packing, warc
+from marlstone.llm import common, components, html_extract, jaccard_join, packing, warc
 from tests.llm.conftest import words
 
 
@@ -200,6 +201,29 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     assert len(left) == 2 and words(8, 30) in left
 
 
+def test_small_staged_tables_are_few_files(spark):
+    """Each file that an executor writes to a local folder costs it a process, so tables of few rows must not have a file for each
+    shuffle partition; the rows are the same."""
+    docs, sets = corpus(spark)
+    links, root = brute(sets)
+    folder = pathlib.Path(common.scratch_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    were = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similarity_classes(docs).collect()}
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert got == {i: (root[i], links[i]) for i in sets}
+    files = [(d.name.rpartition("-")[0], len(list(d.glob("part-*")))) for d in set(folder.iterdir()) - before]
+    assert {"sets", "candidates", "lowest", "members", "classes"} <= {label for label, _ in files}
+    few = spark.sparkContext.defaultParallelism  # tables whose rows are worked on by tiles keep their tasks
+    assert all(n <= few for label, n in files if label not in ("sketches", "verified")), files
+
+
 def test_recall_on_the_drivers_documents(spark):
     """Every link of the documents whose id is divisible by 50, found by an inverted index over all documents."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words everywhere in this subpackage.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows of a staged table for each task that writes it, where a bound on the rows is known.
-ROWS_A_TASK = 20_000
+#: Rows of a table of texts, and of one of keys and numbers, for each task that writes it, where a bound on the rows is known.
+ROWS_A_TASK = 50_000
+KEYS_A_TASK = 200_000
+#: Fewer keys than these are not worth a task of their own.
+LEAST_KEYS_A_TASK = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,18 +48,29 @@ def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
 
     It cuts the lineage: what is computed above it runs once, and a lost executor costs only the tasks it was running.
 
-    rows: about how many rows ``df`` has at most, if that is known. It bounds tasks and files, never rows: ROWS_A_TASK rows a
-    task and a task for each core at least, not a file for each shuffle partition. On a local file system every file also costs
-    the executor a process (Hadoop's chmod), which for a moment counts as large as the executor itself.
+    rows: about how many rows of keys and numbers ``df`` has at most, if that is known. It bounds tasks and files, as
+    ``key_tasks`` tells, never rows: not a file for each shuffle partition. On a local file system every file also costs the
+    executor three processes (Hadoop's chmod), each of which for a moment counts as large as the executor itself.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+        df = df.coalesce(key_tasks(spark, rows))
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def key_tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for a table of about ``rows`` keys and numbers: at most KEYS_A_TASK each, and all cores where each of them gets
+    LEAST_KEYS_A_TASK."""
+    return max(1, -(-rows // KEYS_A_TASK), min(spark.sparkContext.defaultParallelism, -(-rows // LEAST_KEYS_A_TASK)))
+
+
+def gathered(docs: DataFrame, rows: int) -> DataFrame:
+    """The same rows in fewer partitions: a task for ROWS_A_TASK of about ``rows`` rows of texts, and one for each core at least."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import free_name, staged
+from marlstone.llm.common import free_name, key_tasks, staged
 from marlstone.llm.components import components
 from marlstone.llm.words import mix, shingles, small_batches, split_words, word_hashes
 
@@ -285,7 +285,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int)
     wanted = heads.select(_row_id(F.col("row.doc_id")).alias("id"), F.col("row.mark").alias("mark")).distinct()
     texts = _marked(docs, doc_id, text).withColumn("id", _row_id(F.col("doc_id"))).join(wanted, ["id", "mark"], "left_semi")
     whole = texts.select("id", "text").mapInArrow(make, "key binary, set binary").dropDuplicates(["key"]).join(heads, "key")
-    checked = staged(verified(whole, threshold), "verified")
+    checked = staged(verified(whole, threshold).repartition(key_tasks(docs.sparkSession, n)), "verified")  # tiles keep their tasks
     counted = checked.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("split").alias("split"))
     split = checked.where("split")
     if not split.isEmpty():

@@ -1,6 +1,7 @@
 """Language-model scores, sampled segmentations, the registered queries and the pipeline."""
 
 import math
+import pathlib
 import re
 import uuid
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
-from marlstone.llm import lm, sentencepieces
+from marlstone.llm import common, lm, sentencepieces
 from tests.llm.conftest import words
 
 SMALL = "/root/testdata/sf0.001"
@@ -267,6 +268,34 @@ def test_pipeline_of_odd_tables(spark, labels, tmp_path):
         assert {r.doc_id for r in packed} == {1, None, 4, 5} and len({r.piece for r in packed if r.doc_id == 4}) > 5
 
 
+def test_pipeline_tables_are_few_files(spark, spoken, labels, tmp_path):
+    """Files cost executors processes: what native operators make of few rows is a file for each core at most, however many splits
+    and shuffle partitions there are, and the rows are the same."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spoken.select(*corpus_pipeline.COLUMNS).union(spoken.selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars"))
+    few = spark.sparkContext.defaultParallelism
+    docs.repartition(5 * few).write.parquet(f"{tmp_path}/0")
+    folder = pathlib.Path(common.scratch_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    held = {"spark.sql.shuffle.partitions": str(5 * few), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    were = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, spark.read.parquet(f"{tmp_path}/{number}"), str(tmp_path)).write.parquet(f"{tmp_path}/{number + 1}")
+            assert name not in ("quality rules", "near copies") or len(list((tmp_path / str(number + 1)).glob("part-*"))) <= few, name
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    files = {p.name.rsplit("-", 1)[0]: len(list(p.glob("part-*"))) for p in set(folder.iterdir()) - before}
+    assert {"quality-rows", "sets", "verified", "classes"} <= set(files)
+    assert all(n <= few for label, n in files.items() if label not in ("toxic-sample", "toxic-counts", "sketches", "pieces")), files
+    ids = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/4").collect()}
+    assert ids and ids == {r.doc_id for r in spark.read.parquet(f"{tmp_path}/2").collect() if r.doc_id < 1000}
+    assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/5").collect()} == ids
+
+
 def test_pipeline_by_brute_force(spark):
     """The stages on the driver's smallest table: rules in plain Python, copies by comparing all pairs, masks by the scan."""
     from tests.llm.test_joins_and_packing import brute, shingle_set

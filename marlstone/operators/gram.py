@@ -7,7 +7,7 @@ tickers a date. Missing returns are left out pair by pair, as the self-join by d
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -135,8 +135,6 @@ def leading_components(tiles: DataFrame, tickers: Sequence, k: int = 3, toleranc
     p = len(tickers)
     width = min(p, k + extra)
     tiles = tiles if width else tiles.limit(0)
-    basis, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((p, width)))
-    values = np.zeros(width)
 
     def times(vectors):
         def multiply(batches):
@@ -153,6 +151,14 @@ def leading_components(tiles: DataFrame, tickers: Sequence, k: int = 3, toleranc
             out[TILE * r["i"] : TILE * r["i"] + len(part)] += part
         return out
 
+    return subspace(times, p, k, width, tolerance, rounds)
+
+
+def subspace(times: Callable[[np.ndarray], np.ndarray], p: int, k: int, width: int, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``k`` leading eigenpairs of the p x p matrix that ``times`` multiplies by, from a basis of ``width`` vectors; an error if they
+    have not settled after ``rounds``."""
+    basis, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((p, width)))
+    values = np.zeros(width)
     for _ in range(rounds):
         image = times(basis)
         small = basis.T @ image
@@ -164,6 +170,8 @@ def leading_components(tiles: DataFrame, tickers: Sequence, k: int = 3, toleranc
         if residual <= tolerance * max(abs(values[0]) if len(values) else 0, 1e-300) or width == p:
             break
         basis, _ = np.linalg.qr(image)
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     loadings = basis[:, :k]
     at = np.abs(loadings).argmax(axis=0) if p else np.zeros(0, dtype=int)
     return values[:k], loadings * np.where(loadings[at, np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
@@ -181,15 +189,13 @@ def spanning_tree_edges(edges: DataFrame, columns: Sequence[str] = ("a", "b"), w
     """The rows of ``edges`` that are in the minimum spanning tree, or forest, by Boruvka's rounds: each component's least edge
     joins it to another one, so rounds are at most the logarithm of the number of nodes. Of equal edges the first by its ends.
 
-    The table of edges is only scanned and aggregated by component; labels of nodes (``MOST`` at most, as of a universe) are
-    joined to it, and one row for each component comes back from a round."""
+    The table of edges is only scanned and aggregated by component; labels of nodes are joined to it, and one row for each
+    component comes back from a round."""
     a, b = columns
     spark = edges.sparkSession
     edges = staged(edges.select(*edges.columns), "edges")
     kind = edges.schema[a].dataType.simpleString()
-    nodes = [r["x"] for r in edges.select(F.explode(F.array(a, b)).alias("x")).distinct().limit(MOST + 1).collect()]
-    if len(nodes) > MOST:
-        raise ValueError(f"a graph of more than {MOST} nodes")
+    nodes = edges.select(F.explode(F.array(a, b)).alias("x")).distinct().toArrow().column(0).to_pylist()
     label = {x: k for k, x in enumerate(sorted(nodes))}
     chosen: set[tuple] = set()
 
@@ -200,7 +206,7 @@ def spanning_tree_edges(edges: DataFrame, columns: Sequence[str] = ("a", "b"), w
         return k
 
     while len(set(label.values())) > 1:
-        known = spark.createDataFrame(list(label.items()), f"node {kind}, label int")
+        known = spark.createDataFrame(pa.table({"node": pa.array(list(label)), "label": pa.array(list(label.values()), pa.int32())})).select(F.col("node").cast(kind), "label")
         ends = edges.join(F.broadcast(known.select(F.col("node").alias(a), F.col("label").alias("__la"))), a).join(F.broadcast(known.select(F.col("node").alias(b), F.col("label").alias("__lb"))), b)
         across = ends.where("__la <> __lb").select(F.explode(F.array("__la", "__lb")).alias("label"), F.struct(F.col(weight).alias("w"), F.col(a).alias("a"), F.col(b).alias("b")).alias("e"))
         least = [r["e"] for r in across.groupBy("label").agg(F.min("e").alias("e")).collect()]  # one row for each component
@@ -213,7 +219,10 @@ def spanning_tree_edges(edges: DataFrame, columns: Sequence[str] = ("a", "b"), w
                 up[max(one, other)] = min(one, other)
                 chosen.add((e["a"], e["b"]))
         label = {x: root(k, up) for x, k in label.items()}
-    tree = spark.createDataFrame(sorted(chosen), f"{a} {kind}, {b} {kind}")
+    if not chosen:
+        return edges.limit(0)
+    ends = zip(*sorted(chosen))
+    tree = spark.createDataFrame(pa.table({a: pa.array(next(ends)), b: pa.array(next(ends))})).select(F.col(a).cast(kind), F.col(b).cast(kind))
     return edges.join(F.broadcast(tree), [a, b])
 
 

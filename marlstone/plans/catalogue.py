@@ -16,6 +16,7 @@ from marlstone.functions import numeric, optimizers
 from marlstone.operators import covariance as C
 from marlstone.operators import factors as FA
 from marlstone.operators import gram, networks, panel, performance, regimes, scan, stress
+from marlstone.operators import wide as WI
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
 from marlstone.staging import scratch_dir, staged
@@ -1445,10 +1446,11 @@ def spanning_tree_wide(spark, d):
 
 @query()
 def components_wide(spark, d):
-    """Three leading components of a wide universe from its tiles."""
-    tiles, tickers = _wide_tiles(spark, d)
-    values, loadings = gram.leading_components(tiles, tickers, 3)
-    return rounded(spark.createDataFrame([(t, k + 1, float(values[k]), float(loadings[i, k])) for i, t in enumerate(tickers) for k in range(3)], "ticker long, component int, variance double, loading double"), 6)
+    """Three leading components of a wide universe."""
+    tickers, values, loadings = WI.leading_components(_wide(spark, d), 3)
+    k = len(values)
+    columns = [np.repeat(np.array(tickers, dtype="int64"), k), np.tile(np.arange(1, k + 1), len(tickers)), np.tile(values, len(tickers)), loadings.ravel()]
+    return rounded(WI.table(spark, columns, [("ticker", "bigint"), ("component", "int"), ("variance", "double"), ("loading", "double")]), 6)
 
 
 @query(

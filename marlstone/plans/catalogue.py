@@ -1434,8 +1434,7 @@ def _wide_tiles(spark, d):
 
 @query("WITH " + ",\n".join([_WIDE, _WIDE_COV]) + "\nSELECT a, b, round(cov, 9) AS cov, n FROM cv")
 def cov_wide(spark, d):
-    tiles, tickers = _wide_tiles(spark, d)
-    return rounded(gram.covariance_table(tiles, tickers), 9)
+    return WI.covariances(_wide(spark, d), 9)
 
 
 @query("WITH " + ",\n".join([_WIDE, _WIDE_COV, _RHO, *_minimax(7)]) + "\nSELECT rh.a, rh.b, round(m0.v, 9) AS distance, round(rho, 9) AS rho FROM rh JOIN m0 USING (a, b) JOIN m7 USING (a, b) WHERE m0.v <= m7.v + 1e-12")

@@ -66,6 +66,33 @@ def test_components_of_more_tickers_than_a_matrix_has(spark, lineitem, monkeypat
             assert abs(variance - w[::-1][k]) < 1e-6 and abs(loading - truth[i, k]) < 2e-6
 
 
+def test_covariances_of_more_tickers_than_a_matrix_has(spark, lineitem):
+    found = catalogue.queries()["cov_wide"](spark, lineitem)
+    truth = twin(lineitem, "cov_wide")
+    assert dict(found.dtypes) == {"a": "bigint", "b": "bigint", "cov": "double", "n": "bigint"}
+    rows = {(r["a"], r["b"]): (r["cov"], r["n"]) for r in found.collect()}
+    assert len(rows) == 40 * 41 // 2 and rows.keys() == truth.keys()
+    for k, (cov, n) in truth.items():
+        assert rows[k][1] == n and abs(rows[k][0] - cov) < 2e-9
+
+
+def test_covariances_of_pairs_with_few_dates(spark, monkeypatch):
+    x = np.full((6, 9), np.nan)
+    x[0, :], x[1, :4], x[2, 5:], x[3, 3], x[4, [3, 5]] = np.arange(9) ** 2, [1, 5, 2, 2], [3, 3, 3, 3], 7, [1, 2]
+    rows = panel(spark, x).union(spark.createDataFrame([(dt.date(2020, 1, 1), "t005", None), (dt.date(2020, 1, 2), "t005", float("nan")), (dt.date(2020, 1, 1), None, 1.0)], "date date, ticker string, ret double"))
+    monkeypatch.setattr(wide, "BLOCK", 2)
+    monkeypatch.setattr(gram, "MOST", 2)
+    found = {(r["a"], r["b"]): (r["cov"], r["n"]) for r in wide.covariances(rows).collect()}
+    for i in range(6):
+        for j in range(i, 6):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            pair = found.get((f"t{i:03d}", f"t{j:03d}"))
+            assert (pair is None) == (not both.any())
+            if pair:
+                assert pair[1] == both.sum() and (pair[0] is None if both.sum() < 2 else abs(pair[0] - np.cov(x[i, both], x[j, both])[0, 1]) < 1e-9)
+    assert wide.covariances(rows.limit(0)).count() == 0
+
+
 def test_a_basis_that_has_not_settled_is_an_error():
     matrix = np.diag(np.linspace(1, 1.001, 50))
     with pytest.raises(RuntimeError):

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from marlstone.functions import numeric, optimizers
 from marlstone.operators import covariance as C
 from marlstone.operators import factors as FA
-from marlstone.operators import gram, networks, panel, performance, regimes, scan, stress
+from marlstone.operators import networks, panel, performance, regimes, scan, stress
 from marlstone.operators import wide as WI
 from marlstone.plans import backtest, panels, quality, strategies, walkforward
 from marlstone.session import read_table
@@ -1421,17 +1421,11 @@ def _minimax(steps: int) -> list[str]:
 
 
 def _wide(spark, d) -> DataFrame:
-    """A universe of hundreds of series: monthly mean prices by supplier."""
+    """A universe of as many series as there are suppliers: their monthly mean prices."""
     rows = read_table(spark, d, "lineitem").select(F.date_trunc("month", "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("long").alias("ticker"), "l_extendedprice")
     return staged(rows.groupBy("date", "ticker").agg((F.avg("l_extendedprice") / 100000).alias("ret")), "wide")
 
 
-def _wide_tiles(spark, d):
-    rows = _wide(spark, d)
-    tickers = gram.universe(rows)
-    return staged(gram.gram_tiles(rows, tickers, 4), "tiles"), tickers
-
-
 @query("WITH " + ",\n".join([_WIDE, _WIDE_COV]) + "\nSELECT a, b, round(cov, 9) AS cov, n FROM cv")
 def cov_wide(spark, d):
     return WI.covariances(_wide(spark, d), 9)
@@ -1439,8 +1433,8 @@ def cov_wide(spark, d):
 
 @query("WITH " + ",\n".join([_WIDE, _WIDE_COV, _RHO, *_minimax(7)]) + "\nSELECT rh.a, rh.b, round(m0.v, 9) AS distance, round(rho, 9) AS rho FROM rh JOIN m0 USING (a, b) JOIN m7 USING (a, b) WHERE m0.v <= m7.v + 1e-12")
 def spanning_tree_wide(spark, d):
-    tiles, tickers = _wide_tiles(spark, d)
-    return rounded(gram.spanning_tree_edges(gram.distances(gram.covariance_table(tiles, tickers))), 9)
+    """The pairs of a wide universe that are in some minimum spanning tree."""
+    return rounded(WI.spanning_trees(_wide(spark, d)), 9)
 
 
 @query()

@@ -93,6 +93,72 @@ def test_covariances_of_pairs_with_few_dates(spark, monkeypatch):
     assert wide.covariances(rows.limit(0)).count() == 0
 
 
+def test_every_pair_of_some_spanning_tree(spark, lineitem):
+    """Copies of series are at distance 0 and tie all that leads to them."""
+    rows = {(r["a"], r["b"]): (r["distance"], r["rho"]) for r in catalogue.queries()["spanning_tree_wide"](spark, lineitem).collect()}
+    truth = twin(lineitem, "spanning_tree_wide")
+    assert rows.keys() == truth.keys() and len(rows) > 39
+    for k, (distance, rho) in truth.items():
+        assert abs(rows[k][0] - distance) < 1e-7 and abs(rows[k][1] - rho) < 2e-9
+
+
+def plain_trees(x):
+    """Pairs that no path of shorter edges joins, written out."""
+    edges = {}
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            if both.any():
+                a, b = x[i], x[j]
+                root = np.nanstd(a, ddof=1) * np.nanstd(b, ddof=1) if min((~np.isnan(a)).sum(), (~np.isnan(b)).sum()) > 1 else 0
+                rho = np.cov(a[both], b[both])[0, 1] / root if root and both.sum() > 1 else 0.0
+                edges[i, j] = float(np.sqrt(2 * (1 - min(1, max(-1, round(rho, 13))))))
+    out = set()
+    for (i, j), d in edges.items():
+        seen = {i}
+        while more := {v for e, w in edges.items() if w < d - 1e-9 for u, v in (e, e[::-1]) if u in seen and v not in seen}:
+            seen |= more
+        if j not in seen:
+            out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("block, seed", [(2, 0), (5, 1), (64, 2)])
+def test_trees_of_odd_panels(spark, monkeypatch, block, seed):
+    """Copies that differ by a rounding, scaled and shifted copies, series without variance, of one date, and apart from all others."""
+    rng = np.random.default_rng(seed)
+    x = np.full((22, 16), np.nan)
+    x[:12, :12] = rng.standard_normal((12, 12))
+    x[:12, :12][rng.random((12, 12)) < 0.1] = np.nan
+    x[12], x[13], x[14], x[15] = x[0] * (1 + 2e-16), 3 * x[1] + 5, x[2], -x[3]
+    x[16, :12], x[17, 4], x[18:20, 12:], x[20:, 12:] = 0.1, 2.0, rng.standard_normal((2, 4)), rng.standard_normal(4)
+    monkeypatch.setattr(wide, "BLOCK", block)
+    found = sorted((int(r["a"][1:]), int(r["b"][1:])) for r in wide.spanning_trees(panel(spark, x)).collect())
+    assert found == sorted(plain_trees(x))
+
+
+def test_trees_of_nothing(spark):
+    none = spark.createDataFrame([], "date date, ticker string, ret double")
+    assert wide.spanning_trees(none).count() == 0
+    assert wide.spanning_trees(spark.createDataFrame([(dt.date(2020, 1, 1), "a", 1.0)], none.schema)).count() == 0
+
+
+def test_leaf_order_holds_the_longest_edge_of_each_path():
+    points = np.random.default_rng(3).standard_normal((30, 2))
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    tree = [t for t in numeric.spanning_tree(d) if 9 not in t[:2]]
+    order, gaps = wide.leaf_order(tree, 30)
+    path = np.full((30, 30), np.inf)
+    for a, b, h in tree:
+        path[a, b] = path[b, a] = h
+    for k in range(30):
+        path = np.minimum(path, np.maximum(path[:, k : k + 1], path[k : k + 1]))
+    assert sorted(order) == list(range(30))
+    for i in range(30):
+        for j in range(i + 1, 30):
+            assert gaps[i:j].max() == path[order[i], order[j]]
+
+
 def test_a_basis_that_has_not_settled_is_an_error():
     matrix = np.diag(np.linspace(1, 1.001, 50))
     with pytest.raises(RuntimeError):
